@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,31 @@ f AS (SELECT *, CAST(""" + " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 EN
 ORACLE["op8_quality_rules"] = f"""WITH {QUALITY_SQL.replace('{table}', 'documents')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & {quality.POLICIES[0].mask}) <> 0 AS base_failed, (fail_bits & {quality.DEFAULT.mask}) = 0 AS kept, fail_bits FROM f"""
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+QUERIES["op3_secret_scans"] = op3_secret_scans
+
+
+def _secret_sql(table: str) -> str:
+    """A CTE for each rule's spans, and one of them all: doc_id, kind (number), start, span."""
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(
+            f"""r{k} AS (SELECT row_key, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {r.group}) AS vals, string_split_regex(t, '{p}') AS gaps FROM t0),
+e{k} AS (SELECT row_key, {k} AS kind, '{r.kind}' AS name, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM r{k} WHERE len(hits) > 0),
+s{k} AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY row_key ORDER BY i) AS BIGINT) AS stop FROM e{k})"""
+        )
+    union = " UNION ALL ".join(f"SELECT row_key, kind, stop - length(hit) AS start, name || ':' || (stop - length(hit)) || ':' || stop AS span, length(val) >= {r.at_least} AS ok FROM s{k}" for k, r in enumerate(secrets.RULES))
+    return f"t0 AS (SELECT doc_id AS row_key, coalesce(text, '') AS t FROM {table}),\n" + ",\n".join(parts) + f",\nspans AS (SELECT * FROM ({union}) WHERE ok)"
+
+
+ORACLE["op3_secret_scans"] = f"""WITH {_secret_sql('documents')}
+SELECT t0.row_key AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+FROM t0 LEFT JOIN spans ON spans.row_key = t0.row_key GROUP BY t0.row_key"""
