@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets
+from . import decontaminate, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,33 @@ SELECT t0.row_key AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FI
        sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
        coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
 FROM t0 LEFT JOIN spans ON spans.row_key = t0.row_key GROUP BY t0.row_key"""
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+QUERIES["op6_benchmark_decontamination"] = op6_benchmark_decontamination
+
+
+def _contamination_sql(table: str) -> str:
+    r"""The contract by itself: every window of every item against every position, by equality of the joined words."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""dw AS (SELECT doc_id AS row_key, {words} AS ws FROM {table}),
+bw AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {words} AS ws FROM benchmark),
+bi AS (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM bw WHERE len(ws) > 0),
+bx AS (SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + 9], ' ') AS win FROM bi),
+ks AS (SELECT DISTINCT k FROM bx),
+di AS (SELECT row_key, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win FROM (SELECT row_key, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, ks WHERE len(ws) >= k)),
+oc AS (SELECT di.row_key, di.i, di.k, bx.item FROM di JOIN bx USING (k, win)),
+hp AS (SELECT row_key, count(DISTINCT p) AS n_hit FROM (SELECT row_key, unnest(range(i, i + k)) AS p FROM oc) GROUP BY row_key),
+it AS (SELECT row_key, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_key, item FROM oc) GROUP BY row_key),
+cr AS (SELECT dw.row_key AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+       FROM dw LEFT JOIN hp ON hp.row_key = dw.row_key LEFT JOIN it ON it.row_key = dw.row_key)"""
+
+
+ORACLE["op6_benchmark_decontamination"] = f"WITH {_contamination_sql('documents')} SELECT * FROM cr"
