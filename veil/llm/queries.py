@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, quality, secrets, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +101,10 @@ cr AS (SELECT dw.row_key AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce
 
 
 ORACLE["op6_benchmark_decontamination"] = f"WITH {_contamination_sql('documents')} SELECT * FROM cr"
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op1_token_ids"] = op1_token_ids
