@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, secrets, token_ids
+from . import decontaminate, jaccard, quality, secrets, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_token_ids"] = op1_token_ids
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), k=3, threshold=(90, 100))
+
+
+QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
