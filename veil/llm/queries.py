@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, quality, secrets, token_ids
+from . import decontaminate, jaccard, quality, secrets, substring, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_repeats(documents(spark, sf_dir), window=35)
+
+
+QUERIES["op7_substring_dedup"] = op7_substring_dedup
