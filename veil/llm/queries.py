@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, quality, secrets, substring, token_ids
+from . import decontaminate, jaccard, quality, secrets, sharding, substring, token_counts, token_ids
+from .common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +123,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_substring_dedup"] = op7_substring_dedup
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.by_limit(staged(lengths, "lengths"))
+
+
+QUERIES["op4_token_counts"] = op4_token_counts
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir))
+
+
+QUERIES["op5_sharding"] = op5_sharding
