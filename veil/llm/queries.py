@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, quality, secrets, sharding, substring, token_counts, token_ids
+from . import decontaminate, jaccard, pieces, quality, secrets, sharding, substring, surrogates, token_counts, token_ids
 from .common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_sharding"] = op5_sharding
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmented(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op9_sentencepiece"] = op9_sentencepiece
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, sf_dir), b"veil surrogates")
+
+
+QUERIES["op10_pii_surrogates"] = op10_pii_surrogates
