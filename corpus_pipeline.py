@@ -1,8 +1,63 @@
-"""The corpus pipeline."""
+"""From raw documents to token ids: quality rules, near copies, benchmark passages, secrets, segmentation.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
+each stage's result as Parquet to the shared folder and gives it to the next.
+All stages but the last return the columns of documents. Stages work on
+documents of any kind: null texts and short ones fail the quality rules; rows
+with a null doc_id are never linked; an empty table passes through.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veil.llm import decontaminate, jaccard, pieces, quality, secrets
+from veil.llm.common import BROADCAST_ROWS, staged
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the default policy keeps."""
+    return quality.accepted(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share 0.8 or more of their five-word shingles, the one with the smallest doc_id."""
+    found = jaccard.jaccard_components(docs, k=5, threshold=(80, 100))
+    drop = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secrets.masked(docs)
+
+
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document."""
+    return pieces.segmented(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("secret scans", secret_scans),
+    ("SentencePiece encoding", segmentation),
+]
+
+#: The last stage has no SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"), codec="snappy")
+    return docs

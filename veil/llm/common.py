@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 #: A-Z to a-z, every other byte stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
+#: Join sides under this many rows of a few longs (under 100 MB in memory) are broadcast; callers count them first.
+BROADCAST_ROWS = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""

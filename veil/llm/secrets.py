@@ -22,10 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-
-#: Join sides under this many rows of two longs (under 100 MB in memory) are broadcast.
-BROADCAST_ROWS = 2_000_000
+from .common import BROADCAST_ROWS, staged
 
 
 @dataclass(frozen=True)
