@@ -64,17 +64,20 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # --- encoding texts ----------------------------------------------------------
 
+#: ASCII marks that may follow a word; < could begin an added token, and ' a clipped ending.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
 
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, one call for each distinct chunk between white space.
 
     For a tokenizer whose normalizer, pre-tokenizer and added tokens never look
-    across a blank (split_blanks), a text's ids are those of its chunks in
-    order. Chunks new to a batch are encoded in one call, parted by an added
-    token that no chunk holds.
+    across a blank, a text's ids are those of its chunks in order. Here it also
+    parts letters from other marks, drops case and ends every word in an id of
+    its own kind, so words new to a batch are encoded in one call.
     """
 
-    LIMIT = 600_000  # chunks kept, under 200 MB
+    LIMIT = 300_000  # chunks in each of two generations, and half the words: about 150 MB together
     LONGEST = 64
 
     def __init__(self, path: str):
@@ -83,35 +86,48 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.bar, self.bar_id = min(added.items(), key=lambda x: x[1])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        plain = [c for c in chunks if "<" not in c and len(c) <= self.LONGEST]
-        for c in set(chunks).difference(plain):
-            self.known[c] = self._ids(c).tobytes()
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = self._ids(self.bar.join(some))
-            ends = [-1, *np.flatnonzero(ids == self.bar_id).tolist(), len(ids)]
-            for c, a, b in zip(some, ends, ends[1:]):
-                self.known[c] = ids[a + 1 : b].tobytes()
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of Latin letters alone, each of which ends at the first id that ends a word."""
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = self._ids(" ".join(some))
+            raw, ends = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            assert len(ends) == len(some), "an id that ends a word for each word"
+            yield from zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())))
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks. Letters and the marks after them are always parted, and case is dropped, so most chunks are words seen before."""
+        found = {c: self.older[c] for c in chunks if c in self.older}
+        split: list[tuple[str, str, str]] = []
+        for c in chunks.difference(found):
+            word = c.rstrip(MARKS).lower()
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250") and len(word) <= self.LONGEST:
+                split.append((c, word, c[len(word) :]))
+            else:
+                found[c] = self._ids(c).tobytes()
+        if len(self.words) > 2 * self.LIMIT:
+            self.words.clear()
+        self.words.update(self._words(list({w for _, w, _ in split}.difference(self.words))))
+        marks = {m: self._ids(m).tobytes() for m in {m for _, _, m in split}}
+        found.update((c, self.words[w] + marks[m]) for c, w, m in split)
+        return found
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 256):
-            split = [blank_split(t) for t in texts[at : at + 256]]
-            fresh = set().union(*split).difference(self.known)
-            if fresh:
-                before = len(self.known)
-                self._learn(list(fresh))
-                if len(self.known) < before:  # cleared: learn the rest of these texts' chunks again
-                    self._learn(list(set().union(*split).difference(self.known)))
+        for at in range(0, len(texts), 512):
+            split = [blank_split(t) for t in texts[at : at + 512]]
+            if len(self.known) > self.LIMIT:
+                self.older, self.known = self.known, {}
+            self.known.update(self._learn(set().union(*split).difference(self.known)))
             get = self.known.__getitem__
             for chunks in split:
                 yield np.frombuffer(b"".join(map(get, chunks)), self.dtype)
