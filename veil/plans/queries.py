@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,9 +97,9 @@ def back_search(spark, sf_dir):
     return detect.back_search(docs, detect.blanket(docs, on=("email",)))
 
 
-@query("""SELECT page_id, uri FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS uri FROM pages) WHERE contains(lower(uri), 'example')""")
+@query("""SELECT page_id, uri FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS uri FROM pages) WHERE contains(lower(uri), '/the')""")
 def link_targets(spark, sf_dir):
-    return detect.link_targets(table(spark, sf_dir, "pages"), "example")
+    return detect.link_targets(table(spark, sf_dir, "pages"), "/the")
 
 
 @query(f"""WITH {_spans_sql(RULES)}, ex AS (SELECT doc_id, start AS a, stop AS z FROM sp WHERE rule = 'link')
@@ -206,8 +207,7 @@ def snippets(spark, sf_dir):
     return found.select("doc_id", "start", t.snippet(F.col("text"), F.col("start"), F.col("stop")).alias("context"))
 
 
-@query(r"""WITH h AS (SELECT doc_id, 'thority' AS name, CAST(len(regexp_extract_all(lower(text), 'th\s*or\s*ity')) AS BIGINT) AS n FROM documents)
-SELECT doc_id, 'The of' AS name, CAST(len(regexp_extract_all(text, '(?i)the\s*of')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)the\s*of')""")
+@query(r"""SELECT doc_id, 'The of' AS name, CAST(len(regexp_extract_all(text, '(?i)the\s*of')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)the\s*of')""")
 def name_search(spark, sf_dir):
     found = detect.name_search(docs_of(spark, sf_dir), ["The of"], "text")
     return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
@@ -303,8 +303,8 @@ def clean_list(spark, sf_dir):
 
 _LAYOUT = """ln AS (SELECT doc_id, unnest(range(len(ls))) AS l, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {source})),
 wl AS (SELECT doc_id, l, unnest(range(len(ws))) AS no, unnest(ws) AS text FROM (SELECT doc_id, l, string_split(line, ' ') AS ws FROM ln)),
-wa AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, l ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM wl),
-lw AS (SELECT doc_id, CAST(l // 50 + 1 AS INTEGER) AS page_no, l AS line_no, no AS word_no, text, at * 6.0::DOUBLE AS x0, (l % 50) * 12.0::DOUBLE AS y0, (at + length(text)) * 6.0::DOUBLE AS x1, (l % 50) * 12.0::DOUBLE + 12 AS y1 FROM wa WHERE text <> '')"""
+wa AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, l ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM wl),
+lw AS (SELECT doc_id, CAST(l // 50 + 1 AS INTEGER) AS page_no, l AS line_no, no AS word_no, text, col * 6.0::DOUBLE AS x0, (l % 50) * 12.0::DOUBLE AS y0, (col + length(text)) * 6.0::DOUBLE AS x1, (l % 50) * 12.0::DOUBLE + 12 AS y1 FROM wa WHERE text <> '')"""
 _DOC_LAYOUT = _LAYOUT.format(source="documents")
 
 
@@ -394,14 +394,15 @@ def signature_zones(spark, sf_dir):
 
 @query()
 def label_names(spark, sf_dir):
-    """Words that end in a comma stand for labels."""
-    w = layout.lay_out(docs_of(spark, sf_dir)).withColumn("text", F.regexp_replace("text", ",$", ":"))
+    """Words that end in a comma stand for labels, and all words for capitalised ones."""
+    w = layout.lay_out(docs_of(spark, sf_dir)).withColumn("text", F.initcap(F.regexp_replace("text", ",$", ":")))
     return layout.label_names(w, label="on").select("doc_id", "page_no", "row", "name")
 
 
 @query()
 def table_names(spark, sf_dir):
-    return layout.table_names(layout.lay_out(docs_of(spark, sf_dir)), header="thand").select("doc_id", "page_no", "row", "name")
+    w = layout.lay_out(docs_of(spark, sf_dir)).withColumn("text", F.initcap("text"))
+    return layout.table_names(w, header="thand").select("doc_id", "page_no", "row", "name")
 
 
 # --- entities, selections, metadata ------------------------------------------
@@ -481,10 +482,13 @@ def gate_paths(spark, sf_dir):
 
 @query(ORACLE["mask_text"])
 def stream_mask(spark, sf_dir):
-    """The same as mask_text over a stream that ends with what is there now; results go to the shared folder."""
+    """The same as mask_text over a stream that ends with what is there now; results go to the shared folder.
+
+    The table may be a file or a folder of files; a pattern reads either.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-veil-")
-    out = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, tempfile.mktemp())))}"
+    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "documents").schema
-    run = mask_stream(spark, f"{sf_dir}/documents.parquet", schema, f"{out}/data", f"{out}/state", tuple(RULES.values()))
+    run = mask_stream(spark, f"{sf_dir}/documents.parque[t]", schema, f"{out}/data", f"{out}/state", tuple(RULES.values()))
     run.awaitTermination()
     return spark.read.parquet(f"{out}/data").select("doc_id", F.md5("text").alias("digest"))
