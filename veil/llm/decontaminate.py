@@ -77,7 +77,8 @@ class Block:
         """(window, start) of every occurrence."""
         for k, (keys, where) in self.prefix.items():
             found = roll(hashes, k)
-            for p in np.flatnonzero(np.isin(found, keys)).tolist():
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            for p in np.flatnonzero(keys[at] == found).tolist():
                 for j, place in where[int(found[p])]:
                     start, w = p - place, self.windows[j]
                     if start >= 0 and start + len(w) <= len(words) and words[start : start + len(w)] == w:
