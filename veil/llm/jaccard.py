@@ -7,15 +7,16 @@ similarity is at least num / den, and keep only what connects them:
    often they occur, rare first, then by hash. Sets that are similar enough
    share a shingle among the first few of each (the prefix). Documents meet at
    prefix shingles, and pairs that their lengths, the place of the shingle or a
-   128-bit parity signature rule out are dropped. All three tests never drop a
-   similar pair. Of the rest only a spanning forest leaves a task.
+   128-bit parity signature rule out are dropped; pairs of large sets, of which
+   128 bits say little, are looked at with signatures as long as they need. No
+   test ever drops a similar pair. Of the rest only a spanning forest is kept.
 2. The join. The documents of each connected group of candidates are brought
-   together once, with their whole sets. Their sets, in the global order
-   (reversed: the commonest shingle first, so that copies share their
-   beginnings), go into a trie. Each set walks it once; the overlap with a
-   shared beginning is counted once for all sets below it, and a subtree is
-   left when its lengths and the shingles already missing leave too little, or
-   when all its sets are known to be connected with the walker.
+   together once, with their whole sets. In one order for the group (the
+   commonest shingle first, so that copies share their beginnings) the sets'
+   differences from the group's common core go into a trie. Each set walks it
+   once, level by level; the overlap with a shared beginning is counted once
+   for all sets below it, and a subtree is left when its lengths and what is
+   already missing leave too little.
 
 Groups over `most_ids` shingles are split into blocks, and every pair of blocks
 is joined by a task of its own, so a task's memory is bounded; the links found
@@ -67,7 +68,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 # --- sets and the sketch -----------------------------------------------------
 
-_SETS = "doc_id long, n int, s1 long, s2 long, slice int, counts binary"
+_SETS = "doc_id long, n int, s1 long, s2 long, signature binary, slice int, counts binary"
 
 
 def _sets(k: int):
@@ -79,18 +80,19 @@ def _sets(k: int):
         shingles, sketch = Shingles(k), np.zeros(SKETCH, np.uint32)
         names = [c.split()[0] for c in _SETS.split(", ")]
         for batch in batches:
-            n, ids = [], []
+            n, ids, signatures = [], [], []
             for text in texts(batch):
                 s = shingles(text)
                 n.append(len(s))
                 ids.append(identity(s))
+                signatures.append(signature(s))
                 sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             ids = np.array(ids, np.uint64).reshape(-1, 2)
             nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), _signed(ids[:, 0]), _signed(ids[:, 1]), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), _signed(ids[:, 0]), _signed(ids[:, 1]), pa.array(signatures, pa.binary()), *nothing], names)
         slices = [zlib.compress(sketch[i : i + SLICE].tobytes(), 1) for i in range(0, SKETCH, SLICE)]
         k0 = len(slices)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int32()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int64()), pa.array(range(k0), pa.int32()), pa.array(slices, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int32()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.binary()), pa.array(range(k0), pa.int32()), pa.array(slices, pa.binary())], names)
 
     return run
 
@@ -100,6 +102,34 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return int(mixed(s + np.uint64(len(s))).sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parity bits like _parity(), about one for each two shingles: enough to tell sets of any size apart."""
+    bits = 1 << max(7, (len(s) // 2).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two signatures differ, the longer one folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _alike(t: Fraction):
+    """Of pairs with lengths and signatures, those that these don't rule out."""
+    less, more = t.denominator - t.numerator, t.denominator + t.numerator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n1", "sig1", "n2", "sig2")))
+            ok = pa.array([bits_apart(x, y) * more <= (n + m) * less for n, x, m, y in rows], pa.bool_())
+            yield batch.filter(ok).select(["a", "b"])
+
+    return run
+
+
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zlib
 
@@ -236,19 +266,30 @@ def _meet(t: Fraction):
         apart = np.bitwise_count(c["b1"][i] ^ c["b1"][j]).astype(np.int64) + np.bitwise_count(c["b2"][i] ^ c["b2"][j])
         return length & (run | (place & (apart * over[1] <= both * over[0])))
 
-    def edges(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        w, found = c["shingle"], []
+    def unsure(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs of sets so large that 128 bits of parity say little."""
+        return (c["low"][i] + c["low"][j]) * over[0] > 36 * over[1]
+
+    def edges(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forest edges, and pairs that are still to be looked at."""
+        w, found, pairs = c["shingle"], [], []
         starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(w)]))
         sizes = np.diff(np.r_[starts, len(w)])
-        few = sizes[group] <= 32
-        for gap in range(1, min(32, int(sizes.max()))):  # all pairs of small groups, by their distance
-            i = np.flatnonzero((group[gap:] == group[:-gap]) & few[gap:])
-            if not len(i):
+        group = np.repeat(np.arange(len(starts)), sizes)
+        few = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= FEW))
+        for gap in range(1, FEW):  # all pairs of small groups, by their distance
+            few = few[few + gap < len(w)]
+            few = few[group[few] == group[few + gap]]
+            if not len(few):
                 break
-            ok = passed(c, i, i + gap)
-            found.append((c["doc_id"][i[ok]], c["doc_id"][i[ok] + gap]))
-        for s, m in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist()):
+            i = few[passed(c, few, few + gap)]
+            more = unsure(c, i, i + gap)
+            found.append((c["doc_id"][i[~more]], c["doc_id"][i[~more] + gap]))
+            if more.any():
+                i = i[more]
+                both = np.stack([c["doc_id"][i], c["doc_id"][i + gap]])
+                pairs.append(np.stack([both.min(0), both.max(0)]))
+        for s, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
             for a in range(s, s + m, 512):
                 rows = np.arange(a, min(a + 512, s + m))
                 for b in range(a, s + m, 512):
@@ -258,9 +299,10 @@ def _meet(t: Fraction):
                     i, j = i[i < j], j[i < j]
                     ok = passed(c, i, j)
                     found.append(forest(c["doc_id"][i[ok]], c["doc_id"][j[ok]]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return forest(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+        none = np.empty(0, np.int64)
+        a, b = forest(np.concatenate([none, *[x[0] for x in found]]), np.concatenate([none, *[x[1] for x in found]]))
+        p = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
+        return np.r_[a, p[0]], np.r_[b, p[1]], np.repeat([False, True], [len(a), p.shape[1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -272,13 +314,12 @@ def _meet(t: Fraction):
             reach = np.maximum.accumulate(high)
             near = np.flatnonzero(low[1:] * t.numerator <= reach[:-1] * t.denominator)
             end = table.slice(len(doc) - 1).set_column(_NAMES.index("high"), "high", pa.array(reach[-1:].astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(doc[near + 1]), pa.array(doc[near])], ["a", "b"]), end
+            return pa.RecordBatch.from_arrays([pa.array(doc[near + 1]), pa.array(doc[near]), pa.array(np.zeros(len(near), bool))], ["a", "b", "look"]), end
 
         def done(table: pa.Table) -> pa.RecordBatch:
             c = {k: table.column(k).to_numpy() for k in _NAMES}
             c |= {k: c[k].astype(np.int64) for k in ("low", "high", "at")} | {k: np.ascontiguousarray(c[k]).view(np.uint64) for k in ("b1", "b2")}
-            a, b = edges(c)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in edges(c)], ["a", "b", "look"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -310,6 +351,8 @@ def _meet(t: Fraction):
     return run
 
 
+#: Entries of a shingle up to which pairs of large sets are looked at one by one; more are connected by what passes the tests.
+FEW = 256
 #: Rows of one shingle that a task compares in pairs (by blocks of 512); tasks send at most a few hundred each.
 MOST_MEETING = 1 << 15
 
@@ -318,93 +361,124 @@ MOST_MEETING = 1 << 15
 
 
 class Trie:
-    """Sorted sets of small integers with shared beginnings, each edge an array."""
+    """Ordered sets of small integers in a prefix tree, its nodes level by level in arrays.
 
-    def __init__(self, sets: list[np.ndarray]):
-        # Node: [edge's ids, length of the path so far, least and greatest set size below, children, sets that end here, root of all below or -1]
-        self.sets = sets
+    A node has an id of the path, its children (next to each other on the next
+    level), the sets that end there, and of all sets at or below it the least
+    number of ids left out of the tree and the least and greatest size.
+    """
+
+    def __init__(self, sets: list[np.ndarray], left_out: np.ndarray, sizes: np.ndarray):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        self.top = self._node(order, 0)
-
-    def _node(self, order: list[int], depth: int) -> list:
-        first, last = self.sets[order[0]], self.sets[order[-1]]
-        m = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:m] != last[depth:m])
-        end = depth + int(differ[0]) if len(differ) else m
-        sizes = [len(self.sets[i]) for i in order]
-        here = [i for i in order if len(self.sets[i]) == end]
-        node = [first[depth:end], end, min(sizes), max(sizes), [], here, -1]
-        rest = order[len(here) :]
-        pending = []
-        while rest:
-            head = self.sets[rest[0]][end]
-            low, high = 0, len(rest)
-            while low < high:  # sets are sorted: find the first with another id here
-                mid = (low + high) // 2
-                low, high = (mid + 1, high) if self.sets[rest[mid]][end] == head else (low, mid)
-            pending.append(rest[:low])
-            rest = rest[low:]
-        node[4] = pending  # built when it is first entered, so depth never deepens the stack here
-        return node
-
-    def children(self, node: list) -> list[list]:
-        node[4] = [x if x and isinstance(x[0], np.ndarray) else self._node(x, node[1]) for x in node[4]]
-        return node[4]
+        total, depth = sum(map(len, sets)), max(map(len, sets))
+        token, level, parent = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total, np.int64)
+        spare, least, most = np.full(total, 1 << 30, np.int64), np.full(total, 1 << 30, np.int64), np.zeros(total, np.int64)
+        path, last = np.empty(depth, np.int64), np.full(len(sets), -1, np.int64)
+        made, before = 0, np.empty(0, np.uint32)
+        for i in order:
+            own = sets[i]
+            n, m = len(own), min(len(own), len(before))
+            differ = np.flatnonzero(own[:m] != before[:m])
+            shared = int(differ[0]) if len(differ) else m
+            new = slice(made, made + n - shared)
+            made += n - shared
+            path[shared:n] = np.arange(new.start, made)
+            token[new], level[new] = own[shared:], np.arange(shared, n)
+            parent[new] = np.r_[path[shared - 1] if shared else -1, path[shared : n - 1]][: n - shared]
+            at = path[:n]
+            spare[at], least[at], most[at] = np.minimum(spare[at], left_out[i]), np.minimum(least[at], sizes[i]), np.maximum(most[at], sizes[i])
+            last[i] = path[n - 1] if n else -1
+            before = own
+        # By level; sets came in order, so a node's children stand together and in the order of their parents.
+        by_level = np.argsort(level[:made], kind="stable")
+        width = np.bincount(level[:made], minlength=depth)
+        starts = np.r_[0, np.cumsum(width)]
+        rank = np.empty(made, np.int64)
+        rank[by_level] = np.arange(made)
+        children = np.bincount(parent[:made] + 1, minlength=made + 1)
+        levels = [by_level[starts[d] : starts[d + 1]] for d in range(depth)]
+        first = lambda counts: np.r_[0, np.cumsum(counts)]
+        self.ids = [token[x] for x in levels]
+        self.first = [first(children[:1]), *[first(children[x + 1]) for x in levels]]
+        self.left_out, self.least, self.most = ([None, *[v[x] for x in levels]] for v in (spare, least, most))
+        self.ends: dict[tuple[int, int], list[int]] = {}
+        self.ending = [np.zeros(1, bool), *[np.zeros(len(x), bool) for x in levels]]
+        for i, node in enumerate(last.tolist()):
+            d = int(level[node]) + 1 if node >= 0 else 0
+            k = int(rank[node] - starts[d - 1]) if d else 0
+            self.ending[d][k] = True
+            self.ends.setdefault((d, k), []).append(i)
 
 
 def connect(sets: list[np.ndarray], t: Fraction) -> list[int]:
-    """For each set (distinct sorted arrays of 64-bit ids in the global order) the least index it is connected with."""
+    """For each set (distinct arrays of 64-bit ids) the least index it is connected with.
+
+    Sets go into the tree as their differences from the ids that more than half
+    of them have, which are as far apart as the sets: near copies differ from
+    that core in a few ids. An id that is in one difference only can be in no
+    overlap; it is left out of the tree and counted.
+    """
+    m = len(sets)
+    if m == 1:
+        return [0]
+    sizes = np.array([len(s) for s in sets], np.int64)
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), sizes)
     count = np.bincount(flat)
+    core = np.flatnonzero(2 * count > m)
+    # Differences as (set, id) pairs: ids outside the core that a set has, and ids of the core that it lacks.
+    is_core = np.zeros(len(ids), bool)
+    is_core[core] = True
+    held = owner[is_core[flat]] * len(core) + np.searchsorted(core, flat[is_core[flat]])
+    lacks = np.setdiff1d(np.arange(m * len(core)), held, assume_unique=True)
+    who = np.concatenate([owner[~is_core[flat]], lacks // max(1, len(core))])
+    what = np.concatenate([flat[~is_core[flat]], core[lacks % max(1, len(core))]])
+    often = np.bincount(what, minlength=len(ids))
+    left_out = np.bincount(who[often[what] == 1], minlength=m)
+    who, what = who[often[what] > 1], what[often[what] > 1]
     place = np.empty(len(ids), np.uint32)
-    place[np.lexsort((ids, -count))] = np.arange(len(ids))
-    flat, ends = place[flat], np.cumsum([len(s) for s in sets])
-    own = [np.sort(x) for x in np.split(flat, ends[:-1])]
-    trie, root = Trie(own), list(range(len(sets)))
+    place[np.lexsort((ids, -often))] = np.arange(len(ids))  # the commonest first: the most shared beginnings
+    ranks = place[what]
+    order = np.lexsort((ranks, who))
+    own = np.split(ranks[order], np.cumsum(np.bincount(who, minlength=m))[:-1])
+    trie, label = Trie(own, left_out, sizes), np.arange(m)
     less, more = t.denominator - t.numerator, t.denominator + t.numerator
+    width = int(place.max()) + 1
+    has = np.zeros(width, np.int64)
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    has = np.zeros(len(ids), np.int64)
-    for x in sorted(range(len(own)), key=lambda i: len(own[i])):
-        mine, n = own[x], len(own[x])
+    for x in range(m):
+        mine, n, alone = own[x], sizes[x], left_out[x]
         has[mine] = 1
-        # (node, overlap before it, None or the nodes whose common root follows from their children)
-        stack: list[tuple] = [(trie.top, 0, False)]
-        while stack:
-            node, overlap, back = stack.pop()
-            if back:
-                below = {find(i) for i in node[5]} | {find(c[6]) if c[6] >= 0 else -1 for c in node[4] if isinstance(c[0], np.ndarray)}
-                if len(below) == 1 and all(isinstance(c[0], np.ndarray) for c in node[4]):
-                    node[6] = below.pop()
-                continue
-            if node[6] >= 0 and find(node[6]) == find(x):
-                continue
-            low, high = node[2], node[3]
-            if low * t.numerator > n * t.denominator or n * t.numerator > high * t.denominator:
-                continue
-            edge, end = node[0], node[1]
-            overlap += int(has[edge].sum())
-            if len(edge):
-                # Of the path, end - overlap ids are not mine; of my ids up to the path's last, those not met are not theirs.
-                apart = end - overlap + int(np.searchsorted(mine, edge[-1], "right")) - overlap
-                if apart * more > (n + min(high, n * t.denominator // t.numerator)) * less:
-                    continue
-            for y in node[5]:
-                if y != x and (a := find(x)) != (b := find(y)) and overlap * more >= (n + end) * t.numerator:
-                    root[max(a, b)] = min(a, b)
-            if node[4]:
-                stack.append((node, 0, True))
-                stack.extend((c, overlap, False) for c in trie.children(node))
-            elif node[5]:
-                roots = {find(i) for i in node[5]}
-                node[6] = roots.pop() if len(roots) == 1 else -1
+        hits: list[int] = []
+        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for depth in range(len(trie.ids) + 1):
+            if depth:
+                token = trie.ids[depth - 1][nodes]
+                overlap = overlap + has[token]
+                # Of the path, depth - overlap ids are not mine; of mine up to the path's last, those not met are not theirs.
+                apart = depth - overlap + np.searchsorted(mine, token, "right") - overlap
+                least, most = trie.least[depth][nodes], trie.most[depth][nodes]
+                ok = ((alone + trie.left_out[depth][nodes] + apart) * more <= (n + most) * less) & (least * t.numerator <= n * t.denominator) & (n * t.numerator <= most * t.denominator)
+                nodes, overlap = nodes[ok], overlap[ok]
+                if not len(nodes):
+                    break
+            ending = trie.ending[depth][nodes]
+            for node, o in zip(nodes[ending].tolist(), overlap[ending].tolist()):
+                for y in trie.ends[depth, node]:
+                    if (alone + left_out[y] + depth + len(mine) - 2 * o) * more <= (n + sizes[y]) * less:
+                        hits.append(y)
+            if depth < len(trie.ids):
+                a, z = trie.first[depth][nodes], trie.first[depth][nodes + 1]
+                each = z - a
+                overlap = np.repeat(overlap, each)
+                nodes = np.repeat(a - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(int(each.sum()))
+                if not len(nodes):
+                    break
         has[mine] = 0
-    return [find(i) for i in range(len(sets))]
+        known = np.unique(label[hits]) if hits else ()
+        if len(known) > 1:
+            label[np.isin(label, known)] = known[0]
+    return label.tolist()
 
 
 def _join(k: int, t: Fraction):
@@ -449,18 +523,24 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cell"), pa.array(rows, pa.binary())], ["doc_id", "cell", "packed"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), most_ids: int = 3_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), most_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), a row for each document."""
     spark, t = docs.sparkSession, Fraction(*threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = staged(docs.mapInArrow(_sets(k), _SETS), "sets")
     sketch = spark.sparkContext.broadcast(_sketch(sets.filter("slice IS NOT NULL")))
-    sizes = sets.filter("slice IS NULL").select("doc_id", "n", "s1", "s2")
+    rows = sets.filter("slice IS NULL")
+    sizes = rows.select("doc_id", "n", "s1", "s2")
 
     entries = staged(docs.mapInArrow(_entries(k, t, sketch), _ENTRIES), "entries")
     at_once = entries.filter("shingle IS NULL").select(F.col("doc_id").alias("a"), F.col("b1").alias("b"))
-    met = entries.filter("shingle IS NOT NULL").repartition("shingle").sortWithinPartitions("shingle", "low").mapInArrow(_meet(t), "a long, b long")
-    groups = components(at_once.union(met), "a", "b")
+    met = entries.filter("shingle IS NOT NULL").repartition("shingle").sortWithinPartitions("shingle", "low").mapInArrow(_meet(t), "a long, b long, look boolean")
+    met = staged(met, "met")
+    # Pairs of large sets: their signatures are joined, a row for each pair.
+    pairs = met.filter("look").select("a", "b").distinct()
+    own = lambda x, i: rows.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{i}"), F.col("signature").alias(f"sig{i}"))
+    alike = pairs.join(own("a", 1), "a").join(own("b", 2), "b").mapInArrow(_alike(t), "a long, b long")
+    groups = components(at_once.union(met.filter("NOT look").select("a", "b")).union(alike), "a", "b")
     grouped = staged(groups.select("node", "root").union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
 
     # Blocks of a group, from its shingles; one block for all but the largest groups.
