@@ -152,3 +152,26 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_pii_surrogates"] = op10_pii_surrogates
+
+
+def _jaccard_sql(table: str, k: int, num: int, den: int) -> str:
+    r"""Every pair that shares a shingle, and what links reach. CTEs; the last is cl: doc_id, n_shingles, component_id."""
+    return rf"""RECURSIVE jw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {table}),
+sh AS (SELECT DISTINCT doc_id, least({k}, len(ws)) AS k, array_to_string(ws[i:i + {k} - 1], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {k} + 1) + 1)) AS i FROM jw WHERE len(ws) > 0)),
+sn AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+sp AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+lk AS (SELECT x, y FROM sp JOIN sn p ON p.doc_id = x JOIN sn q ON q.doc_id = y WHERE {den} * o >= {num} * (p.n + q.n - o)),
+ed AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+rc(doc, root) AS (SELECT doc_id, doc_id FROM jw UNION SELECT ed.y, rc.root FROM rc JOIN ed ON ed.x = rc.doc),
+cl AS (SELECT jw.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM jw LEFT JOIN sn USING (doc_id) JOIN (SELECT doc, min(root) AS c FROM rc GROUP BY doc) ON doc = jw.doc_id)"""
+
+
+ORACLE["op2_ngram_jaccard_join"] = f"WITH {_jaccard_sql('documents', 3, 90, 100)} SELECT * FROM cl"
+
+ORACLE["op7_substring_dedup"] = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(range(len(ws))) AS j, unnest(ws) AS word FROM w),
+g AS (SELECT doc_id, j, count(*) OVER v AS n, md5(string_agg(word, ' ') OVER v) AS h FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT doc_id, j FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM g WHERE n = 35) WHERE c > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(j, j + 35)) AS j FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND c.j = x.j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
