@@ -58,25 +58,24 @@ def by_limit(lengths: DataFrame) -> DataFrame:
     """
     each = lengths.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"))
     below = with_offsets(each, "n_tokens", 1024, {"docs_below": "docs", "tokens_below": "tokens"})
-    totals = each.agg(F.sum("docs").alias("_docs"), F.sum("tokens").alias("_tokens"))
-    rows = below.join(F.broadcast(totals)).withColumns({"docs_at_least": F.col("_docs") - F.col("docs_below"), "tokens_at_least": F.col("_tokens") - F.col("tokens_below")})
+    docs, tokens = each.agg(F.sum("docs"), F.sum("tokens")).first()
+    rows = below.withColumns({"docs_at_least": F.lit(docs) - F.col("docs_below"), "tokens_at_least": F.lit(tokens) - F.col("tokens_below")})
     return rows.withColumn("tokens_truncated", F.col("tokens_below") + F.col("n_tokens") * F.col("docs_at_least")).select(
-        "n_tokens", "docs", "tokens", "docs_below", "tokens_below", "docs_at_least", "tokens_at_least", "tokens_truncated", (F.col("_tokens") - F.col("tokens_truncated")).alias("tokens_lost")
+        "n_tokens", "docs", "tokens", "docs_below", "tokens_below", "docs_at_least", "tokens_at_least", "tokens_truncated", (F.lit(tokens) - F.col("tokens_truncated")).alias("tokens_lost")
     )
 
 
 def at_limits(answers: DataFrame, limits: list[int]) -> DataFrame:
     """limit, docs_at_least, tokens_truncated for any context limits, from by_limit()."""
-    each = answers.sparkSession.createDataFrame([(x,) for x in limits], "limit long")
-    # The next length at or above the limit says all; beyond the longest document nothing is cut.
-    up = F.broadcast(each).join(answers, F.col("n_tokens") >= F.col("limit"), "left").groupBy("limit").agg(F.min_by(F.struct("docs_at_least", "tokens_below"), "n_tokens").alias("x"))
-    total = answers.agg(F.sum("tokens").alias("total"))
-    return up.join(F.broadcast(total)).select("limit", F.coalesce("x.docs_at_least", F.lit(0)).alias("docs_at_least"), F.coalesce(F.col("x.tokens_below") + F.col("limit") * F.col("x.docs_at_least"), "total").alias("tokens_truncated"))
+    total = answers.agg(F.sum("tokens")).first()[0] or 0
+    # The next length at or above a limit says all; beyond the longest document nothing is cut. One pass, a column for each limit.
+    found = answers.agg(*[F.min_by(F.struct("docs_at_least", (F.col("tokens_below") + x * F.col("docs_at_least")).alias("tokens")), F.when(F.col("n_tokens") >= x, F.col("n_tokens"))).alias(f"l{k}") for k, x in enumerate(limits)]).first()
+    rows = [(x, *(found[f"l{k}"] or (0, total))) for k, x in enumerate(limits)]
+    return answers.sparkSession.createDataFrame(rows, "limit long, docs_at_least long, tokens_truncated long")
 
 
 def quantiles(answers: DataFrame, shares: list[float]) -> DataFrame:
     """share, n_tokens: the least length that this share of documents does not exceed, from by_limit()."""
-    each = answers.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    total = answers.agg(F.sum("docs").alias("_total"))
-    reached = answers.join(F.broadcast(total)).join(F.broadcast(each), F.col("docs_below") + F.col("docs") >= F.col("share") * F.col("_total"))
-    return reached.groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    total = answers.agg(F.sum("docs")).first()[0] or 0
+    found = answers.agg(*[F.min(F.when(F.col("docs_below") + F.col("docs") >= x * total, F.col("n_tokens"))).alias(f"q{k}") for k, x in enumerate(shares)]).first()
+    return answers.sparkSession.createDataFrame([(float(x), found[f"q{k}"]) for k, x in enumerate(shares)], "share double, n_tokens long")
