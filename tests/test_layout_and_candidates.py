@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from veil.operators import boilerplate, candidates, entities, gate, layout, selections
 from veil.plans import redact
