@@ -8,9 +8,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A-Z to a-z, every other byte stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -78,10 +77,6 @@ class Windows:
         return mixed((sums[at + width] - sums[at]) * self.down[at])
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
-
-
 def with_offsets(df: DataFrame, order: str, step: int, sums: dict[str, str]) -> DataFrame:
     """Running sums in the order of a long column, without a window over all rows.
 
@@ -89,8 +84,6 @@ def with_offsets(df: DataFrame, order: str, step: int, sums: dict[str, str]) ->
     Rows of one `order` // step value share a task, and only one row for each
     such value meets in the last window; rows are expected once per `order`.
     """
-    from pyspark.sql import Window
-
     spread = df.withColumn("_block", F.floor(F.col(order) / step).cast("long"))
     totals = spread.groupBy("_block").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -174,7 +174,7 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 def _entries(k: int, t: Fraction, shared):
-    """Prefix entries of each distinct set of a task. doc_id is negative for edges found at once: a run's documents and its first."""
+    """Prefix entries of each distinct set of a task. Rows without a shingle are edges found at once, from doc_id to b1: a run's documents and its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sketch, seen = Shingles(k), shared.value, set()

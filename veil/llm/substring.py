@@ -31,7 +31,6 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ ONE, KNOWN, SEVERAL = 0, 1, 2  # what a row says: one occurrence; one of several
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
-    """The longest period whose anchors still have a word for each of five of the window's, at least."""
+    """The longest period that leaves anchors a third of the window's words, at least."""
     period = max((v for v in COVERS if window - v + 1 >= max(1, window // 3)), default=1)
     return period, COVERS[period]
 
