@@ -121,6 +121,32 @@ def test_segmented(spark):
     assert pieces.segmented(empty(spark), MODEL).count() == 0
 
 
+def test_every_occurrence_has_its_own_segmentation(spark):
+    word, alone = "▁something", pieces.Model(MODEL, 0.3, 1)
+    text = " ".join(["something"] * 400)
+    ids = DROPPED.encode(text, 7)
+    assert len(ids) and DROPPED.decode(ids) == text
+    ways, part, length = set(), [], 0
+    for i in ids.tolist():
+        part, length = part + [i], length + len(DROPPED.raw[i])
+        if length == len(word):
+            ways.add(tuple(part))
+            part, length = [], 0
+    assert len(ways) > 10 and not part  # in one document
+    assert alone.encode("the of and", 3).tolist() == pieces.Model(MODEL, 0.3, 1).encode("the of and", 3).tolist()
+    assert DROPPED.encode(text, 7).tolist() == ids.tolist() == alone.encode(text, 7).tolist()  # whatever is kept of earlier texts
+    got = pieces.segmented(frame(spark, [(i, "something else for them") for i in range(60)]), MODEL, dropout=0.3)
+    assert len({r.ids_crc32 for r in got.collect()}) > 15  # between documents
+
+
+@given(TEXTS, st.integers(0, 9))
+@settings(max_examples=100, deadline=None)
+def test_kept_segmentations_are_those_of_the_draws(text, own):
+    fresh = pieces.Model.__new__(pieces.Model)
+    fresh.__dict__ = DROPPED.__dict__ | {"known": {}, "older": {}}
+    assert fresh.encode(text, own).tolist() == DROPPED.encode(text, own).tolist()
+
+
 ENTITIES = "Dr. Alice Weaver met Mr. JOHN Smith; jane.doe9@mail.example.com, Jane.Doe9@Mail.example.com; +1 (017) 555-7713 or +10175557713; 4532015112830366; 10.1.2.255; Mrs Smith."
 
 

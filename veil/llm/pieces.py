@@ -3,10 +3,12 @@
 A merge-type segmentation starts from single characters and merges neighbours
 whose joined text is a piece, best score first, leftmost first among equals.
 When a candidate comes up from the agenda, a keyed hash of the seed, the
-variant, the chunk and its turn decides whether it is skipped; a
-skipped candidate does not come back, candidates made by later merges may. So
-one text has many segmentations, each of which can be made again from its key,
-and all of which decode to the same text.
+document, the chunk's place in it and the candidate's turn decides whether it
+is skipped; a skipped candidate does not come back, candidates made by later
+merges may. So every occurrence of a word is segmented by draws of its own, one
+text has many segmentations, each of which can be made again from its key, and
+all of which decode to the same text. What is kept of a chunk is only what its
+draws determine: its ids when candidates are skipped at such and such turns.
 
 The model is a SentencePiece model of merge type with an identity normalizer
 and byte pieces. No piece has its blank mark after another character, so a
@@ -16,8 +18,8 @@ piece become bytes; so does a blank mark that stands in the text itself, and
 decoding gives back exactly the text.
 
 Cases: a null text is encoded as an empty one and decodes to ""; repeated
-documents give equal ids (the variant follows from doc_id; a null doc_id has
-variant 0); an empty table gives no rows; very long runs without a blank are
+rows give equal ids (the draws follow from doc_id, those of a null doc_id from
+the text); an empty table gives no rows; very long runs without a blank are
 merged with a heap.
 """
 
@@ -43,7 +45,7 @@ NEVER = 1 << 60
 class Model:
     """Pieces of a model file, and segmentations by them."""
 
-    LIMIT = 200_000  # chunks in each of two generations, about 100 MB together
+    LIMIT = 200_000  # segmentations in each of two generations, about 100 MB together
     SHORT = 48  # longer chunks use a heap, and aren't kept
 
     def __init__(self, path: str, dropout: float, seed: int):
@@ -73,23 +75,27 @@ class Model:
         self.code = "H" if n <= 1 << 16 else "I"
         self.plain = model.encode
         self.seed = seed
-        self.known: list[dict[str, bytes]] = []
-        self.older: list[dict[str, bytes]] = []
+        self.merges = [len(p) - 1 if normal[i] else 0 for i, p in enumerate(pieces)]
+        #: Ids of (a chunk, turns that are skipped), and after how many turns it is done if no other is.
+        self.known: dict[tuple, tuple[bytes, int]] = {}
+        self.older: dict[tuple, tuple[bytes, int]] = {}
+        self.mark = array(self.code, [self.byte[b] for b in BLANK.encode()]).tobytes()  # a mark of the text's own: its bytes
 
-    def _draws(self, chunk: str, variant: int, block: int = 0) -> bytes:
-        """Whether the candidates that come up first are skipped (1) or not (0): 64 decisions from one keyed hash; block: the next 64."""
-        return hashlib.blake2b(chunk.encode(), key=b"%d:%d:%d" % (self.seed, variant, block), digest_size=64).digest().translate(self.skipped)
+    def _draws(self, chunk: str, own: object, turn: int = 0) -> bytes:
+        """Whether the candidates that come up from a turn on are skipped (1) or not (0), from one keyed hash: 64, later as many as there were."""
+        return hashlib.shake_128(f"{self.seed}:{own}:{turn}:{chunk}".encode()).digest(max(64, turn)).translate(self.skipped)
 
-    def _merge_short(self, chunk: str, variant: int, draws: bytes) -> list[str]:
+    def _merge_short(self, chunk: str, own: object, draws: bytes) -> list[str]:
+        """The parts of a chunk; own: the key of the draws after the given ones."""
         rank, never, parts = self.rank.get, NEVER, list(chunk)
         agenda = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
         turn = 0
         while agenda and (best := min(agenda)) != never:
             i = agenda.index(best)
-            if turn % 64 == 0 and turn:
-                draws = self._draws(chunk, variant, turn // 64)
+            if turn == len(draws):
+                draws += self._draws(chunk, own, turn)
             turn += 1
-            if draws[(turn - 1) % 64]:
+            if draws[turn - 1]:
                 agenda[i] = never
                 continue
             joined = parts[i] + parts.pop(i + 1)
@@ -101,7 +107,7 @@ class Model:
                 agenda[i] = rank(joined + parts[i + 1], never)
         return parts
 
-    def _merge_long(self, chunk: str, variant: int, draws: bytes) -> list[str]:
+    def _merge_long(self, chunk: str, own: object, draws: bytes) -> list[str]:
         """The same with a heap, for chunks of any length. Parts are known by where they start."""
         rank, n, turn = self.rank.get, len(chunk), 0
         end, previous, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -112,10 +118,10 @@ class Model:
             if not alive[i] or end[i] >= n or end[end[i]] != stop:
                 continue
             j = end[i]
-            if turn % 64 == 0 and turn:
-                draws = self._draws(chunk, variant, turn // 64)
+            if turn == len(draws):
+                draws += self._draws(chunk, own, turn)
             turn += 1
-            if draws[(turn - 1) % 64]:
+            if draws[turn - 1]:
                 continue
             alive[j], end[i] = False, stop
             if stop < n:
@@ -126,56 +132,95 @@ class Model:
                 heappush(heap, (r, previous[i], stop))
         return [chunk[i : end[i]] for i in range(n) if alive[i]]
 
-    def _merged(self, chunk: str, variant: int, draws: bytes) -> bytes:
+    def _merged(self, chunk: str, own: object, draws: bytes) -> list[int]:
         ids: list[int] = []
-        for part in (self._merge_short if len(chunk) <= self.SHORT else self._merge_long)(chunk, variant, draws):
+        for part in (self._merge_short if len(chunk) <= self.SHORT else self._merge_long)(chunk, own, draws):
             i = self.id_of.get(part)
             if i is None:
                 ids.extend(self.byte[b] for b in part.encode())
             else:
                 ids.append(i)
-        return array(self.code, ids).tobytes()
+        return ids
 
-    def _learn(self, chunks: list[str], variant: int) -> dict[str, bytes]:
-        """Ids of new chunks.
+    def _learn(self, chunks: list[str], own: object) -> dict[str, bytes]:
+        """Ids of chunks by themselves, without a place in a text."""
+        return {c: self._drawn(c, own, self._draws(c, own)) for c in chunks}
 
-        Without a skip each candidate that comes up is a merge, so there are
-        fewer of them than characters; chunks of which none is skipped are the
-        library's, in one call.
-        """
-        found, plain = {}, []
+    def _plain(self, chunks: list[str]) -> None:
+        """Get to know chunks without a skip: those after one blank are the library's, in one call."""
+        whole = [c for c in chunks if len(c) > 1 and c[0] == BLANK != c[1]]
+        found = dict(zip(whole, self.plain([c[1:] for c in whole], num_threads=1))) if whole else {}
         for c in chunks:
-            draws = self._draws(c, variant)
-            n = len(c)
-            if 1 < n <= 64 and c[0] == BLANK != c[1] and 1 not in draws[: n - 1]:
-                plain.append(c)
-            else:
-                found[c] = self._merged(c, variant, draws)
-        if plain:
-            found.update(zip(plain, (array(self.code, ids).tobytes() for ids in self.plain([c[1:] for c in plain], num_threads=1))))
+            ids = found[c] if c in found else self._merged(c, None, bytes(3 * len(c)))
+            self.known[c,] = array(self.code, ids).tobytes(), sum(map(self.merges.__getitem__, ids))
+
+    def _under(self, key: tuple) -> tuple[bytes, int]:
+        """Ids of a chunk of which these turns and no other are skipped, and how many turns there are.
+
+        Each of n - 1 pairs and at most two new ones for each of n - 1 merges
+        come up once, so there are fewer than 3 n.
+        """
+        if (found := self.known.get(key)) is None:
+            if (found := self.older.get(key)) is None:
+                c = key[0]
+                draws = bytearray(3 * len(c))
+                for k in key[1:]:
+                    draws[k] = 1
+                ids = self._merged(c, None, bytes(draws))
+                found = array(self.code, ids).tobytes(), sum(map(self.merges.__getitem__, ids)) + len(key) - 1
+            self.known[key] = found
         return found
 
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+    def _drawn(self, chunk: str, own: object, draws: bytes) -> bytes:
+        """Ids of a chunk under these draws, and more by the key own if they do not last."""
+        if len(chunk) > self.SHORT:
+            return array(self.code, self._merged(chunk, own, draws)).tobytes()
+        key: tuple = (chunk,)
+        if key not in self.known:
+            self._plain([chunk])
+        ids, turns = self.known[key]
+        at = -1
+        while True:
+            while turns > len(draws):
+                draws += self._draws(chunk, own, len(draws))
+            at = draws.find(1, at + 1, turns)
+            if at < 0:
+                return ids
+            key += (at,)
+            ids, turns = self._under(key)
+
+    def encode(self, text: str, own: object = 0) -> np.ndarray:
+        """Ids of a text; own: what the draws are keyed by, besides the seed and the place of a chunk."""
         if not text:
             return np.empty(0, self.dtype)
-        while len(self.known) <= variant:
-            self.known.append({})
-            self.older.append({})
-        if sum(map(len, self.known)) > self.LIMIT:
-            self.known, self.older = [{} for _ in self.known], self.known
-        known, older = self.known[variant], self.older[variant]
-        parts = [_CHUNK((BLANK + p if k == 0 else p).replace(" ", BLANK)) for k, p in enumerate(text.split(BLANK))]
-        fresh = set().union(*parts).difference(known)
-        seen = {c: older[c] for c in fresh if c in older}
-        known.update(seen)
-        new = self._learn([c for c in fresh if c not in seen], variant)
-        known.update(new)
-        own = array(self.code, [self.byte[b] for b in BLANK.encode()]).tobytes()  # a mark of the text's own: its bytes
-        raw = own.join(b"".join(map(known.__getitem__, chunks)) for chunks in parts)
-        for c in new:
-            if len(c) > self.SHORT:
-                del known[c]
-        return np.frombuffer(raw, self.dtype)
+        if len(self.known) > self.LIMIT:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        chunks: list[str] = []
+        for k, p in enumerate(text.split(BLANK)):
+            if k:
+                chunks.append("")
+            chunks += _CHUNK((BLANK + p if k == 0 else p).replace(" ", BLANK))
+        fresh = {c for c in set(chunks) if len(c) <= self.SHORT and (c,) not in known}
+        known.update({(c,): older[c,] for c in fresh if (c,) in older})
+        known["",] = self.mark, 0
+        self._plain([c for c in fresh if (c,) not in known])
+        found = [known.get((c,), (b"", NEVER)) for c in chunks]
+        # A draw for each character; a chunk's are those at its place. Where none of the turns that it has without a skip is skipped, it is done.
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ends = lengths.cumsum()
+        starts = ends - lengths
+        draws = hashlib.shake_128(f"{self.seed}:{own}".encode()).digest(int(ends[-1])).translate(self.skipped)
+        skips = np.append(np.flatnonzero(np.frombuffer(draws, np.uint8)), NEVER)
+        first = skips[np.searchsorted(skips, starts)] - starts
+        turns = np.fromiter((x[1] for x in found), np.int64, len(found))
+        ids = [x[0] for x in found]
+        at = np.flatnonzero(first < turns)
+        for k, a, b in zip(at.tolist(), starts[at].tolist(), ends[at].tolist()):
+            ids[k] = self._drawn(chunks[k], f"{own}:{a}", draws[a:b])
+        for k in np.flatnonzero(lengths > self.SHORT).tolist():
+            ids[k] = ids[k] or self._drawn(chunks[k], f"{own}:{starts[k]}", draws[starts[k] : ends[k]])
+        return np.frombuffer(b"".join(ids), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose segmentation ids are; the blank put before it is taken off."""
@@ -194,11 +239,10 @@ def model(path: str, dropout: float, seed: int) -> Model:
 _RESULT = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean"
 
 
-def segmented(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, variants: int = 2, with_ids: bool = False) -> DataFrame:
+def segmented(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256 of the text they decode to, lossless (and ids).
 
-    variants: how many segmentations of a word the corpus holds; a document's is
-    a keyed hash of its doc_id. dropout is taken to the nearest 256th.
+    The draws are keyed by seed, doc_id and place. dropout is taken to the nearest 256th.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +251,7 @@ def segmented(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, v
             n, crc, digest, same, kept = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 text = text or ""
-                variant = 0 if doc_id is None else xxhash.xxh3_64_intdigest(str(doc_id).encode(), seed=seed) % variants
-                ids = m.encode(text, variant)
+                ids = m.encode(text, f"text {xxhash.xxh3_128_hexdigest(text.encode())}" if doc_id is None else doc_id)
                 raw = ids.astype("<u4").tobytes()
                 back = m.decode(ids)
                 n.append(len(ids))
