@@ -171,6 +171,22 @@ def test_surrogates(spark, monkeypatch):
     assert surrogates.replaced(empty(spark), b"k").count() == 0
 
 
+def test_adjacent_numbers():
+    phone, card, ip = "+1 (826) 555-4081", "4532 0151 1283 0366", "190.137.223.4"
+    values = {"phone": [phone, "826-555-4082", "(826) 555-4083"], "card": [card, "4532015112830366", "1234 5678 9012 3456"], "ip": [ip, "10.1.2.255"]}
+    for a in values:
+        for b in values:
+            for x in values[a]:
+                for y in values[b]:
+                    for gap in (" ", ", ", "\n"):
+                        text = f"call {x}{gap}{y} now"
+                        assert [(text[i:j], k) for i, j, k, _ in surrogates.detect(text)] == [(x, a), (y, b)], text
+    text = f"{phone} {ip} {card} {phone}"
+    assert [text[i:j] for i, j, _, _ in surrogates.detect(text)] == [phone, ip, card, phone]
+    assert [k for *_, k, _ in surrogates.detect("300.1.2.3 10.1.2.3")] == ["ip"]
+    assert not surrogates.detect("v1.2.3.4.5 and 12-34")
+
+
 def test_agreed_surrogates_are_distinct_and_not_real(spark):
     values = [("ip", f"10.0.{i // 250}.{i % 250}") for i in range(400)] + [("name_s", f"name{i}") for i in range(90)]
     got = surrogates.agreed(spark.createDataFrame(values, "kind string, value string"), b"k").collect()

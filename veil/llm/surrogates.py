@@ -7,6 +7,10 @@ of that gender and script. A replacement depends on a key and on the entity
 alone (digits of a phone however it is written, an address in any case, each
 part of a name), so all its mentions in all documents agree.
 
+Addresses, cards and phones are looked for one after another, each between what
+is found already, so entities that stand next to each other do not hide each
+other.
+
 Distinct entities of a shape go through a keyed permutation of all strings of
 that shape, so they cannot meet, but one may land on another real entity; names
 come from lists and may meet. So the distinct entities of the corpus are
@@ -55,16 +59,58 @@ _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
 _LOCAL = re.compile(r"[\w.%+-]")
-_DIGITS = re.compile(
-    r"(?<![\w.+])(?:"
-    r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ ]?\d{3,4}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
-    r"|(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3})"
-    r")(?![\w])"
-)
+#: Where numbers can be: all that the patterns below find lies inside one of these.
+_NUMBERS = re.compile(r"[+(\d][\d .()+-]{5,}\d")
+_IP = re.compile(r"(?<![\w.+])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?!\w)")
+_CARD = re.compile(r"(?<![\w.+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)")
+_OWN_CARD = re.compile(r"(?<!\d-)" + _CARD.pattern)
+_PHONE = re.compile(r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ ]?\d{3,4}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")
 _TITLED = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ ]((?:[^\W\d_a-zß-öø-ÿа-я][\w'-]+)(?: [^\W\d_a-zß-öø-ÿа-я][\w'-]+){0,2})")
 
 
+def _digits(number: str) -> str:
+    return "".join(c for c in number if c.isdigit())
+
+
+def _address(text: str, start: int, end: int) -> int:
+    return end if all(int(x) <= 255 for x in text[start:end].split(".")) else 0
+
+
+def _valid_card(text: str, start: int, end: int) -> int:
+    return end if _luhn(_digits(text[start:end])) == 0 else 0
+
+
+def _phone(text: str, start: int, end: int) -> int:
+    return end if 7 <= len(_digits(text[start:end])) <= 15 else 0
+
+
+def _phone_before(text: str, start: int, end: int) -> int:
+    """Where a phone ends whose match ran on into a further number: before a separator, so that it has 15 digits at most and doesn't part the next number."""
+    for stop in range(end, start, -1):
+        if _phone(text, start, stop) and not (text[stop : stop + 1] in (".", "-") and text[stop + 1 : stop + 2].isdigit()) and not text[stop : stop + 1].isdigit() and _PHONE.fullmatch(text, start, stop):
+            return stop
+    return 0
+
+
+#: In this order each looks between what is found already; the function gives where the entity ends, 0 if there is none.
+_PASSES = (("ip", _IP, _address), ("card", _OWN_CARD, _valid_card), ("phone", _PHONE, _phone), ("card", _OWN_CARD, lambda text, start, end: end), ("phone", _PHONE, _phone_before), ("card", _CARD, lambda text, start, end: end))
+
+
+def _numbers(text: str, start: int, stop: int) -> list[tuple[int, int, str, str]]:
+    """Addresses, cards and phones in a part of a text that holds no other characters than theirs."""
+    found: list[tuple[int, int, str, str]] = []
+    for kind, pattern, ending in _PASSES:
+        at = start
+        for limit, after in [*((x[0], x[1]) for x in sorted(found)), (stop + 2, 0)]:  # two more characters for what must not follow
+            while m := pattern.search(text, at, limit):
+                if end := ending(text, m.start(), m.end()):
+                    found.append((m.start(), end, kind, ""))
+                # A phone that ran on is left whole for the later pass, which finds where it ends.
+                at = end or (m.end() if ending is _phone else m.start() + 1)
+            at = after
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of entities, in order, without overlaps; the gender is "" but for names."""
     found = []
@@ -77,11 +123,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if m and start < at:
             found.append((start, m.end(), "email", ""))
         at = text.find("@", at + 1)
-    for m in _DIGITS.finditer(text):
-        kind, digits = m.lastgroup, sum(c.isdigit() for c in m.group())
-        if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")) or kind == "phone" and not 7 <= digits <= 15:
-            continue
-        found.append((m.start(), m.end(), kind, ""))
+    for m in _NUMBERS.finditer(text):
+        found += _numbers(text, m.start(), m.end())
     for m in _TITLED.finditer(text):
         found.append((m.start(2), m.end(2), "name", TITLES[m.group(1)]))
     out, last = [], 0
@@ -99,7 +142,7 @@ def parts(kind: str, gender: str, mention: str) -> list[tuple[str, str]]:
         return [(f"name_{'s' if i == len(words) - 1 else gender}", w.lower()) for i, w in enumerate(words)]
     if kind == "email":
         return [(kind, mention.lower())]
-    return [(kind, mention if kind == "ip" else "".join(c for c in mention if c.isdigit()))]
+    return [(kind, mention if kind == "ip" else _digits(mention))]
 
 
 def permuted(values: list[int], bases: list[int], key: bytes) -> list[int]:
