@@ -187,6 +187,27 @@ def test_adjacent_numbers():
     assert not surrogates.detect("v1.2.3.4.5 and 12-34")
 
 
+def test_names_agree(spark):
+    data = [
+        (1, "Dr. Anna Berg met Tom. Berg said so; ANNA BERG's bergs, Bergen and Anna."),
+        (2, "Frau Anna Weber, then Dr Anna Weber."),
+        (3, "Mr Smith's dog knows Mr Smith. Smith's."),
+        (4, "Berg is a hill here, anna@berg.example.com Dr Anna Berg"),
+        (5, "Mr Luca Weber or Mrs Luca Weber or Prof Luca Weber"),
+    ]
+    for broadcast in (100, -1):
+        got = {r.doc_id: r for r in surrogates.replaced(frame(spark, data), b"k", broadcast=broadcast).collect()}
+        given, last = re.match(r"Dr\. (\w+) (\S+) met", got[1].text).groups()
+        assert got[1].text == f"Dr. {given} {last} met Tom. {last} said so; {given.upper()} {last.upper()}'s bergs, Bergen and {given}."
+        assert given in surrogates.NAMES["latin", "f"] and got[1].n_name == 4
+        a, b = re.match(r"Frau (\w+ \w+), then Dr (\w+ \w+)\.$", got[2].text).groups()
+        assert a == b and a.split()[0] == given
+        a, b, c = re.match(r"Mr (\w+)'s dog knows Mr (\w+)\. (\w+)'s\.$", got[3].text).groups()
+        assert a == b == c != "Smith"
+        assert got[4].text.startswith(f"{last} is a hill here, ") and got[4].text.endswith(f"Dr {given} {last}") and got[4].n_email == 1
+        assert len(set(re.findall(r"(?:Mr|Mrs|Prof) (\w+ \w+)", got[5].text))) == 1
+
+
 def test_agreed_surrogates_are_distinct_and_not_real(spark):
     values = [("ip", f"10.0.{i // 250}.{i % 250}") for i in range(400)] + [("name_s", f"name{i}") for i in range(90)]
     got = surrogates.agreed(spark.createDataFrame(values, "kind string, value string"), b"k").collect()

@@ -2,8 +2,9 @@
 
 Detected entities are replaced by others of their type: each letter by a letter
 of its script and case, each digit by a digit, separators as they stand, with
-card check digits and address ranges kept valid; names after a title by names
-of that gender and script. A replacement depends on a key and on the entity
+card check digits and address ranges kept valid; names after a title, and the
+same names without one in the same document, by names of that gender and script
+(a given name's gender is what its titles in all documents tell). A replacement depends on a key and on the entity
 alone (digits of a phone however it is written, an address in any case, each
 part of a name), so all its mentions in all documents agree.
 
@@ -15,8 +16,8 @@ Distinct entities of a shape go through a keyed permutation of all strings of
 that shape, so they cannot meet, but one may land on another real entity; names
 come from lists and may meet. So the distinct entities of the corpus are
 checked against each other's surrogates, and those in conflict try again with
-another key until none is left. Only the entities that had to try again are
-remembered; the others are replaced where they stand.
+another key until none is left. Only the entities that had to try again, and
+given names whose gender another title tells, are remembered; the others are replaced where they stand.
 
 Cases: a null text stays null and has no entities; copies are replaced alike;
 an entity of no letters and digits to change is left; an empty table gives no
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 KINDS = ("email", "phone", "card", "ip", "name")
-#: Entities that had to try again, up to which they are broadcast (under 50 MB).
+#: Entities that had to try again or change gender, up to which they are broadcast (under 50 MB).
 BROADCAST_ENTITIES = 200_000
 
 #: Titles and the gender they tell.
@@ -66,6 +67,8 @@ _CARD = re.compile(r"(?<![\w.+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)")
 _OWN_CARD = re.compile(r"(?<!\d-)" + _CARD.pattern)
 _PHONE = re.compile(r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ ]?\d{3,4}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")
 _TITLED = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ ]((?:[^\W\d_a-zß-öø-ÿа-я][\w'-]+)(?: [^\W\d_a-zß-öø-ÿа-я][\w'-]+){0,2})")
+#: Where a name ends that has 's, or an apostrophe or dash of no word after it.
+_POSSESSIVE = re.compile(r"(?:'[sS]|['-]+)(?= |$)")
 
 
 def _digits(number: str) -> str:
@@ -126,7 +129,31 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for m in _NUMBERS.finditer(text):
         found += _numbers(text, m.start(), m.end())
     for m in _TITLED.finditer(text):
-        found.append((m.start(2), m.end(2), "name", TITLES[m.group(1)]))
+        own = _POSSESSIVE.search(m.group(2))
+        found.append((m.start(2), m.start(2) + own.start() if own else m.end(2), "name", TITLES[m.group(1)]))
+    out = _apart(found)
+    # Words of these names without a title: what each is (surname, or a given name by gender) goes into the gender, after "=".
+    known: dict[str, str] = {}
+    for a, b, kind, gender in out:
+        if kind == "name":
+            for sub, word in parts(kind, gender, text[a:b]):
+                if known.get(word, "n") == "n" or sub == "name_s":
+                    known[word] = sub[-1]
+    if not known:
+        return out
+    words = "|".join(re.escape(w) for k in sorted(known, key=lambda w: (-len(w), w)) for w in dict.fromkeys((k.title(), k.upper(), k[:1].upper() + k[1:], *_spelled(k, text, out))))
+    taken = iter([*out, (len(text), len(text), "", "")])
+    more, x = [], next(taken)
+    for m in re.finditer(rf"(?<!\w)(?:{words})(?!\w)(?: (?:{words})(?!\w)){{0,2}}", text):
+        while x[1] <= m.start():
+            x = next(taken, (len(text) + 1, len(text) + 2, "", ""))
+        if m.end() <= x[0]:
+            more.append((m.start(), m.end(), "name", "=" + "".join(known[w.lower()] for w in m.group().split(" "))))
+    return sorted(out + more)
+
+
+def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """In order, without those that overlap an earlier one."""
     out, last = [], 0
     for x in sorted(found):
         if x[0] >= last:
@@ -135,11 +162,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _spelled(word: str, text: str, found: list[tuple[int, int, str, str]]) -> list[str]:
+    """How found names write a word."""
+    return [w for a, b, kind, _ in found if kind == "name" for w in text[a:b].split(" ") if w.lower() == word]
+
+
 def parts(kind: str, gender: str, mention: str) -> list[tuple[str, str]]:
     """(sub-kind, normal form) of what a mention names; a name has one for each of its words, the last a surname if it has several."""
     if kind == "name":
         words = mention.split(" ")
-        return [(f"name_{'s' if i == len(words) - 1 else gender}", w.lower()) for i, w in enumerate(words)]
+        kinds = gender[1:] if gender.startswith("=") else gender * (len(words) - 1) + "s"
+        return [(f"name_{k}", w.lower()) for k, w in zip(kinds, words)]
     if kind == "email":
         return [(kind, mention.lower())]
     return [(kind, mention if kind == "ip" else _digits(mention))]
@@ -247,10 +280,10 @@ def _replace(key: bytes, shared):
             out, counts = [], []
             own = batch.column("_retried").to_pylist() if "_retried" in batch.schema.names else [None] * batch.num_rows
             for text, more in zip(batch.column("text").to_pylist(), own):
-                tries = {(r["kind"], r["value"]): r["attempt"] for r in more} if more else retried
+                tries = {(r["kind"], r["value"]): (r["to"], r["attempt"]) for r in more} if more else retried
                 n, at, pieces = dict.fromkeys(KINDS, 0), 0, []
                 for a, b, kind, gender in detect(text) if text else ():
-                    replaced = [surrogate(k, v, key, tries.get((k, v), 0)) for k, v in parts(kind, gender, text[a:b])]
+                    replaced = [surrogate(to, v, key, n_try) for k, v in parts(kind, gender, text[a:b]) for to, n_try in (tries.get((k, v), (k, 0)),)]
                     pieces += [text[at:a], written(kind, text[a:b], replaced)]
                     at, n[kind] = b, n[kind] + 1
                 out.append("".join([*pieces, text[at:]]) if pieces else text)
@@ -268,17 +301,29 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["_key", "kind", "value"])
 
 
+def one_gender(entities: DataFrame) -> DataFrame:
+    """kind, value, to: the kind of each given name by all its mentions, the gender that titles tell; that of Dr if they tell none or both."""
+    given = entities.filter("kind IN ('name_f', 'name_m', 'name_n')")
+    told = given.groupBy("value").agg(F.max(F.col("kind") == "name_f").alias("f"), F.max(F.col("kind") == "name_m").alias("m"))
+    to = told.select("value", F.when(F.col("f") & ~F.col("m"), "name_f").when(F.col("m") & ~F.col("f"), "name_m").otherwise("name_n").alias("to"))
+    return given.join(to, "value").select("kind", "value", "to")
+
+
 def replaced(docs: DataFrame, key: bytes, broadcast: int = BROADCAST_ENTITIES) -> DataFrame:
     """doc_id, text with surrogates, and how many entities of each kind it had."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     entities = staged(docs.select("text").mapInArrow(_entities, "kind string, value string").distinct(), "entities")
-    retried = staged(agreed(entities, key).filter("attempt > 0").select("kind", "value", "attempt"), "retried")
+    genders = staged(one_gender(entities), "genders")
+    as_found = entities.join(genders, ["kind", "value"], "left").select("kind", "value", F.coalesce("to", "kind").alias("to"))
+    attempts = agreed(as_found.select(F.col("to").alias("kind"), "value").distinct(), key).filter("attempt > 0").select(F.col("kind").alias("to"), "value", "attempt")
+    retried = as_found.join(attempts, ["to", "value"], "left").select("kind", "value", "to", F.coalesce("attempt", F.lit(0)).alias("attempt")).filter("attempt > 0 OR kind <> to")
+    retried = staged(retried, "retried")
     if retried.count() <= broadcast:
-        table = {(r["kind"], r["value"]): r["attempt"] for r in retried.collect()}
+        table = {(r["kind"], r["value"]): (r["to"], r["attempt"]) for r in retried.collect()}
         return docs.mapInArrow(_replace(key, spark.sparkContext.broadcast(table)), _RESULT)
     # Too many to broadcast: each document gets its own, by a hash of its text, with which equal texts agree.
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     mentions = keyed.select("_key", "text").mapInArrow(_mentions, "_key long, kind string, value string").distinct()
-    own = mentions.join(retried, ["kind", "value"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_retried"))
+    own = mentions.join(retried, ["kind", "value"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "value", "to", "attempt")).alias("_retried"))
     return keyed.join(own, "_key", "left").select("doc_id", "text", "_retried").mapInArrow(_replace(key, None), _RESULT)
