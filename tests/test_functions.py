@@ -76,6 +76,16 @@ def test_gazetteers(spark):
     assert [r.name for r in gazetteer.ngrams(docs, names).collect()] == ["Jane Doe"]
 
 
+def test_names_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "(José Núñez) met JürgenMüller, Jean-Claude O'Neil and J. R. R. Tolkien; Anna Maria von der Heide came")], "doc_id long, text string")
+    listed = ["José Núñez", "Jürgen Müller", "Jean-Claude O'Neil", "J. R. R. Tolkien", "Anna Maria von der Heide"]
+    names = spark.createDataFrame([(n,) for n in listed], "value string")
+    assert sorted(r.name for r in gazetteer.runs(docs, names).collect()) == sorted(listed)
+    assert [(r.n, r.name) for r in gazetteer.ngrams(docs, names).collect() if r.n > 2] == [(5, "Anna Maria von der Heide")]
+    none = spark.createDataFrame([], "value string")
+    assert gazetteer.runs(docs, none).count() == gazetteer.ngrams(docs, none).count() == 0
+
+
 def test_snippets_and_paths(spark):
     df = spark.createDataFrame([("x" * 50 + " \n mid " + "y" * 60, "in/A.PDF")], "text string, path string")
     r = df.select(t.snippet(F.col("text"), F.lit(53), F.lit(56), 5).alias("s"), t.redacted_path(F.col("path")).alias("p"), t.occurrences(F.col("text"), F.lit("yy")).alias("n")).first()

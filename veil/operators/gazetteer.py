@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cleaned
 
 
+#: Runs of ASCII letters or digits, and single other marks.
+RUNS = r"[0-9a-z]+|[^\s0-9a-z]"
+
+
+def lengths(names: DataFrame, each: Column) -> list[int]:
+    """The numbers that `each` (an array) gives over a list: a small set, however long the list is."""
+    return sorted(r["n"] for r in names.select(F.explode(each).alias("n")).distinct().collect())
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, i, token: the cleaned tokens between blanks, blank ones too (they part neighbours)."""
     return docs.select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r]+")).alias("i", "_t")).select("doc_id", "i", cleaned(F.col("_t")).alias("token"))
@@ -19,26 +28,32 @@ def single(docs: DataFrame, names: DataFrame) -> DataFrame:
     return tokens(docs).filter("token <> ''").join(keys, "token").select("doc_id", "i", "name")
 
 
-def ngrams(docs: DataFrame, names: DataFrame, most: int = 4) -> DataFrame:
-    """doc_id, i, n, name: n neighbouring tokens (2 to most) that make up a name."""
+def ngrams(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, i, n, name: n neighbouring tokens (2 or more, as many as names of the list have) that make up a name."""
     keys = names.select(F.lower("value").alias("gram"), F.col("value").alias("name")).filter("contains(gram, ' ')").dropDuplicates(["gram"])
+    counts = lengths(keys, F.array(F.size(F.split("gram", " "))))
     lists = docs.select("doc_id", F.transform(F.split("text", r"[ \t\n\r]+"), cleaned).alias("_ts"))
-    starts = lists.select("doc_id", "_ts", F.explode(F.sequence(F.lit(2), F.lit(most))).alias("n")).filter("size(_ts) >= n")
+    starts = lists.select("doc_id", "_ts", F.explode(F.array(*map(F.lit, counts)).cast("array<int>")).alias("n")).filter("size(_ts) >= n")
     grams = starts.select("doc_id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_ts") - F.col("n") + 1), lambda i: F.slice("_ts", i, F.col("n")))).alias("i", "_g"))
     solid = grams.filter(~F.array_contains("_g", "")).select("doc_id", "i", "n", F.array_join("_g", " ").alias("gram"))
     return solid.join(keys, "gram").select("doc_id", "i", "n", "name")
 
 
-def runs(docs: DataFrame, names: DataFrame, most: int = 4) -> DataFrame:
+def runs(docs: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, i, m, name: names by runs of letters and digits, however they are glued to punctuation.
 
     A text is cut into runs of ASCII letters or digits and single other marks;
     m neighbouring ones joined without blanks are looked up among names without
-    blanks. A bounded name starts and ends at the ends of runs, so none is lost.
+    blanks, for every m from 1 to 4 and those that a name of the list has, with
+    its blanks or without. A bounded name starts and ends at the ends of runs, so
+    none is lost.
     """
+    size = lambda v: F.size(F.regexp_extract_all(F.lower(v), F.lit(RUNS), F.lit(0)))
+    glued = F.regexp_replace("value", r"\s+", "")
+    counts = sorted({1, 2, 3, 4}.union(lengths(names.filter(size(glued) > 0), F.sequence(size(glued), size(F.col("value"))))))
     keys = names.select(F.lower(F.regexp_replace("value", r"\s+", "")).alias("key"), F.col("value").alias("name")).dropDuplicates(["key"])
-    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[0-9a-z]+|[^\s0-9a-z]"), F.lit(0))).alias("i", "t"))
+    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(RUNS), F.lit(0))).alias("i", "t"))
     order = Window.partitionBy("doc_id").orderBy("i")
-    ahead = cut.select("doc_id", "i", F.array(F.col("t"), *[F.lead("t", k).over(order) for k in range(1, most)]).alias("ts"))
-    each = ahead.select("doc_id", "i", "ts", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("m")).filter(F.element_at("ts", F.col("m")).isNotNull())
+    ahead = cut.select("doc_id", "i", F.array(F.col("t"), *[F.lead("t", k).over(order) for k in range(1, counts[-1])]).alias("ts"))
+    each = ahead.select("doc_id", "i", "ts", F.explode(F.array(*map(F.lit, counts))).alias("m")).filter(F.element_at("ts", F.col("m")).isNotNull())
     return each.select("doc_id", "i", "m", F.array_join(F.slice("ts", F.lit(1), F.col("m")), "").alias("key")).join(keys, "key").select("doc_id", "i", "m", "name")
