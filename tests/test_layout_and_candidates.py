@@ -1,7 +1,7 @@
 import pytest
 
 from veil.operators import boilerplate, candidates, entities, gate, layout, selections
-from veil.plans import redact
+from veil.plans import queries, redact
 from veil.sources import lists
 from veil.streaming.stream import candidate_stream, mask_stream
 
@@ -105,6 +105,13 @@ def test_terms_are_literal(spark):
     assert sorted(r.matched for r in selections.global_terms(docs, terms).collect()) == ["A.C", "\\E", "a.c"]
 
 
+def test_gate_sees_every_document(spark, tmp_path):
+    texts = [(i, f"plain line\nwrite to user{i}@real.example.org\ncall 020 7946 00{i:02d}") for i in range(10, 14)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["gate_masked"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.rule) for r in found} == {(i, rule) for i, _ in texts for rule in ("email", "phone")}
+
+
 def test_gate(spark):
     now = spark.createDataFrame([(1, "old a@real.example.org\nnew b@real.example.org. and c@example.com\n+353 1 555 0142 or 020 7946 0018")], "doc_id long, text string")
     before = spark.createDataFrame([(1, "old a@real.example.org")], "doc_id long, text string")

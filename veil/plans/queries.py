@@ -473,6 +473,19 @@ def gate_content(spark, sf_dir):
     return gate.content(gate.new_lines(docs, docs.filter("doc_id % 2 = 0")))
 
 
+@query(rf"""WITH cut AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
+old AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{t.EMAIL}', 'REDACTED', 'g'), '{t.PHONE}', 'REDACTED', 'g'), '{LINK}', 'REDACTED', 'g'), chr(10))) AS line FROM documents),
+fresh AS (SELECT * FROM cut WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = cut.doc_id AND old.line = cut.line)),
+a AS (SELECT doc_id, 'email' AS rule, rtrim(unnest(regexp_extract_all(line, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.-]+')), '.') AS value FROM fresh),
+n AS (SELECT doc_id, 'phone' AS rule, unnest(regexp_extract_all(line, '\+?[0-9][0-9\-. ()]{{6,}}[0-9]')) AS value FROM fresh), d AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS k FROM n)
+SELECT DISTINCT doc_id, rule, value FROM a WHERE lower(string_split(value, '@')[-1]) <> 'example.com'
+UNION SELECT doc_id, rule, value FROM d WHERE k BETWEEN 7 AND 15 AND NOT regexp_matches(value, '^(19|20)[0-9]{{2}}-[0-9]+$') AND (starts_with(value, '+') OR regexp_matches(value, '[-. ()]') OR k >= 9)""")
+def gate_masked(spark, sf_dir):
+    """The gate over all documents: the earlier state is each one's masked text, so new are the lines that masking changes."""
+    docs = docs_of(spark, sf_dir)
+    return gate.content(gate.new_lines(docs, docs.withColumn("text", t.masked(F.col("text"), tuple(RULES.values())))))
+
+
 @query("""SELECT url AS path, CASE WHEN ends_with(lower(url), '0') AND NOT starts_with(url, 'https://site0') THEN 'outside' WHEN regexp_matches(url, '7[0-9]*$') THEN 'seven' WHEN regexp_matches(url, '(^|/)3') THEN 'three' END AS reason FROM pages
 WHERE (ends_with(lower(url), '0') AND NOT starts_with(url, 'https://site0')) OR regexp_matches(url, '7[0-9]*$') OR regexp_matches(url, '(^|/)3')""")
 def gate_paths(spark, sf_dir):
