@@ -94,3 +94,37 @@ def quality(data):
         n = len(w)
         out.append((i, n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), n < 50 or 100 * len(hit) > 50 * n))
     return sorted(out, key=str)
+
+
+def merge_dropout(text, model, own):
+    """Ids of a text: an agenda as a list, looked over again for each turn; the model gives scores and draws only."""
+    blank, key = "▁", model.key(own)
+    text = " " + text if text else ""
+    inside = {c for p in model.id_of for c in p}
+    ids, at = [], 0
+    while at < len(text):
+        c = text[at]
+        if c == blank or (c != " " and c not in inside):
+            ids += [model.byte[b] for b in c.encode()]
+            at += 1
+            continue
+        stop = at
+        while stop < len(text) and text[stop] == " ":
+            stop += 1
+        while stop < len(text) and text[stop] not in (" ", blank) and text[stop] in inside:
+            stop += 1
+        parts, dropped, turn = list(text[at:stop].replace(" ", blank)), set(), 0
+        while True:
+            places = [sum(map(len, parts[:i])) for i in range(len(parts))]
+            open_ = [(model.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.rank and (places[i], len(a), len(b)) not in dropped]
+            if not open_:
+                break
+            _, i = min(open_)
+            if model.skips(key, at, turn):
+                dropped.add((places[i], len(parts[i]), len(parts[i + 1])))
+            else:
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            turn += 1
+        ids += [model.id_of[p] for p in parts]
+        at = stop
+    return ids
