@@ -8,35 +8,42 @@ byte up in a 256 x 4 table of lengths, and gathers the bytes with numpy.
 
 Format: a table of blocks in the order (part, block), written by Spark, and a
 one-row table with the ids by rank. A block holds consecutive documents in
-ascending order of doc_id: its version, the ids before it in its part, their
-doc_ids and lengths (little-endian 64- and 32-bit integers), controls and data.
-A part covers a range of doc_ids; part numbers ascend with the doc_ids.
+ascending order of doc_id: its version, the ids before it in its part, how many
+of its first documents have no doc_id, the other doc_ids and all lengths
+(little-endian 64- and 32-bit integers), and the controls and data of the ids of
+all its documents in a row. A part covers a range of rows in that order; part
+numbers ascend with it.
 
 Cases: a null text is empty and is its end id alone; documents with equal
-doc_ids are neighbours, ordered by their ids' checksum; null doc_ids come
-first; an empty table writes no blocks; other columns are ignored.
+doc_ids are neighbours, ordered by their ids' checksum (and may be in several
+parts); null doc_ids come first; an empty table writes no blocks; other columns
+are ignored; runs of white space or of one letter of any length are taken whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import BROADCAST_ROWS, shared_dir, with_offsets
 
-VERSION = 1
+VERSION = 2
 #: Ids in a block, about; a block closes after the document that reaches it.
 BLOCK_IDS = 1 << 18
-#: doc_ids in one part, about.
-PART_IDS = 1 << 24
+#: Ids in one part, about: 128 MB.
+PART_IDS = 1 << 26
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
@@ -64,104 +71,124 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # --- encoding texts ----------------------------------------------------------
 
-#: ASCII marks that may follow a word; < could begin an added token, and ' a clipped ending.
-MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: What the quick way holds for: these steps before the merges, as the tokenizer's file has them (fixed values).
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Letters from the ranges for Latin that composing leaves alone and that lower case maps to one letter.
+LATIN = "ªµºÀ-ÖØ-öø-įı-ɏ"
+_AFTER = r"|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+"
+#: Tokens of a lower-case text of ASCII, or of ASCII and those letters, as the tokenizer splits it.
+PLAIN_TOKENS, TOKENS = re.compile("[a-z]+" + _AFTER).findall, re.compile(f"[a-z{LATIN}]+" + _AFTER).findall
+#: Anything else, or what could begin an added token, leaves a chunk to the library.
+ODD = re.compile(rf"[^\t-\r -~{LATIN}]|<\|").search
+USUAL = bytes([*range(9, 14), *range(32, 127)])
+BLANKS = re.compile(r"[\t-\r ]+").split
+#: The byte-level alphabet: printable bytes are themselves.
+BYTES = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in BYTES)}  # the others from 256 on
+
+
+class Words(dict):
+    """Ids (as bytes) of tokens, asked of the library when first seen, and kept in two generations."""
+
+    LIMIT = 400_000  # tokens in each generation, about 160 MB together
+    LONGEST = 64  # characters of a token that is kept
+
+    def __init__(self, ids: Callable[[str], Iterable[int]], code: str):
+        super().__init__()
+        self.ids, self.code = ids, code
+        self.older: dict[str, bytes] = {}
 
+    def __missing__(self, token: str) -> bytes:
+        if len(token) > self.LONGEST:
+            return array(self.code, self.ids(token)).tobytes()
+        found = self.older.get(token) or array(self.code, self.ids(token)).tobytes()
+        self[token] = found
+        return found
 
-class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, one call for each distinct chunk between white space.
+    def turn_over(self) -> None:
+        if len(self) > self.LIMIT:
+            self.older = dict(self)
+            self.clear()
 
-    For a tokenizer whose normalizer, pre-tokenizer and added tokens never look
-    across a blank, a text's ids are those of its chunks in order. Here it also
-    parts letters from other marks, drops case and ends every word in an id of
-    its own kind, so words new to a batch are encoded in one call.
-    """
 
-    LIMIT = 300_000  # chunks in each of two generations, and half the words: about 150 MB together
-    LONGEST = 64
+class Encoder:
+    """Ids of whole texts by the tokenizers library.
+
+    For a tokenizer that only composes, squeezes white space, drops case and
+    splits as given above, a text's ids are those of its tokens in order, so
+    the library's model is asked once for each distinct token. Text with other
+    letters than Latin ones goes to the library a chunk between blanks at a
+    time, and for any other tokenizer file whole texts do.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        parts = json.loads(self.tokenizer.to_str())
+        split, level = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
+        self.quick = (
+            (parts.get("normalizer") or {}).get("normalizers") == NORMALIZER
+            and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+            and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+            and parts["model"]["type"] == "BPE"
+            and not parts["model"].get("dropout")
+            and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        )
+        tokenize = self.tokenizer.model.tokenize
+        self.words = Words(lambda t: [x.id for x in tokenize(t if t.isascii() else "".join(map(BYTES.__getitem__, t.encode())))], self.code)
+        self.chunks = Words(self._whole, self.code)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> bytes:
+        """A text's ids as bytes of the dtype."""
+        if not self.quick:
+            return array(self.code, self._whole(text)).tobytes()
+        get = self.words.__getitem__
+        unusual = text.encode().translate(None, USUAL)
+        if not unusual and "<|" not in text:
+            out = b"".join(map(get, PLAIN_TOKENS(text.lower())))
+        elif not ODD(unusual.decode()) and "<|" not in text:
+            out = b"".join(map(get, TOKENS(text.lower())))
+        else:
+            out = b"".join([self.chunks[c] if ODD(c) else b"".join(map(get, TOKENS(c.lower()))) for c in BLANKS(text)])
+        self.words.turn_over()
+        self.chunks.turn_over()
+        return out
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words of Latin letters alone, each of which ends at the first id that ends a word."""
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = self._ids(" ".join(some))
-            raw, ends = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            assert len(ends) == len(some), "an id that ends a word for each word"
-            yield from zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())))
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Letters and the marks after them are always parted, and case is dropped, so most chunks are words seen before."""
-        found = {c: self.older[c] for c in chunks if c in self.older}
-        split: list[tuple[str, str, str]] = []
-        for c in chunks.difference(found):
-            word = c.rstrip(MARKS).lower()
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250") and len(word) <= self.LONGEST:
-                split.append((c, word, c[len(word) :]))
-            else:
-                found[c] = self._ids(c).tobytes()
-        if len(self.words) > 2 * self.LIMIT:
-            self.words.clear()
-        self.words.update(self._words(list({w for _, w, _ in split}.difference(self.words))))
-        marks = {m: self._ids(m).tobytes() for m in {m for _, _, m in split}}
-        found.update((c, self.words[w] + marks[m]) for c, w, m in split)
-        return found
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 512):
-            split = [blank_split(t) for t in texts[at : at + 512]]
-            if len(self.known) > self.LIMIT:
-                self.older, self.known = self.known, {}
-            self.known.update(self._learn(set().union(*split).difference(self.known)))
-            get = self.known.__getitem__
-            for chunks in split:
-                yield np.frombuffer(b"".join(map(get, chunks)), self.dtype)
-
-
-def blank_split(text: str) -> list[str]:
-    """Split at ASCII blanks only; other white space is left to the tokenizer."""
-    for c in "\n\t\r\v\f":
-        if c in text:
-            text = text.replace(c, " ")
-    return list(filter(None, text.split(" ")))
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-@cache
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+_IDS = "doc_id long, n long, crc long, tie long, ids binary, counts binary"
 
 
 def _encode(path: str, end_id: int):
-    """(doc_id, ids) of each document, and at the end of a task its counts of ids, under a null and `counts`."""
+    """Each document's ids with what orders equal doc_ids, and at the end of a task its counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         counts = np.zeros(max(encode.tokenizer.get_vocab_size(), end_id + 1), np.int64)
-        names = ["doc_id", "ids", "counts"]
-        end = np.array([end_id], encode.dtype)
+        names = [c.split()[0] for c in _IDS.split(", ")]
+        end = np.array([end_id], encode.dtype).tobytes()
+        tie = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
-            for ids in encode([t or "" for t in batch.column("text").to_pylist()]):
-                ids = np.append(ids, end)
-                counts += np.bincount(ids, minlength=len(counts))
-                rows.append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names)
+            raw = [encode(t or "") + end for t in batch.column("text").to_pylist()]
+            counts += np.bincount(np.frombuffer(b"".join(raw), encode.dtype), minlength=len(counts))
+            n = pa.array([len(r) // encode.dtype.itemsize for r in raw], pa.int64())
+            ties = pa.array(range(tie, tie + len(raw)), pa.int64())
+            tie += len(raw)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(map(zlib.crc32, raw), pa.int64()), ties, pa.array(raw, pa.binary()), pa.nulls(len(raw), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names)
 
     return run
 
@@ -179,51 +206,32 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- writing -----------------------------------------------------------------
 
-
-def _code(shared, dtype: np.dtype):
-    """Each document's ranks as control and data, with what orders equal doc_ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_of = shared.value
-        for batch in batches:
-            n, crc, control, data = [], [], [], []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, dtype)
-                n.append(len(ids))
-                crc.append(zlib.crc32(raw))
-                c, d = encode_ranks(rank_of[ids])
-                control.append(c)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n", "crc", "control", "data"])
-
-    return run
+_BLOCK = "part int, block int, version int, first long, n_null int, doc_ids binary, lengths binary, control binary, data binary"
 
 
-_BLOCK = "part int, block int, version int, first long, n_docs int, doc_ids binary, lengths binary, control binary, data binary"
+def _pack(shared, dtype: np.dtype):
+    """Blocks of the sorted documents of a part."""
 
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the sorted documents of a part. Within a block each document's controls start on a byte of their own."""
-    part, block, first, rows, size, before = None, 0, 0, [], 0, 0
-
-    def closed() -> pa.RecordBatch:
-        ids = np.array([-(1 << 63) if r[0] is None else r[0] for r in rows], "<i8").tobytes()
-        lengths = np.array([r[1] for r in rows], "<u4").tobytes()
-        values = [part, block, VERSION, before, len(rows), ids, lengths, b"".join(r[2] for r in rows), b"".join(r[3] for r in rows)]
+    def closed(part: int, block: int, before: int, rows: list[tuple]) -> pa.RecordBatch:
+        known = [r[0] for r in rows if r[0] is not None]
+        control, data = encode_ranks(shared.value[np.frombuffer(b"".join([r[2] for r in rows]), dtype)])
+        values = [part, block, VERSION, before, len(rows) - len(known), np.array(known, "<i8").tobytes(), np.array([r[1] for r in rows], "<u4").tobytes(), control, data]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
 
-    for batch in batches:
-        for own, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "control", "data"))):
-            if rows and (own != part or size >= BLOCK_IDS):
-                yield closed()
-                block, before, rows, size = block + 1, before + size, [], 0
-            if own != part:
-                part, block, before = own, 0, 0
-            rows.append(row)
-            size += row[1]
-    if rows:
-        yield closed()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, before, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids"))):
+                if size >= BLOCK_IDS:
+                    yield closed(part, block, before, rows)
+                    block, before, rows, size = block + 1, before + size, [], 0
+                rows.append(row)
+                size += row[1]
+        if rows:
+            yield closed(part, block, before, rows)
+
+    return run
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -232,22 +240,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     dtype = encoder(tokenizer).dtype
     # Encoding is the dear part, so ids are kept once; counts come with them, a row for each task.
     ids_path = f"{path}/ids"
-    docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(ids_path)
-    rows = spark.read.schema("doc_id long, ids binary, counts binary").parquet(ids_path)
+    docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(_encode(tokenizer, end_id), _IDS).write.option("compression", "zstd").parquet(ids_path)
+    rows = spark.read.schema(_IDS).parquet(ids_path)
     counts = rows.filter("counts IS NOT NULL").select("counts").mapInArrow(_sum_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     by_rank = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     total = sum(r["n"] for r in counts)
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame([(VERSION, np.array(by_rank, "<u4").tobytes())], "version int, ids binary").coalesce(1).write.parquet(f"{path}/ranks")
-    # Ranges of doc_ids of about equal length; more rows than parts is all that their bounds need.
-    kept = rows.filter("ids IS NOT NULL")
+    # Parts are ranges of rows; the place where a row was encoded parts even equal rows.
     parts = max(1, -(-total // PART_IDS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(kept.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: F.coalesce(b <= F.col("doc_id"), F.lit(False)))), F.lit(0)) if bounds else F.lit(0)
-    coded = kept.select("doc_id", "ids").mapInArrow(_code(spark.sparkContext.broadcast(rank_of), dtype), "doc_id long, n long, crc long, control binary, data binary")
-    dealt = coded.withColumn("part", part).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "crc", "n")
-    dealt.select("part", "doc_id", "n", "control", "data").mapInArrow(_pack, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    order = ("doc_id", "crc", "n", "tie")
+    dealt = rows.filter("ids IS NOT NULL").select(*order, "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "n", "ids").mapInArrow(_pack(spark.sparkContext.broadcast(rank_of), dtype), _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 # --- reading -----------------------------------------------------------------
@@ -259,25 +264,12 @@ def _decode(shared):
         for batch in batches:
             for b in batch.to_pylist():
                 lengths = np.frombuffer(b["lengths"], "<u4").astype(np.int64)
-                doc_ids = np.frombuffer(b["doc_ids"], "<i8")
-                ends = np.cumsum(-(-lengths // 4))  # control bytes, document by document
-                size = LENGTHS[np.frombuffer(b["control"], np.uint8)]
-                at, rows = 0, []
-                for n, a, z in zip(lengths.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                    used = int(size[a:z].reshape(-1)[:n].sum())
-                    rows.append(ids_by_rank[decode_ranks(b["control"][a:z], b["data"][at : at + used], n)].tobytes())
-                    at += used
-                inside = b["first"] + np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(rows), b["part"], np.int32)),
-                        pa.array([None if i == -(1 << 63) else i for i in doc_ids.tolist()], pa.int64()),
-                        pa.array(inside),
-                        pa.array(lengths),
-                        pa.array(rows, pa.binary()),
-                    ],
-                    ["part", "doc_id", "inside", "n_tokens", "ids"],
-                )
+                ends = np.cumsum(lengths)
+                raw = ids_by_rank[decode_ranks(b["control"], b["data"], int(ends[-1]))].tobytes()
+                cuts = (4 * ends).tolist()
+                ids = [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts)]
+                doc_ids = pa.array([None] * b["n_null"] + np.frombuffer(b["doc_ids"], "<i8").tolist(), pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(b["start"] + ends - lengths), pa.array(lengths), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
@@ -287,18 +279,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     ranks = spark.read.schema("version int, ids binary").parquet(f"{path}/ranks").collect()
     table = np.frombuffer(b"".join(bytes(r["ids"]) for r in ranks), "<u4")
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
-    docs = blocks.mapInArrow(_decode(spark.sparkContext.broadcast(table)), "part int, doc_id long, inside long, n_tokens long, ids binary")
-    # A part's length: where its last block starts, and that block's ids. One small row for each part.
-    sizes = blocks.select("part", "first", "lengths").mapInArrow(_sizes, "part int, stop long").groupBy("part").agg(F.max("stop").alias("stop")).collect()
-    base, bases = 0, {}
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        bases[r["part"]] = base
-        base += r["stop"]
-    starts = F.element_at(F.array(*[F.lit(bases.get(k, 0)).cast("bigint") for k in range(max(bases, default=0) + 1)]), F.col("part") + 1)
-    return docs.select("doc_id", (starts + F.col("inside")).alias("start"), "n_tokens", "ids")
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A part's length: where its last block starts, and that block's ids.
+    stops = blocks.select("part", "first", "lengths").mapInArrow(_stops, "part int, stop long").groupBy("part").agg(F.max("stop").alias("stop"))
+    bases = with_offsets(stops, "part", 1024, {"base": "stop"}).select("part", "base")
+    few = blocks.select("part").distinct().count() <= BROADCAST_ROWS
+    placed = blocks.join(F.broadcast(bases) if few else bases, "part").withColumn("start", F.expr("base + first"))
+    return placed.select("start", "n_null", "doc_ids", "lengths", "control", "data").mapInArrow(_decode(spark.sparkContext.broadcast(table)), "doc_id long, start long, n_tokens long, ids binary")
+
+
+def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         stops = [f + int(np.frombuffer(raw, "<u4").sum()) for f, raw in zip(batch.column("first").to_pylist(), batch.column("lengths").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(stops, pa.int64())], ["part", "stop"])
