@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, every other byte stays.
@@ -34,6 +34,11 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a table as one, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a batch's texts; b"" for null."""
     return [b or b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -7,14 +7,16 @@ only if all of its shingles do, so the prefix that must be joined is its single
 rarest shingle. A joined pair fixes where the window would lie; it must fit
 into the document (length and position), and then its words are compared.
 
-Windows are broadcast in blocks of at most `block` windows; each block is one
-pass over the documents, and with several blocks what is known so far is staged
-between them. Windows with a shingle that no document has are dropped.
+Windows are broadcast in blocks of about `block` windows and at most about
+BLOCK_BYTES of text; each block is one pass over the documents, and with several
+blocks what is known so far is staged between them. Windows with a shingle that
+no document has are dropped.
 
 Cases: a null or wordless text has no words and no hits; a null or wordless
 item has no windows; a null item_id is written as "null"; repeated documents
 and items each count, an item_id once; empty tables give no hits or no rows;
-other columns are ignored.
+other columns are ignored; item_ids of any characters are kept apart, whatever the
+number of blocks.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, staged, texts, word_hashes
+from .common import Windows, staged, texts, whole, word_hashes
 
 #: Runs of a-z, 0-9 and everything outside ASCII are words, after A-Z is lower-cased; all other bytes part them.
 WORDS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b > 127 else 32 for b in range(256))
 
 
+#: Text of the windows of a block, about.
+BLOCK_BYTES = 64 << 20
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
@@ -113,11 +119,11 @@ def _apply(shared, first: bool, last: bool):
         block, roll = shared.value if shared else None, Windows(SEED)
         for batch in batches:
             n, masks, items = [], [], []
-            known = [(b"", "")] * batch.num_rows if first else list(zip(batch.column("_mask").to_pylist(), batch.column("_items").to_pylist()))
+            known = [(b"", ())] * batch.num_rows if first else list(zip(batch.column("_mask").to_pylist(), batch.column("_items").to_pylist()))
             for text, (bits, names) in zip(texts(batch), known):
                 words = words_of(text)
                 mask = np.zeros(len(words), bool) if first else np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
-                named = set(filter(None, names.split("\n")))
+                named = set(names)
                 if block and words:
                     for j, start in block.hits(words, word_hashes(words), roll):
                         mask[start : start + len(block.windows[j])] = True
@@ -137,7 +143,7 @@ def _apply(shared, first: bool, last: bool):
                     "contaminated": pa.array([h > 0 for h in hit], pa.bool_()),
                 }
             else:
-                columns |= {"_mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), "_items": pa.array(["\n".join(x) for x in items], pa.string())}
+                columns |= {"_mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -151,7 +157,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     windows = staged(items.mapInArrow(_item_windows(window), "item_id string, words binary").distinct(), "windows")
-    blocks = -(-windows.count() // block)
+    n, size = windows.agg(F.count("*"), F.sum(F.length("words") + F.length("item_id"))).first()
+    blocks = max(-(-n // block), -(-(size or 0) // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("words", "item_id"), F.lit(max(1, blocks)))
     state = docs.select("doc_id", "text", *([carry] if carry else []))
     head = [f"{f.name} {f.dataType.simpleString()}" for f in state.schema]
@@ -165,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         counted = docs.select("text").mapInArrow(_counts(keys), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
         made.order({(r["k"], r["shingle"] & (1 << 64) - 1): r["n"] for r in counted.collect()})  # no more rows than the block has shingles
         last = b == blocks - 1
-        schema = ", ".join([h for h in head if not (last and h.startswith("text "))] + [RESULT if last else "_mask binary, _items string"])
+        schema = ", ".join([h for h in head if not (last and h.startswith("text "))] + [RESULT if last else "_mask binary, _items array<string>"])
         state = state.mapInArrow(_apply(spark.sparkContext.broadcast(made), b == 0, last), schema)
         if not last:
             state = staged(state, f"block{b}")
@@ -176,5 +183,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
+    whole = docs.select("doc_id", "text", whole(docs).alias("_doc"))
     return contamination(whole, benchmark, carry="_doc", **options).filter("NOT contaminated").select("_doc.*")

@@ -127,7 +127,7 @@ QUERIES["op7_substring_dedup"] = op7_substring_dedup
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return token_counts.by_limit(staged(lengths, "lengths"))
+    return token_counts.report(staged(lengths, "lengths"))
 
 
 QUERIES["op4_token_counts"] = op4_token_counts

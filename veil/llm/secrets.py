@@ -9,7 +9,8 @@ run over every text. DataFrame functions only.
 
 Cases: a null text counts as empty; documents that share a doc_id (null too)
 share candidates, which can only add verification, and each keeps its own row
-and spans; an empty table gives no rows; other columns are ignored.
+and spans; an empty table gives no rows; other columns are ignored; texts of a
+million blanks, letters, marks or matches take time in proportion.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged
+from ..functions.arrays import characters, let, running
+from .common import BROADCAST_ROWS, staged, whole
 
 
 @dataclass(frozen=True)
@@ -35,17 +37,19 @@ class Rule:
     at_least: int = 0
 
 
-#: The three base rules, then further credential formats by their public prefixes.
+#: The three base rules, then further credential formats by their public prefixes. Only classes are
+#: repeated, never groups (Java would recurse), and none from many starts over one unbounded run (a token's header has
+#: 1000 characters at most), so a text of any length takes time in proportion.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -177,20 +181,20 @@ _SPAN = "array<struct<start:bigint,kind:int,span:string>>"
 
 def _spans(text: Column, k: int, rule: Rule) -> Column:
     """Spans of the matches that count. What lies between matches comes from split(), so a match starts after all text before it."""
-    gaps, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = hits if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    found = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
-            F.when(F.char_length(x["value"]) < rule.at_least, a["spans"])
-            .otherwise(F.concat(a["spans"], F.array(F.struct((a["at"] + F.char_length(x["gap"])).alias("start"), F.lit(k).alias("kind"), F.concat_ws(":", F.lit(rule.kind), a["at"] + F.char_length(x["gap"]), a["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("span")))))
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
+    matches = F.transform(
+        F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value")),
+        lambda x: F.struct(F.char_length(x["gap"]).cast("bigint").alias("gap"), F.char_length(x["hit"]).cast("bigint").alias("hit"), F.char_length(x["value"]).alias("value")),
     )
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(_SPAN))
+
+    def placed(found: Column) -> Column:
+        # The text after the last match has no hit.
+        before = running(F.transform(found, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))), lambda a, x: a + x)
+        spans = F.zip_with(found, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(k).alias("kind"), F.concat_ws(":", F.lit(rule.kind), at + x["gap"], at + x["gap"] + x["hit"]).alias("span"), (x["value"] >= rule.at_least).alias("ok")))
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"], x["kind"], x["span"])).cast(_SPAN)
+
+    return F.when(F.size(hits) > 0, let(matches, placed)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -226,20 +230,17 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every secret's characters replaced by [secret], in all their columns but n_chars unchanged."""
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
-    found = scan(whole, rules, carry=("_doc",))
+    found = scan(docs.select("doc_id", "text", whole(docs).alias("_doc")), rules, carry=("_doc",))
     text = F.col("_doc.text")
-    ends = lambda x: F.split(x["span"], ":")
-    # What stays: after each span (in order of start) the text up to the next; spans that begin inside earlier ones only push the end on.
-    cut = F.aggregate(
-        F.array_sort(F.flatten("found")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], F.get(ends(x), 2).cast("bigint")).alias("at"),
-            F.when(x["start"] < a["at"], a["parts"]).otherwise(F.concat(a["parts"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit("[secret]")))).alias("parts"),
-        ),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
-    )
-    clean = F.when(F.size(F.flatten("found")) == 0, text).otherwise(cut)
+    spans = F.transform(F.array_sort(F.flatten("found")), lambda x: F.struct(x["start"].alias("start"), F.get(F.split(x["span"], ":"), 2).cast("bigint").alias("stop")))
+
+    # What stays: the text between the furthest end so far and each span's start, and what follows them all. Spans that begin inside earlier ones only push the end on.
+    def cut(spans: Column, characters: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: x["stop"]), F.greatest)
+        stretch = lambda a, b: F.array_join(F.slice(characters, a.cast("int") + 1, (b - a).cast("int")), "")
+        parts = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda x, at: F.when(x["start"] >= at, F.concat(stretch(at, x["start"]), F.lit("[secret]"))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), stretch(F.element_at(ends, -1), F.size(characters)))
+
+    clean = F.when(F.size(F.flatten("found")) == 0, text).otherwise(let(spans, lambda s: let(characters(text), lambda c: cut(s, c))))
     columns = [clean.alias("text") if c == "text" else F.char_length(clean).cast("bigint").alias(c) if c == "n_chars" else F.col("_doc")[c].alias(c) for c in docs.columns]
     return found.select(*columns)

@@ -6,12 +6,14 @@ context limit at once, how many documents reach it, what they hold, and what is
 left of the corpus when each document is cut there; quantiles are lookups.
 
 Cases: a null text has no tokens and counts as a document of length 0; copies
-count each; an empty table gives an empty histogram; other columns are ignored.
+count each; an empty table gives an empty histogram; other columns are ignored; runs
+of white space of any length are taken.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_offsets
+from .common import staged, with_offsets
 
 
 @cache
@@ -31,12 +33,29 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space as the pattern's \\s has it (fixed values), in runs that are too long for the library's matcher.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+#: How a pattern ends that takes a run of white space whole, but for its last character before other text.
+TAKES_RUNS = r"|\s+(?!\S)|\s+"
+
+
+def count_tokens(encoder, text: str) -> int:
+    """How many ids a text has. The matcher would run out of stack in a very long run of white space; what the pattern makes of one is encoded as it is."""
+    n, at = 0, 0
+    if encoder._pat_str.endswith(TAKES_RUNS):
+        for m in LONG_BLANK.finditer(text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            n += len(encoder.encode_ordinary(text[at : m.start()])) + len(encoder._encode_single_piece(text[m.start() : stop].encode()))
+            at = stop
+    return n + len(encoder.encode_ordinary(text[at:]))
+
+
 def _lengths(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, found = encoding(path, pattern).encode_ordinary, {}
+        encoder, found = encoding(path, pattern), {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                n = len(encode(text)) if text else 0
+                n = count_tokens(encoder, text) if text else 0
                 found[n] = found.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "docs"])
 
@@ -65,6 +84,19 @@ def by_limit(lengths: DataFrame) -> DataFrame:
     )
 
 
+#: Context limits and shares of documents that a report answers.
+LIMITS = (128, 256, 512, 1024, 2048, 4096, 8192, 16_384, 32_768, 131_072)
+SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
+
+
+def report(lengths: DataFrame) -> DataFrame:
+    """by_limit() as rows of kind `length`; `limit` rows for LIMITS, with how many documents reach them and what they leave; `quantile` rows for SHARES. What a kind doesn't have is null."""
+    answers = staged(by_limit(lengths).withColumn("kind", F.lit("length")), "answers")
+    limits = at_limits(answers, list(LIMITS)).withColumnRenamed("limit", "n_tokens").withColumn("kind", F.lit("limit"))
+    shares = quantiles(answers, list(SHARES)).withColumn("kind", F.lit("quantile"))
+    return answers.unionByName(limits, allowMissingColumns=True).unionByName(shares, allowMissingColumns=True)
+
+
 def at_limits(answers: DataFrame, limits: list[int]) -> DataFrame:
     """limit, docs_at_least, tokens_truncated for any context limits, from by_limit()."""
     total = answers.agg(F.sum("tokens")).first()[0] or 0
