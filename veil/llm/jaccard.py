@@ -11,12 +11,11 @@ similarity is at least num / den, and keep only what connects them:
    128 bits say little, are looked at with signatures as long as they need. No
    test ever drops a similar pair. Of the rest only a spanning forest is kept.
 2. The join. The documents of each connected group of candidates are brought
-   together once, with their whole sets. In one order for the group (the
-   commonest shingle first, so that copies share their beginnings) the sets'
-   differences from the group's common core go into a trie. Each set walks it
-   once, level by level; the overlap with a shared beginning is counted once
-   for all sets below it, and a subtree is left when its lengths and what is
-   already missing leave too little.
+   together once, and their whole sets go into a trie in the same global order,
+   read from its common end so that sets that are alike share long beginnings.
+   Each set walks it once, level by level; the overlap with a shared beginning is
+   counted once for all sets below it, and a subtree is left when what remains on
+   both sides is too little, or when all its sets are connected already.
 
 Groups over `most_ids` shingles are split into blocks, and every pair of blocks
 is joined by a task of its own, so a task's memory is bounded; the links found
@@ -361,127 +360,130 @@ MOST_MEETING = 1 << 15
 
 
 class Trie:
-    """Ordered sets of small integers in a prefix tree, its nodes level by level in arrays.
+    """Whole sets in the global order, in a prefix tree whose edges hold up to EDGE ids.
 
-    A node has an id of the path, its children (next to each other on the next
-    level), the sets that end there, and of all sets at or below it the least
-    number of ids left out of the tree and the least and greatest size.
+    Sets are sorted, so the sets at or below a node are a range of places; a
+    node has that range, the ids of its edge and the least and greatest size of
+    its sets. Children of a node stand next to each other.
     """
 
-    def __init__(self, sets: list[np.ndarray], left_out: np.ndarray, sizes: np.ndarray):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        total, depth = sum(map(len, sets)), max(map(len, sets))
-        token, level, parent = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total, np.int64)
-        spare, least, most = np.full(total, 1 << 30, np.int64), np.full(total, 1 << 30, np.int64), np.zeros(total, np.int64)
-        path, last = np.empty(depth, np.int64), np.full(len(sets), -1, np.int64)
-        made, before = 0, np.empty(0, np.uint32)
-        for i in order:
-            own = sets[i]
-            n, m = len(own), min(len(own), len(before))
-            differ = np.flatnonzero(own[:m] != before[:m])
-            shared = int(differ[0]) if len(differ) else m
-            new = slice(made, made + n - shared)
-            made += n - shared
-            path[shared:n] = np.arange(new.start, made)
-            token[new], level[new] = own[shared:], np.arange(shared, n)
-            parent[new] = np.r_[path[shared - 1] if shared else -1, path[shared : n - 1]][: n - shared]
-            at = path[:n]
-            spare[at], least[at], most[at] = np.minimum(spare[at], left_out[i]), np.minimum(least[at], sizes[i]), np.maximum(most[at], sizes[i])
-            last[i] = path[n - 1] if n else -1
-            before = own
-        # By level; sets came in order, so a node's children stand together and in the order of their parents.
-        by_level = np.argsort(level[:made], kind="stable")
-        width = np.bincount(level[:made], minlength=depth)
-        starts = np.r_[0, np.cumsum(width)]
-        rank = np.empty(made, np.int64)
-        rank[by_level] = np.arange(made)
-        children = np.bincount(parent[:made] + 1, minlength=made + 1)
-        levels = [by_level[starts[d] : starts[d + 1]] for d in range(depth)]
-        first = lambda counts: np.r_[0, np.cumsum(counts)]
-        self.ids = [token[x] for x in levels]
-        self.first = [first(children[:1]), *[first(children[x + 1]) for x in levels]]
-        self.left_out, self.least, self.most = ([None, *[v[x] for x in levels]] for v in (spare, least, most))
-        self.ends: dict[tuple[int, int], list[int]] = {}
-        self.ending = [np.zeros(1, bool), *[np.zeros(len(x), bool) for x in levels]]
-        for i, node in enumerate(last.tolist()):
-            d = int(level[node]) + 1 if node >= 0 else 0
-            k = int(rank[node] - starts[d - 1]) if d else 0
-            self.ending[d][k] = True
-            self.ends.setdefault((d, k), []).append(i)
-
-
-def connect(sets: list[np.ndarray], t: Fraction) -> list[int]:
+    EDGE = 32
+
+    def __init__(self, sets: list[np.ndarray]):
+        """sets: ascending arrays of ranks, all different."""
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        sets = [sets[i] for i in self.order]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        # How many ids each set shares with the one before it.
+        shared = [0] * len(sets)
+        for k in range(1, len(sets)):
+            x, y = sets[k - 1], sets[k]
+            m = min(len(x), len(y))
+            differ = np.flatnonzero(x[:m] != y[:m])
+            shared[k] = int(differ[0]) if len(differ) else m
+        low, high, depth, edges, first, least, most = [0], [len(sets)], [0], [np.empty(0, np.int64)], [], [int(sizes.min())], [int(sizes.max())]
+        at = 0
+        while at < len(low):
+            a, z, d = low[at], high[at], depth[at]
+            first.append(len(low))
+            # Sets that end here come first in the range and make no child; the others part where neighbours share no more than d ids.
+            k = a
+            while k < z and sizes[k] == d:
+                k += 1
+            while k < z:
+                stop = k + 1
+                while stop < z and shared[stop] > d:
+                    stop += 1
+                common = min([int(sizes[k]), d + self.EDGE, *shared[k + 1 : stop]])
+                low.append(k)
+                high.append(stop)
+                depth.append(common)
+                edges.append(sets[k][d:common].astype(np.int64))
+                least.append(int(sizes[k:stop].min()))
+                most.append(int(sizes[k:stop].max()))
+                k = stop
+            at += 1
+        first.append(len(low))
+        self.first, self.low, self.high, self.depth = np.array(first), np.array(low), np.array(high), np.array(depth)
+        self.least, self.most = np.array(least), np.array(most)
+        length = np.array([len(e) for e in edges])
+        self.start, self.length, self.ids = np.cumsum(length) - length, length, np.concatenate(edges)
+        self.sets, self.sizes = sets, sizes
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ranges one after another."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
+def connect(sets: list[np.ndarray], t: Fraction, sketch: np.ndarray | None = None) -> list[int]:
     """For each set (distinct arrays of 64-bit ids) the least index it is connected with.
 
-    Sets go into the tree as their differences from the ids that more than half
-    of them have, which are as far apart as the sets: near copies differ from
-    that core in a few ids. An id that is in one difference only can be in no
-    overlap; it is left out of the tree and counted.
+    The trie has the commonest ids first, the global order from its other end:
+    sets that are alike share long beginnings, and an overlap with one is
+    counted once for all sets below it. A subtree is left when the ids that
+    remain on both sides can't make the overlap large enough, or when all of
+    its sets are connected with the walking one already.
     """
     m = len(sets)
     if m == 1:
         return [0]
-    sizes = np.array([len(s) for s in sets], np.int64)
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), sizes)
-    count = np.bincount(flat)
-    core = np.flatnonzero(2 * count > m)
-    # Differences as (set, id) pairs: ids outside the core that a set has, and ids of the core that it lacks.
-    is_core = np.zeros(len(ids), bool)
-    is_core[core] = True
-    held = owner[is_core[flat]] * len(core) + np.searchsorted(core, flat[is_core[flat]])
-    lacks = np.setdiff1d(np.arange(m * len(core)), held, assume_unique=True)
-    who = np.concatenate([owner[~is_core[flat]], lacks // max(1, len(core))])
-    what = np.concatenate([flat[~is_core[flat]], core[lacks % max(1, len(core))]])
-    often = np.bincount(what, minlength=len(ids))
-    left_out = np.bincount(who[often[what] == 1], minlength=m)
-    who, what = who[often[what] > 1], what[often[what] > 1]
-    place = np.empty(len(ids), np.uint32)
-    place[np.lexsort((ids, -often))] = np.arange(len(ids))  # the commonest first: the most shared beginnings
-    ranks = place[what]
-    order = np.lexsort((ranks, who))
-    own = np.split(ranks[order], np.cumsum(np.bincount(who, minlength=m))[:-1])
-    trie, label = Trie(own, left_out, sizes), np.arange(m)
-    less, more = t.denominator - t.numerator, t.denominator + t.numerator
-    width = int(place.max()) + 1
-    has = np.zeros(width, np.int64)
-
+    often = np.bincount(flat) if sketch is None else sketch[(ids & np.uint64(SKETCH - 1)).astype(np.int64)]
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((~ids, -often.astype(np.int64)))] = np.arange(len(ids))
+    trie = Trie([np.sort(x) for x in np.split(rank[flat], np.cumsum([len(s) for s in sets])[:-1])])
+    num, den = t.numerator, t.denominator
+    label = np.arange(m)  # by place in the trie
+    run = label + 1  # where the run of equal labels that holds a place ends
+    has = np.zeros(len(ids), np.int64)
     for x in range(m):
-        mine, n, alone = own[x], sizes[x], left_out[x]
+        mine, n = trie.sets[x], trie.sizes[x]
         has[mine] = 1
-        hits: list[int] = []
+        hits: list[np.ndarray] = []
         nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for depth in range(len(trie.ids) + 1):
-            if depth:
-                token = trie.ids[depth - 1][nodes]
-                overlap = overlap + has[token]
-                # Of the path, depth - overlap ids are not mine; of mine up to the path's last, those not met are not theirs.
-                apart = depth - overlap + np.searchsorted(mine, token, "right") - overlap
-                least, most = trie.least[depth][nodes], trie.most[depth][nodes]
-                ok = ((alone + trie.left_out[depth][nodes] + apart) * more <= (n + most) * less) & (least * t.numerator <= n * t.denominator) & (n * t.numerator <= most * t.denominator)
-                nodes, overlap = nodes[ok], overlap[ok]
-                if not len(nodes):
-                    break
-            ending = trie.ending[depth][nodes]
-            for node, o in zip(nodes[ending].tolist(), overlap[ending].tolist()):
-                for y in trie.ends[depth, node]:
-                    if (alone + left_out[y] + depth + len(mine) - 2 * o) * more <= (n + sizes[y]) * less:
-                        hits.append(y)
-            if depth < len(trie.ids):
-                a, z = trie.first[depth][nodes], trie.first[depth][nodes + 1]
-                each = z - a
-                overlap = np.repeat(overlap, each)
-                nodes = np.repeat(a - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(int(each.sum()))
-                if not len(nodes):
-                    break
+        while len(nodes):
+            # Sets that end at these nodes have met all of their ids.
+            children = trie.first[nodes + 1] - trie.first[nodes]
+            low, depth = trie.low[nodes], trie.depth[nodes]
+            ends = np.flatnonzero((trie.sizes[low] == depth) & (overlap * (num + den) >= num * (n + depth)))
+            if len(ends):
+                hits.append(low[ends])
+            overlap = np.repeat(overlap, children)
+            nodes = _ranges(trie.first[nodes], children)
+            if not len(nodes):
+                break
+            other = (label[trie.low[nodes]] != label[x]) | (run[trie.low[nodes]] < trie.high[nodes])
+            nodes, overlap = nodes[other], overlap[other]
+            if not len(nodes):
+                break
+            length = trie.length[nodes]
+            met = has[trie.ids[_ranges(trie.start[nodes], length)]]
+            overlap = overlap + np.add.reduceat(met, np.cumsum(length) - length)
+            # Left of mine: the ids after the edge's last. Of a set of some size there are size - depth left; the best size uses up just what is left of mine.
+            left = n - np.searchsorted(mine, trie.ids[trie.start[nodes] + length - 1], "right")
+            depth = trie.depth[nodes]
+            best = np.clip(depth + left, trie.least[nodes], trie.most[nodes])
+            most = overlap + np.minimum(left, best - depth)
+            going = most * (num + den) >= num * (n + best)
+            nodes, overlap = nodes[going], overlap[going]
         has[mine] = 0
-        known = np.unique(label[hits]) if hits else ()
+        known = np.unique(label[np.concatenate(hits)]) if hits else ()
+        known = np.union1d(known, label[x : x + 1]) if len(known) else known
         if len(known) > 1:
             label[np.isin(label, known)] = known[0]
-    return label.tolist()
-
-
-def _join(k: int, t: Fraction):
+            changes = np.flatnonzero(np.r_[label[1:] != label[:-1], True]) + 1
+            run = np.repeat(changes, np.diff(np.r_[0, changes]))
+    # From places in the trie to the sets as they were given.
+    order = np.array(trie.order)
+    least = np.full(m, m)
+    np.minimum.at(least, label, order)
+    out = np.empty(m, np.int64)
+    out[order] = least[label]
+    return out.tolist()
+
+
+def _join(k: int, t: Fraction, sketch):
     """Rows of one cell (a group, or two of its blocks): doc_id and text. Gives each document with the least doc_id that it is connected with there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,7 +502,7 @@ def _join(k: int, t: Fraction):
                     kept.append(s)
                 doc_ids.append(doc_id)
                 member.append(i)
-        roots = np.array(connect(kept, t))[member]
+        roots = np.array(connect(kept, t, sketch.value))[member]
         # Rows that share a doc_id are one node, so roots may meet once more.
         a, b = forest(np.array(doc_ids, np.int64), -1 - roots.astype(np.int64))
         least: dict[int, int] = {}
@@ -550,7 +552,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = staged(placed.select("node", "root", "blocks", "block", other).select("node", F.col("blocks") > 1, F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other"))).toDF("node", "many", "cell"), "cells")
     held = docs.join(cells, docs["doc_id"] == cells["node"]).select("doc_id", "text", "cell")
-    joined = staged(_by_cell(held.mapInArrow(_packed, "doc_id long, cell string, packed binary"), _join(k, t)), "joined")
+    joined = staged(_by_cell(held.mapInArrow(_packed, "doc_id long, cell string, packed binary"), _join(k, t, sketch)), "joined")
     # A group in one cell is done. Of the others, links meet across cells.
     links = joined.filter("doc_id <> root")
     many = cells.filter("many").select(F.col("node").alias("doc_id")).distinct()
@@ -559,7 +561,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
     # Equal sets share what any of them has found.
     labelled = sizes.join(roots, sizes["doc_id"] == roots["node"], "left").select("doc_id", "n", "s1", "s2", F.coalesce("root", "doc_id").alias("root"))
-    return _classes(labelled)
+    return _classes(staged(labelled, "labelled"))
 
 
 def _by_cell(rows: DataFrame, join) -> DataFrame:
@@ -569,14 +571,24 @@ def _by_cell(rows: DataFrame, join) -> DataFrame:
     return rows.groupBy("cell").applyInArrow(lambda table: pa.Table.from_batches(list(one(iter(table.to_batches())))), "doc_id long, root long")
 
 
+#: Sets of more copies than a share of 1 / MOST_HOT of all rows are joined by broadcast; there can't be more than that many.
+MOST_HOT = 100_000
+
+
 def _classes(labelled: DataFrame) -> DataFrame:
     """Merge what equal sets and equal doc_ids know, and name components by their smallest doc_id."""
     some = labelled.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("root").alias("root"))
+    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("root").alias("root"), F.count("*").alias("copies"))
     # A set's copies in different tasks were joined as one, so any of their roots names the component; the least one is the one all see.
-    first = some.select("s1", "s2", "root").distinct().join(classes.withColumnRenamed("root", "to"), ["s1", "s2"]).select("root", "to", "least")
+    first = some.select("s1", "s2", "root").distinct().join(classes.select("s1", "s2", "least", F.col("root").alias("to")), ["s1", "s2"]).select("root", "to", "least")
     names = components(first.select(F.col("root").alias("a"), F.col("to").alias("b")).union(first.select(F.col("least").alias("a"), F.col("to").alias("b"))), "a", "b")
-    own = labelled.join(classes.select("s1", "s2", "least"), ["s1", "s2"], "left").join(names, F.col("least") == F.col("node"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce(names["root"], "least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
-    return own.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    named = staged(classes.join(names, classes["least"] == names["node"], "left").select("s1", "s2", "copies", F.coalesce(names["root"], "least").alias("component_id")), "classes")
+    result = lambda rows, c: rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), c.alias("component_id"))
+    # Sets with so many copies that their rows would fill a task are MOST_HOT at most, whatever the input; the others are joined by a shuffle.
+    at_least = max(1000, labelled.count() // MOST_HOT)
+    hot = F.broadcast(named.filter(F.col("copies") > at_least).drop("copies"))
+    rest = named.filter(F.col("copies") <= at_least).drop("copies")
+    empty = labelled.filter("n = 0 OR doc_id IS NULL")
+    common = some.join(hot, ["s1", "s2"])
+    others = some.join(hot, ["s1", "s2"], "left_anti").join(rest, ["s1", "s2"])
+    return result(empty, F.col("doc_id")).unionByName(result(common, F.col("component_id"))).unionByName(result(others, F.col("component_id")))
