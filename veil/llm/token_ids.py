@@ -42,6 +42,8 @@ from .common import BROADCAST_ROWS, shared_dir, with_offsets
 VERSION = 2
 #: Ids in a block, about; a block closes after the document that reaches it.
 BLOCK_IDS = 1 << 18
+#: Documents that a task has in hand at once.
+SLICE = 1000
 #: Ids in one part, about: 128 MB.
 PART_IDS = 1 << 26
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -92,7 +94,7 @@ BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not i
 class Words(dict):
     """Ids (as bytes) of tokens, asked of the library when first seen, and kept in two generations."""
 
-    LIMIT = 400_000  # tokens in each generation, about 160 MB together
+    LIMIT = 200_000  # tokens in each generation, about 70 MB together
     LONGEST = 64  # characters of a token that is kept
 
     def __init__(self, ids: Callable[[str], Iterable[int]], code: str):
@@ -181,7 +183,7 @@ def _encode(path: str, end_id: int):
         names = [c.split()[0] for c in _IDS.split(", ")]
         end = np.array([end_id], encode.dtype).tobytes()
         tie = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             raw = [encode(t or "") + end for t in batch.column("text").to_pylist()]
             counts += np.bincount(np.frombuffer(b"".join(raw), encode.dtype), minlength=len(counts))
             n = pa.array([len(r) // encode.dtype.itemsize for r in raw], pa.int64())
