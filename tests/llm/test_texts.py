@@ -216,3 +216,55 @@ def test_permutations(n, salt):
     from itertools import product
 
     assert len({tuple(surrogates.permuted(list(v), bases, key)) for v in product(range(3), repeat=n)}) == 3**n
+
+
+def _account(country, rest):
+    digits = 98 - surrogates._remainder(f"{country}00{rest}")
+    return f"{country}{digits:02}{rest}"
+
+
+#: (kind, a way to write the k-th entity) for texts whose entities are known beforehand.
+PLANTED = [
+    ("email", lambda k: f"{'q' * (70 + k % 3)}{k}@mail{k % 5}.example.org"),
+    ("phone", lambda k: f"020 7946 {k:04d}"),
+    ("phone", lambda k: f"+44 20 {k:04d} 5555"),
+    ("id", lambda k: f"{100 + k:03d}-{10 + k % 80:02d}-{1000 + k:04d}"),
+    ("iban", lambda k: _account("GB", f"WEST{12345600000000 + k}")),
+    ("ip", lambda k: f"10.{k % 256}.7.{k % 200}"),
+    ("name", lambda k: "Dr " + ["Αλέξης Παπάς", "王伟", "Иван Петров", "Alice Weaver"][k % 4]),
+]
+
+
+def test_surrogates_of_planted_entities(spark):
+    """Everything between the entities stays; equal entities agree, distinct ones differ, and types keep their form."""
+    sep = " ; "
+    data, expected = [], {}
+    for i in range(80):
+        own = [(kind, write((7 * i + 3 * j) % 40)) for j, (kind, write) in enumerate(PLANTED)]
+        expected[i] = own
+        data.append((i, sep.join(m for _, m in own) + sep + "the end"))
+    got = {r.doc_id: r for r in surrogates.replaced(frame(spark, data), b"key").collect()}
+    to, back = {}, {}
+    for i, own in expected.items():
+        parts = got[i].text.split(sep)
+        assert parts[-1] == "the end" and len(parts) == len(own) + 1
+        for (kind, m), new in zip(own, parts):
+            assert to.setdefault((kind, m), new) == new and back.setdefault((kind, new), m) == m and new != m
+            if kind == "name":
+                assert new.startswith("Dr ") and re.sub(r"[^\W\d_]", "", new[3:].replace("-", "")) == " " * m[3:].count(" ")
+                for letters in ("[α-ωά-ώ]", "[а-я]", "[a-z]", "[一-龥]"):
+                    assert bool(re.search(letters, m[3:].lower())) == bool(re.search(letters, new[3:].lower())), (m, new)
+            else:
+                assert re.sub("[a-zA-Z]", "a", re.sub(r"\d+" if kind == "ip" else r"\d", "0", new)) == re.sub("[a-zA-Z]", "a", re.sub(r"\d+" if kind == "ip" else r"\d", "0", m))
+            assert kind != "iban" or surrogates._remainder(new) == 1
+        assert (got[i].n_phone, got[i].n_id, got[i].n_iban, got[i].n_name) == (2, 1, 1, 1)
+
+
+def test_surrogates_when_every_number_of_a_shape_is_taken(spark):
+    """One-digit local parts that are all real have no free surrogate of their shape: they grow, and an end is reached."""
+    data = [(i, f"{i}@a.b.com") for i in range(10)] + [(20 + i, f"mail {chr(97 + i)}@{chr(97 + j)}.com") for i in range(26) for j in range(2)]
+    got = surrogates.replaced(frame(spark, data), b"key").collect()
+    assert all(r.n_email == 1 for r in got) and len({r.text for r in got if r.doc_id < 10}) == 10
+    taken = spark.createDataFrame([("email", f"{a}@{b}.com") for a in "0123456789" for b in "0123456789"], "kind string, value string")
+    rows_ = surrogates.agreed(taken, b"key").collect()
+    assert len({r.surrogate for r in rows_}) == 100 and not {r.surrogate for r in rows_} & {r.value for r in rows_} and max(r.attempt for r in rows_) < 30

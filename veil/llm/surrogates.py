@@ -2,7 +2,7 @@
 
 Detected entities are replaced by others of their type: each letter by a letter
 of its script and case, each digit by a digit, separators as they stand, with
-card check digits and address ranges kept valid; names after a title, and the
+check digits of cards and accounts and address ranges kept valid; names after a title, and the
 same names without one in the same document, by names of that gender and script
 (a given name's gender is what its titles in all documents tell). A replacement depends on a key and on the entity
 alone (digits of a phone however it is written, an address in any case, each
@@ -16,7 +16,9 @@ Distinct entities of a shape go through a keyed permutation of all strings of
 that shape, so they cannot meet, but one may land on another real entity; names
 come from lists and may meet. So the distinct entities of the corpus are
 checked against each other's surrogates, and those in conflict try again with
-another key until none is left. Only the entities that had to try again, and
+another key until none is left; from the twelfth attempt on (names: the
+twenty-fifth) they grow by a character each time, so an end is certain. Names of
+scripts without a list change letter by letter. Only the entities that had to try again, and
 given names whose gender another title tells, are remembered; the others are replaced where they stand.
 
 Cases: a null text stays null and has no entities; copies are replaced alike;
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-KINDS = ("email", "phone", "card", "ip", "name")
+KINDS = ("email", "phone", "card", "ip", "name", "iban", "id")
 #: Entities that had to try again or change gender, up to which they are broadcast (under 50 MB).
 BROADCAST_ENTITIES = 200_000
 
@@ -54,10 +56,16 @@ NAMES = {
     ("cyrillic", "s"): "Бондар Гринь Кравчук Лысенко Мельник Ткач Шевчук Яременко",
 }
 NAMES = {k: v.split() for k, v in NAMES.items()}
-#: Alphabets within which characters change.
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäèéêëìíîïòóôöùúûüñçß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+#: Alphabets within which characters change; those of other scripts are ranges of Unicode.
+ALPHABETS = (
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäèéêëìíîïòóôöùúûüñçß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω",
+    *("".join(map(chr, range(a, z + 1))) for a, z in ((0x561, 0x586), (0x5D0, 0x5EA), (0x641, 0x64A), (0x915, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3093), (0x30A1, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))),
+)
+#: Attempts after which an entity also grows by a character an attempt: however many entities there are, their share of all strings of a shape then falls tenfold each time, so some attempt is free.
+GROWS_AFTER = 11
 _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
+_LATIN, _CYRILLIC = re.compile("[a-zà-öø-ÿß]"), re.compile("[а-яё]")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
 _LOCAL = re.compile(r"[\w.%+-]")
 #: Where numbers can be: all that the patterns below find lies inside one of these.
@@ -65,7 +73,10 @@ _NUMBERS = re.compile(r"[+(\d][\d .()+-]{5,}\d")
 _IP = re.compile(r"(?<![\w.+])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?!\w)")
 _CARD = re.compile(r"(?<![\w.+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)")
 _OWN_CARD = re.compile(r"(?<!\d-)" + _CARD.pattern)
-_PHONE = re.compile(r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ ]?\d{3,4}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")
+_PHONE = re.compile(r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ ]?\d{3,4}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}(?:[ .-]\d{3,4}){2})(?!\w)")
+#: National numbers of persons in groups of 3, 2 and 4 digits, and account numbers of a country, check digits and groups.
+_ID = re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _TITLED = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ ]((?:[^\W\d_a-zß-öø-ÿа-я][\w'-]+)(?: [^\W\d_a-zß-öø-ÿа-я][\w'-]+){0,2})")
 #: Where a name ends that has 's, or an apostrophe or dash of no word after it.
 _POSSESSIVE = re.compile(r"(?:'[sS]|['-]+)(?= |$)")
@@ -83,6 +94,11 @@ def _valid_card(text: str, start: int, end: int) -> int:
     return end if _luhn(_digits(text[start:end])) == 0 else 0
 
 
+def _remainder(account: str) -> int:
+    """What check digits make 1."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 def _phone(text: str, start: int, end: int) -> int:
     return end if 7 <= len(_digits(text[start:end])) <= 15 else 0
 
@@ -96,7 +112,7 @@ def _phone_before(text: str, start: int, end: int) -> int:
 
 
 #: In this order each looks between what is found already; the function gives where the entity ends, 0 if there is none.
-_PASSES = (("ip", _IP, _address), ("card", _OWN_CARD, _valid_card), ("phone", _PHONE, _phone), ("card", _OWN_CARD, lambda text, start, end: end), ("phone", _PHONE, _phone_before), ("card", _CARD, lambda text, start, end: end))
+_PASSES = (("ip", _IP, _address), ("id", _ID, lambda text, start, end: end), ("card", _OWN_CARD, _valid_card), ("phone", _PHONE, _phone), ("card", _OWN_CARD, lambda text, start, end: end), ("phone", _PHONE, _phone_before), ("card", _CARD, lambda text, start, end: end))
 
 
 def _numbers(text: str, start: int, stop: int) -> list[tuple[int, int, str, str]]:
@@ -120,12 +136,15 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     at = text.find("@")
     while at >= 0:
         start = at
-        while start and at - start < 64 and _LOCAL.match(text[start - 1]):
+        while start and _LOCAL.match(text[start - 1]):
             start -= 1
         m = _DOMAIN.match(text, at + 1)
         if m and start < at:
             found.append((start, m.end(), "email", ""))
         at = text.find("@", at + 1)
+    for m in _IBAN.finditer(text):
+        if _remainder(m.group().replace(" ", "")) == 1:
+            found.append((*m.span(), "iban", ""))
     for m in _NUMBERS.finditer(text):
         found += _numbers(text, m.start(), m.end())
     for m in _TITLED.finditer(text):
@@ -175,6 +194,8 @@ def parts(kind: str, gender: str, mention: str) -> list[tuple[str, str]]:
         return [(f"name_{k}", w.lower()) for k, w in zip(kinds, words)]
     if kind == "email":
         return [(kind, mention.lower())]
+    if kind == "iban":
+        return [(kind, mention.replace(" ", ""))]
     return [(kind, mention if kind == "ip" else _digits(mention))]
 
 
@@ -192,26 +213,38 @@ def permuted(values: list[int], bases: list[int], key: bytes) -> list[int]:
 def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
     """The attempt-th surrogate of a normal form."""
     own = hashlib.blake2b(f"{kind}:{attempt}".encode(), key=key, digest_size=32).digest()
-    if kind.startswith("name"):
-        script = "cyrillic" if any("а" <= c <= "я" for c in value) else "latin"
+    script = "cyrillic" if _CYRILLIC.search(value) else "latin" if _LATIN.search(value) else ""
+    if kind.startswith("name") and script:
         names, draw = NAMES[script, kind[-1]], hashlib.blake2b(value.encode(), key=own, digest_size=32).digest()
-        return "-".join(names[int.from_bytes(draw[4 * k : 4 * k + 4]) % len(names)] for k in range(min(8, 1 + attempt // 3))).lower()
+        count = min(8, 1 + attempt // 3)
+        more = "".join(_permuted_letters("a" * (attempt - 24), own, range(attempt - 24))) if attempt > 24 else ""
+        return "-".join([*(names[int.from_bytes(draw[4 * k : 4 * k + 4]) % len(names)] for k in range(count)), *([more + value] if more else [])]).lower()
+    grown = max(0, attempt - GROWS_AFTER)
     if kind == "ip":
         octets = permuted([int(x) for x in value.split(".")], [256] * 4, own)
-        return ".".join(map(str, octets))
+        return ".".join(map(str, octets)) + (":" + "1" * grown if grown else "")
+    value = "x" * grown + value if kind == "email" else value + value[-1:] * grown if kind.startswith("name") else value + "0" * grown
     fixed = len(value) - value.rfind(".") if kind == "email" else 0  # the top domain stays
-    end = len(value) - fixed - (kind == "card")
-    places = [i for i in range(end) if value[i] in _PLACE]
-    changed = permuted([_PLACE[value[i]][1] for i in places], [len(_PLACE[value[i]][0]) for i in places], own)
-    out = list(value)
-    for i, x in zip(places, changed):
-        out[i] = _PLACE[value[i]][0][x]
+    places = [i for i in range(4 if kind == "iban" else 0, len(value) - fixed - (kind == "card")) if value[i].lower() in _PLACE]
+    out = _permuted_letters(value, own, places)
     if kind == "card":
         # As far from a valid check digit as the original is: valid numbers stay valid.
         out[-1] = str((_luhn(value) - _luhn("".join(out[:-1]) + "0")) % 10)
+    if kind == "iban":
+        out[2:4] = "00"
+        out[2:4] = f"{98 - _remainder(''.join(out)):02}"
     return "".join(out)
 
 
+def _permuted_letters(value: str, key: bytes, places) -> list[str]:
+    """The characters of a value, those at some places changed within their alphabets and case."""
+    at = [_PLACE[value[i].lower()] for i in places]
+    out = list(value)
+    for i, (a, _), x in zip(places, at, permuted([x for _, x in at], [len(a) for a, _ in at], key)):
+        out[i] = a[x].upper() if value[i].isupper() and len(a[x].upper()) == 1 else a[x]
+    return out
+
+
 def _luhn(digits: str) -> int:
     """The Luhn sum modulo 10: 0 for a valid number."""
     return sum(int(c) if i % 2 == 0 else (2 * int(c)) % 10 + int(c) // 5 for i, c in enumerate(reversed(digits))) % 10
@@ -226,7 +259,7 @@ def written(kind: str, mention: str, replaced: list[str]) -> str:
     if kind == "email":
         return "".join(r.upper() if c.isupper() else r for c, r in zip(mention, replaced[0])) if len(mention) == len(replaced[0]) else replaced[0]
     digits = iter(replaced[0])
-    return "".join(next(digits) if c.isdigit() else c for c in mention)
+    return "".join(next(digits) if c.isdigit() or (kind == "iban" and c != " ") else c for c in mention) + "".join(digits)
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
