@@ -82,6 +82,11 @@ def test_contamination(spark):
     expected = brute.contamination(data, ITEMS)
     assert as_rows(decontaminate.contamination(docs, items)) == expected
     assert as_rows(decontaminate.contamination(docs, items, block=3)) == expected  # several blocks
+    # Item names of any kind are the same whatever the number of blocks.
+    named = spark.createDataFrame([("", ITEMS[0][1]), ("two\nlines", ITEMS[0][1]), ("two", ITEMS[1][1]), (None, ITEMS[3][1])], "item_id string, text string")
+    one = as_rows(decontaminate.contamination(docs, named))
+    assert max(r[3] for r in one) == 2 and one == brute.contamination(data, [tuple(r) for r in named.collect()])
+    assert all(as_rows(decontaminate.contamination(docs, named, block=n)) == one for n in (1, 3))
     clean = decontaminate.decontaminated(docs, items)
     assert clean.columns == docs.columns and sorted(map(str, (r.doc_id for r in clean.collect()))) == sorted(str(r[0]) for r in expected if not r[5])
     assert decontaminate.contamination(empty(spark), items).count() == 0

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Windows, staged, texts, whole, word_hashes
 
@@ -161,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     blocks = max(-(-n // block), -(-(size or 0) // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("words", "item_id"), F.lit(max(1, blocks)))
     state = docs.select("doc_id", "text", *([carry] if carry else []))
-    head = [f"{f.name} {f.dataType.simpleString()}" for f in state.schema]
+    head, result = list(state.schema), list(StructType.fromDDL(RESULT))
     for b in range(blocks):
         # One block: at most about `block` rows of one window and one item.
         own: dict[bytes, list[str]] = {}
@@ -172,16 +173,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         counted = docs.select("text").mapInArrow(_counts(keys), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
         made.order({(r["k"], r["shingle"] & (1 << 64) - 1): r["n"] for r in counted.collect()})  # no more rows than the block has shingles
         last = b == blocks - 1
-        schema = ", ".join([h for h in head if not (last and h.startswith("text "))] + [RESULT if last else "_mask binary, _items array<string>"])
+        schema = StructType([f for f in head if not (last and f.name == "text")] + (result if last else list(StructType.fromDDL("_mask binary, _items array<string>"))))
         state = state.mapInArrow(_apply(spark.sparkContext.broadcast(made), b == 0, last), schema)
         if not last:
             state = staged(state, f"block{b}")
     if not blocks:
-        state = state.mapInArrow(_apply(None, True, True), ", ".join([h for h in head if not h.startswith("text ")] + [RESULT]))
+        state = state.mapInArrow(_apply(None, True, True), StructType([f for f in head if f.name != "text"] + result))
     return state
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    whole = docs.select("doc_id", "text", whole(docs).alias("_doc"))
-    return contamination(whole, benchmark, carry="_doc", **options).filter("NOT contaminated").select("_doc.*")
+    full = docs.select("doc_id", "text", whole(docs).alias("_doc"))
+    return contamination(full, benchmark, carry="_doc", **options).filter("NOT contaminated").select("_doc.*")

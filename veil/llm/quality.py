@@ -151,6 +151,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The documents that the policy keeps, with all their columns."""
     # The rows come out of a generator: a filter would be pushed below the measurements, and copy them into itself many times over.
-    whole = docs.select("text", whole(docs).alias("_doc"))
-    own = ledger(whole, carry=("_doc",)).select(F.explode_outer(F.when(kept(policy), F.array("_doc"))).alias("_doc"))
+    full = docs.select("text", whole(docs).alias("_doc"))
+    own = ledger(full, carry=("_doc",)).select(F.explode_outer(F.when(kept(policy), F.array("_doc"))).alias("_doc"))
     return own.filter("_doc IS NOT NULL").select("_doc.*")
