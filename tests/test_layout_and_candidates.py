@@ -17,7 +17,7 @@ def page(spark, rows):
 def test_table_names(spark):
     found = layout.table_names(page(spark, [(60, [(50, "Name"), (250, "Role"), (400, "Institution")]), (90, [(50, "Alice Kennedy"), (250, "Lead")]), (120, [(50, "Adrian Fenwick"), (250, "Chair")])]))
     assert sorted(r.name for r in found.collect()) == ["Adrian Fenwick", "Alice Kennedy"]
-    assert layout.table_names(page(spark, [(60, [(50, "Funding Body Name"), (250, "Year")]), (90, [(50, "Alice Kennedy"), (250, "Lead")])])).count() == 0
+    assert layout.table_names(page(spark, [(60, [(50, "Funding Body Name"), (250, "Year")]), (90, [(50, "Alice Kennedy"), (250, "Lead")])]), things=("funding", "body")).count() == 0
     assert [r.name for r in layout.table_names(page(spark, [(60, [(50, "#"), (120, "Full Name"), (350, "Affiliation")]), (90, [(50, "1"), (120, "Fiona Novak"), (350, "Lab")])])).collect()] == ["Fiona Novak"]
 
 
@@ -42,7 +42,7 @@ def test_text_templates(spark, on, kept):
 def test_signature_zones(spark):
     lines = spark.createDataFrame([(1, 1, "Kind  regards,", 100.0, 112.0), (1, 1, "sincerely", 200.0, 212.0), (1, 2, "hello", 10.0, 22.0), (1, 1, "yours faithfully", 700.0, 712.0)], "doc_id long, page_no int, text string, y0 double, y1 double")
     pages = spark.createDataFrame([(1, 1, 800.0), (1, 2, 800.0)], "doc_id long, page_no int, height double")
-    assert sorted((r.y0, r.y1) for r in boilerplate.signature_zones(lines, pages).collect()) == [(92.0, 344.0), (692.0, 800.0)]
+    assert sorted((r.y0, r.y1) for r in boilerplate.signature_zones(lines, pages, ("regards", "sincerely", "faithfully")).collect()) == [(92.0, 344.0), (692.0, 800.0)]
 
 
 def test_rect_templates(spark):
@@ -121,7 +121,7 @@ def test_gate(spark):
 def test_report_and_leaks(spark):
     docs = spark.createDataFrame([(1, "a@b.example.com 555-010-0142"), (2, "none")], "doc_id long, text string")
     found = redact.detections(docs)
-    assert [tuple(r) for r in redact.report(docs, found).select("doc_id", "n_email", "n_phone", "n_link", "masked_chars", "chars").collect()] == [(1, 1, 1, 0, 27, 28)]
+    assert [tuple(r) for r in redact.report(docs).select("doc_id", "n_email", "n_phone", "n_link", "masked_chars", "chars").collect()] == [(1, 1, 1, 0, 27, 28)]
     assert redact.leaks(redact.redact(docs, found)).count() == 0
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Values in a block of a running aggregate.
-BLOCK = 256
+BLOCK = 64
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -27,14 +27,14 @@ def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
     def grown(some: Column) -> Column:
         return F.aggregate(some, F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / BLOCK).cast("int")), lambda b: grown(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
-    return let(
-        parts,
-        lambda p: let(
-            grown(F.transform(p, lambda x: F.element_at(x, -1))),
-            lambda ends: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(x, F.when(i == 0, 1).otherwise(2), F.lit(BLOCK + 1)), lambda v: step(F.get(ends, i), v)))),
-        ),
-    )
+    def placed(own: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / BLOCK).cast("int")), lambda b: grown(F.slice(own, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(parts, lambda p: let(grown(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, i: spread(x, i, ends)))))
+
+    def spread(x: Column, i: Column, ends: Column) -> Column:
+        return F.transform(F.slice(x, F.when(i == 0, 1).otherwise(2), F.lit(BLOCK + 1)), lambda v: step(F.get(ends, i), v))
+
+    return let(values, placed)
 
 
 def characters(text: Column) -> Column:

@@ -35,3 +35,19 @@ def repaired() -> dict[str, Column]:
 def label() -> Column:
     """The text put on a rectangle: none where it would not fit."""
     return F.when((F.col("x1") - F.col("x0") < 10) | (F.col("y1") - F.col("y0") < 10), "").otherwise("REDACTED")
+
+
+def contains(outer: str, inner: str) -> Column:
+    """Whether one rectangle holds another."""
+    c = lambda p, s: F.col(f"{p}{s}")
+    return (c(outer, "x0") <= c(inner, "x0")) & (c(outer, "y0") <= c(inner, "y0")) & (c(outer, "x1") >= c(inner, "x1")) & (c(outer, "y1") >= c(inner, "y1"))
+
+
+def clamped(width: str = "width", height: str = "height") -> dict[str, Column]:
+    """Sides of rectangles cut at the page's."""
+    return {s: F.least(F.greatest(F.col(s), F.lit(0.0)), F.col(width if s[0] == "x" else height)) for s in SIDES}
+
+
+def shares(width: str = "width", height: str = "height") -> dict[str, Column]:
+    """Sides in points as shares of the page."""
+    return {s: F.col(s) / F.col(width if s[0] == "x" else height) for s in SIDES}

@@ -13,6 +13,16 @@ PHONE = r"(?:\+\d{1,3}[-. ]?)?(?:\(\d{2,5}\)|\d{2,5})(?:[-. ]?\d{2,5}){2,4}"
 LINK = r"(?i)(?:https?://)?(?:www\.)?(?:linkedin\.com/|linked\.in/)\S*"
 LABEL = "REDACTED"
 
+#: Java patterns with the same matches that don't start again inside a run that has failed as a whole: a match begins
+#: where a run of the local part's characters does, or where the last match ended.
+_QUICK = {EMAIL: r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"}
+
+
+def quick(pattern: str) -> str:
+    """A pattern for Spark's functions that takes time in proportion to the text, with the same matches."""
+    return _QUICK.get(pattern, pattern)
+
+
 #: Punctuation and blanks that stand for an ASCII one, character by character.
 TYPESET = "‘’ʼ´“”‐‑‒–—   "
 PLAIN = "''''\"\"-----   "
@@ -71,5 +81,5 @@ def redacted_path(path: Column) -> Column:
 def masked(text: Column, patterns: tuple[str, ...] = (EMAIL, PHONE, LINK)) -> Column:
     """Every match of the patterns, one after another, replaced by the label."""
     for p in patterns:
-        text = F.regexp_replace(text, p, LABEL)
+        text = F.regexp_replace(text, quick(p), LABEL)
     return text

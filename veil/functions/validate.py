@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import EMAIL, PHONE
 
-#: Words that no name contains; callers may give their own.
-FUNCTION_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "if", "in", "into", "is", "it", "not", "of", "on", "or", "our", "that", "the", "their", "then", "there", "this", "to", "was", "we", "were", "with", "you", "your", "however", "since")
+#: The most words and characters of a name, and characters of a name of one word.
 MOST_WORDS, MOST_CHARS, MOST_IN_WORD = 4, 40, 22
 
 
-def name_shape(value: Column, function_words: tuple[str, ...] = FUNCTION_WORDS) -> Column:
-    """Whether a value can be a person's name: few capitalised words, no digits, no function words, no trailing marks."""
+def name_shape(value: Column, function_words: Sequence[str] | None = None) -> Column:
+    """Whether a value can be a person's name: few capitalised words, no digits, no function words, no trailing marks.
+
+    function_words: words that no name contains, in lower case; by default Spark's own list of English stop words.
+    """
+    if function_words is None:
+        function_words = StopWordsRemover.loadDefaultStopWords("english")
     v = F.trim(value)
     words = F.split(v, r"\s+")
     bare = F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,;:()'"]+|[.,;:()'"]+$""", ""))
-    known = F.array(*map(F.lit, function_words))
+    known = F.array(*map(F.lit, function_words)).cast("array<string>")
     good = F.forall(
         bare,
         lambda w: (w != "") & ~w.rlike(r"\d") & ~F.array_contains(known, F.lower(w)) & (w.rlike(r"^[A-Z]{1,4}$") | w.rlike(r"^[A-Z][A-Za-z'-]*$")),

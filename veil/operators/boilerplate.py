@@ -19,6 +19,12 @@ def sampled(rows: DataFrame, pages: DataFrame, first: int = 1, last: int = 10) -
     return rows.join(spans, "doc_id").filter(F.col("page_no").between(max(1, first), F.least(F.lit(last), F.col("_most")))).drop("_most")
 
 
+def text_zone(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """Words that begin in their page's header or end in its footer."""
+    placed = words.join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"])
+    return placed.filter((F.col("y0") < HEADER) | (F.col("y1") > F.col("height") - FOOTER)).select(words.columns)
+
+
 def text_template(words: DataFrame, share: float = 0.9, least_pages: int = 2, step: float = 1.0) -> DataFrame:
     """doc_id, y, text of words that stand at one height on this share of a document's pages."""
     placed = words.select("doc_id", "page_no", grid(F.col("y0"), step).alias("y"), "text")
@@ -59,12 +65,8 @@ def zone_images(graphics: DataFrame, pages: DataFrame, least: float = 40.0) -> D
     return placed.filter(((middle <= HEADER) | (middle >= F.col("height") - FOOTER)) & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= least)).select(graphics.columns)
 
 
-#: Phrases that close a letter; callers may give their own.
-SIGN_OFFS = ("yours sincerely", "yours faithfully", "kind regards", "best regards", "regards", "sincerely", "faithfully")
-
-
-def signature_zones(lines: DataFrame, pages: DataFrame, phrases: tuple[str, ...] = SIGN_OFFS, above: float = 8.0, below: float = 140.0, share: float = 0.3, gap: float = 5.0) -> DataFrame:
-    """doc_id, page_no, y0, y1 of full-width zones below lines with a closing phrase; zones that come near are one. lines: doc_id, page_no, text, y0, y1."""
+def signature_zones(lines: DataFrame, pages: DataFrame, phrases: tuple[str, ...], above: float = 8.0, below: float = 140.0, share: float = 0.3, gap: float = 5.0) -> DataFrame:
+    """doc_id, page_no, y0, y1 of full-width zones below lines with one of the phrases (those that close a letter, in lower case); zones that come near are one. lines: doc_id, page_no, text, y0, y1."""
     low = F.lower(squeezed(F.col("text")))
     hit = lines.filter(reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in phrases])).join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"])
     top = F.greatest(F.lit(0.0), F.col("y0") - above)

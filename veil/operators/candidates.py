@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,15 +50,20 @@ def difference(now: DataFrame, saved: DataFrame) -> DataFrame:
     return a.join(b, KEY, "full_outer").filter("_now IS NULL OR _saved IS NULL").select(*KEY, F.when(F.col("_saved").isNull(), "add").otherwise("remove").alias("change"))
 
 
-def cleaned_list(values: DataFrame) -> DataFrame:
+def cleaned_list(values: DataFrame, function_words: Sequence[str] | None = None) -> DataFrame:
     """value, kept, n: valid names once each, and the rest with how often they stood there."""
     v = values.select(F.trim("value").alias("value")).filter("value <> ''")
-    return v.groupBy("value").agg(F.count("*").alias("n")).withColumn("kept", name_shape(F.col("value"))).select("value", "kept", F.when(F.col("kept"), 1).otherwise(F.col("n")).cast("bigint").alias("n"))
+    return v.groupBy("value").agg(F.count("*").alias("n")).withColumn("kept", name_shape(F.col("value"), function_words)).select("value", "kept", F.when(F.col("kept"), 1).otherwise(F.col("n")).cast("bigint").alias("n"))
+
+
+def first_removed(cleaned: DataFrame, n: int = 20) -> DataFrame:
+    """value, n of the first values, in order, that cleaning took out."""
+    return cleaned.filter("NOT kept").orderBy("value").limit(n).select("value", "n")
 
 
 @dataclass(frozen=True)
 class Weights:
-    """What adds to a candidate's score, and from which score it counts as sure."""
+    """What adds to a candidate's score, and from which score it counts as sure (fixed values by default)."""
 
     table: int = 4
     email: int = 4

@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EMAIL, LINK, PHONE, name_pattern, normalised, snippet
-from .spans import locate
+from .gazetteer import spans_of_names
+from .spans import SPAN, found, locate
 
+#: Exception phrases up to which one pattern holds them all.
+MOST_PHRASES = 200
 RULES = {"email": EMAIL, "phone": PHONE, "link": LINK}
 
 
-def blanket(docs: DataFrame, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link")) -> DataFrame:
-    """Every match of the rules that are on."""
+def rules_on(emails: bool = True, phones: bool = True, links: bool = True, automated: bool = True) -> tuple[str, ...]:
+    """Which rules a plan runs; without automated detection none."""
+    return tuple(r for r, on in (("email", emails), ("phone", phones), ("link", links)) if on and automated)
+
+
+def scanned(docs: DataFrame, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link")) -> DataFrame:
+    """The documents with an array `spans` of every match of the rules that are on: one pass, no shuffle."""
     rules = rules or RULES
-    return reduce(DataFrame.unionByName, [locate(docs, rules[r], r) for r in on])
+    none = F.array().cast(SPAN)
+    return docs.withColumn("spans", F.concat(none, *[found(F.col("text"), rules[r], r) for r in on]))
+
+
+def blanket(docs: DataFrame, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link")) -> DataFrame:
+    """Every match of the rules that are on, a row for each."""
+    each = scanned(docs, rules, on).select("doc_id", F.explode("spans").alias("_x"))
+    return each.select("doc_id", "_x.rule", "_x.start", "_x.stop", "_x.matched")
 
 
 def listed(docs: DataFrame, values: list[str], rule: str = "listed", bounded: bool = True) -> DataFrame:
-    """Every match of a short list's values; an empty list finds nothing."""
+    """Every match of a short list's values, as one pattern; an empty list finds nothing. Longer lists: gazetteer.spans_of_names."""
     if not values:
         return locate(docs.limit(0), "x", rule)
     pattern = "|".join(f"(?:{name_pattern(v, bounded)})" for v in sorted(set(values), key=lambda v: (-len(v), v)))
@@ -29,16 +43,16 @@ def listed(docs: DataFrame, values: list[str], rule: str = "listed", bounded: bo
 
 
 def curated_or_blanket(docs: DataFrame, values: DataFrame | None, pattern: str, rule: str) -> DataFrame:
-    """With a list of values (even an empty one) only those that are on it, without one all."""
-    found = locate(docs, pattern, rule)
-    return found if values is None else found.join(values.select(F.lower("value").alias("_v")).distinct(), F.lower("matched") == F.col("_v"), "left_semi")
+    """With a list of values (even an empty one) every place of each, whatever the pattern says of it, and nothing else; without a list all that the pattern finds."""
+    return locate(docs, pattern, rule) if values is None else spans_of_names(docs, values, rule)
 
 
-def back_search(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Copies, also inside longer strings, of what was found in a document: doc_id, value, copies."""
-    values = found.select("doc_id", F.col("matched").alias("value")).distinct()
-    n = (F.char_length("text") - F.char_length(F.replace("text", F.col("value"), F.lit("")))) / F.char_length("value")
-    return docs.join(values, "doc_id").select("doc_id", "value", F.floor(n).cast("bigint").alias("copies"))
+def back_search(docs: DataFrame, pattern: str, rule: str) -> DataFrame:
+    """Copies, also inside longer strings, of what a pattern finds in a document: doc_id, value, copies."""
+    values = F.array_distinct(F.transform(found(F.col("text"), pattern, rule), lambda x: x["matched"]))
+    copies = lambda v: F.floor((F.char_length("text") - F.char_length(F.replace("text", v, F.lit("")))) / F.char_length(v)).cast("bigint")
+    each = docs.select("doc_id", F.explode(F.transform(values, lambda v: F.struct(v.alias("value"), copies(v).alias("copies")))).alias("_x"))
+    return each.select("doc_id", "_x.value", "_x.copies")
 
 
 def link_targets(pages: DataFrame, host: str) -> DataFrame:
@@ -47,15 +61,30 @@ def link_targets(pages: DataFrame, host: str) -> DataFrame:
     return uris.filter(F.lower("uri").contains(host.lower()))
 
 
-def name_search(pages: DataFrame, names: list[str], field: str) -> DataFrame:
-    """doc_id, name, field, matched, context for every place of a searched name."""
-    parts = []
-    for name in names:
-        hits = locate(pages.withColumn("_t", normalised(F.col("text"))), name_pattern(name, bounded=False), name, text="_t", carry=("text",))
-        parts.append(hits.select("doc_id", F.col("rule").alias("name"), F.lit(field).alias("field"), "matched", snippet(F.col("text"), F.col("start"), F.col("stop")).alias("context")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def exception_pattern(phrases: list[str]) -> str:
-    """Whole words of any phrase, in any case."""
-    return r"(?iU)\b(?:" + "|".join(re.escape(p) for p in phrases) + r")\b"
+def name_search(rows: DataFrame, names: list[str], field: str | Column) -> DataFrame:
+    """doc_id, name, field, matched, context for every place of a few searched names, in one pass over the rows (doc_id, text)."""
+    plain = normalised(F.col("text"))
+    hits = F.flatten(F.array(*[found(plain, name_pattern(n, bounded=False), n) for n in names]))
+    each = rows.select("doc_id", "text", (F.lit(field) if isinstance(field, str) else field).alias("field"), F.explode(hits).alias("_x"))
+    return each.select("doc_id", F.col("_x.rule").alias("name"), "field", "_x.matched", snippet(F.col("text"), F.col("_x.start"), F.col("_x.stop")).alias("context"))
+
+
+def metadata_search(metadata: DataFrame, names: list[str]) -> DataFrame:
+    """The same over the properties (doc_id, props map) of documents; field is the property's name."""
+    fields = metadata.select("doc_id", F.explode("props").alias("_field", "text")).filter("text IS NOT NULL")
+    return name_search(fields, names, F.col("_field"))
+
+
+def without_exceptions(values: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """Values in which no phrase of a short list stands as whole words, in any case."""
+    phrase = F.concat(F.lit(r"(?iU)\b\Q"), F.replace(F.col("_phrase"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    phrases = [r["_phrase"] for r in exceptions.select(F.trim("value").alias("_phrase")).filter("_phrase <> ''").distinct().limit(MOST_PHRASES + 1).collect()]
+    if len(phrases) > MOST_PHRASES:
+        # A long list is compared phrase by phrase, after a join on the phrase's first word.
+        key = lambda c: F.lower(F.regexp_extract(c, r"[\p{L}\p{N}_]+", 0))
+        own = exceptions.select(F.trim("value").alias("_phrase")).filter("_phrase <> ''").distinct().withColumn("_w", key(F.col("_phrase")))
+        words = values.select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("_w"))
+        hit = words.join(own, "_w").filter(F.regexp_like("value", phrase)).select("value").distinct()
+        return values.join(hit, "value", "left_anti")
+    pattern = r"(?iU)\b(?:" + "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + r")\b"
+    return values.filter(~F.col("value").rlike(pattern)) if phrases else values

@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.validate import name_shape, numeric_noise
 
 
-def whole_names(entities: DataFrame, docs: DataFrame, stop_list: DataFrame, common: DataFrame) -> DataFrame:
+def _lowered(values: DataFrame) -> DataFrame:
+    return values.select(F.lower("value").alias("_s")).distinct()
+
+
+def whole_names(entities: DataFrame, docs: DataFrame, stop_list: DataFrame, common: DataFrame, function_words: Sequence[str] | None = None) -> DataFrame:
     """doc_id, name, sent: spans of people with a proper noun, not followed by a colon, of a name's shape and on neither list."""
     after = entities.join(docs.select("doc_id", F.col("text").alias("_all")), "doc_id").filter(~F.ltrim(F.substring("_all", (F.col("stop") + 1).cast("int"), F.lit(2))).startswith(":"))
     people = after.filter((F.col("label") == "PERSON") & F.exists("tokens", lambda t: t["pos"] == "PROPN"))
-    shaped = people.filter(name_shape(F.col("text")) & ~numeric_noise(F.col("text")))
-    kept = shaped.join(F.broadcast(stop_list.select(F.lower("value").alias("_s")).distinct()), F.lower("text") == F.col("_s"), "left_anti")
+    shaped = people.filter(name_shape(F.col("text"), function_words) & ~numeric_noise(F.col("text")))
+    kept = shaped.join(_lowered(stop_list), F.lower("text") == F.col("_s"), "left_anti")
     alone = common.select(F.lower("value").alias("_c")).distinct()
     return kept.join(alone, (F.lower("text") == F.col("_c")) & ~F.contains(F.col("text"), F.lit(" ")), "left_anti").select("doc_id", F.col("text").alias("name"), "sent")
 
 
-def name_parts(entities: DataFrame, stop_list: DataFrame) -> DataFrame:
+def name_parts(entities: DataFrame, stop_list: DataFrame, function_words: Sequence[str] | None = None) -> DataFrame:
     """doc_id, name, sent: proper nouns inside spans of people that are names by themselves; initials alone are left out."""
     each = entities.filter("label = 'PERSON'").select("doc_id", "sent", F.explode("tokens").alias("t")).filter("t.pos = 'PROPN'").select("doc_id", F.col("t.text").alias("name"), "sent")
-    good = each.filter(name_shape(F.col("name")) & ~numeric_noise(F.col("name")) & ~F.col("name").rlike(r"^[A-Z]\.?$"))
-    return good.join(F.broadcast(stop_list.select(F.lower("value").alias("_s")).distinct()), F.lower("name") == F.col("_s"), "left_anti")
+    good = each.filter(name_shape(F.col("name"), function_words) & ~numeric_noise(F.col("name")) & ~F.col("name").rlike(r"^[A-Z]\.?$"))
+    return good.join(_lowered(stop_list), F.lower("name") == F.col("_s"), "left_anti")
+
+
+def cleaned_up(names: DataFrame, safe: DataFrame | None = None) -> DataFrame:
+    """Names (doc_id, name, sent) without single letters; initials of a list (value) that are safe though short are names of every document with another name."""
+    kept = names.filter(~F.col("name").rlike(r"^[A-Z]\.?$"))
+    if safe is None:
+        return kept
+    # One row for each document and initial: the list is a person's, and short.
+    own = [r["value"] for r in safe.select("value").distinct().limit(1001).collect()]
+    if len(own) > 1000:
+        raise ValueError("a list of over 1000 safe initials")
+    more = kept.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("name"), F.lit("").alias("sent"))
+    return kept.unionByName(more)
 
 
 def contexts(names: DataFrame, cut: int = 200) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.validate import phone_shape
 
-#: What the gate takes for an address and for a number.
-ADDRESS = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+#: What the gate takes for an address (from where a run of its characters begins, or the last match ended) and for a number.
+ADDRESS = r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]+\.[\w.-]+"
 NUMBER = r"\+?[0-9][0-9\-. ()]{6,}[0-9]"
 
 

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cleaned
+from ..functions.arrays import let, running
+from ..functions.text import cleaned, normalised
 
 
 #: Runs of ASCII letters or digits, and single other marks.
 RUNS = r"[0-9a-z]+|[^\s0-9a-z]"
 
 
+#: Names of a list up to which it is broadcast, after it is counted: some tens of MB. Longer lists are joined by a shuffle.
+BROADCAST_NAMES = 200_000
+
+
+def _small(names: DataFrame) -> DataFrame:
+    return F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
+
+
 def lengths(names: DataFrame, each: Column) -> list[int]:
     """The numbers that `each` (an array) gives over a list: a small set, however long the list is."""
     return sorted(r["n"] for r in names.select(F.explode(each).alias("n")).distinct().collect())
@@ -25,35 +34,67 @@ def tokens(docs: DataFrame) -> DataFrame:
 def single(docs: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, i, name: tokens that are one-word names."""
     keys = names.select(F.lower("value").alias("token"), F.col("value").alias("name")).filter("NOT contains(token, ' ')").dropDuplicates(["token"])
-    return tokens(docs).filter("token <> ''").join(keys, "token").select("doc_id", "i", "name")
+    return tokens(docs).filter("token <> ''").join(_small(keys), "token").select("doc_id", "i", "name")
 
 
 def ngrams(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, i, n, name: n neighbouring tokens (2 or more, as many as names of the list have) that make up a name."""
+    """doc_id, i, n, name: n neighbouring tokens (2 or more, as many as names of the list have) that make up a name.
+
+    A token goes on with those after it only if a name begins with it.
+    """
     keys = names.select(F.lower("value").alias("gram"), F.col("value").alias("name")).filter("contains(gram, ' ')").dropDuplicates(["gram"])
     counts = lengths(keys, F.array(F.size(F.split("gram", " "))))
+    if not counts:
+        return docs.select("doc_id", F.lit(1).alias("i"), F.lit(1).alias("n"), F.lit("").alias("name")).limit(0)
     lists = docs.select("doc_id", F.transform(F.split("text", r"[ \t\n\r]+"), cleaned).alias("_ts"))
-    starts = lists.select("doc_id", "_ts", F.explode(F.array(*map(F.lit, counts)).cast("array<int>")).alias("n")).filter("size(_ts) >= n")
-    grams = starts.select("doc_id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_ts") - F.col("n") + 1), lambda i: F.slice("_ts", i, F.col("n")))).alias("i", "_g"))
-    solid = grams.filter(~F.array_contains("_g", "")).select("doc_id", "i", "n", F.array_join("_g", " ").alias("gram"))
-    return solid.join(keys, "gram").select("doc_id", "i", "n", "name")
-
-
-def runs(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, i, m, name: names by runs of letters and digits, however they are glued to punctuation.
-
-    A text is cut into runs of ASCII letters or digits and single other marks;
-    m neighbouring ones joined without blanks are looked up among names without
-    blanks, for every m from 1 to 4 and those that a name of the list has, with
-    its blanks or without. A bounded name starts and ends at the ends of runs, so
-    none is lost.
+    each = lists.select("doc_id", F.posexplode(F.transform("_ts", lambda t, i: F.struct(t.alias("t"), F.slice("_ts", i + 1, F.lit(counts[-1])).alias("ts")))).alias("i", "_x"))
+    first = keys.select(F.substring_index("gram", " ", 1).alias("_first")).distinct()
+    begun = each.join(_small(first), F.col("_x.t") == F.col("_first"), "left_semi")
+    grams = begun.select("doc_id", "i", F.explode(F.array(*map(F.lit, counts)).cast("array<int>")).alias("n"), "_x.ts").filter("size(ts) >= n")
+    solid = grams.select("doc_id", "i", "n", F.slice("ts", F.lit(1), F.col("n")).alias("_g")).filter(~F.array_contains("_g", ""))
+    return solid.select("doc_id", "i", "n", F.array_join("_g", " ").alias("gram")).join(_small(keys), "gram").select("doc_id", "i", "n", "name")
+
+
+def runs(docs: DataFrame, names: DataFrame, places: bool = False) -> DataFrame:
+    """doc_id, i, m, (places: start, stop, matched in lower case,) name: names by runs of letters and digits, however they are glued to punctuation.
+
+    A text (in ASCII punctuation) is cut into runs of ASCII letters or digits and
+    single other marks; m neighbouring ones joined without blanks are looked up
+    among names without blanks, for every m that a name of the list has, with
+    its blanks or without, and 1 to 4. A bounded name starts and ends at the ends
+    of runs, so none is lost.
     """
     size = lambda v: F.size(F.regexp_extract_all(F.lower(v), F.lit(RUNS), F.lit(0)))
-    glued = F.regexp_replace("value", r"\s+", "")
-    counts = sorted({1, 2, 3, 4}.union(lengths(names.filter(size(glued) > 0), F.sequence(size(glued), size(F.col("value"))))))
-    keys = names.select(F.lower(F.regexp_replace("value", r"\s+", "")).alias("key"), F.col("value").alias("name")).dropDuplicates(["key"])
-    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(RUNS), F.lit(0))).alias("i", "t"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    ahead = cut.select("doc_id", "i", F.array(F.col("t"), *[F.lead("t", k).over(order) for k in range(1, counts[-1])]).alias("ts"))
-    each = ahead.select("doc_id", "i", "ts", F.explode(F.array(*map(F.lit, counts))).alias("m")).filter(F.element_at("ts", F.col("m")).isNotNull())
-    return each.select("doc_id", "i", "m", F.array_join(F.slice("ts", F.lit(1), F.col("m")), "").alias("key")).join(keys, "key").select("doc_id", "i", "m", "name")
+    plain = names.select("value", normalised(F.col("value")).alias("_v"))
+    glued = F.regexp_replace("_v", r"\s+", "")
+    counts = sorted({1, 2, 3, 4}.union(lengths(plain.filter(size(glued) > 0), F.sequence(size(glued), size(F.col("_v"))))))
+    keys = plain.select(F.lower(glued).alias("key"), F.col("value").alias("name")).filter("key <> ''").dropDuplicates(["key"])
+    text = normalised(F.col("text"))
+    hits = F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0))
+    pieces = F.arrays_zip(F.split(F.lower(text), RUNS, -1).alias("gap"), hits.alias("t"))
+
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x, lambda y: (F.char_length(y["gap"]) + F.coalesce(F.char_length(y["t"]), F.lit(0))).cast("bigint")), lambda a, n: a + n)
+        return F.filter(F.zip_with(x, F.slice(ends, F.lit(2), F.size(ends)), lambda y, z: F.struct(y["t"].alias("t"), y["gap"].alias("gap"), z.alias("z"))), lambda y: y["t"].isNotNull())
+
+    def grams(rs: Column) -> Column:
+        def each(r: Column, i: Column) -> Column:
+            ahead = lambda k: r if k == 0 else F.get(rs, i + k)
+            t = (lambda k: ahead(k)["t"]) if places else ahead
+            more = lambda m: [(r["z"] - F.char_length(r["t"])).alias("start"), ahead(m - 1)["z"].alias("stop"), F.concat(r["t"], *[x for k in range(1, m) for x in (ahead(k)["gap"], t(k))]).alias("matched")]
+            return F.array(*[F.struct(i.alias("i"), F.lit(m).alias("m"), F.concat(*map(t, range(m))).alias("key"), *(more(m) if places else [])) for m in counts])
+
+        return F.flatten(F.transform(rs, each))
+
+    found = docs.select("doc_id", F.explode(let(let(pieces, placed) if places else hits, grams)).alias("_x")).filter("_x.key IS NOT NULL").select("doc_id", "_x.*")
+    return found.join(_small(keys), "key").select("doc_id", "i", "m", *(["start", "stop", "matched"] if places else []), "name")
+
+
+def spans_of_names(docs: DataFrame, names: DataFrame, rule: str = "name") -> DataFrame:
+    """doc_id, rule, start, stop, matched of a list's values, of any kind and however many: what a bounded pattern for each would find."""
+    hits = runs(docs, names, places=True)
+    # Blanks may stand between a value's parts, as many as there are, and nowhere else.
+    words = lambda v: F.split(F.trim(F.lower(v)), r"\s+")
+    stops = lambda ws: F.transform(ws, lambda w, i: F.char_length(F.array_join(F.slice(ws, F.lit(1), i + 1), "")))
+    parted = F.size(F.array_except(stops(words(F.col("matched"))), stops(words(normalised(F.col("name")))))) == 0
+    return hits.filter(parted).select("doc_id", F.lit(rule).alias("rule"), "start", "stop", "matched").distinct()

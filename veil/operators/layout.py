@@ -5,36 +5,25 @@ words: doc_id, page_no, line_no, word_no, text, x0, y0, x1, y1.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running
 from ..functions.text import EMAIL, grid
 from ..functions.validate import name_shape, numeric_noise
 
-#: Words of headings that are not about a person; callers may give their own.
-THINGS = ("technology", "product", "supplier", "company", "project", "file", "device", "software", "account", "document", "program", "database", "class", "funding", "body")
-
 
 def lay_out(docs: DataFrame, char_width: float = 6.0, leading: float = 12.0, lines_per_page: int = 50) -> DataFrame:
     """Words of plain texts as they would stand in a fixed-width layout: lines from newlines, words from blanks."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_l", "_line"))
     # A word's column follows from the lengths of the words and single blanks before it.
-    words = lines.select("doc_id", "_l", F.split("_line", " ", -1).alias("_ws")).select(
-        "doc_id",
-        "_l",
-        F.explode(
-            F.aggregate(
-                "_ws",
-                F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<struct<no:int,at:int,text:string>>").alias("out")),
-                lambda a, w: F.struct((a["at"] + F.char_length(w) + 1).alias("at"), (a["no"] + 1).alias("no"), F.concat(a["out"], F.array(F.struct(a["no"].alias("no"), a["at"].alias("at"), w.alias("text")))).alias("out")),
-                lambda a: a["out"],
-            )
-        ).alias("_w"),
-    )
+    placed = lambda ws: F.zip_with(F.transform(ws, lambda w, i: F.struct(i.alias("no"), w.alias("text"))), running(F.transform(ws, lambda w: (F.char_length(w) + 1).cast("bigint")), lambda a, x: a + x), lambda w, at: F.when(w["text"] != "", F.struct(w["no"], at.alias("at"), w["text"])))
+    words = lines.select("doc_id", "_l", F.explode(let(F.split("_line", " ", -1), placed)).alias("_w"))
     y0 = (F.col("_l") % lines_per_page) * F.lit(leading)
-    return words.filter("_w.text <> ''").select(
+    return words.filter("_w IS NOT NULL").select(
         "doc_id",
         (F.floor(F.col("_l") / lines_per_page) + 1).cast("int").alias("page_no"),
         F.col("_l").alias("line_no"),
@@ -76,11 +65,13 @@ def _rows(words: DataFrame, step: float) -> DataFrame:
 def _about_things(text: Column, order: Window, things: tuple[str, ...]) -> Column:
     """Whether a word or one of the two before it in its row is about a thing."""
     has = lambda c: reduce(Column.__or__, [F.coalesce(F.lower(c).contains(t), F.lit(False)) for t in things])
+    if not things:
+        return F.lit(False)
     return has(text) | has(F.lag(text, 1).over(order)) | has(F.lag(text, 2).over(order))
 
 
-def label_names(words: DataFrame, label: str = "name", step: float = 3.0, most: int = 4, things: tuple[str, ...] = THINGS) -> DataFrame:
-    """doc_id, page_no, row, name after a word that ends in a colon and holds the label; the value ends where the next label begins."""
+def label_names(words: DataFrame, label: str = "name", step: float = 3.0, most: int = 4, things: tuple[str, ...] = (), function_words: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, page_no, row, name after a word that ends in a colon and holds the label; the value ends where the next label begins. things: parts of words that tell a label of something else than a person, if they stand in it or in the two words before."""
     order = Window.partitionBy("doc_id", "page_no", "row").orderBy("x0", "word_no")
     r = _rows(words, step)
     nxt = [F.lead("text", k).over(order) for k in range(1, most + 2)]
@@ -90,10 +81,10 @@ def label_names(words: DataFrame, label: str = "name", step: float = 3.0, most:
     # A label may have two words, so the value stops two words before a colon.
     taken = reduce(lambda a, k: a.when(F.get("_next", k).isNull() | colon(k) | colon(k + 1), k), range(1, most), F.when(F.get("_next", 0).isNull() | colon(0) | colon(1), 0)).otherwise(most)
     value = hits.withColumn("name", F.array_join(F.slice("_next", F.lit(1), taken), " "))
-    return value.filter((F.col("name") != "") & name_shape(F.col("name")) & ~numeric_noise(F.col("name"))).select("doc_id", "page_no", "row", "name")
+    return value.filter((F.col("name") != "") & name_shape(F.col("name"), function_words) & ~numeric_noise(F.col("name"))).select("doc_id", "page_no", "row", "name")
 
 
-def table_names(words: DataFrame, header: str = "name", step: float = 3.0, gap: float = 20.0, most_rows: int = 25, reach: float = 350.0, default_width: float = 150.0, things: tuple[str, ...] = THINGS) -> DataFrame:
+def table_names(words: DataFrame, header: str = "name", step: float = 3.0, gap: float = 20.0, most_rows: int = 25, reach: float = 350.0, default_width: float = 150.0, things: tuple[str, ...] = (), function_words: Sequence[str] | None = None) -> DataFrame:
     """doc_id, page_no, row, name of cells below a column heading that holds `header`."""
     order = Window.partitionBy("doc_id", "page_no", "row").orderBy("x0", "word_no")
     whole = Window.partitionBy("doc_id", "page_no", "row")
@@ -108,4 +99,4 @@ def table_names(words: DataFrame, header: str = "name", step: float = 3.0, gap:
     below = _rows(words, step).join(heads, (F.col("doc_id") == F.col("_d")) & (F.col("page_no") == F.col("_p")) & (F.col("row") > F.col("_row")) & (F.col("row") <= F.col("_row") + reach))
     ranked = below.withColumn("_k", F.dense_rank().over(Window.partitionBy("_d", "_p", "_row").orderBy("row"))).filter((F.col("_k") <= most_rows) & (F.col("x0") >= F.col("_a")) & (F.col("x0") < F.col("_z")))
     cells = ranked.groupBy("doc_id", "page_no", "_row", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_no", "text"))), lambda x: x["text"]), " ").alias("name"))
-    return cells.filter(name_shape(F.col("name")) & ~numeric_noise(F.col("name"))).select("doc_id", "page_no", "row", "name").distinct()
+    return cells.filter(name_shape(F.col("name"), function_words) & ~numeric_noise(F.col("name"))).select("doc_id", "page_no", "row", "name").distinct()

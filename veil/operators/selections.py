@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import clamped
 from .spans import locate
 
 
@@ -20,15 +21,16 @@ def full_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     return pages.join(pages_of(specs), ["doc_id", "page_no"], "left_semi").select("doc_id", "page_no", F.lit("page").alias("rule"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1"))
 
 
-def rectangles(selections: DataFrame, pages: DataFrame) -> DataFrame:
-    """Rectangles of selections (rects in shares of the page) in points, corners in order; pages that are not there and incomplete rectangles go."""
+def rectangles(selections: DataFrame, pages: DataFrame, least: float = 0.0) -> DataFrame:
+    """Rectangles of selections (rects in shares of the page) in points, corners in order, cut at the page's sides; pages that are not there, incomplete rectangles and those with a side shorter than `least` points go."""
     each = selections.select("doc_id", "page_no", F.explode("rects").alias("r")).join(pages.select("doc_id", "page_no", "width", "height"), ["doc_id", "page_no"])
     whole = each.filter("r.x0 IS NOT NULL AND r.y0 IS NOT NULL AND r.x1 IS NOT NULL AND r.y1 IS NOT NULL")
-    return whole.select(
-        "doc_id", "page_no", F.lit("manual").alias("rule"),
+    placed = whole.select(
+        "doc_id", "page_no", "width", "height", F.lit("manual").alias("rule"),
         (F.least("r.x0", "r.x1") * F.col("width")).alias("x0"), (F.least("r.y0", "r.y1") * F.col("height")).alias("y0"),
         (F.greatest("r.x0", "r.x1") * F.col("width")).alias("x1"), (F.greatest("r.y0", "r.y1") * F.col("height")).alias("y1"),
-    )
+    ).withColumns(clamped())
+    return placed.filter((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least)).drop("width", "height")
 
 
 def global_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -5,25 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LABEL
+from ..functions.arrays import characters, let, running
+from ..functions.text import LABEL, quick
 
 
-def locate(docs: DataFrame, pattern: str | Column, rule: str, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, carry..., rule, start, stop, matched of every match, left to right without overlaps.
+SPAN = "array<struct<start:bigint,stop:bigint,rule:string,matched:string>>"
+
+
+def found(text: Column, pattern: str | Column, rule: str | Column) -> Column:
+    """start, stop, rule, matched of every match in a text, left to right without overlaps, as an array.
 
     There is no built-in that gives places: the gaps between matches come from
-    split(), the matches from regexp_extract_all(), and their running lengths
-    are summed in a window over the document's own matches, so a document with
-    many matches costs no more than they are.
+    split(), the matches from regexp_extract_all(), and places are their running
+    lengths.
     """
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    rows = docs.select("doc_id", *carry, F.split(F.col(text), p, -1).alias("_gaps"), F.regexp_extract_all(F.col(text), p, F.lit(0)).alias("_hits"))
-    each = rows.filter("size(_hits) > 0").withColumn("_at", F.monotonically_increasing_id()).select(
-        "doc_id", *carry, "_at", F.posexplode(F.arrays_zip(F.slice("_gaps", F.lit(1), F.size("_hits")).alias("gap"), F.col("_hits").alias("hit"))).alias("_i", "_x")
-    )
-    before = Window.partitionBy("_at").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = F.sum(F.char_length("_x.gap") + F.char_length("_x.hit")).over(before)
-    return each.select("doc_id", *carry, F.lit(rule).alias("rule"), (stop - F.char_length("_x.hit")).alias("start"), stop.alias("stop"), F.col("_x.hit").alias("matched"))
+    p = F.lit(quick(pattern)) if isinstance(pattern, str) else pattern
+    r = F.lit(rule) if isinstance(rule, str) else rule
+    pieces = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"))
+
+    def placed(x: Column) -> Column:
+        before = running(F.transform(x, lambda y: (F.char_length(y["gap"]) + F.coalesce(F.char_length(y["hit"]), F.lit(0))).cast("bigint")), lambda a, n: a + n)
+        spans = F.zip_with(x, before, lambda y, at: F.struct((at + F.char_length(y["gap"])).alias("start"), (at + F.char_length(y["gap"]) + F.char_length(y["hit"])).alias("stop"), r.alias("rule"), y["hit"].alias("matched")))
+        return F.filter(spans, lambda y: y["matched"].isNotNull()).cast(SPAN)
+
+    return F.when(F.regexp_like(text, p), let(pieces, placed)).otherwise(F.array().cast(SPAN))
+
+
+def locate(docs: DataFrame, pattern: str | Column, rule: str, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carry..., rule, start, stop, matched of every match, left to right without overlaps."""
+    each = docs.select("doc_id", *carry, F.explode(found(F.col(text), pattern, rule)).alias("_x"))
+    return each.select("doc_id", *carry, "_x.rule", "_x.start", "_x.stop", "_x.matched")
+
+
+def united(spans: Column) -> Column:
+    """start, stop of the unions of overlapping or touching spans of one text, in order."""
+
+    def joined(s: Column) -> Column:
+        return let(
+            running(F.transform(s, lambda x: x["stop"]), F.greatest),  # how far the spans before each reach
+            lambda reach: let(
+                F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] > F.get(reach, i)), i)), lambda i: i.isNotNull()),
+                lambda firsts: F.transform(firsts, lambda i, k: F.struct(F.get(s, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(firsts, k + 1), F.size(s))).alias("stop"))),
+            ),
+        )
+
+    return let(F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))), joined)
+
+
+def redacted_text(text: Column, spans: Column, label: str = LABEL) -> Column:
+    """A text with the characters of every span replaced by the label."""
+
+    def cut(s: Column, c: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(s, i)["stop"], F.lit(0)).cast("int")
+        kept = F.transform(s, lambda x, i: F.concat(F.array_join(F.slice(c, end(i - 1) + 1, x["start"].cast("int") - end(i - 1)), ""), F.lit(label)))
+        return F.concat(F.array_join(kept, ""), F.array_join(F.slice(c, end(F.size(s) - 1) + 1, F.size(c)), ""))
+
+    return F.when(F.size(spans) > 0, let(united(spans), lambda s: let(characters(text), lambda c: cut(s, c)))).otherwise(text)
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -41,12 +78,7 @@ def without(spans: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, spans: DataFrame, label: str = LABEL) -> DataFrame:
-    """The documents with every span's characters replaced by the label; a document without spans as it is."""
-    per_doc = merged(spans).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    """The documents with every span's characters replaced by the label; a document without spans as it is. Rows that share a doc_id share spans."""
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     joined = docs.join(per_doc, "doc_id", "left")
-    s = F.col("_spans")
-    # What is kept before each span begins where the last one stopped.
-    kept = F.transform(s, lambda x, i: F.substring(F.col("text"), (F.coalesce(F.get(s, i - 1)["stop"], F.lit(0)) + 1).cast("int"), (x["start"] - F.coalesce(F.get(s, i - 1)["stop"], F.lit(0))).cast("int")))
-    tail = F.substring(F.col("text"), (F.element_at(s, -1)["stop"] + 1).cast("int"), F.lit(2**31 - 1))
-    text = F.when(s.isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform(kept, lambda k: F.concat(k, F.lit(label))), ""), tail))
-    return joined.withColumn("text", text).select(docs.columns)
+    return joined.withColumn("text", redacted_text(F.col("text"), F.coalesce("_spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")), label)).select(docs.columns)

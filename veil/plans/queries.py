@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.validate import FUNCTION_WORDS, kind_of, name_shape, numeric_noise, phone_shape
+from ..functions.validate import kind_of, name_shape, numeric_noise, phone_shape
 from ..operators import boilerplate, candidates, detect, entities, gate, gazetteer, layout, selections, spans
 from ..sources import lists
-from ..streaming.stream import mask_stream
-from . import redact
+from ..streaming.stream import candidate_stream, mask_stream
+from . import extract, redact, redact_layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; where spark.checkpoint.dir is unset (a local session only) one of this machine's."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-veil-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -94,7 +104,7 @@ def merge_spans(spark, sf_dir):
 SELECT doc_id, value, CAST((length(text) - length(replace(text, value, ''))) // length(value) AS BIGINT) AS copies FROM v JOIN documents USING (doc_id)""")
 def back_search(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    return detect.back_search(docs, detect.blanket(docs, on=("email",)))
+    return detect.back_search(docs, t.EMAIL, "email")
 
 
 @query("""SELECT page_id, uri FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS uri FROM pages) WHERE contains(lower(uri), '/the')""")
@@ -117,7 +127,7 @@ def mask_text(spark, sf_dir):
 @query(f"WITH {_spans_sql(RULES)}, {_MERGED.format(of='sp')}, {_REDACTED} SELECT doc_id, md5(text) AS digest, CAST(length(text) AS BIGINT) AS chars FROM red")
 def redact_spans(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    return redact.redact(docs, redact.detections(docs, rules=RULES)).select("doc_id", F.md5("text").alias("digest"), F.char_length("text").cast("bigint").alias("chars"))
+    return redact.redact_all(docs, rules=RULES).select("doc_id", F.md5("text").alias("digest"), F.char_length("text").cast("bigint").alias("chars"))
 
 
 @query(f"""WITH {_spans_sql(RULES)}, {_MERGED.format(of='sp')},
@@ -126,14 +136,14 @@ m AS (SELECT doc_id, CAST(sum(stop - start) AS BIGINT) AS masked_chars FROM mrg
 SELECT c.*, masked_chars, CAST(length(text) AS BIGINT) AS chars FROM c JOIN m USING (doc_id) JOIN documents USING (doc_id)""")
 def report(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    return redact.report(docs, redact.detections(docs, rules=RULES))
+    return redact.report(docs, rules=RULES)
 
 
 @query(f"""WITH {_spans_sql(RULES)}, {_MERGED.format(of='sp')}, {_REDACTED}, {_spans_sql(RULES, 'red', 'lk')}
 SELECT doc_id, rule, matched, CAST(count(*) AS BIGINT) AS n FROM lk GROUP BY doc_id, rule, matched""")
 def leak_check(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    clean = redact.redact(docs, redact.detections(docs, rules=RULES))
+    clean = redact.redact_all(docs, rules=RULES)
     return redact.leaks(clean, rules=RULES).groupBy("doc_id", "rule", "matched").agg(F.count("*").alias("n"))
 
 
@@ -147,12 +157,12 @@ _TOKENS = r"""tk AS (SELECT doc_id, unnest(range(len(ts))) AS i, lower(regexp_re
 
 def capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = docs_of(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("value"))
-    return words.groupBy("value").count().filter(F.col("count") >= OFTEN).select("value")
+    return words.groupBy("value").count().filter(F.col("count") >= OFTEN).select("value").persist()  # a list that its query reads several times
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = docs_of(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [a-z]+"), F.lit(0))).alias("value"))
-    return words.groupBy("value").count().filter(F.col("count") >= OFTEN).select("value")
+    return words.groupBy("value").count().filter(F.col("count") >= OFTEN).select("value").persist()  # a list that its query reads several times
 
 
 _PAIRS = f"pr AS (SELECT w AS value FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+')) AS w FROM documents) GROUP BY w HAVING count(*) >= {OFTEN})"
@@ -180,7 +190,14 @@ def gazetteer_runs(spark, sf_dir):
 
 
 _WORDS = r"wd AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \t\n\r]+')) AS value FROM documents)"
-_FUNCTION = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+#: Words that stand in half of the benchmark's items or more are its function words: of an item's words on average, at most twice as many.
+_FUNCTION = "SELECT w FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM benchmark) GROUP BY w HAVING 2 * count(*) >= (SELECT count(*) FROM benchmark)"
+
+
+def function_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    items = table(spark, sf_dir, "benchmark")
+    words = items.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
+    return sorted(r["w"] for r in words.groupBy("w").count().filter(2 * F.col("count") >= items.count()).collect())
 
 
 @query(rf"""WITH {_WORDS}, b AS (SELECT value, regexp_replace(value, '^[.,;:()''"]+|[.,;:()''"]+$', '', 'g') AS w FROM wd WHERE value <> '')
@@ -189,7 +206,7 @@ SELECT value, length(value) <= 22 AND NOT regexp_matches(value, '[,;():]$') AND
   NOT regexp_matches(value, '\p{{L}}') OR regexp_matches(value, '\p{{N}}') OR regexp_matches(value, ':\s*$') AS noise FROM b""")
 def name_and_noise(spark, sf_dir):
     words = docs_of(spark, sf_dir).select(F.explode(F.split("text", r"[ \t\n\r]+")).alias("value")).filter("value <> ''").distinct()
-    return words.select("value", name_shape(F.col("value")).alias("is_name"), numeric_noise(F.col("value")).alias("noise"))
+    return words.select("value", name_shape(F.col("value"), function_words(spark, sf_dir)).alias("is_name"), numeric_noise(F.col("value")).alias("noise"))
 
 
 @query(rf"""WITH {_spans_sql({'email': t.EMAIL, 'phone': t.PHONE})}, v AS (SELECT DISTINCT matched AS value FROM sp), n AS (SELECT value, length(regexp_replace(value, '[^0-9]', '', 'g')) AS n FROM v)
@@ -296,7 +313,7 @@ k AS (SELECT *, length(value) <= 22 AND NOT regexp_matches(value, '[,;():]$') AN
   AND (regexp_matches(w, '^[A-Z]{{1,4}}$') OR regexp_matches(w, '^[A-Z][A-Za-z''-]*$')) AS kept FROM b)
 SELECT value, kept, CAST(CASE WHEN kept THEN 1 ELSE n END AS BIGINT) AS n FROM k""")
 def clean_list(spark, sf_dir):
-    return candidates.cleaned_list(docs_of(spark, sf_dir).select(F.explode(F.split("text", r"[ \t\n\r]+")).alias("value")))
+    return candidates.cleaned_list(docs_of(spark, sf_dir).select(F.explode(F.split("text", r"[ \t\n\r]+")).alias("value")), function_words(spark, sf_dir))
 
 
 # --- layout ------------------------------------------------------------------
@@ -422,7 +439,7 @@ def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, name, min(substr(sent, 1, 200)) AS context FROM pa WHERE lower(name) NOT IN ({_FUNCTION}) AND length(name) > 1 AND length(name) <= 22 AND lower(name) NOT IN (SELECT s FROM st) GROUP BY doc_id, name""")
 def entity_parts(spark, sf_dir):
     stop = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
-    return entities.contexts(entities.name_parts(recognised(spark, sf_dir), stop))
+    return entities.contexts(entities.name_parts(recognised(spark, sf_dir), stop, function_words(spark, sf_dir)))
 
 
 _PAGES = "cp AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_no FROM conversations), "
@@ -463,14 +480,15 @@ def meta_scrub(spark, sf_dir):
     return clean.select("doc_id", F.col("props")["title"].alias("title"), F.col("props")["producer"].alias("producer"), "xmp", F.size("attachments").cast("bigint").alias("attachments")).join(redact.layers_audit(meta), "doc_id")
 
 
-@query(r"""WITH cut AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''), fresh AS (SELECT * FROM cut WHERE doc_id % 2 = 1),
+@query(r"""WITH cut AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''), fresh AS (SELECT * FROM cut WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = cut.doc_id AND string_split(d.text, chr(10))[1] = cut.line)),
 a AS (SELECT doc_id, 'email' AS rule, rtrim(unnest(regexp_extract_all(line, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.-]+')), '.') AS value FROM fresh),
 n AS (SELECT doc_id, 'phone' AS rule, unnest(regexp_extract_all(line, '\+?[0-9][0-9\-. ()]{6,}[0-9]')) AS value FROM fresh), d AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS k FROM n)
 SELECT DISTINCT doc_id, rule, value FROM a WHERE lower(string_split(value, '@')[-1]) <> 'example.com'
 UNION SELECT doc_id, rule, value FROM d WHERE k BETWEEN 7 AND 15 AND NOT regexp_matches(value, '^(19|20)[0-9]{2}-[0-9]+$') AND (starts_with(value, '+') OR regexp_matches(value, '[-. ()]') OR k >= 9)""")
 def gate_content(spark, sf_dir):
+    """The gate over all documents: the earlier state is each one's first line."""
     docs = docs_of(spark, sf_dir)
-    return gate.content(gate.new_lines(docs, docs.filter("doc_id % 2 = 0")))
+    return gate.content(gate.new_lines(docs, docs.withColumn("text", F.substring_index("text", "\n", 1))))
 
 
 @query(rf"""WITH cut AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
@@ -499,9 +517,151 @@ def stream_mask(spark, sf_dir):
 
     The table may be a file or a folder of files; a pattern reads either.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-veil-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared_folder(spark, "stream")
     schema = table(spark, sf_dir, "documents").schema
     run = mask_stream(spark, f"{sf_dir}/documents.parque[t]", schema, f"{out}/data", f"{out}/state", tuple(RULES.values()))
     run.awaitTermination()
     return spark.read.parquet(f"{out}/data").select("doc_id", F.md5("text").alias("digest"))
+
+
+# --- lists, curation and what a search tells ----------------------------------
+
+
+@query(f"""WITH {_CAPS}, lo AS (SELECT doc_id, lower(text) AS text FROM documents), {_spans_sql({'run': '[0-9a-z]+'}, 'lo')}
+SELECT doc_id, matched AS value, CAST(count(*) AS BIGINT) AS n, CAST(sum(start) AS BIGINT) AS places FROM sp WHERE matched IN (SELECT lower(value) FROM cap) GROUP BY doc_id, matched""")
+def curated_values(spark, sf_dir):
+    """Every place of a list's values."""
+    found = detect.curated_or_blanket(docs_of(spark, sf_dir), capitals(spark, sf_dir), t.EMAIL, "name")
+    return found.groupBy("doc_id", F.col("matched").alias("value")).agg(F.count("*").alias("n"), F.sum("start").alias("places"))
+
+
+_MASKED_DOCS = f"md AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{t.EMAIL}', 'REDACTED', 'g'), '{t.PHONE}', 'REDACTED', 'g'), '{LINK}', 'REDACTED', 'g') AS text FROM documents)"
+
+
+@query(rf"""WITH {_PAIRS}, k AS (SELECT lower(regexp_replace(value, '\s+', '', 'g')) AS key, min(lower(value)) AS value FROM pr GROUP BY 1), {_MASKED_DOCS},
+fl AS (SELECT doc_id, 'text' AS field, text FROM md UNION ALL SELECT page_id, 'html', html FROM pages UNION ALL SELECT page_id, 'url', url FROM pages),
+r AS (SELECT doc_id, field, unnest(range(len(ts))) AS i, ts FROM (SELECT doc_id, field, regexp_extract_all(lower(text), '[0-9a-z]+|[^\s0-9a-z]') AS ts FROM fl)),
+e AS (SELECT doc_id, field, array_to_string(ts[i + 1:i + m], '') AS key FROM r, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m <= len(ts))
+SELECT doc_id, field, key AS value, CAST(count(*) AS BIGINT) AS n FROM e JOIN k USING (key) GROUP BY ALL""")
+def survivors(spark, sf_dir):
+    """Listed names that still stand in masked texts, and in the properties of pages."""
+    docs = docs_of(spark, sf_dir).withColumn("text", t.masked(F.col("text"), tuple(RULES.values())))
+    meta = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.create_map(F.lit("html"), "html", F.lit("url"), "url").alias("props"))
+    left = redact.survivors(docs, pairs(spark, sf_dir), meta)
+    return left.groupBy("doc_id", "field", F.lower(F.regexp_replace("value", r"\s+", "")).alias("value")).agg(F.sum("n").alias("n"))
+
+
+_SEARCH = r"""ht AS (SELECT doc_id, 'the of' AS name, 'text' AS field, unnest(regexp_extract_all(text, '(?i)the\s*of')) AS matched FROM documents
+UNION ALL SELECT page_id, 'example.net', 'url', unnest(regexp_extract_all(url, '(?i)example\\.net')) FROM pages UNION ALL SELECT page_id, 'the of', 'html', unnest(regexp_extract_all(html, '(?i)the\s*of')) FROM pages)"""
+
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["the of", "example.net"]
+    meta = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.create_map(F.lit("html"), "html", F.lit("url"), "url").alias("props"))
+    return detect.name_search(docs_of(spark, sf_dir), names, "text").unionByName(detect.metadata_search(meta, names))
+
+
+@query(f"WITH {_SEARCH} SELECT name, count(DISTINCT doc_id) AS docs, CAST(count(*) AS BIGINT) AS n FROM ht GROUP BY name")
+def names_found(spark, sf_dir):
+    return extract.found_summary(searched(spark, sf_dir))
+
+
+@query(f"""WITH {_SEARCH} SELECT name, doc_id, CAST(count(*) FILTER (field = 'text') AS BIGINT) AS in_text, CAST(count(*) FILTER (field <> 'text') AS BIGINT) AS in_metadata,
+coalesce(string_agg(matched, '|' ORDER BY matched) FILTER (field = 'text'), '') AS matched FROM ht GROUP BY name, doc_id""")
+def names_by_file(spark, sf_dir):
+    by_file = extract.found_by_file(searched(spark, sf_dir))
+    matched = F.array_join(F.array_sort(F.transform("text_matches", lambda x: x["matched"])), "|").alias("matched")
+    return by_file.select("name", "doc_id", F.size("text_matches").cast("bigint").alias("in_text"), F.size("metadata_matches").cast("bigint").alias("in_metadata"), matched)
+
+
+@query(ORACLE["clean_list"].replace("SELECT value, kept, CAST(CASE WHEN kept THEN 1 ELSE n END AS BIGINT) AS n FROM k", "SELECT value, CAST(n AS BIGINT) AS n FROM k WHERE NOT kept ORDER BY value LIMIT 20"))
+def first_removed(spark, sf_dir):
+    return candidates.first_removed(clean_list(spark, sf_dir))
+
+
+@query("""WITH te AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]+') AS term FROM documents)
+SELECT doc_id, term, CAST((length(text) - length(replace(lower(text), lower(term), ''))) // length(term) AS BIGINT) AS n FROM te WHERE term <> ''""")
+def global_terms(spark, sf_dir):
+    """Each document's first word stands for a term that its reader marked."""
+    docs = docs_of(spark, sf_dir)
+    terms = docs.select("doc_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("term"))
+    found = selections.global_terms(docs, terms)
+    return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SCORED}, sv AS (SELECT DISTINCT kind, value FROM ca WHERE kind <> 'name')
+SELECT kind, value, tier, (kind, value) IN (SELECT (kind, value) FROM sv) AS saved, tier = 'High' AS keep FROM an WHERE contains(lower(concat_ws(' ', kind, value, context, source)), 'the')""")
+def review(spark, sf_dir):
+    rows = candidates.annotated(rolled(spark, sf_dir), common_words(spark, sf_dir))
+    return candidates.review(rows, rolled(spark, sf_dir).filter("kind <> 'name'"), find="The").select("kind", "value", "tier", "saved", "keep")
+
+
+@query(f"WITH {_CANDIDATES} SELECT DISTINCT kind, value FROM ca WHERE count >= 2 OR kind <> 'name'")
+def saved_lists(spark, sf_dir):
+    """A list is written, merged with new finds, written again and read."""
+    c, out = rolled(spark, sf_dir), shared_folder(spark, "lists")
+    lists.write_lists(c.filter("count >= 2"), f"{out}/1")
+    lists.write_lists(lists.merged_lists(spark.read.parquet(f"{out}/1"), c.filter("kind <> 'name'")), f"{out}/2")
+    return spark.read.parquet(f"{out}/2").select("kind", "value")
+
+
+@query(f"WITH {_CANDIDATES} SELECT kind, value, source, count, confirmed FROM ca")
+def candidate_batches(spark, sf_dir):
+    """The candidate table kept up by a stream of finds, some files at a time (contexts are those of the first batch that has one)."""
+    out = shared_folder(spark, "finds")
+    finds(spark, sf_dir).repartition(4).write.parquet(f"{out}/finds")
+    stream = spark.readStream.schema("kind string, value string, context string, source string, doc_id long, start long").option("maxFilesPerTrigger", 2).parquet(f"{out}/finds")
+    run = candidate_stream(stream, f"{out}/versions", f"{out}/state")
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/versions/{run.lastProgress['batchId']}").select("kind", "value", "source", "count", "confirmed")
+
+
+@query(r"""SELECT url AS path, 'out/' || regexp_replace(CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) ELSE regexp_extract(url, '[^/]*$') END, '(\.[^./]+)$', '_REDACTED\1') AS mirrored FROM pages""")
+def mirrored_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("path"), lists.mirrored_path(F.col("url"), "https:", "out").alias("mirrored"))
+
+
+@query(f"WITH {_CAPS} SELECT value FROM (SELECT value FROM cap UNION SELECT value FROM pr) WHERE NOT regexp_matches(value, '(?i)\\b(the|of)\\b')".replace("WITH ", f"WITH {_PAIRS}, ", 1))
+def without_exceptions(spark, sf_dir):
+    values = capitals(spark, sf_dir).unionByName(pairs(spark, sf_dir)).distinct()
+    return detect.without_exceptions(values, spark.createDataFrame([("The",), (" of ",)], "value string"))
+
+
+@query(f"""WITH {_TURNS}, {_TURN_WORDS}, tz AS (SELECT * FROM tx WHERE y < 40 OR y + 12 > 60), np AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM tz GROUP BY doc_id HAVING count(DISTINCT page_no) >= 2)
+SELECT doc_id, y, text FROM (SELECT doc_id, y, text, count(DISTINCT page_no) AS n FROM tz GROUP BY doc_id, y, text) JOIN np USING (doc_id) WHERE n >= 0.5 * pages""")
+def template_zone_text(spark, sf_dir):
+    w = turn_words(spark, sf_dir)
+    pages = w.select("doc_id", "page_no").distinct().withColumn("height", F.lit(120.0))
+    return boilerplate.text_template(boilerplate.text_zone(w, pages), share=0.5)
+
+
+_RECTS = f"""{_DOC_LAYOUT}, rc AS (SELECT DISTINCT doc_id, page_no, x0 - 2 AS x0, y0, x1 + 2 AS x1, y0 AS y1 FROM lw WHERE length(text) >= 12), ex AS (SELECT * FROM lw WHERE contains(text, 'ing')),
+kp AS (SELECT DISTINCT doc_id, page_no, x0, y0, greatest(x1, x0 + 1) AS x1, greatest(y1, y0 + 1) AS y1 FROM rc WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.doc_id = rc.doc_id AND ex.page_no = rc.page_no AND rc.x0 < ex.x1 AND ex.x0 < rc.x1 AND rc.y0 - 1 < ex.y1 AND ex.y0 < rc.y1 + 1))"""
+
+
+@query(f"""WITH {_RECTS}, lf AS (SELECT doc_id, page_no, count(*) AS n FROM lw WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.doc_id = lw.doc_id AND kp.page_no = lw.page_no AND kp.x0 < lw.x1 AND lw.x0 < kp.x1 AND kp.y0 < lw.y1 AND lw.y0 < kp.y1) GROUP BY doc_id, page_no),
+ln2 AS (SELECT doc_id, page_no, count(*) AS rects, count(*) FILTER (x1 - x0 >= 10 AND y1 - y0 >= 10) AS labels FROM kp GROUP BY doc_id, page_no)
+SELECT doc_id, page_no, CAST(n AS BIGINT) AS words_left, CAST(rects AS BIGINT) AS rects, CAST(labels AS BIGINT) AS labels FROM ln2 LEFT JOIN lf USING (doc_id, page_no)""")
+def redact_layout_words(spark, sf_dir):
+    """Flat boxes of long words stand for finds, words with `ing` for exceptions; what is left of each page."""
+    w = layout.lay_out(docs_of(spark, sf_dir))
+    rects = w.filter("char_length(text) >= 12").select("doc_id", "page_no", (F.col("x0") - 2).alias("x0"), (F.col("y0") - 1).alias("y0"), (F.col("x1") + 2).alias("x1"), (F.col("y0") + 1).alias("y1"))
+    kept = redact_layout.without_exceptions(rects, w.filter("contains(text, 'ing')"))
+    kept = redact_layout.applied(kept.withColumns({"y0": F.col("y0") + 1, "y1": F.col("y1") - 1}))
+    left = redact_layout.redacted(w, kept).groupBy("doc_id", "page_no").agg(F.count("*").alias("words_left"))
+    labels = kept.groupBy("doc_id", "page_no").agg(F.count_if(F.col("label") != "").alias("labels"))
+    return redact_layout.totals(kept).withColumnRenamed("n", "rects").join(labels, ["doc_id", "page_no"]).join(left, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "words_left", "rects", "labels")
+
+
+@query(f"""WITH {_ENT}, st AS (SELECT DISTINCT lower(n_name) AS s FROM nation), co AS (SELECT DISTINCT lower(w) AS c FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark)), fw AS ({_FUNCTION}),
+pa AS (SELECT doc_id, unnest(string_split(text, ' ')) AS name FROM en UNION ALL SELECT doc_id, text FROM en WHERE contains(text, ' ') OR lower(text) NOT IN (SELECT c FROM co)),
+nm AS (SELECT DISTINCT doc_id, name FROM pa WHERE NOT list_has_any(string_split(lower(name), ' '), coalesce((SELECT list(w) FROM fw), [])) AND length(name) > 1 AND length(name) <= CASE WHEN contains(name, ' ') THEN 40 ELSE 22 END AND lower(name) NOT IN (SELECT s FROM st)),
+ad AS (SELECT doc_id, name, greatest(1, (length(text) - length(replace(text, name, ''))) // length(name)) AS n FROM nm JOIN documents USING (doc_id))
+SELECT name, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM ad GROUP BY name""")
+def extracted_names(spark, sf_dir):
+    """Names of all sources (here without a layout), each document's share, and the names of the corpus."""
+    docs = docs_of(spark, sf_dir)
+    stop = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
+    none = layout.lay_out(docs.limit(0))
+    names = extract.by_source(docs, recognised(spark, sf_dir), none, stop, common_words(spark, sf_dir), function_words=function_words(spark, sf_dir))
+    return extract.corpus_names(extract.contributions(docs, names))

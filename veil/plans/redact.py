@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LABEL
-from ..operators import detect, spans
+from ..operators import detect, gazetteer, spans
 
 
 def detections(docs: DataFrame, on: tuple[str, ...] = ("email", "phone", "link"), rules: dict[str, str] | None = None, exceptions: DataFrame | None = None) -> DataFrame:
     """Spans of all rules that are on, once each, less those that overlap an exception's spans."""
-    found = detect.blanket(docs, rules, on).dropDuplicates(["doc_id", "rule", "start", "stop"])
+    found = detect.blanket(docs, rules, on)
     return found if exceptions is None else spans.without(found, exceptions)
 
 
@@ -19,11 +19,22 @@ def redact(docs: DataFrame, found: DataFrame, label: str = LABEL) -> DataFrame:
     return spans.redacted(docs, found, label)
 
 
-def report(docs: DataFrame, found: DataFrame) -> DataFrame:
+def redact_all(docs: DataFrame, label: str = LABEL, **options) -> DataFrame:
+    """The documents with every find replaced, in one pass without a shuffle."""
+    return detect.scanned(docs, **options).withColumn("text", spans.redacted_text(F.col("text"), F.col("spans"), label)).drop("spans")
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_phone, n_link, chars, masked_chars of documents with a find."""
-    counts = found.groupBy("doc_id").agg(*[F.count_if(F.col("rule") == r).alias(f"n_{r}") for r in ("email", "phone", "link")])
-    covered = spans.merged(found).groupBy("doc_id").agg(F.sum(F.col("stop") - F.col("start")).alias("masked_chars"))
-    return counts.join(covered, "doc_id").join(docs.select("doc_id", F.char_length("text").cast("bigint").alias("chars")), "doc_id")
+    found = detect.scanned(docs, **options).filter("size(spans) > 0")
+    count = lambda r: F.size(F.filter("spans", lambda x: x["rule"] == r)).cast("bigint").alias(f"n_{r}")
+    masked = F.aggregate(spans.united(F.col("spans")), F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
+    return found.select("doc_id", *map(count, ("email", "phone", "link")), masked.alias("masked_chars"), F.char_length("text").cast("bigint").alias("chars"))
+
+
+def totals(reports: DataFrame) -> DataFrame:
+    """One row over all reports: documents with a find, finds of each rule, characters."""
+    return reports.agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ("n_email", "n_phone", "n_link", "masked_chars", "chars")])
 
 
 def leaks(docs: DataFrame, exceptions: DataFrame | None = None, **options) -> DataFrame:
@@ -35,6 +46,15 @@ def leaks(docs: DataFrame, exceptions: DataFrame | None = None, **options) -> Da
     return left.join(kept, ["doc_id", "rule", "start"], "left").withColumn("excepted", F.col("_k").isNull()).drop("_k")
 
 
+def survivors(docs: DataFrame, values: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """doc_id, field, value, n: listed values that still stand in redacted texts (field `text`) or properties, in any case, whatever blanks part them."""
+    rows = docs.select(F.struct("doc_id", F.lit("text").alias("field")).alias("doc_id"), "text")
+    if metadata is not None:
+        rows = rows.unionByName(metadata.select("doc_id", F.explode("props").alias("field", "text")).select(F.struct("doc_id", "field").alias("doc_id"), "text"))
+    left = gazetteer.runs(rows, values).groupBy("doc_id", F.col("name").alias("value")).agg(F.count("*").alias("n"))
+    return left.select("doc_id.doc_id", "doc_id.field", "value", "n")
+
+
 #: What a redacted document says of itself.
 CLEAN = {"title": "Redacted document", "author": "", "subject": "", "creator": "veil", "producer": "veil"}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import redacted_path
@@ -45,6 +45,17 @@ def write_lists(candidates: DataFrame, path: str) -> None:
     candidates.select("kind", "value").dropDuplicates().repartition("kind").sortWithinPartitions("kind", "value").write.partitionBy("kind").mode("overwrite").parquet(path)
 
 
-def write_redacted(docs: DataFrame, path: str) -> None:
-    """Documents with the paths of their redacted copies."""
-    docs.withColumn("path", redacted_path(F.col("path"))).write.mode("overwrite").parquet(path)
+def mirrored_path(path: Column, root: str, out: str) -> Column:
+    """Where the redacted copy of a file below root lies in a tree of the same shape below out."""
+    inside = F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.lit(2**31 - 1))).otherwise(F.regexp_extract(path, "[^/]*$", 0))
+    return F.concat(F.lit(out.rstrip("/") + "/"), redacted_path(inside))
+
+
+def merged_lists(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """kind, value of both lists, once each."""
+    return existing.select("kind", "value").unionByName(new.select("kind", "value")).distinct()
+
+
+def write_redacted(docs: DataFrame, path: str, root: str = "") -> None:
+    """Documents with the paths of their redacted copies, in a tree like the one below root."""
+    docs.withColumn("path", mirrored_path(F.col("path"), root, path) if root else redacted_path(F.col("path"))).write.mode("overwrite").parquet(path)
