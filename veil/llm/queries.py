@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, pieces, quality, secrets, sharding, substring, surrogates, token_counts, token_ids
 from .common import staged
@@ -46,6 +48,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & {quality.POLICIES[0].mask}) <> 0 AS base_failed, (fail_bits & {quality.DEFAULT.mask}) = 0 AS kept, fail_bits FROM f"""
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, from a stored ledger."""
+    rows = staged(quality.ledger(documents(spark, sf_dir)), "ledger")
+    return reduce(DataFrame.unionByName, [quality.ablation(rows, p).withColumn("policy", F.lit(f"{p.name}_v{p.version}")) for p in quality.POLICIES])
+
+
+QUERIES["quality_ablation"] = quality_ablation
+
+ORACLE["quality_ablation"] = f"WITH {QUALITY_SQL.replace('{table}', 'documents')} " + " UNION ALL ".join(
+    f"SELECT '{p.name}_v{p.version}' AS policy, '{r}' AS rule, count(*) FILTER ((fail_bits & {1 << list(quality.RULES).index(r)}) <> 0) AS n_failed, count(*) FILTER ((fail_bits & {p.mask}) = {1 << list(quality.RULES).index(r)}) AS n_only FROM f"
+    for p in quality.POLICIES
+    for r in p.rules
+)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
