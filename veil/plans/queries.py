@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,7 +44,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share; where spark.checkpoint.dir is unset (a local session only) one of this machine's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-veil-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
