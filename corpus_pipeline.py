@@ -31,9 +31,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id comes last, and of equal doc_ids in a group the first row written
     stays. Texts without words are copies of nothing.
     """
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("_own"), whole(docs).alias("_doc")), "rows")
-    found = jaccard.jaccard_components(rows.select("doc_id", "text"), k=5, threshold=(80, 100))
-    named = staged(found.join(rows.select("doc_id", "_own"), "doc_id").select("doc_id", "component_id", "_own"), "named")
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("doc_id"), whole(docs).alias("_doc")), "rows")
+    found = jaccard.jaccard_components(rows.select("doc_id", F.col("_doc.text").alias("text")), k=5, threshold=(80, 100))
+    named = staged(found.join(rows.select("doc_id", F.col("_doc.doc_id").alias("_own")), "doc_id").select("doc_id", "component_id", "_own"), "named")
     best = named.groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull(), "_own", "doc_id"))["doc_id"].alias("doc_id"))
     drop = staged(named.select("doc_id").join(best, "doc_id", "left_anti"), "dropped")
     return rows.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, "doc_id", "left_anti").select("_doc.*")
