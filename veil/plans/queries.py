@@ -410,17 +410,38 @@ def signature_zones(spark, sf_dir):
     return boilerplate.signature_zones(lines, pages, phrases=("with the",))
 
 
-@query()
+_CAPPED = f"""{_DOC_LAYOUT}, iw AS (SELECT doc_id, page_no, y0 AS row, x0, x1, word_no, CASE WHEN regexp_matches(t, '^[a-z]') THEN upper(substr(t, 1, 1)) || substr(t, 2) ELSE t END AS text FROM (SELECT *, regexp_replace(text, ',$', ':') AS t FROM lw)),
+fw AS ({_FUNCTION})"""
+_NAMED = r"""sz AS (SELECT *, string_split(name, ' ') AS ws FROM {of} WHERE name <> ''),
+nb AS (SELECT doc_id, page_no, row, name, len(ws) AS k, ws[-1] AS l, unnest(ws) AS w FROM sz),
+ok AS (SELECT doc_id, page_no, row, name FROM (SELECT *, regexp_replace(w, '^[.,;:()''"]+|[.,;:()''"]+$', '', 'g') AS b FROM nb) GROUP BY ALL
+  HAVING bool_and(b <> '' AND NOT regexp_matches(b, '[0-9]') AND lower(b) NOT IN (SELECT w FROM fw) AND (regexp_matches(b, '^[A-Z]{1,4}$') OR regexp_matches(b, '^[A-Z][A-Za-z''-]*$'))) AND max(k) <= 4 AND length(name) <= 40 AND (max(k) > 1 OR length(name) <= 22)
+  AND NOT regexp_matches(name, '[,;():]$') AND (NOT regexp_matches(name, '\.$') OR max(length(l)) <= 4) AND regexp_matches(name, '\p{L}') AND NOT regexp_matches(name, '\p{N}') AND NOT regexp_matches(name, ':\s*$'))"""
+
+
+def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that end in a comma stand for labels, and words in capitals for capitalised ones."""
+    word = F.regexp_replace("text", ",$", ":")
+    return layout.lay_out(docs_of(spark, sf_dir)).withColumn("text", F.when(word.rlike("^[a-z]"), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 2**31 - 1))).otherwise(word))
+
+
+@query(f"""WITH {_CAPPED}, nx AS (SELECT *, list(text) OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM iw),
+ht AS (SELECT *, list_transform(range(1, 7), lambda k: coalesce(ends_with(n[k], ':'), FALSE)) AS c FROM nx WHERE contains(lower(text), 'on') AND ends_with(text, ':')),
+tk AS (SELECT doc_id, page_no, row, word_no, array_to_string(n[1:CASE WHEN n[1] IS NULL OR c[1] OR c[2] THEN 0 WHEN n[2] IS NULL OR c[2] OR c[3] THEN 1 WHEN n[3] IS NULL OR c[3] OR c[4] THEN 2 WHEN n[4] IS NULL OR c[4] OR c[5] THEN 3 ELSE 4 END], ' ') AS name FROM ht),
+{_NAMED.replace('{of}', 'tk')} SELECT ok.doc_id, ok.page_no, ok.row, ok.name, CAST(count(*) AS BIGINT) AS n FROM ok JOIN tk USING (doc_id, page_no, row, name) GROUP BY ALL""")
 def label_names(spark, sf_dir):
-    """Words that end in a comma stand for labels, and all words for capitalised ones."""
-    w = layout.lay_out(docs_of(spark, sf_dir)).withColumn("text", F.initcap(F.regexp_replace("text", ",$", ":")))
-    return layout.label_names(w, label="on").select("doc_id", "page_no", "row", "name")
+    found = layout.label_names(capped(spark, sf_dir), label="on", function_words=function_words(spark, sf_dir))
+    return found.groupBy("doc_id", "page_no", "row", "name").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_CAPPED}, br AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w <= 20 THEN 0 ELSE 1 END AS b, lead(x0) OVER w AS nx, count(*) OVER (PARTITION BY doc_id, page_no, row) AS n FROM iw WINDOW w AS (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no)),
+ph AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no ROWS UNBOUNDED PRECEDING) AS p FROM br), lf AS (SELECT *, min(x0) OVER (PARTITION BY doc_id, page_no, row, p) AS l FROM ph),
+hd AS (SELECT doc_id, page_no, row, l - 2 AS a, coalesce(nx - 2, x1 + 150) AS z FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no) AS k FROM lf WHERE contains(lower(text), 'ionan') AND NOT ends_with(text, ':') AND n >= 2) WHERE k = 1),
+bl AS (SELECT iw.*, hd.row AS hr, a, z, dense_rank() OVER (PARTITION BY iw.doc_id, iw.page_no, hd.row ORDER BY iw.row) AS k FROM iw JOIN hd ON iw.doc_id = hd.doc_id AND iw.page_no = hd.page_no AND iw.row > hd.row AND iw.row <= hd.row + 350),
+tk AS (SELECT doc_id, page_no, hr, row, string_agg(text, ' ' ORDER BY x0, word_no) AS name FROM bl WHERE k <= 25 AND x0 >= a AND x0 < z GROUP BY ALL),
+{_NAMED.replace('{of}', 'tk')} SELECT DISTINCT doc_id, page_no, row, name FROM ok""")
 def table_names(spark, sf_dir):
-    w = layout.lay_out(docs_of(spark, sf_dir)).withColumn("text", F.initcap("text"))
-    return layout.table_names(w, header="thand").select("doc_id", "page_no", "row", "name")
+    return layout.table_names(capped(spark, sf_dir), header="ionan", function_words=function_words(spark, sf_dir)).select("doc_id", "page_no", "row", "name")
 
 
 # --- entities, selections, metadata ------------------------------------------
