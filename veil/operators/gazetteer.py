@@ -77,17 +77,15 @@ def runs(docs: DataFrame, names: DataFrame, places: bool = False) -> DataFrame:
         ends = running(F.transform(x, lambda y: (F.char_length(y["gap"]) + F.coalesce(F.char_length(y["t"]), F.lit(0))).cast("bigint")), lambda a, n: a + n)
         return F.filter(F.zip_with(x, F.slice(ends, F.lit(2), F.size(ends)), lambda y, z: F.struct(y["t"].alias("t"), y["gap"].alias("gap"), z.alias("z"))), lambda y: y["t"].isNotNull())
 
-    def grams(rs: Column) -> Column:
-        def each(r: Column, i: Column) -> Column:
-            ahead = lambda k: r if k == 0 else F.get(rs, i + k)
-            t = (lambda k: ahead(k)["t"]) if places else ahead
-            more = lambda m: [(r["z"] - F.char_length(r["t"])).alias("start"), ahead(m - 1)["z"].alias("stop"), F.concat(r["t"], *[x for k in range(1, m) for x in (ahead(k)["gap"], t(k))]).alias("matched")]
-            return F.array(*[F.struct(i.alias("i"), F.lit(m).alias("m"), F.concat(*map(t, range(m))).alias("key"), *(more(m) if places else [])) for m in counts])
-
-        return F.flatten(F.transform(rs, each))
-
-    found = docs.select("doc_id", F.explode(let(let(pieces, placed) if places else hits, grams)).alias("_x")).filter("_x.key IS NOT NULL").select("doc_id", "_x.*")
-    return found.join(_small(keys), "key").select("doc_id", "i", "m", *(["start", "stop", "matched"] if places else []), "name")
+    lists = docs.select("doc_id", (let(pieces, placed) if places else hits).alias("_r"))
+    # A run and those after it side by side: copies of the array, each a place further on.
+    ahead = F.arrays_zip(*[F.slice("_r", F.lit(k + 1), F.size("_r")).alias(f"r{k}") if k else F.col("_r").alias("r0") for k in range(counts[-1])])
+    each = lists.filter("size(_r) > 0").select("doc_id", F.posexplode(ahead).alias("i", "_x"))
+    r = lambda k: F.col(f"_x.r{k}")
+    t = (lambda k: r(k)["t"]) if places else r
+    more = lambda m: [(r(0)["z"] - F.char_length(t(0))).alias("start"), r(m - 1)["z"].alias("stop"), F.concat(t(0), *[x for k in range(1, m) for x in (r(k)["gap"], t(k))]).alias("matched")] if places else []
+    grams = each.select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.concat(*map(t, range(m))).alias("key"), *more(m)) for m in counts])).alias("_g"))
+    return grams.filter("_g.key IS NOT NULL").select("doc_id", "i", "_g.*").join(_small(keys), "key").select("doc_id", "i", "m", *(["start", "stop", "matched"] if places else []), "name")
 
 
 def spans_of_names(docs: DataFrame, names: DataFrame, rule: str = "name") -> DataFrame:
