@@ -128,3 +128,55 @@ def merge_dropout(text, model, own):
         ids += [model.id_of[p] for p in parts]
         at = stop
     return ids
+
+
+def lines(data, least=20, least_docs=3):
+    """(doc_id, lines, dropped, digest); every row is a document."""
+    key = lambda x: x.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(LOWER)
+    low = lambda i: float("-inf") if i is None else i
+    docs = [(i, (t or "").split("\n")) for i, t in data]
+    holders = {}
+    for i, ls in docs:
+        for k in {key(x) for x in ls}:
+            if len(k) >= least:
+                holders.setdefault(k, []).append(low(i))
+    out = []
+    for i, ls in docs:
+        kept = [x for x in ls if len(key(x)) < least or len(holders[key(x)]) < least_docs or max(holders[key(x)]) == low(i)]
+        out.append((i, len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def one_apart(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    a, b = sorted((a, b), key=len)
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def variants(data, crc, least_chars=7, least_found=2, ratio=10):
+    """(word, form, root, n, n_near, form_n): every word against every other."""
+    n = Counter()
+    for i, text in data:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = w.translate(LOWER)
+            h = crc(f"{'null' if i is None else i}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += 1
+    return groups({w: k for w, k in n.items() if len(w) >= least_chars and k >= least_found}, ratio)
+
+
+def groups(n, ratio=10):
+    near = {w: [v for v in n if one_apart(w, v)] for w in n}
+    best = {w: min(vs, key=lambda v: (-n[v], v)) for w, vs in near.items() if vs}
+    form = {w: v for w, v in best.items() if n[v] >= ratio * n[w]}
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return sorted(out, key=str)

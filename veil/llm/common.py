@@ -73,6 +73,11 @@ class Windows:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
+    def weights(self, n: int) -> np.ndarray:
+        """Of n words."""
+        self._grow(n)
+        return self.up[:n]
+
     def __call__(self, hashes: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
         """Of the windows of that width that start at these positions (default: at all)."""
         n = len(hashes)
