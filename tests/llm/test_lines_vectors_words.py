@@ -176,6 +176,11 @@ def test_index_finds_what_is_one_apart(words):
     assert near_by_index(words) == {(a, b) for a in words for b in words if brute.one_apart(a, b)}
 
 
+@given(st.text("ab", max_size=7), st.text("ab", max_size=7))
+def test_one_apart(a, b):
+    assert variants.one_apart(a, b) == brute.one_apart(a, b)
+
+
 def word_counts(seed=1):
     rnd = random.Random(seed)
     base = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(7, 12))) for _ in range(60)]

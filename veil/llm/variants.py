@@ -321,6 +321,22 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w.encode()) for w in words], pa.binary()), pa.array(words, pa.string())], ["id", "word"])
 
 
+def one_apart(a: str, b: str) -> bool:
+    """Whether two words differ by one inserted, deleted or replaced code point."""
+    x, y = sorted((_codes(a), _codes(b)), key=len)
+    if len(y) - len(x) > 1 or a == b:
+        return False
+    differ = np.flatnonzero(x != y[: len(x)])
+    first = int(differ[0]) if len(differ) else len(x)
+    return len(differ) == 1 if len(x) == len(y) else bool((x[first:] == y[first + 1 :]).all())
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes only propose pairs: the words are compared."""
+    for batch in batches:
+        yield batch.filter(pa.array([one_apart(a, b) for a, b in zip(batch.column("word").to_pylist(), batch.column("best").to_pylist())], pa.bool_()))
+
+
 def _long_ones(words: DataFrame) -> DataFrame:
     """word, n_near, best_n, best for pairs of words of which one at least is too long for an index."""
     some = words.filter(F.char_length("word") >= LONGEST)
@@ -331,7 +347,7 @@ def _long_ones(words: DataFrame) -> DataFrame:
     near = met.filter("(start1 = -1) <> (start2 = -1) OR (start1 >= 0 AND start2 >= 0 AND start1 <= stop2 AND start2 <= stop1)").select("id1", "id2", "n2").distinct()
     names = some.mapInArrow(_named, "id binary, word string")
     named = near.join(names.select(F.col("id").alias("id1"), "word"), "id1").join(names.select(F.col("id").alias("id2"), F.col("word").alias("best")), "id2")
-    new = named.filter((F.greatest(F.char_length("word"), F.char_length("best")) > LONGEST) & (F.levenshtein("word", "best", 1) == 1))
+    new = named.filter(F.greatest(F.char_length("word"), F.char_length("best")) > LONGEST).select("word", "best", "n2").mapInArrow(_compared, "word string, best string, n2 long")
     return new.groupBy("word").agg(F.count("*").alias("n_near"), F.max("n2").alias("best_n"), F.min(F.struct((-F.col("n2")).alias("m"), "best")).alias("x")).select("word", "n_near", "best_n", F.col("x.best").alias("best"))
 
 
