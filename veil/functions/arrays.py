@@ -37,6 +37,19 @@ def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
     return let(values, placed)
 
 
+def up_to(ordered: Column, value: Column) -> Column:
+    """How many values of an array in order are at most `value`, by halving."""
+
+    def halved(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        goes = F.get(ordered, mid) <= value
+        open_ = a["lo"] < a["hi"]
+        return F.struct(F.when(open_ & goes, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~goes, mid).otherwise(a["hi"]).alias("hi"))
+
+    turns = F.sequence(F.lit(0), F.length(F.bin(F.size(ordered).cast("bigint"))))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), halved, lambda a: a["lo"])
+
+
 def characters(text: Column) -> Column:
     """The characters of a text, one by one: cutting a long text at many places then takes time in proportion."""
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))

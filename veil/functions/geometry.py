@@ -51,3 +51,27 @@ def clamped(width: str = "width", height: str = "height") -> dict[str, Column]:
 def shares(width: str = "width", height: str = "height") -> dict[str, Column]:
     """Sides in points as shares of the page."""
     return {s: F.col(s) / F.col(width if s[0] == "x" else height) for s in SIDES}
+
+
+#: Cells of the coarser grids are so many times as wide as those of the next finer one; the coarsest has one cell a page.
+CELL, COARSER, LEVELS = 48.0, 4.0, 4
+
+
+def level() -> Column:
+    """The finest grid of which a rectangle touches two cells each way at most."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(side <= CELL * COARSER**k, F.lit(k)).otherwise(out)
+    return out
+
+
+def cells(levels: Column) -> Column:
+    """level, cx, cy of the cells that a rectangle touches in each of some grids."""
+
+    def of(k: Column) -> Column:
+        step = F.lit(CELL) * F.pow(F.lit(COARSER), k)
+        span = lambda a, z: F.when(k < LEVELS - 1, F.sequence(F.floor(F.col(a) / step), F.floor(F.col(z) / step))).otherwise(F.array(F.lit(0).cast("bigint")))
+        return F.flatten(F.transform(span("x0", "x1"), lambda x: F.transform(span("y0", "y1"), lambda y: F.struct(k.cast("int").alias("level"), x.alias("cx"), y.alias("cy")))))
+
+    return F.flatten(F.transform(levels, of))

@@ -38,17 +38,6 @@ def normalised(text: Column) -> Column:
     return F.translate(text, TYPESET, PLAIN)
 
 
-def name_pattern(name: str, bounded: bool = True) -> str:
-    """A Java pattern for a name: parts may stand any blanks apart; if bounded, letters or digits must not run on at ends that are such."""
-    plain = name.translate(str.maketrans(TYPESET, PLAIN)).strip()
-    middle = r"\s*".join(re.escape(p) for p in plain.split())
-    if not middle or not bounded:
-        return "(?iu)" + middle
-    lead = "(?<![0-9A-Za-z])" if plain[0].isalnum() else ""
-    trail = "(?![0-9A-Za-z])" if plain[-1].isalnum() else ""
-    return "(?iu)" + lead + middle + trail
-
-
 def cleaned(token: Column) -> Column:
     """A token in lower case, without edge characters other than letters, digits, _, ' and -."""
     return F.lower(F.regexp_replace(token, r"^[^\p{L}\p{N}_'-]+|[^\p{L}\p{N}_'-]+$", ""))

@@ -2,49 +2,66 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EMAIL, LINK, PHONE, name_pattern, normalised, snippet
+from ..functions.text import EMAIL, LINK, PHONE
+from . import substrings
 from .gazetteer import spans_of_names
-from .spans import SPAN, found, locate
+from .spans import SPAN, clear_of, found, locate
 
-#: Exception phrases up to which one pattern holds them all.
-MOST_PHRASES = 200
+#: Exception phrases that tasks look for at once; a longer list takes several passes over the values.
+MOST_PHRASES = 500_000
 RULES = {"email": EMAIL, "phone": PHONE, "link": LINK}
 
 
-def rules_on(emails: bool = True, phones: bool = True, links: bool = True, automated: bool = True) -> tuple[str, ...]:
-    """Which rules a plan runs; without automated detection none."""
-    return tuple(r for r, on in (("email", emails), ("phone", phones), ("link", links)) if on and automated)
+def rules_on(emails: bool = True, phones: bool = True, links: bool = True, automated: bool = True, names: bool = False, boilerplate: bool = False) -> tuple[str, ...]:
+    """Which rules a plan runs; without automated detection none. Names and boilerplate are rules of plans that have a list or a layout."""
+    return tuple(r for r, on in (("email", emails), ("phone", phones), ("link", links), ("name", names), ("boilerplate", boilerplate)) if on and automated)
+
 
+def scanned(docs: DataFrame, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link"), names: DataFrame | list[str] | None = None, exceptions: DataFrame | list[str] | dict[str, str] | None = None) -> DataFrame:
+    """The documents with an array `spans` of every match of the rules that are on: one pass, no shuffle.
 
-def scanned(docs: DataFrame, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link")) -> DataFrame:
-    """The documents with an array `spans` of every match of the rules that are on: one pass, no shuffle."""
+    names: a list whose values are found as rule `name`, however they are glued
+    to punctuation. exceptions: patterns by rule, or a list of phrases (whole
+    words, in any case); a span that overlaps one of theirs is left out.
+    """
     rules = rules or RULES
     none = F.array().cast(SPAN)
-    return docs.withColumn("spans", F.concat(none, *[found(F.col("text"), rules[r], r) for r in on]))
-
-
-def blanket(docs: DataFrame, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link")) -> DataFrame:
+    out = docs.withColumn("spans", F.concat(none, *[found(F.col("text"), rules[r], r) for r in on if r in rules]))
+    if names is not None:
+        out = substrings.marked(out, names, "name", "spans", bounds="names")
+    if exceptions is None:
+        return out
+    if isinstance(exceptions, dict):
+        return out.withColumn("spans", clear_of(F.col("spans"), F.concat(none, *[found(F.col("text"), p, r) for r, p in exceptions.items()])))
+    if "_except" in docs.columns:
+        raise ValueError("documents must not have a column _except")
+    return substrings.marked(out, exceptions, column="_except", blanks=False, bounds="words").withColumn("spans", clear_of(F.col("spans"), F.col("_except"))).drop("_except")
+
+
+def blanket(docs: DataFrame, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link"), **options) -> DataFrame:
     """Every match of the rules that are on, a row for each."""
-    each = scanned(docs, rules, on).select("doc_id", F.explode("spans").alias("_x"))
+    each = scanned(docs, rules, on, **options).select("doc_id", F.explode("spans").alias("_x"))
     return each.select("doc_id", "_x.rule", "_x.start", "_x.stop", "_x.matched")
 
 
-def listed(docs: DataFrame, values: list[str], rule: str = "listed", bounded: bool = True) -> DataFrame:
-    """Every match of a short list's values, as one pattern; an empty list finds nothing. Longer lists: gazetteer.spans_of_names."""
-    if not values:
-        return locate(docs.limit(0), "x", rule)
-    pattern = "|".join(f"(?:{name_pattern(v, bounded)})" for v in sorted(set(values), key=lambda v: (-len(v), v)))
-    return locate(docs.withColumn("text", normalised(F.col("text"))), pattern, rule)
+def listed(docs: DataFrame, values: DataFrame | list[str], rule: str = "listed", bounded: bool = True) -> DataFrame:
+    """Every place of a list's names; if bounded, letters or digits must not run on at ends that are such."""
+    return substrings.places(docs, values, rule, bounds="names" if bounded else None)
 
 
-def curated_or_blanket(docs: DataFrame, values: DataFrame | None, pattern: str, rule: str) -> DataFrame:
-    """With a list of values (even an empty one) every place of each, whatever the pattern says of it, and nothing else; without a list all that the pattern finds."""
-    return locate(docs, pattern, rule) if values is None else spans_of_names(docs, values, rule)
+def literal(docs: DataFrame, values: DataFrame | list[str], rule: str = "listed") -> DataFrame:
+    """Every place of a list's values as they are, in any case, inside longer strings too."""
+    return substrings.places(docs, values, rule, blanks=False)
+
+
+def curated_or_blanket(docs: DataFrame, values: DataFrame | None, pattern: str, rule: str, bounded: bool = True) -> DataFrame:
+    """With a list of values (even an empty one) every place of each, whatever the pattern says of it, and nothing else; without a list all that the pattern finds. bounded: as names; otherwise as they are, anywhere."""
+    if values is None:
+        return locate(docs, pattern, rule)
+    return spans_of_names(docs, values, rule) if bounded else literal(docs, values, rule)
 
 
 def back_search(docs: DataFrame, pattern: str, rule: str) -> DataFrame:
@@ -61,30 +78,29 @@ def link_targets(pages: DataFrame, host: str) -> DataFrame:
     return uris.filter(F.lower("uri").contains(host.lower()))
 
 
-def name_search(rows: DataFrame, names: list[str], field: str | Column) -> DataFrame:
-    """doc_id, name, field, matched, context for every place of a few searched names, in one pass over the rows (doc_id, text)."""
-    plain = normalised(F.col("text"))
-    hits = F.flatten(F.array(*[found(plain, name_pattern(n, bounded=False), n) for n in names]))
-    each = rows.select("doc_id", "text", (F.lit(field) if isinstance(field, str) else field).alias("field"), F.explode(hits).alias("_x"))
-    return each.select("doc_id", F.col("_x.rule").alias("name"), "field", "_x.matched", snippet(F.col("text"), F.col("_x.start"), F.col("_x.stop")).alias("context"))
+def name_search(rows: DataFrame, names: DataFrame | list[str], field: str | Column) -> DataFrame:
+    """doc_id, name, field, matched, context for every place of searched names, inside longer words too, whatever blanks part their words; in one pass over the rows (doc_id, text)."""
+    placed = rows.select("doc_id", "text", (F.lit(field) if isinstance(field, str) else field).alias("field"))
+    return substrings.searched(placed, names, carry=("field",)).select("doc_id", F.col("value").alias("name"), "field", "matched", "context")
+
+
+def metadata_fields(metadata: DataFrame) -> DataFrame:
+    """doc_id, _field, text: the properties (props map) of documents, and where the table has them their XMP and the names of their attachments."""
+    fields = metadata.select("doc_id", F.explode("props").alias("_field", "text"))
+    if "xmp" in metadata.columns:
+        fields = fields.unionByName(metadata.select("doc_id", F.lit("xmp").alias("_field"), F.col("xmp").alias("text")))
+    if "attachments" in metadata.columns:
+        fields = fields.unionByName(metadata.select("doc_id", F.lit("attachment").alias("_field"), F.explode("attachments").alias("text")))
+    return fields.filter("text IS NOT NULL")
 
 
-def metadata_search(metadata: DataFrame, names: list[str]) -> DataFrame:
-    """The same over the properties (doc_id, props map) of documents; field is the property's name."""
-    fields = metadata.select("doc_id", F.explode("props").alias("_field", "text")).filter("text IS NOT NULL")
-    return name_search(fields, names, F.col("_field"))
+def metadata_search(metadata: DataFrame, names: DataFrame | list[str]) -> DataFrame:
+    """The same over what documents say of themselves; field is the property's name, xmp or attachment."""
+    return name_search(metadata_fields(metadata), names, F.col("_field"))
 
 
 def without_exceptions(values: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Values in which no phrase of a short list stands as whole words, in any case."""
-    phrase = F.concat(F.lit(r"(?iU)\b\Q"), F.replace(F.col("_phrase"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    phrases = [r["_phrase"] for r in exceptions.select(F.trim("value").alias("_phrase")).filter("_phrase <> ''").distinct().limit(MOST_PHRASES + 1).collect()]
-    if len(phrases) > MOST_PHRASES:
-        # A long list is compared phrase by phrase, after a join on the phrase's first word.
-        key = lambda c: F.lower(F.regexp_extract(c, r"[\p{L}\p{N}_]+", 0))
-        own = exceptions.select(F.trim("value").alias("_phrase")).filter("_phrase <> ''").distinct().withColumn("_w", key(F.col("_phrase")))
-        words = values.select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("_w"))
-        hit = words.join(own, "_w").filter(F.regexp_like("value", phrase)).select("value").distinct()
-        return values.join(hit, "value", "left_anti")
-    pattern = r"(?iU)\b(?:" + "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + r")\b"
-    return values.filter(~F.col("value").rlike(pattern)) if phrases else values
+    """Values in which no phrase of a list, however long, stands between word boundaries, in any case."""
+    own = exceptions.select(F.trim("value").alias("value"))
+    marks = substrings.marked(values.withColumn("text", F.col("value")), own, column="_hits", blanks=False, bounds="words", most=MOST_PHRASES)
+    return marks.filter("size(_hits) = 0").select(values.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, running
+from ..functions.fold import folded
 from ..functions.text import cleaned, normalised
+from . import substrings
 
 
 #: Runs of ASCII letters or digits, and single other marks.
@@ -55,44 +56,34 @@ def ngrams(docs: DataFrame, names: DataFrame) -> DataFrame:
     return solid.select("doc_id", "i", "n", F.array_join("_g", " ").alias("gram")).join(_small(keys), "gram").select("doc_id", "i", "n", "name")
 
 
-def runs(docs: DataFrame, names: DataFrame, places: bool = False) -> DataFrame:
-    """doc_id, i, m, (places: start, stop, matched in lower case,) name: names by runs of letters and digits, however they are glued to punctuation.
+def runs(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, i, m, name: names by runs of letters and digits, however they are glued to punctuation.
 
     A text (in ASCII punctuation) is cut into runs of ASCII letters or digits and
     single other marks; m neighbouring ones joined without blanks are looked up
     among names without blanks, for every m that a name of the list has, with
     its blanks or without, and 1 to 4. A bounded name starts and ends at the ends
-    of runs, so none is lost.
+    of runs, so none is lost. Runs that no name begins with are left out before
+    any are joined, so a long name costs nothing where it cannot begin.
     """
-    size = lambda v: F.size(F.regexp_extract_all(F.lower(v), F.lit(RUNS), F.lit(0)))
+    cut = lambda v: F.regexp_extract_all(folded(v), F.lit(RUNS), F.lit(0))
+    size = lambda v: F.size(cut(v))
     plain = names.select("value", normalised(F.col("value")).alias("_v"))
     glued = F.regexp_replace("_v", r"\s+", "")
     counts = sorted({1, 2, 3, 4}.union(lengths(plain.filter(size(glued) > 0), F.sequence(size(glued), size(F.col("_v"))))))
-    keys = plain.select(F.lower(glued).alias("key"), F.col("value").alias("name")).filter("key <> ''").dropDuplicates(["key"])
-    text = normalised(F.col("text"))
-    hits = F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0))
-    pieces = F.arrays_zip(F.split(F.lower(text), RUNS, -1).alias("gap"), hits.alias("t"))
-
-    def placed(x: Column) -> Column:
-        ends = running(F.transform(x, lambda y: (F.char_length(y["gap"]) + F.coalesce(F.char_length(y["t"]), F.lit(0))).cast("bigint")), lambda a, n: a + n)
-        return F.filter(F.zip_with(x, F.slice(ends, F.lit(2), F.size(ends)), lambda y, z: F.struct(y["t"].alias("t"), y["gap"].alias("gap"), z.alias("z"))), lambda y: y["t"].isNotNull())
-
-    lists = docs.select("doc_id", (let(pieces, placed) if places else hits).alias("_r"))
-    # A run and those after it side by side: copies of the array, each a place further on.
-    ahead = F.arrays_zip(*[F.slice("_r", F.lit(k + 1), F.size("_r")).alias(f"r{k}") if k else F.col("_r").alias("r0") for k in range(counts[-1])])
-    each = lists.filter("size(_r) > 0").select("doc_id", F.posexplode(ahead).alias("i", "_x"))
-    r = lambda k: F.col(f"_x.r{k}")
-    t = (lambda k: r(k)["t"]) if places else r
-    more = lambda m: [(r(0)["z"] - F.char_length(t(0))).alias("start"), r(m - 1)["z"].alias("stop"), F.concat(t(0), *[x for k in range(1, m) for x in (r(k)["gap"], t(k))]).alias("matched")] if places else []
-    grams = each.select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.concat(*map(t, range(m))).alias("key"), *more(m)) for m in counts])).alias("_g"))
-    return grams.filter("_g.key IS NOT NULL").select("doc_id", "i", "_g.*").join(_small(keys), "key").select("doc_id", "i", "m", *(["start", "stop", "matched"] if places else []), "name")
+    keys = plain.select(folded(glued).alias("key"), F.col("value").alias("name")).filter("key <> ''").dropDuplicates(["key"])
+    lists = docs.select("doc_id", cut(normalised(F.col("text"))).alias("_r")).filter("size(_r) > 0")
+    # What a name can begin with: a run of the text is the glued name's first run or, where its first words are written apart, what begins that.
+    begins = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_f"))), lambda n: F.substring("_f", F.lit(1), n))
+    first = keys.select(F.regexp_extract("key", RUNS, 0).alias("_f")).distinct().select(F.explode(begins).alias("_b")).distinct()
+    each = lists.select("doc_id", "_r", F.posexplode("_r").alias("i", "_t")).withColumn("_r", F.slice("_r", F.col("i") + 1, F.lit(counts[-1])))
+    begun = each.join(_small(first), F.col("_t") == F.col("_b"), "left_semi")
+    grams = begun.select("doc_id", "i", F.explode(F.array(*map(F.lit, counts)).cast("array<int>")).alias("m"), "_r").filter("size(_r) >= m")
+    keyed = grams.select("doc_id", "i", "m", F.array_join(F.slice("_r", F.lit(1), F.col("m")), "").alias("key"))
+    return keyed.join(_small(keys), "key").select("doc_id", "i", "m", "name")
 
 
 def spans_of_names(docs: DataFrame, names: DataFrame, rule: str = "name") -> DataFrame:
-    """doc_id, rule, start, stop, matched of a list's values, of any kind and however many: what a bounded pattern for each would find."""
-    hits = runs(docs, names, places=True)
-    # Blanks may stand between a value's parts, as many as there are, and nowhere else.
-    words = lambda v: F.split(F.trim(F.lower(v)), r"\s+")
-    stops = lambda ws: F.transform(ws, lambda w, i: F.char_length(F.array_join(F.slice(ws, F.lit(1), i + 1), "")))
-    parted = F.size(F.array_except(stops(words(F.col("matched"))), stops(words(normalised(F.col("name")))))) == 0
-    return hits.filter(parted).select("doc_id", F.lit(rule).alias("rule"), "start", "stop", "matched").distinct()
+    """doc_id, rule, start, stop, matched (folded) of a list's values, of any kind and however many, where letters or digits do not run on: what a bounded pattern for each would find."""
+    found = substrings.places(docs, names, rule, bounds="names")
+    return found.withColumn("matched", folded(F.col("matched"))).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import characters, let, running
+from ..functions.arrays import characters, let, running, up_to
 from ..functions.text import LABEL, quick
 
 
@@ -71,10 +71,29 @@ def merged(spans: DataFrame) -> DataFrame:
     return islands.groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
+def clear_of(spans: Column, exceptions: Column) -> Column:
+    """The spans of an array, each with a character at least, that overlap no exception of another: exceptions are united, so each span is compared with one of them."""
+
+    def kept(e: Column) -> Column:
+        def free(x: Column, ends: Column) -> Column:
+            first = F.get(e, up_to(ends, x["start"]))  # the first that ends behind the span's start
+            return first.isNull() | (first["start"] >= x["stop"])
+
+        return let(F.transform(e, lambda x: x["stop"]), lambda ends: F.filter(spans, lambda x: free(x, ends)))
+
+    return F.when((F.size(spans) > 0) & (F.size(exceptions) > 0), let(united(exceptions), kept)).otherwise(spans)
+
+
+def _per_doc(spans: DataFrame, name: str) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(*spans.columns)).alias(name))
+
+
 def without(spans: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Spans that overlap no exception of their document."""
-    e = exceptions.select(F.col("doc_id").alias("_d"), F.col("start").alias("_a"), F.col("stop").alias("_z"))
-    return spans.join(e, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_z")) & (F.col("_a") < F.col("stop")), "left_anti")
+    """Spans that overlap no exception of their document: an equi-join of the documents' arrays."""
+    no = exceptions.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+    joined = _per_doc(spans, "_s").join(_per_doc(no, "_e"), "doc_id", "left")
+    none = F.array().cast(joined.schema["_e"].dataType)
+    return joined.select(F.explode(clear_of(F.col("_s"), F.coalesce("_e", none))).alias("_x")).select("_x.*")
 
 
 def redacted(docs: DataFrame, spans: DataFrame, label: str = LABEL) -> DataFrame:

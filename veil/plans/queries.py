@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.validate import kind_of, name_shape, numeric_noise, phone_shape
-from ..operators import boilerplate, candidates, detect, entities, gate, gazetteer, layout, selections, spans
+from ..operators import blocks, boilerplate, candidates, detect, entities, gate, gazetteer, layout, selections, spans
 from ..sources import lists
 from ..streaming.stream import candidate_stream, mask_stream
 from . import extract, redact, redact_layout
@@ -116,8 +116,7 @@ def link_targets(spark, sf_dir):
 @query(f"""WITH {_spans_sql(RULES)}, ex AS (SELECT doc_id, start AS a, stop AS z FROM sp WHERE rule = 'link')
 SELECT doc_id, rule, start, stop FROM sp WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.doc_id = sp.doc_id AND start < z AND a < stop)""")
 def except_overlap(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return redact.detections(docs, rules=RULES, exceptions=detect.blanket(docs, RULES, on=("link",))).select("doc_id", "rule", "start", "stop")
+    return redact.detections(docs_of(spark, sf_dir), rules=RULES, exceptions={"link": LINK}).select("doc_id", "rule", "start", "stop")
 
 
 @query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{t.EMAIL}', 'REDACTED', 'g'), '{t.PHONE}', 'REDACTED', 'g'), '{LINK}', 'REDACTED', 'g')) AS digest FROM documents""")
@@ -560,21 +559,22 @@ def curated_values(spark, sf_dir):
 _MASKED_DOCS = f"md AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{t.EMAIL}', 'REDACTED', 'g'), '{t.PHONE}', 'REDACTED', 'g'), '{LINK}', 'REDACTED', 'g') AS text FROM documents)"
 
 
-@query(rf"""WITH {_PAIRS}, k AS (SELECT lower(regexp_replace(value, '\s+', '', 'g')) AS key, min(lower(value)) AS value FROM pr GROUP BY 1), {_MASKED_DOCS},
-fl AS (SELECT doc_id, 'text' AS field, text FROM md UNION ALL SELECT page_id, 'html', html FROM pages UNION ALL SELECT page_id, 'url', url FROM pages),
-r AS (SELECT doc_id, field, unnest(range(len(ts))) AS i, ts FROM (SELECT doc_id, field, regexp_extract_all(lower(text), '[0-9a-z]+|[^\s0-9a-z]') AS ts FROM fl)),
-e AS (SELECT doc_id, field, array_to_string(ts[i + 1:i + m], '') AS key FROM r, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m <= len(ts))
-SELECT doc_id, field, key AS value, CAST(count(*) AS BIGINT) AS n FROM e JOIN k USING (key) GROUP BY ALL""")
+@query(rf"""WITH {_PAIRS}, k AS (SELECT DISTINCT lower(value) AS value, replace(lower(value), ' ', '') AS key, replace(lower(value), ' ', '\s*') AS pattern FROM pr), {_MASKED_DOCS},
+fl AS (SELECT doc_id, 'text' AS field, lower(text) AS text FROM md UNION ALL SELECT page_id, 'html', lower(html) FROM pages UNION ALL SELECT page_id, 'url', lower(url) FROM pages),
+sq AS (SELECT *, regexp_replace(text, '\s+', '', 'g') AS squeezed FROM fl),
+ct AS (SELECT doc_id, field, value, len(regexp_extract_all(text, pattern)) AS n FROM sq JOIN k ON contains(squeezed, key))
+SELECT doc_id, field, value, CAST(n AS BIGINT) AS n FROM ct WHERE n > 0""")
 def survivors(spark, sf_dir):
-    """Listed names that still stand in masked texts, and in the properties of pages."""
+    """Listed names that a search still finds in masked texts, and in the properties of pages."""
     docs = docs_of(spark, sf_dir).withColumn("text", t.masked(F.col("text"), tuple(RULES.values())))
     meta = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.create_map(F.lit("html"), "html", F.lit("url"), "url").alias("props"))
-    left = redact.survivors(docs, pairs(spark, sf_dir), meta)
-    return left.groupBy("doc_id", "field", F.lower(F.regexp_replace("value", r"\s+", "")).alias("value")).agg(F.sum("n").alias("n"))
+    return redact.survivors(docs, pairs(spark, sf_dir), meta).select("doc_id", "field", F.lower("value").alias("value"), "n")
 
 
 _SEARCH = r"""ht AS (SELECT doc_id, 'the of' AS name, 'text' AS field, unnest(regexp_extract_all(text, '(?i)the\s*of')) AS matched FROM documents
-UNION ALL SELECT page_id, 'example.net', 'url', unnest(regexp_extract_all(url, '(?i)example\\.net')) FROM pages UNION ALL SELECT page_id, 'the of', 'html', unnest(regexp_extract_all(html, '(?i)the\s*of')) FROM pages)"""
+UNION ALL SELECT page_id, 'example.net', 'url', unnest(regexp_extract_all(url, '(?i)example\.net')) FROM pages UNION ALL SELECT page_id, 'example.net', 'html', unnest(regexp_extract_all(html, '(?i)example\.net')) FROM pages
+UNION ALL SELECT doc_id, 'example.net', 'text', unnest(regexp_extract_all(text, '(?i)example\.net')) FROM documents UNION ALL SELECT page_id, 'the of', 'url', unnest(regexp_extract_all(url, '(?i)the\s*of')) FROM pages
+UNION ALL SELECT page_id, 'the of', 'html', unnest(regexp_extract_all(html, '(?i)the\s*of')) FROM pages)"""
 
 
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,3 +687,88 @@ def extracted_names(spark, sf_dir):
     none = layout.lay_out(docs.limit(0))
     names = extract.by_source(docs, recognised(spark, sf_dir), none, stop, common_words(spark, sf_dir), function_words=function_words(spark, sf_dir))
     return extract.corpus_names(extract.contributions(docs, names))
+
+
+# --- lists, places and boxes -------------------------------------------------------
+
+
+def _name_spans_sql(source: str, name: str) -> str:
+    """CTEs of doc_id, rule, start, stop, matched of the listed pairs (pr) in a table, where letters or digits do not run on: one run, or two with blanks at most between them."""
+    return rf"""{name}p AS (SELECT DISTINCT string_split(lower(value), ' ')[1] AS a, string_split(lower(value), ' ')[2] AS b FROM pr WHERE string_split(lower(value), ' ')[1] <> string_split(lower(value), ' ')[2]),
+{name}r AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[0-9a-z]+|[^\s0-9a-z]') AS ts, string_split_regex(lower(text), '[0-9a-z]+|[^\s0-9a-z]') AS gs FROM {source}),
+{name}x AS (SELECT doc_id, text, unnest(ts) AS t, unnest(gs[1:len(ts)]) AS g, unnest(range(len(ts))) AS i FROM {name}r WHERE len(ts) > 0),
+{name}y AS (SELECT *, CAST(sum(length(g) + length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS z FROM {name}x),
+{name}w AS (SELECT doc_id, text, t, z - length(t) AS s, z, lead(t) OVER o AS t2, lead(z) OVER o AS z2 FROM {name}y WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+{name}f AS (SELECT doc_id, text, s AS start, z AS stop FROM {name}w JOIN {name}p ON t = a || b UNION ALL SELECT doc_id, text, s, z2 FROM {name}w JOIN {name}p ON t = a AND t2 = b),
+{name} AS (SELECT DISTINCT doc_id, 'name' AS rule, start, stop, substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS matched FROM {name}f)"""
+
+
+_WORD_RUN = r"[\p{L}\p{M}\p{N}_]+"
+
+
+def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of two different words that documents hold often."""
+    words = F.split(F.lower("value"), " ")
+    return pairs(spark, sf_dir).filter(words[0] != words[1])
+
+
+@query(rf"""WITH {_CAPS}, v AS (SELECT DISTINCT lower(value) AS value FROM cap), lo AS (SELECT doc_id, lower(text) AS text FROM documents)
+SELECT doc_id, value, CAST((length(text) - length(replace(text, value, ''))) // length(value) AS BIGINT) AS n FROM lo JOIN v ON contains(text, value)""")
+def curated_literal(spark, sf_dir):
+    """Every place of a list's values, inside longer words too."""
+    found = detect.curated_or_blanket(docs_of(spark, sf_dir), capitals(spark, sf_dir), t.EMAIL, "name", bounded=False)
+    return found.groupBy("doc_id", F.lower("matched").alias("value")).agg(F.count("*").alias("n"))
+
+
+#: Pages of 50 lines with their text, and each line's place in it; a page's key stands for a document's.
+_PAGE_TEXTS = """pl AS (SELECT doc_id, l, line, CAST(l // 50 + 1 AS INTEGER) AS page_no FROM (SELECT doc_id, unnest(range(len(ls))) AS l, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+pt AS (SELECT doc_id * 1000000 + page_no AS doc_id, string_agg(line, chr(10) ORDER BY l) AS text FROM pl GROUP BY doc_id, page_no),
+lp AS (SELECT doc_id * 1000000 + page_no AS doc_id, (l % 50) * 12.0::DOUBLE AS y0, z - length(line) - 1 AS a, z - 1 AS z FROM (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id, page_no ORDER BY l) AS BIGINT) AS z FROM pl))"""
+
+
+def _boxes_sql(source: str, name: str) -> str:
+    """CTE of a rectangle for each line that a span of a page's text touches."""
+    return f"""{name} AS (SELECT {source}.doc_id // 1000000 AS doc_id, CAST({source}.doc_id % 1000000 AS INTEGER) AS page_no, rule, (greatest(start, a) - a) * 6.0::DOUBLE AS x0, y0, (least(stop, z) - a) * 6.0::DOUBLE AS x1, y0 + 12 AS y1
+FROM {source} JOIN lp ON lp.doc_id = {source}.doc_id AND start < z AND a < stop)"""
+
+
+@query(f"WITH {_PAIRS}, {_PAGE_TEXTS}, {_name_spans_sql('pt', 'nm')}, {_boxes_sql('nm', 'bx')} SELECT doc_id, page_no, CAST(count(*) AS BIGINT) AS n, sum(x0) AS x0, sum(y0) AS y0, sum(x1) AS x1, sum(y1) AS y1 FROM bx GROUP BY doc_id, page_no")
+def name_rects(spark, sf_dir):
+    """Rectangles of listed names in the texts of pages, one for each line that a name touches."""
+    pages = blocks.of_texts(docs_of(spark, sf_dir))
+    found = blocks.rects(detect.substrings.marked(pages, listed_names(spark, sf_dir), "name", bounds="names"))
+    return found.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(rf"""WITH {_PAIRS}, {_PAGE_TEXTS}, {_name_spans_sql('pt', 'nm')}, {_spans_sql(RULES, 'pt')}, {_spans_sql({'exception': _WORD_RUN}, 'pt', 'wd')},
+af AS (SELECT * FROM sp UNION ALL SELECT * FROM nm), xf AS (SELECT * FROM wd WHERE lower(matched) IN ('with', 'from')), {_boxes_sql('af', 'bx')}, {_boxes_sql('xf', 'ex')},
+kp AS (SELECT DISTINCT doc_id, page_no, x0, y0, x1, y1 FROM bx WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.doc_id = bx.doc_id AND ex.page_no = bx.page_no AND bx.x0 < ex.x1 AND ex.x0 < bx.x1 AND bx.y0 < ex.y1 AND ex.y0 < bx.y1)),
+{_DOC_LAYOUT}, lf AS (SELECT doc_id, page_no, count(*) AS n FROM lw WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.doc_id = lw.doc_id AND kp.page_no = lw.page_no AND kp.x0 < lw.x1 AND lw.x0 < kp.x1 AND kp.y0 < lw.y1 AND lw.y0 < kp.y1) GROUP BY doc_id, page_no),
+rc AS (SELECT doc_id, page_no, count(*) AS n FROM kp GROUP BY doc_id, page_no)
+SELECT doc_id, page_no, CAST(lf.n AS BIGINT) AS words_left, CAST(coalesce(rc.n, 0) AS BIGINT) AS rects FROM lf LEFT JOIN rc USING (doc_id, page_no)""")
+def layout_redaction(spark, sf_dir):
+    """The whole plan on pages: rules and listed names become rectangles, those that touch an exception's go, and words under the others are taken out."""
+    docs = docs_of(spark, sf_dir)
+    rects = redact_layout.plan(blocks.of_texts(docs), names=listed_names(spark, sf_dir), rules=RULES, exceptions=["With", "from"])
+    left = redact_layout.redacted(layout.lay_out(docs), rects).groupBy("doc_id", "page_no").agg(F.count("*").alias("words_left"))
+    return left.join(redact_layout.totals(rects).withColumnRenamed("n", "rects"), ["doc_id", "page_no"], "left").select("doc_id", "page_no", "words_left", F.coalesce("rects", F.lit(0).cast("long")).alias("rects"))
+
+
+_KEPT = "kp AS (SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM sp e WHERE e.rule = 'link' AND e.doc_id = al.doc_id AND al.start < e.stop AND e.start < al.stop))"
+
+
+@query(f"""WITH {_PAIRS}, {_spans_sql(RULES)}, {_name_spans_sql('documents', 'nm')}, al AS (SELECT * FROM sp UNION ALL SELECT * FROM nm), {_KEPT}, {_MERGED.format(of='kp')},
+c AS (SELECT doc_id, count(*) FILTER (rule = 'email') AS n_email, count(*) FILTER (rule = 'phone') AS n_phone, count(*) FILTER (rule = 'link') AS n_link, count(*) FILTER (rule = 'name') AS n_name FROM kp GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(sum(stop - start) AS BIGINT) AS masked_chars FROM mrg GROUP BY doc_id)
+SELECT c.*, masked_chars, CAST(length(text) AS BIGINT) AS chars FROM c JOIN m USING (doc_id) JOIN documents USING (doc_id)""")
+def report_of_lists(spark, sf_dir):
+    """The report over rules and a list of names, less what overlaps a link, in one pass."""
+    return redact.report(docs_of(spark, sf_dir), rules=RULES, names=listed_names(spark, sf_dir), exceptions={"link": LINK})
+
+
+@query(f"""WITH {_PAIRS}, {_spans_sql({'email': t.EMAIL})}, {_MERGED.format(of='sp')}, {_REDACTED}, {_spans_sql(RULES, 'red', 'lk')}, {_name_spans_sql('red', 'nm')}, al AS (SELECT * FROM lk UNION ALL SELECT * FROM nm)
+SELECT doc_id, rule, CAST(count(*) AS BIGINT) AS n FROM al GROUP BY doc_id, rule""")
+def leaks_of_lists(spark, sf_dir):
+    """What a search of all kinds still finds where only addresses were taken out."""
+    clean = redact.redact_all(docs_of(spark, sf_dir), rules=RULES, on=("email",))
+    return redact.leaks(clean, rules=RULES, names=listed_names(spark, sf_dir)).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LABEL
-from ..operators import detect, gazetteer, spans
+from ..operators import detect, spans
 
 
-def detections(docs: DataFrame, on: tuple[str, ...] = ("email", "phone", "link"), rules: dict[str, str] | None = None, exceptions: DataFrame | None = None) -> DataFrame:
-    """Spans of all rules that are on, once each, less those that overlap an exception's spans."""
-    found = detect.blanket(docs, rules, on)
-    return found if exceptions is None else spans.without(found, exceptions)
+def detections(docs: DataFrame, on: tuple[str, ...] = ("email", "phone", "link"), rules: dict[str, str] | None = None, exceptions: DataFrame | list[str] | dict[str, str] | None = None, names: DataFrame | list[str] | None = None) -> DataFrame:
+    """Spans of all rules that are on, once each, less those that overlap an exception's: spans (doc_id, start, stop), or what detect.scanned takes."""
+    if isinstance(exceptions, DataFrame) and "start" in exceptions.columns:
+        return spans.without(detect.blanket(docs, rules, on, names=names), exceptions)
+    return detect.blanket(docs, rules, on, names=names, exceptions=exceptions)
 
 
 def redact(docs: DataFrame, found: DataFrame, label: str = LABEL) -> DataFrame:
@@ -20,16 +21,17 @@ def redact(docs: DataFrame, found: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def redact_all(docs: DataFrame, label: str = LABEL, **options) -> DataFrame:
-    """The documents with every find replaced, in one pass without a shuffle."""
+    """The documents with every find replaced, in one pass without a shuffle. options: rules, on, names, exceptions of detect.scanned."""
     return detect.scanned(docs, **options).withColumn("text", spans.redacted_text(F.col("text"), F.col("spans"), label)).drop("spans")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_email, n_phone, n_link, chars, masked_chars of documents with a find."""
+    """doc_id, n_email, n_phone, n_link (n_name, if there is a list of names), masked_chars, chars of documents with a find, in one pass without a shuffle."""
     found = detect.scanned(docs, **options).filter("size(spans) > 0")
     count = lambda r: F.size(F.filter("spans", lambda x: x["rule"] == r)).cast("bigint").alias(f"n_{r}")
+    kinds = ("email", "phone", "link") + (("name",) if options.get("names") is not None else ())
     masked = F.aggregate(spans.united(F.col("spans")), F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
-    return found.select("doc_id", *map(count, ("email", "phone", "link")), masked.alias("masked_chars"), F.char_length("text").cast("bigint").alias("chars"))
+    return found.select("doc_id", *map(count, kinds), masked.alias("masked_chars"), F.char_length("text").cast("bigint").alias("chars"))
 
 
 def totals(reports: DataFrame) -> DataFrame:
@@ -37,22 +39,21 @@ def totals(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ("n_email", "n_phone", "n_link", "masked_chars", "chars")])
 
 
-def leaks(docs: DataFrame, exceptions: DataFrame | None = None, **options) -> DataFrame:
-    """What a second search finds in redacted documents; finds that exceptions allow are marked."""
+def leaks(docs: DataFrame, exceptions: DataFrame | list[str] | dict[str, str] | None = None, **options) -> DataFrame:
+    """What a second search of all kinds finds in redacted documents; finds that exceptions allow are marked."""
     left = detections(docs, **options)
     if exceptions is None:
         return left.withColumn("excepted", F.lit(False))
-    kept = spans.without(left, exceptions).select("doc_id", "rule", "start", F.lit(False).alias("_k"))
-    return left.join(kept, ["doc_id", "rule", "start"], "left").withColumn("excepted", F.col("_k").isNull()).drop("_k")
+    kept = detections(docs, exceptions=exceptions, **options).select("doc_id", "rule", "start", "stop", F.lit(False).alias("_k")).distinct()
+    return left.join(kept, ["doc_id", "rule", "start", "stop"], "left").withColumn("excepted", F.col("_k").isNull()).drop("_k")
 
 
-def survivors(docs: DataFrame, values: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """doc_id, field, value, n: listed values that still stand in redacted texts (field `text`) or properties, in any case, whatever blanks part them."""
-    rows = docs.select(F.struct("doc_id", F.lit("text").alias("field")).alias("doc_id"), "text")
+def survivors(docs: DataFrame, values: DataFrame | list[str], metadata: DataFrame | None = None) -> DataFrame:
+    """doc_id, field, value, n: listed values that still stand in redacted texts (field `text`) or in what documents say of themselves, wherever a search for them finds them."""
+    hits = detect.name_search(docs, values, "text")
     if metadata is not None:
-        rows = rows.unionByName(metadata.select("doc_id", F.explode("props").alias("field", "text")).select(F.struct("doc_id", "field").alias("doc_id"), "text"))
-    left = gazetteer.runs(rows, values).groupBy("doc_id", F.col("name").alias("value")).agg(F.count("*").alias("n"))
-    return left.select("doc_id.doc_id", "doc_id.field", "value", "n")
+        hits = hits.unionByName(detect.metadata_search(metadata, values))
+    return hits.groupBy("doc_id", "field", F.col("name").alias("value")).agg(F.count("*").alias("n"))
 
 
 #: What a redacted document says of itself.

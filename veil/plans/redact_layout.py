@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import SIDES, label, overlap, repaired
+from ..functions.geometry import CELL, COARSER, LEVELS, SIDES, cells, label, level, overlap, repaired
+from ..operators import blocks, detect
 
 PAGE = ["doc_id", "page_no"]
 
 
+def _celled(rects: DataFrame, own: int, side: str) -> DataFrame:
+    """Rectangles in cells: for pairs of kind `own` in those of their own grid, for pairs of the other kind in all of coarser ones."""
+    base = rects.select(*PAGE, *SIDES).distinct().filter("x0 < x1 AND y0 < y1").withColumn("_level", level())
+    finest = F.col("_level") if own else F.col("_level") + 1  # two rectangles of one grid meet once
+    above = F.when(finest < LEVELS, F.sequence(finest, F.lit(LEVELS - 1))).otherwise(F.array().cast("array<int>"))
+    parts = [base.withColumn("_kind", F.lit(own)).withColumn("_c", F.explode(cells(F.array("_level")))), base.withColumn("_kind", F.lit(1 - own)).withColumn("_c", F.explode(cells(above)))]
+    both = parts[0].unionByName(parts[1])
+    return both.select(*[F.col(c).alias(f"{side}{c}") for c in (*PAGE, *SIDES)], *[F.col(c).alias(f"{side}{n}") for c, n in (("_kind", "kind"), ("_c.level", "level"), ("_c.cx", "cx"), ("_c.cy", "cy"))])
+
+
+def met(rows: DataFrame, rects: DataFrame) -> DataFrame:
+    """doc_id, page_no and the distinct rectangles of rows that have an area in common with a rectangle of their page.
+
+    Both are dealt to cells of a page, the larger of two in the cells of its own
+    grid and the smaller in those of the same one, so a page's rectangles are
+    compared where they can meet and a full page's with all of it. A pair that
+    has several cells in common is judged in that of its overlap's first corner.
+    """
+    a, b = _celled(rows, 1, "a_"), _celled(rects, 0, "b_")
+    same = reduce(Column.__and__, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in (*PAGE, "kind", "level", "cx", "cy")])
+    step = F.lit(CELL) * F.pow(F.lit(COARSER), F.col("a_level"))
+    corner = lambda c, s: (F.col("a_level") == LEVELS - 1) | (F.floor(F.greatest(f"a_{s}", f"b_{s}") / step) == F.col(f"a_{c}"))
+    pairs = a.join(b, same).filter(overlap("a_", "b_") & corner("cx", "x0") & corner("cy", "y0"))
+    return pairs.select(*[F.col(f"a_{c}").alias(c) for c in (*PAGE, *SIDES)]).distinct()
+
+
 def _beside(rows: DataFrame, rects: DataFrame, how: str) -> DataFrame:
     """Rows by whether they have an area in common with a rectangle of their page."""
-    own = rects.select(F.col("doc_id").alias("_d"), F.col("page_no").alias("_p"), *[F.col(s).alias(f"_{s}") for s in SIDES])
-    return rows.join(own, (F.col("doc_id") == F.col("_d")) & (F.col("page_no") == F.col("_p")) & overlap("", "_"), how)
+    return rows.join(met(rows, rects), [*PAGE, *SIDES], how).select(rows.columns)
 
 
 def rect_of_words(words: DataFrame, spans: DataFrame) -> DataFrame:
@@ -45,3 +73,17 @@ def redacted(words: DataFrame, rects: DataFrame) -> DataFrame:
 def totals(rects: DataFrame) -> DataFrame:
     """doc_id, page_no, n of unique rectangles."""
     return rects.select(*PAGE, *SIDES).distinct().groupBy(*PAGE).agg(F.count("*").alias("n"))
+
+
+def found_rects(pages: DataFrame, names: DataFrame | list[str] | None = None, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link"), exceptions: DataFrame | list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rectangles of what detectors find in blocks of text, and of the phrases that are exceptions."""
+    rects = blocks.rects(detect.scanned(pages, rules, on, names))
+    none = rects.limit(0)
+    return rects, none if exceptions is None else blocks.rects(detect.substrings.marked(pages, exceptions, "exception", blanks=False, bounds="words"))
+
+
+def plan(pages: DataFrame, extra: list[DataFrame] = (), **options) -> DataFrame:
+    """doc_id, page_no, rectangle and label of all that goes: finds in the text of blocks, and rectangles of other detectors (extra), less those that touch an exception's."""
+    found, exceptions = found_rects(pages, **options)
+    every = reduce(DataFrame.unionByName, [r.select(*PAGE, *SIDES) for r in (found, *extra)])
+    return applied(without_exceptions(every, exceptions) if options.get("exceptions") is not None else every)
