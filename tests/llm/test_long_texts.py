@@ -81,3 +81,20 @@ def test_others(spark, docs):
     assert in_time(lambda: sharding.sharded(docs, 4).count()) == 13
     texts = {r.doc_id: r.text for r in in_time(lambda: surrogates.replaced(docs, b"k").collect())}
     assert texts[2] == LONG[2] and not re.search("[^ ]", texts[1])
+
+
+def test_a_megabyte_of_names_and_of_characters_without_a_piece(spark):
+    names = "".join(f"Mr {chr(65 + k % 26)}{''.join(chr(97 + (k // 26**i) % 26) for i in range(1, 5))}x. " for k in range(MB // 11))
+    odd = "".join(chr(0x4E00 + (k * 7919) % 20000 if k % 3 else 0xAC00 + (k * 104729) % 11000) for k in range(MB // 3))
+    start = time.monotonic()
+    assert len(surrogates.detect(names)) == MB // 11
+    assert time.monotonic() - start < 30
+    start = time.monotonic()
+    model = pieces.model(public_tokenizers.path("piece_bpe_32k.model"), 0.1, 1)
+    assert model.decode(model.encode(odd)) == odd and time.monotonic() - start < 30
+
+
+def test_words_of_names_without_a_title():
+    text = "Dr. Jean-Claude O'Neil met GROSS, Jean-Claude's Anna O'Neil and Jean. Frau Groß, O'NEIL-Berg"
+    found = [(text[a:b], k) for a, b, k, _ in surrogates.detect(text)]
+    assert [x for x, _ in found] == ["Jean-Claude O'Neil", "GROSS", "Jean-Claude", "O'Neil", "Groß", "O'NEIL"]

@@ -125,6 +125,7 @@ class Model:
                 self.raw.append(bytes([int(p[3:5], 16)]))
             else:
                 self.raw.append(p.replace(BLANK, " ").encode() if normal[i] else b"")
+        self.bytes = np.array(self.byte, np.int64)
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.seed = seed
         self.below = round(dropout * 256)
@@ -236,11 +237,10 @@ class Model:
         bare = bare[starts]
         counts = np.zeros(len(starts), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []  # chunks and their ids, all of a chunk's in order
-        for c in np.unique(characters[starts[bare]]).tolist():
-            own = np.flatnonzero(bare & (characters[starts] == c))
-            ids = [self.byte[b] for b in chr(c).encode()]
-            counts[own] = len(ids)
-            done.append((own, np.tile(ids, len(own))))
+        own = np.flatnonzero(bare)
+        c = characters[starts[own]]  # each becomes its bytes
+        counts[own] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        done.append((own, self.bytes[np.frombuffer(c.tobytes().decode("utf-32-le").encode(), np.uint8)]))
         by_length = np.argsort(lengths, kind="stable")
         sizes = lengths[by_length]
         for length in range(1, self.SHORT + 1):

@@ -81,6 +81,9 @@ _TITLED = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) +
 #: Where a name ends that has 's, or an apostrophe or dash of no word after it.
 _POSSESSIVE = re.compile(r"(?:'[sS]|['-]+)(?= |$)")
 
+#: Words, and what names' words are made of.
+_WORD, _PIECE = re.compile(r"\w+"), re.compile(r"\w+|['-]")
+
 
 def _digits(number: str) -> str:
     return "".join(c for c in number if c.isdigit())
@@ -160,17 +163,49 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     known[word] = sub[-1]
     if not known:
         return out
-    words = "|".join(re.escape(w) for k in sorted(known, key=lambda w: (-len(w), w)) for w in dict.fromkeys((k.title(), k.upper(), k[:1].upper() + k[1:], *_spelled(k, text, out))))
+    tree, key_of = _spellings(known, text, out)
     taken = iter([*out, (len(text), len(text), "", "")])
-    more, x = [], next(taken)
-    for m in re.finditer(rf"(?<!\w)(?:{words})(?!\w)(?: (?:{words})(?!\w)){{0,2}}", text):
-        while x[1] <= m.start():
+    more, x, resume = [], next(taken), 0
+    for m in _WORD.finditer(text):
+        if m.start() < resume or not (stop := _longest(tree, text, m.start())):
+            continue
+        start, words = m.start(), [text[m.start() : stop]]
+        while len(words) < 3 and text[stop : stop + 1] == " " and (end := _longest(tree, text, stop + 1)):
+            words.append(text[stop + 1 : end])
+            stop = end
+        resume = stop
+        while x[1] <= start:
             x = next(taken, (len(text) + 1, len(text) + 2, "", ""))
-        if m.end() <= x[0]:
-            more.append((m.start(), m.end(), "name", "=" + "".join(known[w.lower()] for w in m.group().split(" "))))
+        if stop <= x[0]:
+            more.append((start, stop, "name", "=" + "".join(known[key_of[w]] for w in words)))
     return sorted(out + more)
 
 
+def _spellings(known: dict[str, str], text: str, found: list[tuple[int, int, str, str]]) -> tuple[dict, dict[str, str]]:
+    """How known words may be written (as found names write them, in title case, in capitals) as a tree of pieces, and the known word of each."""
+    key_of = {w: w.lower() for a, b, kind, _ in found if kind == "name" for w in text[a:b].split(" ") if w.lower() in known}
+    for k in known:
+        for w in (k.title(), k.upper(), k[:1].upper() + k[1:]):
+            key_of.setdefault(w, k)
+    tree: dict = {}
+    for w in key_of:
+        node = tree
+        for piece in _PIECE.findall(w):
+            node = node.setdefault(piece, {})
+        node[""] = True
+    return tree, key_of
+
+
+def _longest(tree: dict, text: str, at: int) -> int:
+    """Where the longest word of the tree that stands here ends, 0 if none does."""
+    node, end = tree, 0
+    while (m := _PIECE.match(text, at)) and (node := node.get(m.group())) is not None:
+        at = m.end()
+        if "" in node and not _WORD.match(text, at):
+            end = at
+    return end
+
+
 def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """In order, without those that overlap an earlier one."""
     out, last = [], 0
@@ -181,11 +216,6 @@ def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str,
     return out
 
 
-def _spelled(word: str, text: str, found: list[tuple[int, int, str, str]]) -> list[str]:
-    """How found names write a word."""
-    return [w for a, b, kind, _ in found if kind == "name" for w in text[a:b].split(" ") if w.lower() == word]
-
-
 def parts(kind: str, gender: str, mention: str) -> list[tuple[str, str]]:
     """(sub-kind, normal form) of what a mention names; a name has one for each of its words, the last a surname if it has several."""
     if kind == "name":
