@@ -72,3 +72,10 @@ def masked(text: Column, patterns: tuple[str, ...] = (EMAIL, PHONE, LINK)) -> Co
     for p in patterns:
         text = F.regexp_replace(text, quick(p), LABEL)
     return text
+
+
+def natural_key(value: Column) -> Column:
+    """A key by which digits sort by their value: "Item 9" before "Item 10", in any case."""
+    bare = lambda x: F.regexp_replace(x, "^0+", "")
+    each = lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.char_length(bare(x)).cast("string"), 4, "0"), bare(x))).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(value), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), each), "")

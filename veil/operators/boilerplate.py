@@ -25,8 +25,9 @@ def text_zone(words: DataFrame, pages: DataFrame) -> DataFrame:
     return placed.filter((F.col("y0") < HEADER) | (F.col("y1") > F.col("height") - FOOTER)).select(words.columns)
 
 
-def text_template(words: DataFrame, share: float = 0.9, least_pages: int = 2, step: float = 1.0) -> DataFrame:
-    """doc_id, y, text of words that stand at one height on this share of a document's pages."""
+def text_template(words: DataFrame, share: float = 0.9, least_pages: int = 2, step: float = 1.0, sample: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, y, text of words that stand at one height on this share of a document's pages, or of those from the first to the last of a sample."""
+    words = words if sample is None else sampled(words, words, *sample)
     placed = words.select("doc_id", "page_no", grid(F.col("y0"), step).alias("y"), "text")
     pages = placed.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages")).filter(F.col("pages") >= least_pages)
     often = placed.groupBy("doc_id", "y", "text").agg(F.count_distinct("page_no").alias("on"))
@@ -43,8 +44,10 @@ def in_zone() -> Column:
     return (F.col("y1") <= HEADER) | (F.col("y0") >= F.col("height") - FOOTER)
 
 
-def rect_template(graphics: DataFrame, pages: DataFrame, share: float = 0.7) -> DataFrame:
-    """doc_id and rectangle of graphics in a header or footer on this share of a document's pages, by occurrences."""
+def rect_template(graphics: DataFrame, pages: DataFrame, share: float = 0.7, sample: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id and rectangle of graphics in a header or footer on this share of a document's pages (or of those of a sample), by occurrences."""
+    if sample is not None:
+        graphics, pages = sampled(graphics, pages, *sample), sampled(pages, pages, *sample)
     n = pages.groupBy("doc_id").agg(F.count_distinct("page_no").alias("_n"))
     zone = graphics.join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"]).filter(in_zone())
     keyed = zone.select("doc_id", *[(F.rint(F.col(s) * 10) / 10).alias(s) for s in SIDES])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural_key
 from ..functions.validate import kind_of, name_shape, phone_shape
 
 KEY = ["kind", "value"]
@@ -120,6 +121,30 @@ def tier_counts(rows: DataFrame) -> DataFrame:
 def review(rows: DataFrame, saved: DataFrame, find: str = "") -> DataFrame:
     """What a reviewer sees: surest first, with whether to keep it and whether it is saved already; find filters by any visible column."""
     known = saved.select(*KEY).distinct().withColumn("saved", F.lit(True))
-    order = F.when(F.col("tier") == "High", 0).when(F.col("tier") == "Medium", 1).otherwise(2)
     out = rows.join(known, KEY, "left").withColumn("saved", F.coalesce("saved", F.lit(False))).withColumn("keep", F.col("tier") == "High")
-    return out.filter(F.contains(F.lower(F.concat_ws(" ", *KEY, "context", "source")), F.lit(find.lower()))).orderBy(order, "kind", F.lower("value"), "value")
+    return out.filter(F.contains(F.lower(F.concat_ws(" ", *KEY, "context", "source")), F.lit(find.lower()))).orderBy(*review_order())
+
+
+def review_order() -> list[Column]:
+    """Surest first, then by kind and value, digits by what they count."""
+    tier = F.when(F.col("tier") == "High", 0).when(F.col("tier") == "Medium", 1).otherwise(2)
+    return [tier, F.col("kind"), natural_key(F.col("value")), F.col("value")]
+
+
+def positions(rows: DataFrame, order: list[Column] | None = None, prefix: int = 3) -> DataFrame:
+    """Rows with their position (from 1) in an order of columns of which the last two are texts, without a sort of all rows in one place.
+
+    Rows that begin alike are numbered side by side; only the counts of
+    beginnings, which are few, are added up in order.
+    """
+    order = review_order() if order is None else order
+    named = {f"_o{k}": c for k, c in enumerate(order)}
+    keyed = rows.select("*", *[c.alias(n) for n, c in named.items()])
+    text = f"_o{len(order) - 2}"
+    keyed = keyed.withColumn("_p", F.substring(text, 1, prefix))
+    begin = [*list(named)[:-2], "_p"]
+    counts = keyed.groupBy(*begin).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*begin).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*begin, before.alias("_before"))
+    inside = Window.partitionBy(*begin).orderBy(*list(named)[-2:])
+    return keyed.join(starts, begin).withColumn("position", F.col("_before") + F.row_number().over(inside)).select(*rows.columns, "position")

@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.validate import name_shape, numeric_noise
 
+if TYPE_CHECKING:
+    import pandas as pd
+
+#: What a recogniser gives for each entity, besides doc_id.
+ENTITY = "label string, start long, stop long, text string, sent string, tokens array<struct<text:string,pos:string>>"
+
+
+def recognised(docs: DataFrame, ner_fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """The entities that a caller's recogniser finds: it takes frames of doc_id and text and gives frames of doc_id and the columns of ENTITY (tokens: a list of dicts with text and pos), in any order.
+
+    Columns that are missing, or spans that a text cannot have, are errors that
+    name the recogniser's fault; further columns are ignored.
+    """
+    columns = ["doc_id", *[c.split(" ")[0] for c in ENTITY.split(", ")]]
+
+    def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in ner_fn(frames):
+            if missing := [c for c in columns if c not in found.columns]:
+                raise ValueError(f"the recogniser gives no {', '.join(missing)}")
+            if len(found) and not ((found["start"] >= 0) & (found["start"] <= found["stop"])).all():
+                raise ValueError("the recogniser gives a span that ends before it starts")
+            yield found[columns]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").filter("text IS NOT NULL").mapInPandas(checked, f"doc_id {kind}, {ENTITY}")
+
 
 def _lowered(values: DataFrame) -> DataFrame:
     return values.select(F.lower("value").alias("_s")).distinct()

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.validate import phone_shape
-
-#: What the gate takes for an address (from where a run of its characters begins, or the last match ended) and for a number.
+#: What the gate takes for an address (from where a run of its characters begins, or the last match ended) and for a number, whose last digits may be written as x.
 ADDRESS = r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]+\.[\w.-]+"
-NUMBER = r"\+?[0-9][0-9\-. ()]{6,}[0-9]"
+NUMBER = r"(?U)(?<![\w@.])(\+?\d[\d\-. ()xX]{6,}[\dxX])(?![\w@.])"
+#: Numbers of no one.
+SAFE_NUMBER, SAFE_LITERALS = r"^\+353 1 555 0([0-9]{3}|[xX]{3})$", ("+353 1 555 0",)
 
 
 def new_lines(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -20,13 +20,13 @@ def new_lines(now: DataFrame, before: DataFrame) -> DataFrame:
     return cut(now).join(cut(before), ["doc_id", "line"], "left_anti")
 
 
-def content(lines: DataFrame, safe_domain: str = "example.com", safe_number: str = r"^\+353 1 555 0[0-9]{3}$") -> DataFrame:
-    """doc_id, rule, value of addresses outside the safe domain and numbers that are not safe."""
+def content(lines: DataFrame, safe_domain: str = "example.com", safe_number: str = SAFE_NUMBER, safe_literals: tuple[str, ...] = SAFE_LITERALS) -> DataFrame:
+    """doc_id, rule, value of addresses outside the safe domain and of whatever has 7 to 15 digits as numbers do and is not safe."""
     addresses = lines.select("doc_id", F.lit("email").alias("rule"), F.explode(F.regexp_extract_all("line", F.lit(ADDRESS), F.lit(0))).alias("value"))
     outside = addresses.withColumn("value", F.rtrim(F.col("value"), F.lit("."))).filter(~F.lower(F.element_at(F.split("value", "@"), -1)).isin(safe_domain))
-    numbers = lines.select("doc_id", F.lit("phone").alias("rule"), F.explode(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(0))).alias("value"))
-    digits = F.char_length(F.regexp_replace("value", "[^0-9]", ""))
-    return outside.unionByName(numbers.filter(digits.between(7, 15) & phone_shape(F.col("value")) & ~F.col("value").rlike(safe_number))).distinct()
+    numbers = lines.select("doc_id", F.lit("phone").alias("rule"), F.explode(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(1))).alias("value")).withColumn("value", F.trim("value"))
+    digits = F.char_length(F.regexp_replace("value", r"(?U)\D", ""))
+    return outside.unionByName(numbers.filter(digits.between(7, 15) & ~F.col("value").rlike(safe_number) & ~F.col("value").isin(*safe_literals))).distinct()
 
 
 def paths(files: DataFrame, allowed_prefix: str, suffix: str, banned: list[tuple[str, str]], listed: tuple[str, ...] = ()) -> DataFrame:

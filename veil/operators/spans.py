@@ -84,14 +84,15 @@ def clear_of(spans: Column, exceptions: Column) -> Column:
     return F.when((F.size(spans) > 0) & (F.size(exceptions) > 0), let(united(exceptions), kept)).otherwise(spans)
 
 
-def _per_doc(spans: DataFrame, name: str) -> DataFrame:
+def per_document(spans: DataFrame, name: str) -> DataFrame:
+    """doc_id and an array of its spans."""
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct(*spans.columns)).alias(name))
 
 
 def without(spans: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Spans that overlap no exception of their document: an equi-join of the documents' arrays."""
     no = exceptions.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
-    joined = _per_doc(spans, "_s").join(_per_doc(no, "_e"), "doc_id", "left")
+    joined = per_document(spans, "_s").join(per_document(no, "_e"), "doc_id", "left")
     none = F.array().cast(joined.schema["_e"].dataType)
     return joined.select(F.explode(clear_of(F.col("_s"), F.coalesce("_e", none))).alias("_x")).select("_x.*")
 

@@ -14,8 +14,8 @@ from ..functions import text as t
 from ..functions.validate import kind_of, name_shape, numeric_noise, phone_shape
 from ..operators import blocks, boilerplate, candidates, detect, entities, gate, gazetteer, layout, selections, spans
 from ..sources import lists
-from ..streaming.stream import candidate_stream, mask_stream
-from . import extract, redact, redact_layout
+from ..streaming.stream import candidate_stream, candidates_now, compact, mask_stream, redact_stream
+from . import extract, ledger, redact, redact_layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -503,9 +503,9 @@ def meta_scrub(spark, sf_dir):
 
 @query(r"""WITH cut AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''), fresh AS (SELECT * FROM cut WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = cut.doc_id AND string_split(d.text, chr(10))[1] = cut.line)),
 a AS (SELECT doc_id, 'email' AS rule, rtrim(unnest(regexp_extract_all(line, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.-]+')), '.') AS value FROM fresh),
-n AS (SELECT doc_id, 'phone' AS rule, unnest(regexp_extract_all(line, '\+?[0-9][0-9\-. ()]{6,}[0-9]')) AS value FROM fresh), d AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS k FROM n)
+n AS (SELECT doc_id, 'phone' AS rule, trim(unnest(regexp_extract_all(regexp_replace(line, '([^\p{L}\p{M}\p{N}_@. ()+-])', '\1\1', 'g'), '(^|[^\p{L}\p{M}\p{N}_@.])(\+?[0-9][0-9\-. ()xX]{6,}[0-9xX])($|[^\p{L}\p{M}\p{N}_@.])', 2))) AS value FROM fresh), d AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS k FROM n)
 SELECT DISTINCT doc_id, rule, value FROM a WHERE lower(string_split(value, '@')[-1]) <> 'example.com'
-UNION SELECT doc_id, rule, value FROM d WHERE k BETWEEN 7 AND 15 AND NOT regexp_matches(value, '^(19|20)[0-9]{2}-[0-9]+$') AND (starts_with(value, '+') OR regexp_matches(value, '[-. ()]') OR k >= 9)""")
+UNION SELECT doc_id, rule, value FROM d WHERE k BETWEEN 7 AND 15 AND NOT regexp_matches(value, '^\+353 1 555 0([0-9]{3}|[xX]{3})$') AND value <> '+353 1 555 0'""")
 def gate_content(spark, sf_dir):
     """The gate over all documents: the earlier state is each one's first line."""
     docs = docs_of(spark, sf_dir)
@@ -516,9 +516,9 @@ def gate_content(spark, sf_dir):
 old AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{t.EMAIL}', 'REDACTED', 'g'), '{t.PHONE}', 'REDACTED', 'g'), '{LINK}', 'REDACTED', 'g'), chr(10))) AS line FROM documents),
 fresh AS (SELECT * FROM cut WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = cut.doc_id AND old.line = cut.line)),
 a AS (SELECT doc_id, 'email' AS rule, rtrim(unnest(regexp_extract_all(line, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.-]+')), '.') AS value FROM fresh),
-n AS (SELECT doc_id, 'phone' AS rule, unnest(regexp_extract_all(line, '\+?[0-9][0-9\-. ()]{{6,}}[0-9]')) AS value FROM fresh), d AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS k FROM n)
+n AS (SELECT doc_id, 'phone' AS rule, trim(unnest(regexp_extract_all(regexp_replace(line, '([^\p{{L}}\p{{M}}\p{{N}}_@. ()+-])', '\1\1', 'g'), '(^|[^\p{{L}}\p{{M}}\p{{N}}_@.])(\+?[0-9][0-9\-. ()xX]{{6,}}[0-9xX])($|[^\p{{L}}\p{{M}}\p{{N}}_@.])', 2))) AS value FROM fresh), d AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) AS k FROM n)
 SELECT DISTINCT doc_id, rule, value FROM a WHERE lower(string_split(value, '@')[-1]) <> 'example.com'
-UNION SELECT doc_id, rule, value FROM d WHERE k BETWEEN 7 AND 15 AND NOT regexp_matches(value, '^(19|20)[0-9]{{2}}-[0-9]+$') AND (starts_with(value, '+') OR regexp_matches(value, '[-. ()]') OR k >= 9)""")
+UNION SELECT doc_id, rule, value FROM d WHERE k BETWEEN 7 AND 15 AND NOT regexp_matches(value, '^\+353 1 555 0([0-9]{{3}}|[xX]{{3}})$') AND value <> '+353 1 555 0'""")
 def gate_masked(spark, sf_dir):
     """The gate over all documents: the earlier state is each one's masked text, so new are the lines that masking changes."""
     docs = docs_of(spark, sf_dir)
@@ -622,9 +622,9 @@ def review(spark, sf_dir):
 def saved_lists(spark, sf_dir):
     """A list is written, merged with new finds, written again and read."""
     c, out = rolled(spark, sf_dir), shared_folder(spark, "lists")
-    lists.write_lists(c.filter("count >= 2"), f"{out}/1")
-    lists.write_lists(lists.merged_lists(spark.read.parquet(f"{out}/1"), c.filter("kind <> 'name'")), f"{out}/2")
-    return spark.read.parquet(f"{out}/2").select("kind", "value")
+    lists.commit_lists(c.filter("count >= 2"), out)
+    lists.commit_lists(lists.merged_lists(lists.current(spark, out), c.filter("kind <> 'name'")), out)
+    return lists.current(spark, out).select("kind", "value")
 
 
 @query(f"WITH {_CANDIDATES} SELECT kind, value, source, count, confirmed FROM ca")
@@ -633,9 +633,9 @@ def candidate_batches(spark, sf_dir):
     out = shared_folder(spark, "finds")
     finds(spark, sf_dir).repartition(4).write.parquet(f"{out}/finds")
     stream = spark.readStream.schema("kind string, value string, context string, source string, doc_id long, start long").option("maxFilesPerTrigger", 2).parquet(f"{out}/finds")
-    run = candidate_stream(stream, f"{out}/versions", f"{out}/state")
-    run.awaitTermination()
-    return spark.read.parquet(f"{out}/versions/{run.lastProgress['batchId']}").select("kind", "value", "source", "count", "confirmed")
+    candidate_stream(stream, f"{out}/batches", f"{out}/state").awaitTermination()
+    compact(spark, f"{out}/batches")
+    return candidates_now(spark, f"{out}/batches").select("kind", "value", "source", "count", "confirmed")
 
 
 @query(r"""SELECT url AS path, 'out/' || regexp_replace(CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) ELSE regexp_extract(url, '[^/]*$') END, '(\.[^./]+)$', '_REDACTED\1') AS mirrored FROM pages""")
@@ -772,3 +772,51 @@ def leaks_of_lists(spark, sf_dir):
     """What a search of all kinds still finds where only addresses were taken out."""
     clean = redact.redact_all(docs_of(spark, sf_dir), rules=RULES, on=("email",))
     return redact.leaks(clean, rules=RULES, names=listed_names(spark, sf_dir)).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+_NATURAL = """array_to_string(list_transform(regexp_extract_all(lower(value), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 4, '0') || ltrim(x, '0') ELSE x END), '')"""
+
+
+@query(f"WITH {_SCORED} SELECT kind, value, tier, row_number() OVER (ORDER BY CASE tier WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, kind, {_NATURAL}, value) AS position FROM an")
+def review_positions(spark, sf_dir):
+    """Each candidate's place in the reviewer's order, digits by their value."""
+    rows = candidates.annotated(rolled(spark, sf_dir), common_words(spark, sf_dir))
+    return candidates.positions(rows).select("kind", "value", "tier", F.col("position").cast("bigint").alias("position"))
+
+
+@query(f"""WITH {_PAIRS}, {_spans_sql(RULES)}, {_name_spans_sql('documents', 'nm')}, al AS (SELECT * FROM sp UNION ALL SELECT * FROM nm), {_MERGED.format(of='al')}, {_REDACTED} SELECT doc_id, md5(text) AS digest FROM red""")
+def stream_redact(spark, sf_dir):
+    """Documents that arrive in a stream, redacted by rules and a versioned list of names."""
+    out = shared_folder(spark, "redacted")
+    lists.commit(listed_names(spark, sf_dir), f"{out}/names")
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text")
+    redact_stream(docs, f"{out}/data", f"{out}/state", names=f"{out}/names", rules=RULES).awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("doc_id", F.md5("text").alias("digest"))
+
+
+_RULE_MERGED = """isl AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id, rule ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM kp),
+num AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, rule ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM isl),
+mrg AS (SELECT doc_id, rule, g, min(start) AS start, max(stop) AS stop FROM num GROUP BY doc_id, rule, g)"""
+
+
+@query(f"""WITH {_PAIRS}, {_spans_sql(RULES)}, {_name_spans_sql('documents', 'nm')}, al AS (SELECT * FROM sp UNION ALL SELECT * FROM nm), {_KEPT}, {_RULE_MERGED},
+c AS (SELECT doc_id, rule, count(*) AS n FROM kp GROUP BY doc_id, rule), m AS (SELECT doc_id, rule, CAST(sum(stop - start) AS BIGINT) AS masked_chars FROM mrg GROUP BY doc_id, rule)
+SELECT doc_id, rule, n, masked_chars FROM c JOIN m USING (doc_id, rule)""")
+def ledger_report(spark, sf_dir):
+    """Detections and exceptions are stored in bucketed tables; the report over them needs no exchange."""
+    docs, out, name = docs_of(spark, sf_dir), shared_folder(spark, "ledger"), f"veil_{uuid.uuid4().hex}"
+    found = ledger.store(detect.blanket(docs, RULES, names=listed_names(spark, sf_dir)), f"{name}_found", f"{out}/found", buckets=8)
+    links = ledger.store(detect.blanket(docs, RULES, on=("link",)), f"{name}_links", f"{out}/links", buckets=8)
+    return ledger.report(found, links)
+
+
+@query(f"""WITH {_spans_sql(RULES)}, em AS (SELECT * FROM sp WHERE rule = 'email'), {_MERGED.format(of='em')}, {_REDACTED}, {_spans_sql(RULES, 'red', 'lk')},
+a AS (SELECT doc_id, rule, matched, count(*) AS a FROM sp GROUP BY ALL), b AS (SELECT doc_id, rule, matched, count(*) AS b FROM lk GROUP BY ALL)
+SELECT doc_id, rule, CAST(sum(coalesce(a, 0) - least(coalesce(a, 0), coalesce(b, 0))) AS BIGINT) AS gone, CAST(sum(least(coalesce(a, 0), coalesce(b, 0))) AS BIGINT) AS left, CAST(sum(coalesce(b, 0) - least(coalesce(a, 0), coalesce(b, 0))) AS BIGINT) AS new
+FROM a FULL OUTER JOIN b USING (doc_id, rule, matched) GROUP BY doc_id, rule""".replace(" AS left,", ' AS "left",').replace(" AS new\n", ' AS "new"\n'))
+def ledger_changes(spark, sf_dir):
+    """What taking out addresses has done: spans of all rules before and after, from two ledgers."""
+    docs, out, name = docs_of(spark, sf_dir), shared_folder(spark, "ledger"), f"veil_{uuid.uuid4().hex}"
+    before = ledger.store(detect.blanket(docs, RULES), f"{name}_before", f"{out}/before", buckets=8)
+    after = ledger.store(detect.blanket(redact.redact_all(docs, rules=RULES, on=("email",)), RULES), f"{name}_after", f"{out}/after", buckets=8)
+    return ledger.changes(before, after)

@@ -42,7 +42,48 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 
 def write_lists(candidates: DataFrame, path: str) -> None:
     """Each kind's distinct values, in order, in a folder of its own; what was there is replaced."""
-    candidates.select("kind", "value").dropDuplicates().repartition("kind").sortWithinPartitions("kind", "value").write.partitionBy("kind").mode("overwrite").parquet(path)
+    _listed(candidates).write.partitionBy("kind").mode("overwrite").parquet(path)
+
+
+def _listed(candidates: DataFrame) -> DataFrame:
+    return candidates.select("kind", "value").dropDuplicates().repartition("kind", F.substring("value", 1, 1)).sortWithinPartitions("kind", "value")
+
+
+def commit_lists(candidates: DataFrame, path: str) -> int:
+    """The same as a version of its own; `current` reads the newest."""
+    return commit(_listed(candidates), path, ("kind",))
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """The numbers of a table's versions, and whether each is whole: its writer leaves a mark last."""
+    files, p = _filesystem(spark, path)
+    if not files.exists(p):
+        return []
+    found = [f.getPath() for f in files.listStatus(p) if f.isDirectory() and f.getPath().getName().isdigit()]
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted((int(f.getName()), files.exists(mark(f, "_SUCCESS"))) for f in found)
+
+
+def commit(rows: DataFrame, path: str, partition: tuple[str, ...] = ()) -> int:
+    """Write a new version of a table beside the others. Readers see it when it is whole, so a write that is cut off changes nothing, and a version that is being read stays."""
+    number = max((n for n, _ in versions(rows.sparkSession, path)), default=0) + 1
+    rows.write.partitionBy(*partition).mode("errorifexists").parquet(f"{path}/{number}")
+    return number
+
+
+def current(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The newest whole version of a table; an empty one of the schema if there is none."""
+    whole = [n for n, ok in versions(spark, path) if ok]
+    if not whole:
+        if schema is None:
+            raise FileNotFoundError(f"no whole version below {path}")
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/{whole[-1]}")
 
 
 def mirrored_path(path: Column, root: str, out: str) -> Column:
