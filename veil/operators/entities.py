@@ -58,8 +58,8 @@ def name_parts(entities: DataFrame, stop_list: DataFrame, function_words: Sequen
     return good.join(_lowered(stop_list), F.lower("name") == F.col("_s"), "left_anti")
 
 
-def cleaned_up(names: DataFrame, safe: DataFrame | None = None) -> DataFrame:
-    """Names (doc_id, name, sent) without single letters; initials of a list (value) that are safe though short are names of every document with another name."""
+def cleaned_up(names: DataFrame, safe: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """Names (doc_id, name, sent) without single letters; initials of a list (value) that are safe though short are names of every document, or without `docs` of every document with another name."""
     kept = names.filter(~F.col("name").rlike(r"^[A-Z]\.?$"))
     if safe is None:
         return kept
@@ -67,7 +67,7 @@ def cleaned_up(names: DataFrame, safe: DataFrame | None = None) -> DataFrame:
     own = [r["value"] for r in safe.select("value").distinct().limit(1001).collect()]
     if len(own) > 1000:
         raise ValueError("a list of over 1000 safe initials")
-    more = kept.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("name"), F.lit("").alias("sent"))
+    more = (kept if docs is None else docs).select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("name"), F.lit("").alias("sent"))
     return kept.unionByName(more)
 
 

@@ -233,16 +233,17 @@ def name_search(spark, sf_dir):
 # --- candidates --------------------------------------------------------------
 
 _FINDS = f"""{_spans_sql({'email': t.EMAIL, 'phone': t.PHONE})},
-fi AS (SELECT rule AS kind, matched AS value, CAST(start AS VARCHAR) AS context, CASE WHEN doc_id % 7 = 0 THEN 'table' ELSE 'regex' END AS source, doc_id, start FROM sp
+fi AS (SELECT rule AS kind, matched AS value, CAST(start AS VARCHAR) AS context, CASE WHEN start < 200 THEN 'table' ELSE 'regex' END AS source, doc_id, start FROM sp
   UNION ALL SELECT 'name', w, w, 'ner', doc_id, i FROM (SELECT doc_id, unnest(hits) AS w, unnest(range(len(hits))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]+') AS hits FROM documents)))"""
 _CANDIDATES = _FINDS + """,
 ca AS (SELECT kind, value, arg_min(context, (doc_id, start, source)) AS context, CASE WHEN bool_or(source = 'table') THEN 'table' ELSE arg_min(source, (doc_id, start, source)) END AS source, CAST(count(*) AS BIGINT) AS count, FALSE AS confirmed FROM fi GROUP BY kind, value)"""
 
 
 def finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds of rules (those near a text's start stand for cells of tables) and capitalised words for names."""
     docs = docs_of(spark, sf_dir)
     found = detect.blanket(docs, on=("email", "phone")).select(
-        F.col("rule").alias("kind"), F.col("matched").alias("value"), F.col("start").cast("string").alias("context"), F.when(F.col("doc_id") % 7 == 0, "table").otherwise("regex").alias("source"), "doc_id", "start"
+        F.col("rule").alias("kind"), F.col("matched").alias("value"), F.col("start").cast("string").alias("context"), F.when(F.col("start") < 200, "table").otherwise("regex").alias("source"), "doc_id", "start"
     )
     hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]+"), F.lit(0))).alias("start", "value"))
     return found.unionByName(hits.select(F.lit("name").alias("kind"), "value", F.col("value").alias("context"), F.lit("ner").alias("source"), "doc_id", F.col("start").cast("bigint").alias("start")))
@@ -424,6 +425,26 @@ def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.lay_out(docs_of(spark, sf_dir)).withColumn("text", F.when(word.rlike("^[a-z]"), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 2**31 - 1))).otherwise(word))
 
 
+def _named_sql(of: str, name: str) -> str:
+    """_NAMED over another table, under other names."""
+    out = _NAMED.replace("{of}", of)
+    for old in ("sz", "nb", "ok"):
+        out = re.sub(rf"\b{old}\b", name if old == "ok" else f"{name}_{old}", out)
+    return out
+
+
+_LABELLED = f"""nx AS (SELECT *, list(text) OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM iw),
+ht AS (SELECT *, list_transform(range(1, 7), lambda k: coalesce(ends_with(n[k], ':'), FALSE)) AS c FROM nx WHERE contains(lower(text), 'on') AND ends_with(text, ':')),
+lk0 AS (SELECT doc_id, page_no, row, word_no, array_to_string(n[1:CASE WHEN n[1] IS NULL OR c[1] OR c[2] THEN 0 WHEN n[2] IS NULL OR c[2] OR c[3] THEN 1 WHEN n[3] IS NULL OR c[3] OR c[4] THEN 2 WHEN n[4] IS NULL OR c[4] OR c[5] THEN 3 ELSE 4 END], ' ') AS name FROM ht),
+{_named_sql('lk0', 'lbl')}"""
+_TABLED = f"""br AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w <= 20 THEN 0 ELSE 1 END AS b, lead(x0) OVER w AS nx, count(*) OVER (PARTITION BY doc_id, page_no, row) AS n FROM iw WINDOW w AS (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no)),
+ph AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no ROWS UNBOUNDED PRECEDING) AS p FROM br), lf AS (SELECT *, min(x0) OVER (PARTITION BY doc_id, page_no, row, p) AS l FROM ph),
+hd AS (SELECT doc_id, page_no, row, l - 2 AS a, coalesce(nx - 2, x1 + 150) AS z FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no) AS k FROM lf WHERE contains(lower(text), 'ionan') AND NOT ends_with(text, ':') AND n >= 2) WHERE k = 1),
+bl AS (SELECT iw.*, hd.row AS hr, a, z, dense_rank() OVER (PARTITION BY iw.doc_id, iw.page_no, hd.row ORDER BY iw.row) AS k FROM iw JOIN hd ON iw.doc_id = hd.doc_id AND iw.page_no = hd.page_no AND iw.row > hd.row AND iw.row <= hd.row + 350),
+tk0 AS (SELECT doc_id, page_no, hr, row, string_agg(text, ' ' ORDER BY x0, word_no) AS name FROM bl WHERE k <= 25 AND x0 >= a AND x0 < z GROUP BY ALL),
+{_named_sql('tk0', 'tbl')}"""
+
+
 @query(f"""WITH {_CAPPED}, nx AS (SELECT *, list(text) OVER (PARTITION BY doc_id, page_no, row ORDER BY x0, word_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM iw),
 ht AS (SELECT *, list_transform(range(1, 7), lambda k: coalesce(ends_with(n[k], ':'), FALSE)) AS c FROM nx WHERE contains(lower(text), 'on') AND ends_with(text, ':')),
 tk AS (SELECT doc_id, page_no, row, word_no, array_to_string(n[1:CASE WHEN n[1] IS NULL OR c[1] OR c[2] THEN 0 WHEN n[2] IS NULL OR c[2] OR c[3] THEN 1 WHEN n[3] IS NULL OR c[3] OR c[4] THEN 2 WHEN n[4] IS NULL OR c[4] OR c[5] THEN 3 ELSE 4 END], ' ') AS name FROM ht),
@@ -450,10 +471,10 @@ _ENT = """en AS (SELECT doc_id, unnest(hits) AS text, unnest(sents) AS sent FROM
 
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words that begin a sentence stand for people."""
-    p = F.lit("([A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]+)[^.]*")
-    each = docs_of(spark, sf_dir).select("doc_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", p, F.lit(1)).alias("text"), F.regexp_extract_all("text", p, F.lit(0)).alias("sent"))).alias("e"))
-    tokens = F.transform(F.split("e.text", " "), lambda w: F.struct(w.alias("text"), F.lit("PROPN").alias("pos")))
-    return each.select("doc_id", F.lit("PERSON").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("stop"), F.col("e.text").alias("text"), F.col("e.sent").alias("sent"), tokens.alias("tokens"))
+    p = "([A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]+)[^.]*"
+    each = spans.locate(docs_of(spark, sf_dir), p, "sentence").withColumn("text", F.regexp_extract("matched", p, 1))
+    tokens = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"), F.lit("PROPN").alias("pos")))
+    return each.select("doc_id", F.lit("PERSON").alias("label"), "start", (F.col("start") + F.char_length("text")).alias("stop"), "text", F.col("matched").alias("sent"), tokens.alias("tokens"))
 
 
 @query(f"""WITH {_ENT}, st AS (SELECT DISTINCT lower(n_name) AS s FROM nation), pa AS (SELECT doc_id, unnest(string_split(text, ' ')) AS name, sent FROM en)
@@ -488,9 +509,10 @@ def page_concat(spark, sf_dir):
     return lists.joined_pages(pages).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE source END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN trim(text) <> '' AND lang = 'en' THEN text ELSE coalesce('second reading: ' || text, '') END AS text FROM documents")
 def text_fallback(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).otherwise("  ").alias("text"), F.col("source").alias("alt_text"))
+    """Texts in English stand for first readings that succeeded; every other comes from a second reading, whole."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).otherwise("  ").alias("text"), F.concat(F.lit("second reading: "), "text").alias("alt_text"))
     return lists.with_fallback(docs).select("doc_id", "text")
 
 
@@ -675,18 +697,30 @@ def redact_layout_words(spark, sf_dir):
     return redact_layout.totals(kept).withColumnRenamed("n", "rects").join(labels, ["doc_id", "page_no"]).join(left, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "words_left", "rects", "labels")
 
 
-@query(f"""WITH {_ENT}, st AS (SELECT DISTINCT lower(n_name) AS s FROM nation), co AS (SELECT DISTINCT lower(w) AS c FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark)), fw AS ({_FUNCTION}),
-pa AS (SELECT doc_id, unnest(string_split(text, ' ')) AS name FROM en UNION ALL SELECT doc_id, text FROM en WHERE contains(text, ' ') OR lower(text) NOT IN (SELECT c FROM co)),
-nm AS (SELECT DISTINCT doc_id, name FROM pa WHERE NOT list_has_any(string_split(lower(name), ' '), coalesce((SELECT list(w) FROM fw), [])) AND length(name) > 1 AND length(name) <= CASE WHEN contains(name, ' ') THEN 40 ELSE 22 END AND lower(name) NOT IN (SELECT s FROM st)),
+_SIGHTED = f"""{_ENT}, st AS (SELECT DISTINCT lower(n_name) AS s FROM nation), co AS (SELECT DISTINCT lower(w) AS c FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark)), {_CAPPED}, {_LABELLED}, {_TABLED},
+pa AS (SELECT doc_id, unnest(string_split(text, ' ')) AS name FROM en UNION ALL SELECT doc_id, text FROM en WHERE (contains(text, ' ') OR lower(text) NOT IN (SELECT c FROM co)) AND NOT starts_with(ltrim(substr(sent, length(text) + 1, 2)), ':')),
+nr AS (SELECT DISTINCT doc_id, name FROM pa WHERE NOT list_has_any(string_split(lower(name), ' '), coalesce((SELECT list(w) FROM fw), [])) AND length(name) > 1 AND length(name) <= CASE WHEN contains(name, ' ') THEN 40 ELSE 22 END AND lower(name) NOT IN (SELECT s FROM st)),
+sg AS (SELECT doc_id, name, 'ner' AS source FROM nr UNION SELECT doc_id, name, 'label' FROM lbl UNION SELECT doc_id, name, 'table' FROM tbl)"""
+
+
+def sighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of documents from recognised people, labels and tables."""
+    stop = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
+    return extract.by_source(docs_of(spark, sf_dir), recognised(spark, sf_dir), capped(spark, sf_dir), stop, common_words(spark, sf_dir), function_words=function_words(spark, sf_dir), label="on", header="ionan")
+
+
+@query(f"WITH {_SIGHTED} SELECT doc_id, name, source FROM sg")
+def name_sources(spark, sf_dir):
+    """Each document's names, and where they were found."""
+    return sighted(spark, sf_dir).select("doc_id", "name", "source")
+
+
+@query(f"""WITH {_SIGHTED}, nm AS (SELECT DISTINCT doc_id, name FROM sg),
 ad AS (SELECT doc_id, name, greatest(1, (length(text) - length(replace(text, name, ''))) // length(name)) AS n FROM nm JOIN documents USING (doc_id))
 SELECT name, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM ad GROUP BY name""")
 def extracted_names(spark, sf_dir):
-    """Names of all sources (here without a layout), each document's share, and the names of the corpus."""
-    docs = docs_of(spark, sf_dir)
-    stop = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
-    none = layout.lay_out(docs.limit(0))
-    names = extract.by_source(docs, recognised(spark, sf_dir), none, stop, common_words(spark, sf_dir), function_words=function_words(spark, sf_dir))
-    return extract.corpus_names(extract.contributions(docs, names))
+    """Names of all sources, each document's share, and the names of the corpus."""
+    return extract.corpus_names(extract.contributions(docs_of(spark, sf_dir), sighted(spark, sf_dir)))
 
 
 # --- lists, places and boxes -------------------------------------------------------
