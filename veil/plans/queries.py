@@ -783,7 +783,9 @@ SELECT doc_id, page_no, CAST(lf.n AS BIGINT) AS words_left, CAST(coalesce(rc.n,
 def layout_redaction(spark, sf_dir):
     """The whole plan on pages: rules and listed names become rectangles, those that touch an exception's go, and words under the others are taken out."""
     docs = docs_of(spark, sf_dir)
-    rects = redact_layout.plan(blocks.of_texts(docs), names=listed_names(spark, sf_dir), rules=RULES, exceptions=["With", "from"])
+    pages = blocks.of_texts(docs)
+    size = pages.select("doc_id", "page_no", F.lit(480.0).alias("width"), F.lit(600.0).alias("height"))
+    rects = redact_layout.plan(redact_layout.Layout(pages, size), names=listed_names(spark, sf_dir), rules=RULES, exceptions=["With", "from"])
     left = redact_layout.redacted(layout.lay_out(docs), rects).groupBy("doc_id", "page_no").agg(F.count("*").alias("words_left"))
     return left.join(redact_layout.totals(rects).withColumnRenamed("n", "rects"), ["doc_id", "page_no"], "left").select("doc_id", "page_no", "words_left", F.coalesce("rects", F.lit(0).cast("long")).alias("rects"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import CELL, COARSER, LEVELS, SIDES, cells, label, level, overlap, repaired
-from ..operators import blocks, detect
+from ..operators import blocks, boilerplate, detect, selections, substrings
+from ..operators.layout import split_emails
 
 PAGE = ["doc_id", "page_no"]
 
@@ -75,15 +77,74 @@ def totals(rects: DataFrame) -> DataFrame:
     return rects.select(*PAGE, *SIDES).distinct().groupBy(*PAGE).agg(F.count("*").alias("n"))
 
 
-def found_rects(pages: DataFrame, names: DataFrame | list[str] | None = None, rules: dict[str, str] | None = None, on: tuple[str, ...] = ("email", "phone", "link"), exceptions: DataFrame | list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rectangles of what detectors find in blocks of text, and of the phrases that are exceptions."""
-    rects = blocks.rects(detect.scanned(pages, rules, on, names))
-    none = rects.limit(0)
-    return rects, none if exceptions is None else blocks.rects(detect.substrings.marked(pages, exceptions, "exception", blanks=False, bounds="words"))
+@dataclass(frozen=True)
+class Layout:
+    """The tables of laid-out documents; those that are not there take no part.
 
+    blocks: see operators.blocks. pages: doc_id, page_no, width, height. words,
+    graphics, lines: as in operators.layout and operators.boilerplate. links:
+    doc_id, page_no, uri and rectangle. specs: doc_id, spec, lists of whole pages.
+    selections: doc_id, page_no, rects, what a person has marked.
+    """
 
-def plan(pages: DataFrame, extra: list[DataFrame] = (), **options) -> DataFrame:
-    """doc_id, page_no, rectangle and label of all that goes: finds in the text of blocks, and rectangles of other detectors (extra), less those that touch an exception's."""
-    found, exceptions = found_rects(pages, **options)
-    every = reduce(DataFrame.unionByName, [r.select(*PAGE, *SIDES) for r in (found, *extra)])
-    return applied(without_exceptions(every, exceptions) if options.get("exceptions") is not None else every)
+    blocks: DataFrame
+    pages: DataFrame
+    words: DataFrame | None = None
+    graphics: DataFrame | None = None
+    lines: DataFrame | None = None
+    links: DataFrame | None = None
+    specs: DataFrame | None = None
+    selections: DataFrame | None = None
+
+
+def detected(
+    layout: Layout,
+    on: tuple[str, ...] = ("email", "phone", "link", "name", "boilerplate"),
+    names: DataFrame | list[str] | None = None,
+    rules: dict[str, str] | None = None,
+    phrases: tuple[str, ...] = (),
+    host: str = "linkedin.com",
+    sample: tuple[int, int] | None = None,
+    shares: tuple[float, float] = (0.9, 0.7),
+) -> DataFrame:
+    """doc_id, page_no, rule and rectangle of all that the detectors that are on find; whole pages and what a person has marked are always among them.
+
+    phrases: what closes a letter, in lower case. sample: first and last page of
+    those that templates are taken from. shares: of pages on which words, and
+    graphics, count as boilerplate.
+    """
+    table, parts = layout, []
+    named = names if "name" in on else None
+    kinds = tuple(r for r in on if r in (rules or detect.RULES))
+    if kinds or named is not None:
+        parts.append(blocks.rects(detect.scanned(table.blocks, rules, kinds, named)))
+    put = lambda rows, rule: parts.append(rows.withColumn("rule", F.lit(rule)))
+    if "email" in on and table.words is not None:
+        put(split_emails(table.words), "email")
+    if "link" in on and table.links is not None:
+        put(table.links.filter(F.lower("uri").contains(host)), "link")
+    if "boilerplate" in on:
+        if table.words is not None:
+            zone = boilerplate.text_zone(table.words, table.pages)
+            put(boilerplate.text_match(table.words, boilerplate.text_template(zone, shares[0], sample=sample)), "boilerplate")
+        if table.graphics is not None:
+            put(boilerplate.rect_match(table.graphics, boilerplate.rect_template(table.graphics, table.pages, shares[1], sample)), "boilerplate")
+            put(boilerplate.zone_images(table.graphics, table.pages), "boilerplate")
+        if table.lines is not None and phrases:
+            zones = boilerplate.signature_zones(table.lines, table.pages, phrases).join(table.pages.select(*PAGE, "width"), PAGE)
+            put(zones.withColumns({"x0": F.lit(0.0), "x1": F.col("width")}), "signature")
+    if table.specs is not None:
+        parts.append(selections.full_pages(table.pages, table.specs))
+    if table.selections is not None:
+        parts.append(selections.rectangles(table.selections, table.pages))
+    rows = [p.select(*PAGE, "rule", *SIDES) for p in parts] or [blocks.rects(detect.scanned(table.blocks.limit(0), on=()))]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def plan(layout: Layout, exceptions: DataFrame | list[str] | None = None, **options) -> DataFrame:
+    """doc_id, page_no, rectangle and label of all that goes: what `detected` finds, each rectangle once, less those that touch a phrase of the exceptions on their page."""
+    rects = detected(layout, **options)
+    if exceptions is not None:
+        phrases = blocks.rects(substrings.marked(layout.blocks, exceptions, "exception", blanks=False, bounds="words"))
+        rects = without_exceptions(rects, phrases)
+    return applied(rects)
