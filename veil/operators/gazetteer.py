@@ -18,6 +18,10 @@ RUNS = r"[0-9a-z]+|[^\s0-9a-z]"
 BROADCAST_NAMES = 200_000
 
 
+#: Runs that are put side by side for every place of a text; longer names are looked for where they can begin.
+SIDE_BY_SIDE = 8
+
+
 def _small(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
 
@@ -63,8 +67,8 @@ def runs(docs: DataFrame, names: DataFrame) -> DataFrame:
     single other marks; m neighbouring ones joined without blanks are looked up
     among names without blanks, for every m that a name of the list has, with
     its blanks or without, and 1 to 4. A bounded name starts and ends at the ends
-    of runs, so none is lost. Runs that no name begins with are left out before
-    any are joined, so a long name costs nothing where it cannot begin.
+    of runs, so none is lost. A name of many runs is looked for only where it can
+    begin, so it costs nothing elsewhere.
     """
     cut = lambda v: F.regexp_extract_all(folded(v), F.lit(RUNS), F.lit(0))
     size = lambda v: F.size(cut(v))
@@ -73,14 +77,25 @@ def runs(docs: DataFrame, names: DataFrame) -> DataFrame:
     counts = sorted({1, 2, 3, 4}.union(lengths(plain.filter(size(glued) > 0), F.sequence(size(glued), size(F.col("_v"))))))
     keys = plain.select(folded(glued).alias("key"), F.col("value").alias("name")).filter("key <> ''").dropDuplicates(["key"])
     lists = docs.select("doc_id", cut(normalised(F.col("text"))).alias("_r")).filter("size(_r) > 0")
-    # What a name can begin with: a run of the text is the glued name's first run or, where its first words are written apart, what begins that.
+    short, long = [m for m in counts if m <= SIDE_BY_SIDE], [m for m in counts if m > SIDE_BY_SIDE]
+    # A run and the few after it side by side: copies of the array, each a place further on.
+    ahead = F.arrays_zip(*[F.slice("_r", F.lit(k + 1), F.size("_r")).alias(f"r{k}") if k else F.col("_r").alias("r0") for k in range(short[-1])])
+    each = lists.select("doc_id", F.posexplode(ahead).alias("i", "_x"))
+    joined = lambda m: F.concat(*[F.col(f"_x.r{k}") for k in range(m)])
+    keyed = each.select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), joined(m).alias("key")) for m in short])).alias("_g")).filter("_g.key IS NOT NULL").select("doc_id", "i", "_g.*")
+    found = keyed.join(_small(keys), "key").select("doc_id", "i", "m", "name")
+    if not long:
+        return found
+    # Names of more runs: only where a run stands that one of them begins with, or that begins its first.
+    few = keys.filter(size(F.col("name")) > SIDE_BY_SIDE)
     begins = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_f"))), lambda n: F.substring("_f", F.lit(1), n))
-    first = keys.select(F.regexp_extract("key", RUNS, 0).alias("_f")).distinct().select(F.explode(begins).alias("_b")).distinct()
-    each = lists.select("doc_id", "_r", F.posexplode("_r").alias("i", "_t")).withColumn("_r", F.slice("_r", F.col("i") + 1, F.lit(counts[-1])))
-    begun = each.join(_small(first), F.col("_t") == F.col("_b"), "left_semi")
-    grams = begun.select("doc_id", "i", F.explode(F.array(*map(F.lit, counts)).cast("array<int>")).alias("m"), "_r").filter("size(_r) >= m")
-    keyed = grams.select("doc_id", "i", "m", F.array_join(F.slice("_r", F.lit(1), F.col("m")), "").alias("key"))
-    return keyed.join(_small(keys), "key").select("doc_id", "i", "m", "name")
+    first = few.select(F.regexp_extract("key", RUNS, 0).alias("_f")).distinct().select(F.explode(begins).alias("_b")).distinct()
+    begun = lists.select("doc_id", F.posexplode("_r").alias("i", "_t")).join(_small(first), F.col("_t") == F.col("_b"), "left_semi").select("doc_id", "i")
+    per_doc = lists.join(begun.groupBy("doc_id").agg(F.collect_set("i").alias("_at")), "doc_id")
+    cuts = F.transform("_at", lambda i: F.struct(i.alias("i"), F.slice("_r", i + 1, F.lit(long[-1])).alias("ts")))
+    grams = per_doc.select("doc_id", F.explode(cuts).alias("_x")).select("doc_id", "_x.*").select("doc_id", "i", "ts", F.explode(F.array(*map(F.lit, long)).cast("array<int>")).alias("m")).filter("size(ts) >= m")
+    more = grams.select("doc_id", "i", "m", F.array_join(F.slice("ts", F.lit(1), F.col("m")), "").alias("key")).join(_small(few), "key")
+    return found.unionByName(more.select("doc_id", "i", "m", "name"))
 
 
 def spans_of_names(docs: DataFrame, names: DataFrame, rule: str = "name") -> DataFrame:
