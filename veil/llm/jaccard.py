@@ -19,7 +19,9 @@ similarity is at least num / den, and keep only what connects them:
 
 Groups over `most_ids` shingles are split into blocks, and every pair of blocks
 is joined by a task of its own, so a task's memory is bounded; the links found
-are then connected across tasks. Exact copies of a set are looked at once.
+are then connected across tasks. Documents with equal sets are one class from
+the start: one of each class goes through both steps, whatever task its copies
+are in.
 
 Cases: a null or wordless text has an empty set, is linked with nothing and is
 its own component; rows that share a doc_id are one node and each keeps its
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Windows, mixed, staged, texts, word_hashes
+from .common import BROADCAST_ROWS, LOWER, Windows, mixed, staged, texts, word_hashes
 from .components import components
 
 #: Counters of the sketch of how often shingles occur, and the slices it travels in.
@@ -67,31 +69,34 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 # --- sets and the sketch -----------------------------------------------------
 
-_SETS = "doc_id long, n int, s1 long, s2 long, signature binary, slice int, counts binary"
+_SETS = "doc_id long, n int, s1 long, s2 long, signature binary, packed binary, slice int, counts binary"
 
 
 def _sets(k: int):
-    """Each document's set size and 128-bit identity; at the end of a task its part of the sketch."""
+    """Each document's set size, 128-bit identity and text; at the end of a task its part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        shingles, sketch = Shingles(k), np.zeros(SKETCH, np.uint32)
+        import zstandard
+
+        small, shingles, sketch = zstandard.ZstdCompressor(level=1), Shingles(k), np.zeros(SKETCH, np.uint32)
         names = [c.split()[0] for c in _SETS.split(", ")]
         for batch in batches:
-            n, ids, signatures = [], [], []
+            n, ids, signatures, packed = [], [], [], []
             for text in texts(batch):
                 s = shingles(text)
+                packed.append(small.compress(text))
                 n.append(len(s))
                 ids.append(identity(s))
                 signatures.append(signature(s))
                 sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             ids = np.array(ids, np.uint64).reshape(-1, 2)
             nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), _signed(ids[:, 0]), _signed(ids[:, 1]), pa.array(signatures, pa.binary()), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), _signed(ids[:, 0]), _signed(ids[:, 1]), pa.array(signatures, pa.binary()), pa.array(packed, pa.binary()), *nothing], names)
         slices = [zlib.compress(sketch[i : i + SLICE].tobytes(), 1) for i in range(0, SKETCH, SLICE)]
         k0 = len(slices)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int32()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.binary()), pa.array(range(k0), pa.int32()), pa.array(slices, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int32()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.binary()), pa.nulls(k0, pa.binary()), pa.array(range(k0), pa.int32()), pa.array(slices, pa.binary())], names)
 
     return run
 
@@ -173,10 +178,12 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 def _entries(k: int, t: Fraction, shared):
-    """Prefix entries of each distinct set of a task. Rows without a shingle are edges found at once, from doc_id to b1: a run's documents and its first."""
+    """Prefix entries of sets that are all different. Rows without a shingle are edges found at once, from doc_id to b1: a run's documents and its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sketch, seen = Shingles(k), shared.value, set()
+        import zstandard
+
+        plain, shingles, sketch = zstandard.ZstdDecompressor(), Shingles(k), shared.value
         held: list[tuple] = []
         size = 0
 
@@ -213,14 +220,8 @@ def _entries(k: int, t: Fraction, shared):
             held.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                s = shingles(text)
-                if not len(s) or doc_id is None:
-                    continue
-                if (own := identity(s)) in seen:
-                    continue
-                if len(seen) < 1 << 18:  # a set not remembered is only looked at again
-                    seen.add(own)
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist()):
+                s = shingles(plain.decompress(raw))
                 ordered = in_order(s, sketch)[: prefix_length(len(s), t)]
                 held.append((ordered, doc_id, len(s), _parity(s)))
                 size += len(ordered)
@@ -516,15 +517,6 @@ def _join(k: int, t: Fraction, sketch):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    small = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        rows = [small.compress(b) for b in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cell"), pa.array(rows, pa.binary())], ["doc_id", "cell", "packed"])
-
-
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), most_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), a row for each document."""
     spark, t = docs.sparkSession, Fraction(*threshold)
@@ -532,36 +524,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     sets = staged(docs.mapInArrow(_sets(k), _SETS), "sets")
     sketch = spark.sparkContext.broadcast(_sketch(sets.filter("slice IS NOT NULL")))
     rows = sets.filter("slice IS NULL")
-    sizes = rows.select("doc_id", "n", "s1", "s2")
+    some = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    # One document stands for all with its set; map tasks merge copies before the shuffle.
+    one = F.min_by(F.struct("signature", "packed"), "doc_id").alias("one")
+    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), one)
+    classes = staged(classes.select("doc_id", "n", "s1", "s2", "copies", "one.*"), "classes")
 
-    entries = staged(docs.mapInArrow(_entries(k, t, sketch), _ENTRIES), "entries")
+    entries = staged(classes.select("doc_id", "packed").mapInArrow(_entries(k, t, sketch), _ENTRIES), "entries")
     at_once = entries.filter("shingle IS NULL").select(F.col("doc_id").alias("a"), F.col("b1").alias("b"))
     met = entries.filter("shingle IS NOT NULL").repartition("shingle").sortWithinPartitions("shingle", "low").mapInArrow(_meet(t), "a long, b long, look boolean")
     met = staged(met, "met")
     # Pairs of large sets: their signatures are joined, a row for each pair.
     pairs = met.filter("look").select("a", "b").distinct()
-    own = lambda x, i: rows.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{i}"), F.col("signature").alias(f"sig{i}"))
+    own = lambda x, i: classes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{i}"), F.col("signature").alias(f"sig{i}"))
     alike = pairs.join(own("a", 1), "a").join(own("b", 2), "b").mapInArrow(_alike(t), "a long, b long")
     groups = components(at_once.union(met.filter("NOT look").select("a", "b")).union(alike), "a", "b")
     grouped = staged(groups.select("node", "root").union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
 
-    # Blocks of a group, from its shingles; one block for all but the largest groups.
-    in_group = grouped.join(sizes.select(F.col("doc_id").alias("node"), "n"), "node")
-    blocks = in_group.groupBy("root").agg(F.ceil(F.sum("n") / most_ids).cast("int").alias("blocks"))
-    placed = grouped.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Blocks of a group, from its shingles; only the largest groups have several. Members look up their number by a counted broadcast, not by a join that brings a group together.
+    in_group = grouped.join(classes.select(F.col("doc_id").alias("node"), "n"), "node")
+    blocks = staged(in_group.groupBy("root").agg(F.ceil(F.sum("n") / most_ids).cast("int").alias("blocks")).filter("blocks > 1"), "blocks")
+    placed = grouped.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = staged(placed.select("node", "root", "blocks", "block", other).select("node", F.col("blocks") > 1, F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other"))).toDF("node", "many", "cell"), "cells")
-    held = docs.join(cells, docs["doc_id"] == cells["node"]).select("doc_id", "text", "cell")
-    joined = staged(_by_cell(held.mapInArrow(_packed, "doc_id long, cell string, packed binary"), _join(k, t, sketch)), "joined")
+    held = classes.select("doc_id", "packed").join(cells, F.col("doc_id") == F.col("node")).select("doc_id", "cell", "packed")
+    joined = staged(_by_cell(held, _join(k, t, sketch)), "joined")
     # A group in one cell is done. Of the others, links meet across cells.
     links = joined.filter("doc_id <> root")
     many = cells.filter("many").select(F.col("node").alias("doc_id")).distinct()
     spread = components(links.join(many, "doc_id", "left_semi"), "doc_id", "root")
     roots = links.join(many, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "root").unionByName(spread)
-
-    # Equal sets share what any of them has found.
-    labelled = sizes.join(roots, sizes["doc_id"] == roots["node"], "left").select("doc_id", "n", "s1", "s2", F.coalesce("root", "doc_id").alias("root"))
-    return _classes(staged(labelled, "labelled"))
+    named = classes.select("doc_id", "s1", "s2", "copies").join(roots, F.col("doc_id") == F.col("node"), "left").select("s1", "s2", "copies", F.coalesce("root", "doc_id").alias("component_id"))
+    return _labelled(rows.select("doc_id", "n", "s1", "s2"), _one_node(some, staged(named, "named")))
 
 
 def _by_cell(rows: DataFrame, join) -> DataFrame:
@@ -575,20 +570,27 @@ def _by_cell(rows: DataFrame, join) -> DataFrame:
 MOST_HOT = 100_000
 
 
-def _classes(labelled: DataFrame) -> DataFrame:
-    """Merge what equal sets and equal doc_ids know, and name components by their smallest doc_id."""
-    some = labelled.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("root").alias("root"), F.count("*").alias("copies"))
-    # A set's copies in different tasks were joined as one, so any of their roots names the component; the least one is the one all see.
-    first = some.select("s1", "s2", "root").distinct().join(classes.select("s1", "s2", "least", F.col("root").alias("to")), ["s1", "s2"]).select("root", "to", "least")
-    names = components(first.select(F.col("root").alias("a"), F.col("to").alias("b")).union(first.select(F.col("least").alias("a"), F.col("to").alias("b"))), "a", "b")
-    named = staged(classes.join(names, classes["least"] == names["node"], "left").select("s1", "s2", "copies", F.coalesce(names["root"], "least").alias("component_id")), "classes")
-    result = lambda rows, c: rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), c.alias("component_id"))
+def _one_node(some: DataFrame, named: DataFrame) -> DataFrame:
+    """Classes that share a doc_id are one node, so their components are one."""
+    sets = F.struct("s1", "s2")
+    used = staged(some.groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).filter("low <> high").select("doc_id"), "used")
+    if used.isEmpty():
+        return named
+    apart = some.select("doc_id", "s1", "s2").join(used, "doc_id").distinct().join(named, ["s1", "s2"]).select("doc_id", "component_id").distinct()
+    least = apart.groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    joined = components(apart.join(least, "doc_id").select("component_id", "least"), "component_id", "least")
+    return named.join(joined, F.col("component_id") == F.col("node"), "left").select("s1", "s2", "copies", F.coalesce("root", "component_id").alias("component_id"))
+
+
+def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Every row with the component of its set."""
+    some = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    result = lambda found, c: found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), c.alias("component_id"))
     # Sets with so many copies that their rows would fill a task are MOST_HOT at most, whatever the input; the others are joined by a shuffle.
-    at_least = max(1000, labelled.count() // MOST_HOT)
+    at_least = max(1000, rows.count() // MOST_HOT)
     hot = F.broadcast(named.filter(F.col("copies") > at_least).drop("copies"))
     rest = named.filter(F.col("copies") <= at_least).drop("copies")
-    empty = labelled.filter("n = 0 OR doc_id IS NULL")
+    empty = rows.filter("n = 0 OR doc_id IS NULL")
     common = some.join(hot, ["s1", "s2"])
     others = some.join(hot, ["s1", "s2"], "left_anti").join(rest, ["s1", "s2"])
     return result(empty, F.col("doc_id")).unionByName(result(common, F.col("component_id"))).unionByName(result(others, F.col("component_id")))
