@@ -180,3 +180,36 @@ def groups(n, ratio=10):
             root = form[root]
         out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
     return sorted(out, key=str)
+
+
+def surrogates(data, key):
+    """(doc_id, text, counts) with every entity of a list at once, without joins or broadcasts."""
+    from veil.llm import surrogates as op
+
+    found = {i: [(x, op.parts(x[2], x[3], t[x[0] : x[1]])) for x in op.detect(t)] if t else [] for i, (_, t) in enumerate(data)}
+    entities = {p for own in found.values() for _, each in own for p in each}
+    told = {}
+    for kind, value in entities:
+        if kind in ("name_f", "name_m", "name_n"):
+            told.setdefault(value, set()).add(kind)
+    gender = {v: "name_f" if "name_f" in k and "name_m" not in k else "name_m" if "name_m" in k and "name_f" not in k else "name_n" for v, k in told.items()}
+    to = {(k, v): (gender[v] if k in ("name_f", "name_m", "name_n") else k, v) for k, v in entities}
+    real, left, settled = set(to.values()), dict.fromkeys(to.values(), 0), {}
+    while left:
+        tried = {e: op.surrogate(*e, key, n) for e, n in left.items()}
+        used = {(k, s) for (k, _), s in settled.items()}
+        least = {}
+        for (k, v), s in tried.items():
+            least[k, s] = min(v, least.get((k, s), v))
+        for (k, v), s in tried.items():
+            if least[k, s] == v and (k, s) not in real | used:
+                settled[k, v] = s
+        left = {e: n + 1 for e, n in left.items() if e not in settled}
+    out = []
+    for i, (doc_id, text) in enumerate(data):
+        n, new = Counter(), text
+        for (a, b, kind, _), each in reversed(found[i]):
+            n[kind] += 1
+            new = new[:a] + op.written(kind, text[a:b], [settled[to[p]] for p in each]) + new[b:]
+        out.append((doc_id, new, *[n[k] for k in op.KINDS]))
+    return sorted(out, key=str)

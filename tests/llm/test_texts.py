@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,6 +165,27 @@ def test_surrogates(spark, monkeypatch):
     assert surrogates.replaced(empty(spark), b"k").count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1000, -1])
+def test_surrogates_equal_the_plain_version(spark, broadcast):
+    """Over awkward rows, conflicts (all local parts of a digit) and names of every kind; all columns."""
+    people = [f"{t} {g} {s} and {s}" for t in ("Mr", "Frau", "Dr", "with") for g in ("Jane", "Robert", "Luca", "Иван") for s in ("Smith", "O'Neil", "Ärmel")]
+    data = AWKWARD + [(700 + i, f"{i % 10}@a.b.com met {p}, 2001:db8::{i + 1:x}, 555-{1000 + i}, 4155550{i:03}, {ENTITIES}") for i, p in enumerate(people)]
+    assert as_rows(surrogates.replaced(frame(spark, data), b"k", broadcast=broadcast)) == brute.surrogates(data, b"k")
+
+
+def test_names_without_titles_numbers_without_codes_and_long_addresses():
+    text = "Jane Smith lives here; contact Jane. Then Mary Ann O'Neil's dog. 5551234567 or 555-1234, 2001:DB8::8a2e:370:7334. fe80::1, 2001:db8:0:0:0:0:2:1"
+    kinds = [(text[a:b], k) for a, b, k, _ in surrogates.detect(text)]
+    assert kinds == [("Jane Smith", "name"), ("Jane", "name"), ("Mary Ann O'Neil", "name"), ("5551234567", "phone"), ("555-1234", "phone"), ("2001:DB8::8a2e:370:7334", "ip"), ("fe80::1", "ip"), ("2001:db8:0:0:0:0:2:1", "ip")]
+    assert surrogates.detect("Zaphod Beeblebrox waits", {"Zaphod": "m"}) == [(0, 17, "name", "m")]
+    assert not surrogates.detect("std::add a::b dead::beef 12:30:45 :: 1:2 00:1a:2b:3c:4d:5e 555-12345 15551234567 1234567890 2024-2025-1 Jane went; jane Smith, Janet")
+    for mention in ("2001:DB8::8A2E:370:7334", "fe80::1", "2001:db8:0:0:0:0:2:1", "2001:db8::", "2001:0db8:0000:0000:0000:0000:0002:0001"):
+        [(kind, value)] = surrogates.parts("ip", "", mention)
+        new = surrogates.written("ip", mention, [surrogates.surrogate(kind, value, b"k", 0)])
+        assert new != mention and re.sub("[0-9a-fA-F]+", "", new) == re.sub("[0-9a-fA-F]+", "", mention) and surrogates.parts("ip", "", new) == [("ip", surrogates.surrogate(kind, value, b"k", 0))]
+    assert len(set(surrogates.NAMES["latin", "s"])) == len(surrogates.NAMES["latin", "s"]) > 500
+
+
 def test_adjacent_numbers():
     phone, card, ip = "+1 (826) 555-4081", "4532 0151 1283 0366", "190.137.223.4"
     values = {"phone": [phone, "826-555-4082", "(826) 555-4083"], "card": [card, "4532015112830366", "1234 5678 9012 3456"], "ip": [ip, "10.1.2.255"]}

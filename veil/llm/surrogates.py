@@ -2,9 +2,9 @@
 
 Detected entities are replaced by others of their type: each letter by a letter
 of its script and case, each digit by a digit, separators as they stand, with
-check digits of cards and accounts and address ranges kept valid; names after a title, and the
-same names without one in the same document, by names of that gender and script
-(a given name's gender is what its titles in all documents tell). A replacement depends on a key and on the entity
+check digits of cards and accounts and address ranges kept valid; names after a title or that begin with a
+known given name (a parameter), and the same names alone in the same document, by names of that gender and script
+(a given name's gender is what its titles, or its list, in all documents tell). A replacement depends on a key and on the entity
 alone (digits of a phone however it is written, an address in any case, each
 part of a name), so all its mentions in all documents agree.
 
@@ -28,9 +28,11 @@ rows; documents without an entity come back unchanged; other columns stay away.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import ipaddress
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +58,19 @@ NAMES = {
     ("cyrillic", "s"): "Бондар Гринь Кравчук Лысенко Мельник Ткач Шевчук Яременко",
 }
 NAMES = {k: v.split() for k, v in NAMES.items()}
+#: Beginnings and ends of surnames for surrogates; every beginning goes with every end.
+SURNAMES = {
+    "latin": ("Ash Brad Brom Chat Craw Dray Dun Farn Glad Hal Hart Hol Kirk Lang Marl Nor Oak Pen Rad Shel Stan Thorn Wake Whit Wood", "bury by combe croft dale den field ford ham hurst ley man mere more shaw stead stone ton well wick worth"),
+    "cyrillic": ("Бел Вол Гор Дуб Зим Кар Лес Мор Пол Род Сав Тар", "енко инчук ачук еняк иняк овец"),
+}
+for _script, (_begins, _ends) in SURNAMES.items():
+    NAMES[_script, "s"] += [a + b for a in _begins.split() for b in _ends.split()]
+#: Given names that tell a name without a title, if a capitalised word follows; none is a word of its own. Callers may give others.
+GIVEN = {
+    "f": "Amanda Amy Andrea Angela Ann Anna Anne Barbara Betty Carol Catherine Christine Cynthia Deborah Debra Diane Donna Dorothy Elizabeth Emily Evelyn Hannah Helen Jane Janet Jennifer Jessica Julia Julie Karen Kathleen Kimberly Laura Linda Lisa Margaret Maria Marie Martha Mary Megan Melissa Michelle Nancy Nicole Olivia Pamela Patricia Rachel Rebecca Ruth Sandra Sarah Sharon Sophia Stephanie Susan Teresa Theresa Virginia",
+    "m": "Aaron Adam Alan Albert Alexander Andrew Anthony Arthur Benjamin Brian Carl Charles Christopher Daniel David Dennis Donald Douglas Edward Eric Gary George Gregory Harold Henry James Jason Jeffrey Jeremy John Jonathan Joseph Joshua Justin Keith Kenneth Kevin Kyle Larry Lawrence Matthew Michael Nathan Nicholas Patrick Paul Peter Philip Richard Robert Roger Ronald Ryan Samuel Scott Stephen Steven Thomas Timothy Walter William Zachary",
+}
+GIVEN = {name: gender for gender, names in GIVEN.items() for name in names.split()}
 #: Alphabets within which characters change; those of other scripts are ranges of Unicode.
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäèéêëìíîïòóôöùúûüñçß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω",
@@ -66,18 +81,24 @@ GROWS_AFTER = 11
 _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
 _LATIN, _CYRILLIC = re.compile("[a-zà-öø-ÿß]"), re.compile("[а-яё]")
-_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
+_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,63}")
 _LOCAL = re.compile(r"[\w.%+-]")
 #: Where numbers can be: all that the patterns below find lies inside one of these.
 _NUMBERS = re.compile(r"[+(\d][\d .()+-]{5,}\d")
 _IP = re.compile(r"(?<![\w.+])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?!\w)")
 _CARD = re.compile(r"(?<![\w.+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)")
 _OWN_CARD = re.compile(r"(?<!\d-)" + _CARD.pattern)
-_PHONE = re.compile(r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ ]?\d{3,4}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}(?:[ .-]\d{3,4}){2})(?!\w)")
+_PHONE = re.compile(r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ ]?\d{3,4}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}(?:[ .-]\d{3,4}){2}|[2-9]\d{2}-\d{4}(?!-\d)|(?<!\d[-.])[2-9]\d{9}(?![-.]\d))(?!\w)")
 #: National numbers of persons in groups of 3, 2 and 4 digits, and account numbers of a country, check digits and groups.
 _ID = re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _TITLED = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ ]((?:[^\W\d_a-zß-öø-ÿа-я][\w'-]+)(?: [^\W\d_a-zß-öø-ÿа-я][\w'-]+){0,2})")
+#: A capitalised word before another, and what stands after a given name: perhaps a second one, and a surname.
+_CAPITAL = re.compile(r"\b[A-Z][a-zà-öø-ÿß]+(?= [^\W\d_a-zß-öø-ÿ])")
+_SURNAME = re.compile(r" ([A-ZÀ-ÖØ-Þ][\w'-]*[a-zß-öø-ÿ][\w'-]*)")
+_HEX = frozenset("0123456789abcdefABCDEF")
+#: First groups of addresses in use: global, local to a link or a site, of many hosts.
+_IN_USE = re.compile(r"[23][0-9a-f]{3}|fe[89ab][0-9a-f]|f[cdf][0-9a-f]{2}")
 #: Where a name ends that has 's, or an apostrophe or dash of no word after it.
 _POSSESSIVE = re.compile(r"(?:'[sS]|['-]+)(?= |$)")
 
@@ -93,6 +114,41 @@ def _address(text: str, start: int, end: int) -> int:
     return end if all(int(x) <= 255 for x in text[start:end].split(".")) else 0
 
 
+def _long_addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Addresses of eight groups of hex digits, or of fewer with :: where the first group is one in use (so that a::b in code is none)."""
+    at = text.find(":")
+    while at >= 0:
+        start, stop = at, at + 1
+        while start and at - start < 5 and text[start - 1] in _HEX:
+            start -= 1
+        while stop < len(text) and stop - start < 41 and (text[stop] == ":" or text[stop] in _HEX):
+            stop += 1
+        end = stop - (text[stop - 1] == ":" and text[stop - 2] != ":")
+        if text.count(":", start, end) > 1 and not (start and (text[start - 1].isalnum() or text[start - 1] in "_:")) and not (text[stop : stop + 1].isalnum() or text[stop : stop + 1] in ("_", ".")[: 1 + text[stop + 1 : stop + 2].isdigit()]):
+            try:
+                first = ipaddress.IPv6Address(text[start:end]).exploded[:4]
+            except ValueError:
+                first = ""
+            if first and ("::" not in text[start:end] or _IN_USE.match(first)):
+                yield start, end, "ip", ""
+        at = text.find(":", stop)
+
+
+def _named(text: str, given: Mapping[str, str]) -> Iterator[tuple[int, int, str, str]]:
+    """Known given names with the surname after them."""
+    resume = 0
+    for m in _CAPITAL.finditer(text):
+        if m.start() < resume or m.group() not in given:
+            continue
+        last = _SURNAME.match(text, m.end())
+        if last and last.group(1) in given:
+            last = _SURNAME.match(text, last.end()) or last
+        if last:
+            own = _POSSESSIVE.search(text, m.end(), last.end())
+            resume = own.start() if own else last.end()
+            yield m.start(), resume, "name", given[m.group()]
+
+
 def _valid_card(text: str, start: int, end: int) -> int:
     return end if _luhn(_digits(text[start:end])) == 0 else 0
 
@@ -133,8 +189,8 @@ def _numbers(text: str, start: int, stop: int) -> list[tuple[int, int, str, str]
     return found
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of entities, in order, without overlaps; the gender is "" but for names."""
+def detect(text: str, given: Mapping[str, str] = GIVEN) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, gender) of entities, in order, without overlaps; the gender is "" but for names. given: genders ("f", "m", "n") of given names that need no title."""
     found = []
     at = text.find("@")
     while at >= 0:
@@ -148,12 +204,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for m in _IBAN.finditer(text):
         if _remainder(m.group().replace(" ", "")) == 1:
             found.append((*m.span(), "iban", ""))
+    found += _long_addresses(text)
     for m in _NUMBERS.finditer(text):
         found += _numbers(text, m.start(), m.end())
     for m in _TITLED.finditer(text):
         own = _POSSESSIVE.search(m.group(2))
         found.append((m.start(2), m.start(2) + own.start() if own else m.end(2), "name", TITLES[m.group(1)]))
-    out = _apart(found)
+    out = _between(_apart(found), _named(text, given))
     # Words of these names without a title: what each is (surname, or a given name by gender) goes into the gender, after "=".
     known: dict[str, str] = {}
     for a, b, kind, gender in out:
@@ -216,6 +273,16 @@ def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str,
     return out
 
 
+def _between(out: list[tuple[int, int, str, str]], more: Iterable[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Finds with those of more, in order, that overlap none of them."""
+    starts, new = [x[0] for x in out], []
+    for x in more:
+        i = bisect.bisect_left(starts, x[1])
+        if not i or out[i - 1][1] <= x[0]:
+            new.append(x)
+    return sorted(out + new) if new else out
+
+
 def parts(kind: str, gender: str, mention: str) -> list[tuple[str, str]]:
     """(sub-kind, normal form) of what a mention names; a name has one for each of its words, the last a surname if it has several."""
     if kind == "name":
@@ -226,7 +293,9 @@ def parts(kind: str, gender: str, mention: str) -> list[tuple[str, str]]:
         return [(kind, mention.lower())]
     if kind == "iban":
         return [(kind, mention.replace(" ", ""))]
-    return [(kind, mention if kind == "ip" else _digits(mention))]
+    if kind == "ip":
+        return [(kind, ipaddress.IPv6Address(mention).exploded if ":" in mention else mention)]
+    return [(kind, _digits(mention))]
 
 
 def permuted(values: list[int], bases: list[int], key: bytes) -> list[int]:
@@ -250,6 +319,12 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
         more = "".join(_permuted_letters("a" * (attempt - 24), own, range(attempt - 24))) if attempt > 24 else ""
         return "-".join([*(names[int.from_bytes(draw[4 * k : 4 * k + 4]) % len(names)] for k in range(count)), *([more + value] if more else [])]).lower()
     grown = max(0, attempt - GROWS_AFTER)
+    if kind == "ip" and ":" in value:
+        groups = [int(x, 16) for x in value.split(":")]
+        own_groups = [i for i, x in enumerate(groups) if x]  # what is zero stays, so that :: can
+        for i, x in zip(own_groups, permuted([groups[i] - 1 for i in own_groups], [65535] * len(own_groups), own)):
+            groups[i] = x + 1
+        return ":".join(f"{x:04x}" for x in groups) + ("%" + "1" * grown if grown else "")
     if kind == "ip":
         octets = permuted([int(x) for x in value.split(".")], [256] * 4, own)
         return ".".join(map(str, octets)) + (":" + "1" * grown if grown else "")
@@ -283,7 +358,7 @@ def _luhn(digits: str) -> int:
 def written(kind: str, mention: str, replaced: list[str]) -> str:
     """The surrogate in the mention's own format: its separators and its case."""
     if kind == "ip":
-        return replaced[0]
+        return _long_written(mention, replaced[0]) if ":" in mention else replaced[0]
     if kind == "name":
         return " ".join(r.upper() if w.isupper() and len(w) > 1 else r.title() for w, r in zip(mention.split(" "), replaced))
     if kind == "email":
@@ -292,16 +367,30 @@ def written(kind: str, mention: str, replaced: list[str]) -> str:
     return "".join(next(digits) if c.isdigit() or (kind == "iban" and c != " ") else c for c in mention) + "".join(digits)
 
 
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[str, str]] = set()
-    for batch in batches:
-        new = []
-        for text in batch.column("text").to_pylist():
-            for a, b, kind, gender in detect(text) if text else ():
-                new.extend(p for p in parts(kind, gender, text[a:b]) if p not in seen)
-                if len(seen) < 1 << 19:
-                    seen.update(new[-3:])
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in new], pa.string()), pa.array([v for _, v in new], pa.string())], ["kind", "value"])
+def _long_written(mention: str, replaced: str) -> str:
+    """Each group where the mention has it, as wide at least and in its case."""
+    address, _, more = replaced.partition("%")
+    groups, head, tail = address.split(":"), mention.partition("::")[0].split(":"), mention.partition("::")[2].split(":")
+    as_wide = lambda old, new: f"{int(new, 16):0{len(old)}x}" if old else ""
+    out = ":".join(map(as_wide, head, groups))
+    if "::" in mention:
+        out += "::" + ":".join(map(as_wide, tail, groups[-len(tail) :]))
+    return (out.upper() if mention != mention.lower() else out) + (more and "%" + more)
+
+
+def _entities(given: Mapping[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
+        for batch in batches:
+            new = []
+            for text in batch.column("text").to_pylist():
+                for a, b, kind, gender in detect(text, given) if text else ():
+                    new.extend(p for p in parts(kind, gender, text[a:b]) if p not in seen)
+                    if len(seen) < 1 << 19:
+                        seen.update(new[-3:])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in new], pa.string()), pa.array([v for _, v in new], pa.string())], ["kind", "value"])
+
+    return run
 
 
 def _tries(key: bytes):
@@ -336,7 +425,7 @@ def agreed(entities: DataFrame, key: bytes) -> DataFrame:
 _RESULT = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS)
 
 
-def _replace(key: bytes, shared):
+def _replace(key: bytes, shared, given: Mapping[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         retried = shared.value if shared else {}
         for batch in batches:
@@ -345,7 +434,7 @@ def _replace(key: bytes, shared):
             for text, more in zip(batch.column("text").to_pylist(), own):
                 tries = {(r["kind"], r["value"]): (r["to"], r["attempt"]) for r in more} if more else retried
                 n, at, pieces = dict.fromkeys(KINDS, 0), 0, []
-                for a, b, kind, gender in detect(text) if text else ():
+                for a, b, kind, gender in detect(text, given) if text else ():
                     replaced = [surrogate(to, v, key, n_try) for k, v in parts(kind, gender, text[a:b]) for to, n_try in (tries.get((k, v), (k, 0)),)]
                     pieces += [text[at:a], written(kind, text[a:b], replaced)]
                     at, n[kind] = b, n[kind] + 1
@@ -357,11 +446,14 @@ def _replace(key: bytes, shared):
     return run
 
 
-def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [(i, *p) for i, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()) if text for a, b, kind, g in detect(text) for p in parts(kind, g, text[a:b])]
-        found = sorted(set(found))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["_key", "kind", "value"])
+def _mentions(given: Mapping[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *p) for i, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()) if text for a, b, kind, g in detect(text, given) for p in parts(kind, g, text[a:b])]
+            found = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["_key", "kind", "value"])
+
+    return run
 
 
 def one_gender(entities: DataFrame) -> DataFrame:
@@ -372,11 +464,11 @@ def one_gender(entities: DataFrame) -> DataFrame:
     return given.join(to, "value").select("kind", "value", "to")
 
 
-def replaced(docs: DataFrame, key: bytes, broadcast: int = BROADCAST_ENTITIES) -> DataFrame:
+def replaced(docs: DataFrame, key: bytes, broadcast: int = BROADCAST_ENTITIES, given: Mapping[str, str] = GIVEN) -> DataFrame:
     """doc_id, text with surrogates, and how many entities of each kind it had."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    entities = staged(docs.select("text").mapInArrow(_entities, "kind string, value string").distinct(), "entities")
+    entities = staged(docs.select("text").mapInArrow(_entities(given), "kind string, value string").distinct(), "entities")
     genders = staged(one_gender(entities), "genders")
     as_found = entities.join(genders, ["kind", "value"], "left").select("kind", "value", F.coalesce("to", "kind").alias("to"))
     attempts = agreed(as_found.select(F.col("to").alias("kind"), "value").distinct(), key).filter("attempt > 0").select(F.col("kind").alias("to"), "value", "attempt")
@@ -384,9 +476,9 @@ def replaced(docs: DataFrame, key: bytes, broadcast: int = BROADCAST_ENTITIES) -
     retried = staged(retried, "retried")
     if retried.count() <= broadcast:
         table = {(r["kind"], r["value"]): (r["to"], r["attempt"]) for r in retried.collect()}
-        return docs.mapInArrow(_replace(key, spark.sparkContext.broadcast(table)), _RESULT)
+        return docs.mapInArrow(_replace(key, spark.sparkContext.broadcast(table), given), _RESULT)
     # Too many to broadcast: each document gets its own, by a hash of its text, with which equal texts agree.
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    mentions = keyed.select("_key", "text").mapInArrow(_mentions, "_key long, kind string, value string").distinct()
+    mentions = keyed.select("_key", "text").mapInArrow(_mentions(given), "_key long, kind string, value string").distinct()
     own = mentions.join(retried, ["kind", "value"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "value", "to", "attempt")).alias("_retried"))
-    return keyed.join(own, "_key", "left").select("doc_id", "text", "_retried").mapInArrow(_replace(key, None), _RESULT)
+    return keyed.join(own, "_key", "left").select("doc_id", "text", "_retried").mapInArrow(_replace(key, None, given), _RESULT)
