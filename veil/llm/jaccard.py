@@ -69,34 +69,31 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 # --- sets and the sketch -----------------------------------------------------
 
-_SETS = "doc_id long, n int, s1 long, s2 long, signature binary, packed binary, slice int, counts binary"
+_SETS = "doc_id long, n int, s1 long, s2 long, signature binary, slice int, counts binary"
 
 
 def _sets(k: int):
-    """Each document's set size, 128-bit identity and text; at the end of a task its part of the sketch."""
+    """Each document's set size and 128-bit identity; at the end of a task its part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        import zstandard
-
-        small, shingles, sketch = zstandard.ZstdCompressor(level=1), Shingles(k), np.zeros(SKETCH, np.uint32)
+        shingles, sketch = Shingles(k), np.zeros(SKETCH, np.uint32)
         names = [c.split()[0] for c in _SETS.split(", ")]
         for batch in batches:
-            n, ids, signatures, packed = [], [], [], []
+            n, ids, signatures = [], [], []
             for text in texts(batch):
                 s = shingles(text)
-                packed.append(small.compress(text))
                 n.append(len(s))
                 ids.append(identity(s))
                 signatures.append(signature(s))
                 sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             ids = np.array(ids, np.uint64).reshape(-1, 2)
             nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), _signed(ids[:, 0]), _signed(ids[:, 1]), pa.array(signatures, pa.binary()), pa.array(packed, pa.binary()), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), _signed(ids[:, 0]), _signed(ids[:, 1]), pa.array(signatures, pa.binary()), *nothing], names)
         slices = [zlib.compress(sketch[i : i + SLICE].tobytes(), 1) for i in range(0, SKETCH, SLICE)]
         k0 = len(slices)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int32()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.binary()), pa.nulls(k0, pa.binary()), pa.array(range(k0), pa.int32()), pa.array(slices, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int32()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.int64()), pa.nulls(k0, pa.binary()), pa.array(range(k0), pa.int32()), pa.array(slices, pa.binary())], names)
 
     return run
 
@@ -178,7 +175,7 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 def _entries(k: int, t: Fraction, shared):
-    """Prefix entries of sets that are all different. Rows without a shingle are edges found at once, from doc_id to b1: a run's documents and its first."""
+    """Prefix entries of the documents that have the set s1, s2. Rows without a shingle are edges found at once, from doc_id to b1: a run's documents and its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -220,8 +217,10 @@ def _entries(k: int, t: Fraction, shared):
             held.clear()
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist()):
+            for doc_id, raw, *of in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "s1", "s2"))):
                 s = shingles(plain.decompress(raw))
+                if np.array(identity(s), np.uint64).view(np.int64).tolist() != of:  # another text under a used doc_id
+                    continue
                 ordered = in_order(s, sketch)[: prefix_length(len(s), t)]
                 held.append((ordered, doc_id, len(s), _parity(s)))
                 size += len(ordered)
@@ -517,6 +516,14 @@ def _join(k: int, t: Fraction, sketch):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([small.compress(b) for b in texts(batch)], pa.binary())], ["doc_id", "packed"])
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), most_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), a row for each document."""
     spark, t = docs.sparkSession, Fraction(*threshold)
@@ -526,11 +533,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     rows = sets.filter("slice IS NULL")
     some = rows.filter("n > 0 AND doc_id IS NOT NULL")
     # One document stands for all with its set; map tasks merge copies before the shuffle.
-    one = F.min_by(F.struct("signature", "packed"), "doc_id").alias("one")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), one)
-    classes = staged(classes.select("doc_id", "n", "s1", "s2", "copies", "one.*"), "classes")
+    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    classes = staged(classes, "classes")
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(_packed, "doc_id long, packed binary")
 
-    entries = staged(classes.select("doc_id", "packed").mapInArrow(_entries(k, t, sketch), _ENTRIES), "entries")
+    entries = staged(packed.join(classes.select("doc_id", "s1", "s2"), "doc_id").mapInArrow(_entries(k, t, sketch), _ENTRIES), "entries")
     at_once = entries.filter("shingle IS NULL").select(F.col("doc_id").alias("a"), F.col("b1").alias("b"))
     met = entries.filter("shingle IS NOT NULL").repartition("shingle").sortWithinPartitions("shingle", "low").mapInArrow(_meet(t), "a long, b long, look boolean")
     met = staged(met, "met")
@@ -548,7 +555,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = staged(placed.select("node", "root", "blocks", "block", other).select("node", F.col("blocks") > 1, F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other"))).toDF("node", "many", "cell"), "cells")
-    held = classes.select("doc_id", "packed").join(cells, F.col("doc_id") == F.col("node")).select("doc_id", "cell", "packed")
+    held = packed.join(cells, F.col("doc_id") == F.col("node")).select("doc_id", "cell", "packed")
     joined = staged(_by_cell(held, _join(k, t, sketch)), "joined")
     # A group in one cell is done. Of the others, links meet across cells.
     links = joined.filter("doc_id <> root")
