@@ -186,7 +186,7 @@ def surrogates(data, key):
     """(doc_id, text, counts) with every entity of a list at once, without joins or broadcasts."""
     from veil.llm import surrogates as op
 
-    found = {i: [(x, op.parts(x[2], x[3], t[x[0] : x[1]])) for x in op.detect(t)] if t else [] for i, (_, t) in enumerate(data)}
+    found = {i: [(x, op.parts(x[2], x[3], t[x[0] : x[1]])) for x in op.detect(t, op.GIVEN)] if t else [] for i, (_, t) in enumerate(data)}
     entities = {p for own in found.values() for _, each in own for p in each}
     told = {}
     for kind, value in entities:

@@ -33,6 +33,7 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Iterable, Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,7 +190,7 @@ def _numbers(text: str, start: int, stop: int) -> list[tuple[int, int, str, str]
     return found
 
 
-def detect(text: str, given: Mapping[str, str] = GIVEN) -> list[tuple[int, int, str, str]]:
+def detect(text: str, given: Mapping[str, str] = MappingProxyType({})) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of entities, in order, without overlaps; the gender is "" but for names. given: genders ("f", "m", "n") of given names that need no title."""
     found = []
     at = text.find("@")
