@@ -221,8 +221,7 @@ def finders(docs: DataFrame, values: DataFrame | list[str], blanks: bool = True,
     return [spark.sparkContext.broadcast(Finder(sorted(x), blanks, bounds, sample)) for x in lists]
 
 
-def _plain(text: str) -> str:
-    return text.translate(str.maketrans(TYPESET, PLAIN))
+_PLAIN = str.maketrans(TYPESET, PLAIN)
 
 
 def marked(docs: DataFrame, values: DataFrame | list[str], rule: str | None = None, column: str = "spans", **options) -> DataFrame:
@@ -231,12 +230,21 @@ def marked(docs: DataFrame, values: DataFrame | list[str], rule: str | None = No
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             finder = held.value
+            values = pa.array(finder.values, pa.string())
             for batch in batches:
-                out = []
+                upto, start, stop, value, matched = [0], [], [], [], []
                 for text in batch.column("text").to_pylist():
-                    out.append([{"start": a, "stop": z, "rule": rule or finder.values[v], "matched": _plain(text[a:z])} for a, z, v in finder.places(text)] if text else [])
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("rule", pa.string()), ("matched", pa.string())]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "_spans"])
+                    if text and (found := finder.places(text)):
+                        plain = text.translate(_PLAIN)  # places stay
+                        for a, z, v in found:
+                            start.append(a)
+                            stop.append(z)
+                            value.append(v)
+                            matched.append(plain[a:z])
+                    upto.append(len(start))
+                rules = pa.repeat(pa.scalar(rule), len(start)) if rule else values.take(pa.array(value, pa.int64()))
+                each = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop, pa.int64()), rules, pa.array(matched, pa.string())], ["start", "stop", "rule", "matched"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(upto, pa.int32()), each)], [*batch.schema.names, "_spans"])
 
         docs = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_spans", SPANS)]))
         docs = docs.withColumn(column, F.concat(column, "_spans") if column in docs.columns else F.col("_spans")).drop("_spans")
