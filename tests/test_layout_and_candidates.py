@@ -119,7 +119,7 @@ def test_gate(spark):
     assert sorted((r.rule, r.value) for r in gate.content(gate.new_lines(now, before)).collect()) == [("email", "b@real.example.org"), ("phone", "020 7946 0018")]
 
 
-@pytest.mark.parametrize("name", ["gate_content"])
+@pytest.mark.parametrize("name", ["gate_content", "gate_masked"])
 def test_gate_of_numbers_side_by_side_equals_its_sql(spark, tmp_path, name):
     rows = [(1, "head\na 4387393285946913 +1 (438) 555-5817 by"), (2, "head\n12345678+12345678, 020 7946 0018;+44 20 7946 0018\r"), (3, "head\n12345678:12345678\t(020 7946 0018")]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
