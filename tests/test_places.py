@@ -3,8 +3,10 @@
 import random
 import re
 import time
+from collections import Counter
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
@@ -174,3 +176,28 @@ def test_a_crowded_page(spark):
     began = time.monotonic()
     left = redact_layout.redacted(words, rects).count()
     assert 0 < n - left <= 40_000 and time.monotonic() - began < 60
+
+
+def test_counts_are_those_of_the_places_and_a_task_holds_few(spark, monkeypatch):
+    """Texts that are searched side by side keep their own places, and no place reaches into the next text."""
+    listed = ["ab", "a", "ab ab", "xy", "x\0y", "abcdef gh"]
+    texts = ["ab aba", "b", None, "", "ABCDEFGH x", "y xy", "a" * 70] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for options in ({}, {"bounds": "names"}, {"blanks": False}):
+        rows = substrings.places(docs, listed, **options).collect()
+        want = Counter((r.doc_id, r.rule) for r in rows)
+        assert want == Counter({(i, v): n for i, t in enumerate(texts) if t for v, n in Counter(x[2] for x in plain_places(t, listed, options.get("blanks", True), options.get("bounds"))).items()})
+        got = substrings.counted(docs, listed, **options).collect()
+        assert {(r.doc_id, r.value): r.n for r in got} == want and len(got) == len(want)
+        assert all(r.places == sum(x.start for x in rows if (x.doc_id, x.rule) == (r.doc_id, r.value)) for r in got)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    monkeypatch.setattr(substrings, "HELD", 50)
+    monkeypatch.setattr(substrings, "SEARCHED", 20)
+    held = list(substrings._held(iter([batch]), Finder(listed, True, None)))
+    assert len(held) > 5 and sum(b.num_rows for b, _ in held) == len(texts) and max(sum(len(p[2]) for p in parts) for _, parts in held) < 200
+
+
+def test_plain_pages_have_the_boxes_of_their_characters(spark):
+    docs = spark.createDataFrame([(1, "Anna\nBerg x Anna Berg\n\nAnna" + "\nq" * 9 + " Anna Berg"), (2, ""), (3, None)], "doc_id long, text string")
+    mine, whole = (blocks.rects(substrings.marked(b, ["Anna Berg"], "name", bounds="names")) for b in (blocks.pages_of(docs, 10), blocks.of_texts(docs, lines_per_page=10)))
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, whole.collect())) and mine.count() == 4
