@@ -50,10 +50,10 @@ def leaks(docs: DataFrame, exceptions: DataFrame | list[str] | dict[str, str] |
 
 def survivors(docs: DataFrame, values: DataFrame | list[str], metadata: DataFrame | None = None) -> DataFrame:
     """doc_id, field, value, n: listed values that still stand in redacted texts (field `text`) or in what documents say of themselves, wherever a search for them finds them."""
-    hits = detect.name_search(docs, values, "text")
+    hits = detect.name_counts(docs, values, "text")
     if metadata is not None:
-        hits = hits.unionByName(detect.metadata_search(metadata, values))
-    return hits.groupBy("doc_id", "field", F.col("name").alias("value")).agg(F.count("*").alias("n"))
+        hits = hits.unionByName(detect.name_counts(detect.metadata_fields(metadata), values, F.col("_field")))
+    return hits.groupBy("doc_id", "field", F.col("name").alias("value")).agg(F.sum("n").alias("n"))
 
 
 #: What a redacted document says of itself.
