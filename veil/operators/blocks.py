@@ -27,6 +27,14 @@ def of_characters(chars: DataFrame) -> DataFrame:
     return per_block.select(*KEY, lines.alias("_ls")).select(*KEY, F.array_join(F.transform("_ls", lambda x: x["text"]), "\n").alias("text"), _placed(F.col("_ls")).alias("lines"))
 
 
+def pages_of(docs: DataFrame, lines_per_page: int = 50) -> DataFrame:
+    """doc_id, page_no, block_no, text: the pages of plain texts, blocks whose lines follow from their text (that of layout.lay_out)."""
+    all_lines = docs.select("doc_id", F.split("text", "\n", -1).alias("_l"))
+    own = lambda p: F.slice("_l", (p * lines_per_page + 1).cast("int"), F.lit(lines_per_page))
+    pages = all_lines.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / lines_per_page)), lambda p: F.array_join(own(p), "\n"))).alias("_p", "text"))
+    return pages.select("doc_id", (F.col("_p") + 1).alias("page_no"), F.lit(0).alias("block_no"), "text")
+
+
 def of_texts(docs: DataFrame, char_width: float = 6.0, leading: float = 12.0, lines_per_page: int = 50) -> DataFrame:
     """A block for each page of plain texts in a fixed-width layout (that of layout.lay_out)."""
     all_lines = docs.select("doc_id", F.split("text", "\n", -1).alias("_l"))
@@ -42,11 +50,20 @@ def _placed(lines: Column) -> Column:
     return let(lines, lambda ls: F.zip_with(ls, running(sizes(ls), lambda a, n: a + n), lambda x, at: F.when(x.isNotNull(), F.struct(at.alias("start"), (at + F.char_length(x["text"])).alias("stop"), x["y0"].alias("y0"), x["y1"].alias("y1"), x["x0"].alias("x0"), x["x1"].alias("x1"))))).cast(LINES)
 
 
-def boxes(lines: Column, start: Column, stop: Column) -> Column:
-    """The rectangles of a span, one for each line in which it has characters."""
+def fixed(text: Column, leading: float = 12.0) -> Column:
+    """The lines of a plain text in a fixed-width layout: where each starts and stops, and its height."""
+    sizes = lambda ls: F.transform(ls, lambda t: (F.char_length(t) + 1).cast("bigint"))
+    numbered = lambda ls: F.transform(ls, lambda t, i: F.struct(F.char_length(t).alias("n"), (i * F.lit(leading)).alias("y")))
+    return let(F.split(text, "\n", -1), lambda ls: F.zip_with(numbered(ls), running(sizes(ls), lambda a, n: a + n), lambda x, at: F.when(x.isNotNull(), F.struct(at.alias("start"), (at + x["n"]).alias("stop"), x["y"].alias("y0"), (x["y"] + leading).alias("y1")))))
+
+
+def boxes(lines: Column, start: Column, stop: Column, char_width: float | None = None) -> Column:
+    """The rectangles of a span, one for each line in which it has characters. char_width: that of lines without edges, as `fixed` gives them."""
 
     def cut(x: Column) -> Column:
         a, z = F.greatest(x["start"], start) - x["start"], F.least(x["stop"], stop) - x["start"]
+        if char_width is not None:
+            return F.struct(F.when(z > a, a * F.lit(char_width)).alias("x0"), x["y0"].alias("y0"), (z * F.lit(char_width)).alias("x1"), x["y1"].alias("y1"))
         own = lambda side: F.slice(x[side], (a + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int"))
         return F.struct(F.array_min(own("x0")).alias("x0"), x["y0"].alias("y0"), F.array_max(own("x1")).alias("x1"), x["y1"].alias("y1"))
 
@@ -59,8 +76,12 @@ def boxes(lines: Column, start: Column, stop: Column) -> Column:
     return let(F.filter(lines, lambda x: x.isNotNull()), between)
 
 
-def rects(blocks: DataFrame, column: str = "spans") -> DataFrame:
-    """doc_id, page_no, rule and rectangle of the spans (an array column) of blocks: each span is cut at line ends. No shuffle."""
+def rects(blocks: DataFrame, column: str = "spans", char_width: float = 6.0) -> DataFrame:
+    """doc_id, page_no, rule and rectangle of the spans (an array column) of blocks: each span is cut at line ends. Blocks without a column of lines are plain texts in a fixed-width layout. No shuffle."""
+    if "lines" in blocks.columns:
+        char_width = None
+    else:
+        blocks = blocks.filter(F.size(column) > 0).withColumn("lines", fixed(F.col("text")))
     each = blocks.select("doc_id", "page_no", "lines", F.explode(column).alias("_x"))
-    out = each.select("doc_id", "page_no", F.col("_x.rule").alias("rule"), F.explode(boxes(F.col("lines"), F.col("_x.start"), F.col("_x.stop"))).alias("_b"))
+    out = each.select("doc_id", "page_no", F.col("_x.rule").alias("rule"), F.explode(boxes(F.col("lines"), F.col("_x.start"), F.col("_x.stop"), char_width)).alias("_b"))
     return out.select("doc_id", "page_no", "rule", "_b.x0", "_b.y0", "_b.x1", "_b.y1")
