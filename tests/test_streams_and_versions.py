@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.text import natural_key
 from veil.operators import boilerplate, candidates, entities, gate
-from veil.plans import ledger, redact
+from veil.plans import ledger, queries, redact
 from veil.sources import lists
 from veil.streaming.stream import candidate_stream, candidates_now, compact, redact_stream
 
@@ -151,3 +151,16 @@ def test_templates_of_sample_pages(spark):
     graphics = words.filter("text = 'HEADER'").select("doc_id", "page_no", "x0", "y0", "x1", "y1")
     pages = words.select("doc_id", "page_no").withColumn("height", F.lit(800.0))
     assert boilerplate.rect_template(graphics, pages).count() == 0 and boilerplate.rect_template(graphics, pages, sample=(0, 4)).count() == 1
+
+
+def test_finds_are_dealt_out_as_the_input_is(spark, tmp_path, monkeypatch):
+    """The files of a stream of finds grow in number, not in size, with the input, and are taken in two batches."""
+    monkeypatch.setattr(queries, "shared_folder", lambda *_: f"{tmp_path}/out")
+    docs = spark.createDataFrame([(i, f"Anna Berg a{i}@b.example.org") for i in range(60)], "doc_id long, text string")
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = queries.QUERIES["candidate_batches"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["count"] for r in got) == 120 and len(spark.read.parquet(f"{tmp_path}/out/finds").inputFiles()) > 4
