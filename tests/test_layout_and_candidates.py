@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veil.operators import boilerplate, candidates, entities, gate, layout, selections
 from veil.plans import queries, redact
@@ -160,3 +161,29 @@ def test_lists_and_streams(spark, tmp_path):
 def test_joined_pages(spark):
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, ""), (2, 1, None)], "doc_id long, page_no int, text string")
     assert [tuple(r) for r in lists.joined_pages(pages).collect()] == [(1, "a b")]
+
+
+def test_rows_of_texts_give_the_names_of_words(spark):
+    text = "Role Name: Mark Whitfield Adviser: x\nplain words only\n\nFull Name Staff\nAlice Kennedy Chair\n" + "x  y\n" * 30 + "Diane Reyes Name: Else\n" + "filler\n" * 40 + "Ward Name\n  Priya Shah"
+    docs = spark.createDataFrame([(1, text), (2, "no names here"), (3, None), (4, "é Name: Élan Ana")], "doc_id long, text string")
+    words = layout.lay_out(docs)
+    like, under = (lambda x: x.rlike("Name:")), (lambda x: F.contains(F.lower(x), F.lit("name")))
+    rows = layout.rows_of_texts(docs, like, under)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    at = lambda d: sorted(map(tuple, d.collect()))
+    for of in (layout.label_names, layout.table_names, layout.placed_names):
+        assert at(of(rows)) == at(of(words)) == at(of(layout.rows_of_texts(docs)))
+    assert {("Mark", "label"), ("Else", "label"), ("Priya Shah", "table")} <= {(r.name, r.source) for r in layout.placed_names(rows).collect()}
+    assert {r.name for r in layout.table_names(rows).collect()} >= {"Alice Kennedy"}
+
+
+def test_characters_behind_entities(spark):
+    token = [("Ada", "PROPN")]
+    text = "é: Ada: Ada : Ada x" + " Ada" * 3
+    starts = [k for k in range(len(text)) if text.startswith("Ada", k)]
+    ents = spark.createDataFrame([(1, "PERSON", k, k + 3, "Ada", f"s{n}", token) for n, k in enumerate(starts)], f"doc_id long, {entities.ENTITY}")
+    docs, none = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([], "value string")
+    found = entities.whole_names(ents, docs, none, none, [])
+    assert sorted(r.sent for r in found.collect()) == ["s2", "s3", "s4", "s5"]
+    own = ents.withColumn("after", F.lit("xy"))
+    assert entities.whole_names(own, docs.limit(0), none, none, []).count() == 6  # no look at the documents

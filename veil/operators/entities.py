@@ -8,6 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.validate import name_shape, numeric_noise
 
 if TYPE_CHECKING:
@@ -42,10 +43,20 @@ def _lowered(values: DataFrame) -> DataFrame:
 
 
 def whole_names(entities: DataFrame, docs: DataFrame, stop_list: DataFrame, common: DataFrame, function_words: Sequence[str] | None = None) -> DataFrame:
-    """doc_id, name, sent: spans of people with a proper noun, not followed by a colon, of a name's shape and on neither list."""
-    after = entities.join(docs.select("doc_id", F.col("text").alias("_all")), "doc_id").filter(~F.ltrim(F.substring("_all", (F.col("stop") + 1).cast("int"), F.lit(2))).startswith(":"))
-    people = after.filter((F.col("label") == "PERSON") & F.exists("tokens", lambda t: t["pos"] == "PROPN"))
+    """doc_id, name, sent: spans of people with a proper noun, not followed by a colon, of a name's shape and on neither list.
+
+    after: the two characters behind each span, if the entities have such a
+    column; otherwise they come from the documents, whose texts meet all their
+    entities at once.
+    """
+    people = entities.filter((F.col("label") == "PERSON") & F.exists("tokens", lambda t: t["pos"] == "PROPN"))
     shaped = people.filter(name_shape(F.col("text"), function_words) & ~numeric_noise(F.col("text")))
+    if "after" not in entities.columns:
+        per_doc = shaped.groupBy("doc_id").agg(F.collect_list(F.struct("text", "sent", "stop")).alias("_es"))
+        chars = once(per_doc.join(docs.select("doc_id", F.col("text").alias("_all")), "doc_id"), _c=F.split("_all", ""))
+        behind = lambda e: F.array_join(F.slice("_c", e["stop"].cast("int") + 1, F.lit(2)), "")
+        shaped = chars.filter("_all IS NOT NULL").select("doc_id", F.explode(F.transform("_es", lambda e: F.struct(e["text"].alias("text"), e["sent"].alias("sent"), behind(e).alias("after")))).alias("_e")).select("doc_id", "_e.*")
+    shaped = shaped.filter(~F.ltrim("after").startswith(":"))
     kept = shaped.join(_lowered(stop_list), F.lower("text") == F.col("_s"), "left_anti")
     alone = common.select(F.lower("value").alias("_c")).distinct()
     return kept.join(alone, (F.lower("text") == F.col("_c")) & ~F.contains(F.col("text"), F.lit(" ")), "left_anti").select("doc_id", F.col("text").alias("name"), "sent")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +24,12 @@ def by_source(
     header: str = "name",
     things: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, name, source (ner, table, label), context: all sources of names united, each (document, name, source) once."""
+    """doc_id, name, source (ner, table, label), context: all sources of names united, each (document, name, source) once. words: words, or pages with their rows."""
     whole = ner.whole_names(entities, docs, stop_list, common, function_words)
     parts = ner.name_parts(entities, stop_list, function_words)
     recognised = ner.contexts(ner.cleaned_up(whole.unionByName(parts.select(whole.columns)), safe)).withColumn("source", F.lit("ner"))
-    cells = layout.table_names(words, header, things=things, function_words=function_words)
-    labelled = layout.label_names(words, label, things=things, function_words=function_words)
-    placed = [d.select("doc_id", "name", F.concat_ws(" ", F.lit(s), F.col("page_no")).alias("context"), F.lit(s).alias("source")) for d, s in ((cells, "table"), (labelled, "label"))]
-    united = reduce(DataFrame.unionByName, [recognised.select("doc_id", "name", "context", "source"), *placed])
+    placed = layout.placed_names(words, label, header, things=things, function_words=function_words).withColumn("context", F.concat_ws(" ", "source", "page_no"))
+    united = recognised.select("doc_id", "name", "context", "source").unionByName(placed.select("doc_id", "name", "context", "source"))
     return united.groupBy("doc_id", "name", "source").agg(F.min("context").alias("context"))
 
 
