@@ -196,3 +196,16 @@ def test_lay_out_of_pages_that_hold_a_mark(spark):
     at = lambda d: sorted(map(tuple, d.collect()))
     assert held.count() == 50 * 2 + 2 * 12 and set(at(held)) <= set(at(words))
     assert at(layout.split_emails(held)) == at(layout.split_emails(words)) != []
+
+
+def test_graphics_with_heights_do_not_meet_the_pages(spark):
+    pages = spark.createDataFrame([(1, p, 600.0) for p in (1, 2, 3)] + [(2, 1, 600.0)], "doc_id long, page_no int, height double")
+    boxes = [(1, p, 10.0, 5.0, 60.0, 20.0) for p in (1, 2, 3)] + [(1, 1, 10.0, 300.0, 60.0, 320.0), (2, 1, 7.0, 560.0, 70.0, 580.0)]
+    g = spark.createDataFrame(boxes, "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
+    high = g.withColumn("height", F.lit(600.0))
+    at = lambda d: sorted(map(tuple, d.collect()))
+    template = boilerplate.rect_template(high, pages)
+    assert at(template) == at(boilerplate.rect_template(g, pages)) == [(1, 10.0, 5.0, 60.0, 20.0), (2, 7.0, 560.0, 70.0, 580.0)]
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins(template) == 1 and joins(boilerplate.zone_images(high, pages)) == 0
+    assert at(boilerplate.zone_images(high, pages).drop("height")) == at(boilerplate.zone_images(g, pages))

@@ -45,11 +45,12 @@ def in_zone() -> Column:
 
 
 def rect_template(graphics: DataFrame, pages: DataFrame, share: float = 0.7, sample: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id and rectangle of graphics in a header or footer on this share of a document's pages (or of those of a sample), by occurrences."""
+    """doc_id and rectangle of graphics in a header or footer on this share of a document's pages (or of those of a sample), by occurrences. Graphics that have their page's height do not meet the pages for it."""
     if sample is not None:
         graphics, pages = sampled(graphics, pages, *sample), sampled(pages, pages, *sample)
     n = pages.groupBy("doc_id").agg(F.count_distinct("page_no").alias("_n"))
-    zone = graphics.join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"]).filter(in_zone())
+    placed = graphics if "height" in graphics.columns else graphics.join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"])
+    zone = placed.filter(in_zone())
     keyed = zone.select("doc_id", *[(F.rint(F.col(s) * 10) / 10).alias(s) for s in SIDES])
     return keyed.groupBy("doc_id", *SIDES).count().join(n, "doc_id").filter(F.col("count") >= share * F.col("_n")).select("doc_id", *SIDES)
 
@@ -63,7 +64,7 @@ def rect_match(graphics: DataFrame, template: DataFrame, within: float = 3.0) ->
 
 def zone_images(graphics: DataFrame, pages: DataFrame, least: float = 40.0) -> DataFrame:
     """Images centred in a header or footer whose longer side is at least so long."""
-    placed = graphics.join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"])
+    placed = graphics if "height" in graphics.columns else graphics.join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"])
     middle = (F.col("y0") + F.col("y1")) / 2
     return placed.filter(((middle <= HEADER) | (middle >= F.col("height") - FOOTER)) & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= least)).select(graphics.columns)
 
