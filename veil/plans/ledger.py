@@ -13,22 +13,34 @@ COLUMNS = ["doc_id", "rule", "start", "stop", "matched"]
 
 
 def store(found: DataFrame, table: str, path: str, buckets: int = BUCKETS, columns: list[str] = COLUMNS) -> DataFrame:
-    """Write rows by document to a table of the catalog whose files lie below path; the table is what is returned."""
+    """Write rows by document to a table of the catalog whose files lie below path; the table is what is returned. With columns doc_id and spans (what detect.scanned gives) a row is a document with all its spans, and none is sorted by itself."""
     rows = found.select(*columns).repartition(buckets, "doc_id").sortWithinPartitions("doc_id")
     rows.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", path).mode("overwrite").format("parquet").saveAsTable(table)
     return found.sparkSession.table(table)
 
 
+def buckets_for(docs: DataFrame, least: int = 8) -> int:
+    """Two buckets for each task that reads the documents, so that a bucket grows no faster than a piece of the input."""
+    return max(least, 2 * docs.rdd.getNumPartitions())
+
+
+def _arrays(ledger: DataFrame, name: str) -> DataFrame:
+    """doc_id and an array of (rule, start, stop) of its spans, of a ledger of either kind."""
+    if "spans" not in ledger.columns:
+        return spans.per_document(ledger.select("doc_id", "rule", "start", "stop"), name)
+    own = F.arrays_zip("spans.rule", "spans.start", "spans.stop")
+    return ledger.select("doc_id", own.alias("_x")).groupBy("doc_id").agg(F.flatten(F.collect_list("_x")).alias(name))
+
+
 def report(found: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """doc_id, rule, n, masked_chars of a ledger's spans of every rule, less those that overlap one of a ledger of exceptions; characters that several spans of a rule have count once."""
-    kept = spans.per_document(found.select("doc_id", "rule", "start", "stop"), "_s")
+    kept = _arrays(found, "_s")
     if exceptions is not None:
-        kept = kept.join(spans.per_document(exceptions.select("doc_id", "start", "stop"), "_e"), "doc_id", "left")
+        kept = kept.join(_arrays(exceptions, "_e"), "doc_id", "left")
         kept = kept.select("doc_id", spans.clear_of(F.col("_s"), F.coalesce("_e", F.array().cast(kept.schema["_e"].dataType))).alias("_s"))
     own = lambda r: F.struct(r.alias("rule"), F.filter("_s", lambda x: x["rule"] == r).alias("s"))
     per_rule = kept.select("doc_id", F.explode(F.transform(F.array_distinct(F.transform("_s", lambda x: x["rule"])), own)).alias("_x"))
-    chars = F.aggregate(spans.united(F.col("_x.s")), F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
-    return per_rule.select("doc_id", F.col("_x.rule").alias("rule"), F.size("_x.s").cast("bigint").alias("n"), chars.alias("masked_chars"))
+    return per_rule.select("doc_id", F.col("_x.rule").alias("rule"), F.size("_x.s").cast("bigint").alias("n"), spans.covered(F.col("_x.s")).alias("masked_chars"))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

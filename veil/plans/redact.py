@@ -30,8 +30,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     found = detect.scanned(docs, **options).filter("size(spans) > 0")
     count = lambda r: F.size(F.filter("spans", lambda x: x["rule"] == r)).cast("bigint").alias(f"n_{r}")
     kinds = ("email", "phone", "link") + (("name",) if options.get("names") is not None else ())
-    masked = F.aggregate(spans.united(F.col("spans")), F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
-    return found.select("doc_id", *map(count, kinds), masked.alias("masked_chars"), F.char_length("text").cast("bigint").alias("chars"))
+    return found.select("doc_id", *map(count, kinds), spans.covered(F.col("spans")).alias("masked_chars"), F.char_length("text").cast("bigint").alias("chars"))
 
 
 def totals(reports: DataFrame) -> DataFrame:
