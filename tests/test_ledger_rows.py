@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from veil.operators import detect, spans
-from veil.plans import ledger
+from veil.plans import ledger, redact
 
 DOCS = "doc_id long, text string"
 
@@ -38,6 +38,17 @@ def test_buckets_grow_with_the_input(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_an_exception_that_is_a_rule_is_looked_for_once(spark):
+    docs = spark.createDataFrame([(1, "www.b.example/0207946001 and 020 7946 0018 x9"), (2, "none"), (3, None)], DOCS)
+    rules = {"link": r"www\.\S+", "phone": r"\d[\d ]{8,}\d"}
+    same, other = ({"link": r"www\.\S+"}, {"link": r"www\.\S+", "x": "x9"})
+    got = {k: [(x.rule, x.matched) for x in detect.scanned(docs, rules, ("link", "phone"), exceptions=e, names=["x9", "and"]).first().spans] for k, e in (("same", same), ("other", other))}
+    assert got["same"] == [("phone", "020 7946 0018"), ("name", "and"), ("name", "x9")] and got["other"] == [("phone", "020 7946 0018"), ("name", "and")]
+    assert [(x.rule, x.matched) for x in detect.scanned(docs, rules, ("phone",), exceptions=same).first().spans] == [("phone", "020 7946 0018")]
+    plan = redact.report(docs, rules=rules, on=("link", "phone"), exceptions=same)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 2, plan
+
+
 def test_characters_that_spans_have(spark):
     draw = random.Random(7)
     rows = [(i, [(a, a + draw.randrange(6)) for a in (draw.randrange(60) for _ in range(n))]) for i, n in enumerate([0, 1, 2, 5, 20, 60] * 5)]
