@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from veil.operators import detect, spans
+from veil.functions.text import PLAIN, TYPESET
+from veil.operators import detect, spans, substrings
 from veil.plans import ledger, redact
 
 DOCS = "doc_id long, text string"
@@ -54,3 +55,8 @@ def test_characters_that_spans_have(spark):
     rows = [(i, [(a, a + draw.randrange(6)) for a in (draw.randrange(60) for _ in range(n))]) for i, n in enumerate([0, 1, 2, 5, 20, 60] * 5)]
     df = spark.createDataFrame(rows, "i int, s array<struct<start:bigint,stop:bigint>>").select("i", spans.covered(F.col("s")).alias("n"))
     assert {r.i: r.n for r in df.collect()} == {i: len({k for a, z in s for k in range(a, z)}) for i, s in rows}
+
+
+def test_typeset_marks_are_plain():
+    text = "".join(TYPESET) + "O’Neil — “x” 😀\0é"
+    assert substrings._plain(text) == text.translate(str.maketrans(TYPESET, PLAIN)) and substrings._plain("é") == "é"
