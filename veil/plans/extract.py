@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
@@ -23,12 +23,14 @@ def by_source(
     label: str = "name",
     header: str = "name",
     things: tuple[str, ...] = (),
+    marks: str = ":",
+    word: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """doc_id, name, source (ner, table, label), context: all sources of names united, each (document, name, source) once. words: words, or pages with their rows."""
+    """doc_id, name, source (ner, table, label), context: all sources of names united, each (document, name, source) once. words, marks, word: as in layout.label_names."""
     whole = ner.whole_names(entities, docs, stop_list, common, function_words)
     parts = ner.name_parts(entities, stop_list, function_words)
     recognised = ner.contexts(ner.cleaned_up(whole.unionByName(parts.select(whole.columns)), safe)).withColumn("source", F.lit("ner"))
-    placed = layout.placed_names(words, label, header, things=things, function_words=function_words).withColumn("context", F.concat_ws(" ", "source", "page_no"))
+    placed = layout.placed_names(words, label, header, things=things, function_words=function_words, marks=marks, word=word).withColumn("context", F.concat_ws(" ", "source", "page_no"))
     united = recognised.select("doc_id", "name", "context", "source").unionByName(placed.select("doc_id", "name", "context", "source"))
     return united.groupBy("doc_id", "name", "source").agg(F.min("context").alias("context"))
 
