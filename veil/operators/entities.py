@@ -69,6 +69,21 @@ def name_parts(entities: DataFrame, stop_list: DataFrame, function_words: Sequen
     return good.join(_lowered(stop_list), F.lower("name") == F.col("_s"), "left_anti")
 
 
+def names(entities: DataFrame, docs: DataFrame, stop_list: DataFrame, common: DataFrame, function_words: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, name, sent: whole names and their parts, without initials. Entities that have `after` are read once; a whole name that is one of its own parts is left to that part, whose conditions are laxer."""
+    if "after" not in entities.columns:
+        whole = whole_names(entities, docs, stop_list, common, function_words)
+        return whole.unionByName(name_parts(entities, stop_list, function_words)).filter(~F.col("name").rlike(r"^[A-Z]\.?$"))
+    proper = F.array_distinct(F.transform(F.filter("tokens", lambda t: t["pos"] == "PROPN"), lambda t: t["text"]))
+    each = once(entities.filter("label = 'PERSON'").select("doc_id", "sent", "text", "after", proper.alias("_p")).filter("size(_p) > 0"), _own=F.coalesce(F.array_contains("_p", F.col("text")) | F.ltrim("after").startswith(":"), F.lit(True)))
+    each = each.select("doc_id", "sent", F.when(F.col("_own"), F.lit(-1)).otherwise(F.size("_p")).alias("_n"), F.posexplode(F.when(F.col("_own"), F.col("_p")).otherwise(F.concat("_p", F.array("text")))).alias("_k", "name"))
+    good = each.filter(name_shape(F.col("name"), function_words) & ~numeric_noise(F.col("name")) & ~F.col("name").rlike(r"^[A-Z]\.?$"))
+    kept = good.join(_lowered(stop_list), F.lower("name") == F.col("_s"), "left_anti")
+    # A whole name of one word is none if the word is a common one.
+    alone = F.when((F.col("_k") == F.col("_n")) & ~F.contains("name", F.lit(" ")), F.lower("name"))
+    return kept.join(common.select(F.lower("value").alias("_c")).distinct(), alone == F.col("_c"), "left_anti").select("doc_id", "name", "sent")
+
+
 def cleaned_up(names: DataFrame, safe: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Names (doc_id, name, sent) without single letters; initials of a list (value) that are safe though short are names of every document, or without `docs` of every document with another name."""
     kept = names.filter(~F.col("name").rlike(r"^[A-Z]\.?$"))

@@ -27,9 +27,8 @@ def by_source(
     word: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """doc_id, name, source (ner, table, label), context: all sources of names united, each (document, name, source) once. words, marks, word: as in layout.label_names."""
-    whole = ner.whole_names(entities, docs, stop_list, common, function_words)
-    parts = ner.name_parts(entities, stop_list, function_words)
-    recognised = ner.contexts(ner.cleaned_up(whole.unionByName(parts.select(whole.columns)), safe)).withColumn("source", F.lit("ner"))
+    found = ner.cleaned_up(ner.names(entities, docs, stop_list, common, function_words), safe)
+    recognised = found.select("doc_id", "name", F.substring("sent", 1, 200).alias("context"), F.lit("ner").alias("source"))
     placed = layout.placed_names(words, label, header, things=things, function_words=function_words, marks=marks, word=word).withColumn("context", F.concat_ws(" ", "source", "page_no"))
     united = recognised.select("doc_id", "name", "context", "source").unionByName(placed.select("doc_id", "name", "context", "source"))
     return united.groupBy("doc_id", "name", "source").agg(F.min("context").alias("context"))
