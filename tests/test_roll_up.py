@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from veil.operators import candidates
+from veil.functions.text import NEEDED
+from veil.operators import candidates, detect
 from veil.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,11 @@ def test_finds_are_not_sorted_and_read_once(spark):
     for name in ("review", "review_positions", "confidence"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().toString()
         assert "InMemoryRelation" in plan and "Relation [doc_id" not in plan  # documents are read below the table that is kept, and nowhere else
+
+
+def test_texts_without_the_mark_of_a_rule_are_not_searched(spark):
+    docs = spark.createDataFrame([(1, "to a@b.example.com, c@d.example.org"), (2, "a at b.example.com " * 50), (3, None), (4, "@")], "doc_id long, text string")
+    found = detect.blanket(docs, on=("email",))
+    assert sorted((r.doc_id, r.start, r.matched) for r in found.collect()) == [(1, 3, "a@b.example.com"), (1, 20, "c@d.example.org")]
+    assert "Contains(text" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(mark in pattern for pattern, mark in NEEDED.items())
