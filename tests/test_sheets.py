@@ -3,10 +3,11 @@
 import random
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from veil.operators import blocks, layout, sheets, substrings
-from veil.plans import redact_layout
+from veil.plans import queries, redact_layout
 
 SIDES = ("doc_id", "page_no", "x0", "y0", "x1", "y1")
 
@@ -49,3 +50,14 @@ def test_a_line_of_many_names_costs_in_proportion(spark):
     assert [tuple(r) for r in got] == [(0, 60_000)] and time.time() - began < 30
     got = redact_layout.plain_pages(docs, names=["Anna Berg"]).select(F.size("rects"), F.size("words")).collect()
     assert [tuple(r) for r in got] == [(30_000, 0)] and time.time() - began < 60
+
+
+def test_a_place_of_two_names_has_one_rectangle(spark, tmp_path):
+    """"thth is" and "th this" both stand in "ththis"."""
+    rows = [(k, "Thth is. Th this. And ththis\nthere") for k in range(queries.OFTEN)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["name_rects"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE['name_rects']})").fetchall()
+    assert len(want) == queries.OFTEN and sorted(map(tuple, got.collect())) == sorted(want)
