@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import LABEL
 from ..operators import detect, spans
 
+#: Fields that several rows have are told to all tasks up to this many; where there are more all counts are exchanged.
+BROADCAST_FIELDS = 1_000_000
+
 
 def detections(docs: DataFrame, on: tuple[str, ...] = ("email", "phone", "link"), rules: dict[str, str] | None = None, exceptions: DataFrame | list[str] | dict[str, str] | None = None, names: DataFrame | list[str] | None = None) -> DataFrame:
     """Spans of all rules that are on, once each, less those that overlap an exception's: spans (doc_id, start, stop), or what detect.scanned takes."""
@@ -49,10 +52,20 @@ def leaks(docs: DataFrame, exceptions: DataFrame | list[str] | dict[str, str] |
 
 def survivors(docs: DataFrame, values: DataFrame | list[str], metadata: DataFrame | None = None) -> DataFrame:
     """doc_id, field, value, n: listed values that still stand in redacted texts (field `text`) or in what documents say of themselves, wherever a search for them finds them."""
-    hits = detect.name_counts(docs, values, "text")
+    rows = docs.select("doc_id", F.lit("text").alias("field"), "text")
     if metadata is not None:
-        hits = hits.unionByName(detect.name_counts(detect.metadata_fields(metadata), values, F.col("_field")))
-    return hits.groupBy("doc_id", "field", F.col("name").alias("value")).agg(F.sum("n").alias("n"))
+        rows = rows.unionByName(detect.metadata_fields(metadata).select("doc_id", F.col("_field").alias("field"), "text"))
+    hits = lambda some: detect.name_counts(some, values, F.col("field")).select("doc_id", "field", F.col("name").alias("value"), "n")
+    summed = lambda some: some.groupBy("doc_id", "field", "value").agg(F.sum("n").alias("n"))
+    # A row's counts are whole, so only fields that several rows have are added up; there can be as many hits as words.
+    again = rows.groupBy("doc_id", "field").count().filter("count > 1").select(F.col("doc_id").alias("_d"), F.col("field").alias("_f"))
+    n = again.count()
+    if n > BROADCAST_FIELDS:
+        return summed(hits(rows))
+    if not n:
+        return hits(rows)
+    shared = F.broadcast(again), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("field").eqNullSafe(F.col("_f"))
+    return hits(rows.join(*shared, "left_anti")).unionByName(summed(hits(rows.join(*shared, "left_semi"))))
 
 
 #: What a redacted document says of itself.
